@@ -52,8 +52,59 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return positions(read_tokens(spark, path))
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+@query
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilgrid.llm.common import id_crc
+    from veilgrid.llm.quality import fit_quality, score_quality
+
+    docs, held = documents(spark, sf_dir), id_crc("doc_id") % 3 == 1
+    model = fit_quality(docs, labels(spark, sf_dir), ~held)
+    return score_quality(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 @query
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilgrid.llm.packing import pack
 
     return pack(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
+
+
+@query
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilgrid.llm.common import scratch
+    from veilgrid.llm.warc import read_warc, write_warc
+
+    path = scratch(spark, "warc")
+    write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), path, min_bytes=0)
+    columns = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+    return read_warc(spark, path, columns)
+
+
+#: base32 of the SHA-1: the digest's bits, five for each of the 32 letters.
+ORACLES["op9_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS hex, min(page_id) OVER (PARTITION BY html) AS first FROM p),
+b AS (SELECT *, array_to_string(list_transform(range(1, 41), lambda i: substr('0000000100100011010001010110011110001001101010111100110111101111',
+  1 + 4 * (strpos('0123456789abcdef', substr(hex, i, 1)) - 1), 4)), '') AS bits FROM d)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + 16 * cast(substr(bits, 5 * i + 1, 1) AS INT) + 8 * cast(substr(bits, 5 * i + 2, 1) AS INT) + 4 * cast(substr(bits, 5 * i + 3, 1) AS INT)
+      + 2 * cast(substr(bits, 5 * i + 4, 1) AS INT) + cast(substr(bits, 5 * i + 5, 1) AS INT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM b
+"""
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilgrid.llm.common import id_crc
+    from veilgrid.llm.toxicity import fit_toxicity, score_toxicity
+
+    docs, held = documents(spark, sf_dir), id_crc("doc_id") % 5 == 0
+    model = fit_toxicity(docs, labels(spark, sf_dir), ~held)
+    return score_toxicity(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
