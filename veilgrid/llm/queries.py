@@ -108,3 +108,17 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = documents(spark, sf_dir), id_crc("doc_id") % 5 == 0
     model = fit_toxicity(docs, labels(spark, sf_dir), ~held)
     return score_toxicity(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+@query
+def op5_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilgrid.llm.winnow import compare_edited
+
+    return compare_edited(documents(spark, sf_dir))
+
+
+@query
+def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilgrid.llm.surrogates import replace
+
+    return replace(documents(spark, sf_dir)).select("doc_id", "text", "n_entities", F.transform("entities", lambda e: e["kind"]).alias("kinds"))
