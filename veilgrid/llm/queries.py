@@ -122,3 +122,10 @@ def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilgrid.llm.surrogates import replace
 
     return replace(documents(spark, sf_dir)).select("doc_id", "text", "n_entities", F.transform("entities", lambda e: e["kind"]).alias("kinds"))
+
+
+@query
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilgrid.llm.jaccard_join import near_components
+
+    return near_components(documents(spark, sf_dir))
