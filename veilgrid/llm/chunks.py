@@ -5,16 +5,28 @@ split there whatever stands around, so the ids of the pieces, joined, are the id
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
+from itertools import chain
 
-#: Distinct pieces that a worker remembers, about 250 bytes each. Beyond it the memory starts anew.
-CACHE_PIECES = 400_000
+#: Distinct pieces that a worker remembers, about 200 bytes each. Beyond it the memory starts anew.
+CACHE_PIECES = 600_000
+#: A space or line feed, letters that have one form and one lower case, then nothing or what begins with an ASCII mark.
+_WORD = re.compile(r"([ \n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~].*)?", re.DOTALL)
 _SAFE_CUT = re.compile(r"(?<=\S)(?=[ \n])")
 _ENCODERS: dict[tuple[str, int], "PieceEncoder"] = {}
 
 
+def _byte_letter(b: int) -> str:
+    """The letter that stands for a byte above 0x7E in byte-level vocabularies: bytes that print stand for themselves, the
+    others for letters from 0x100 on, after the 33 that stand for 0x00 to 0x20."""
+    if b == 0xAD:
+        return chr(0x143)
+    return chr(b) if b > 0xA0 else chr(0x121 + b - 0x7F)
+
+
 class PieceEncoder:
     """``encode(texts)`` gives for each text its ids as little-endian unsigned 32-bit integers. Null counts as empty."""
 
@@ -26,6 +38,38 @@ class PieceEncoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.limit = limit
         self.known: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
+        # most pieces are a word of plain letters: its tokens come from the library's model at once, past the steps
+        # before it, where those are known to leave such a word alone but for its case and the space before it
+        steps = json.loads(self.tokenizer.to_str())
+        before = steps["pre_tokenizer"] or {}
+        self.lower = "Lowercase" in json.dumps(steps["normalizer"])
+        if before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not steps["normalizer"]:
+            self.lead = {"": ("", b""), " ": ("\u0120", b""), "\n": ("", self._raw(["\n"])[0])}
+        elif self.lower and before.get("type") == "Sequence" and self._raw([" ", "\n"]) == [b"", b""]:
+            self.lead = {"": ("", b""), " ": ("", b""), "\n": ("", b"")}
+        else:
+            self.lead = None
+        self.model = self.tokenizer.model
+        self.letters = {c: "".join(_byte_letter(b) for b in c.encode()) for c in map(chr, range(0xC0, 0x100))}
+
+    def _word(self, piece: str) -> bytes | None:
+        """The ids of a piece that is a word with marks after it; None if it is something else."""
+        found = _WORD.fullmatch(piece) if self.lead else None
+        if not found:
+            return None
+        space, word, tail = found[1], found[2], found[3] or ""
+        sign, ids = self.lead[space]
+        if self.lower:
+            word = word.lower()
+        if not word.isascii():
+            word = "".join(self.letters.get(c, c) for c in word)
+        if tail not in self.tails:
+            if len(self.tails) > self.limit // 20:
+                self.tails = {"": b""}
+            self.tails[tail] = self._raw([tail])[0]
+        tokens = [t.id for t in self.model.tokenize(sign + word)]
+        return ids + struct.pack(f"<{len(tokens)}I", *tokens) + self.tails[tail]
 
     def _raw(self, pieces: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
@@ -57,12 +101,16 @@ class PieceEncoder:
         if len(self.known) > self.limit:
             self.known.clear()
         keyed = [self._keys(t) if t else [] for t in texts]
-        new = {k for keys in keyed if keys for k in keys if k not in self.known}
+        new = set(chain.from_iterable(filter(None, keyed))).difference(self.known)
         if new:
-            pairs = [(k, p) for k in new if (p := self._piece(k)) is not None]
+            rest = []
             for k in new:
-                self.known[k] = None  # type: ignore[assignment]
-            for (k, _), ids in zip(pairs, self._raw([p for _, p in pairs])):
+                piece = self._piece(k)
+                ids = None if piece is None else self._word(piece)
+                self.known[k] = ids  # None: no cut is allowed after it
+                if ids is None and piece is not None:
+                    rest.append((k, piece))
+            for (k, _), ids in zip(rest, self._raw([p for _, p in rest])):
                 self.known[k] = ids
         out, get = [], self.known.__getitem__
         for text, keys in zip(texts, keyed):
