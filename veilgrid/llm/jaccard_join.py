@@ -8,8 +8,9 @@ survive are verified on the sets themselves. Sums of minima tell unrelated long
 R-tree of many dimensions prunes little, so points are first cut into blocks that lose no link: of each set the rarest
 shingles are signatures, as many as must contain one that any linked set shares (size - ceil(threshold * size) + 1), and
 a block is what signatures connect, directly or through others, among sets of sizes that can link. Frequent shingles come
-last in the order that says which are rarest; they are counted over all documents, and the order changes nothing in the
-result, only the sizes of blocks. Equal sets are one point. A block over BLOCK_DOCS documents or BLOCK_SHINGLES shingles is
+last in the order that says which are rarest, so that what many unlike documents share ties none of them. They are counted
+over all documents, among the shingles that can be signatures; the order knows the FREQUENT most frequent ones, a table of
+fixed size, and changes nothing in the result, only the sizes of blocks. Equal sets are one point. A block over BLOCK_DOCS documents or BLOCK_SHINGLES shingles is
 cut into parts, and each pair of parts that can link is a task of its own. In a block a document that has joined a
 component is held against no more of its members, so that thousands of near copies cost about a comparison each.
 
@@ -28,14 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilgrid.llm.common import erase_table, written
+from veilgrid.llm.common import written
 from veilgrid.llm.components import components
 from veilgrid.llm.shingles import sets
 
 #: The threshold as a fraction: intersection * DEN >= NUM * union.
 NUM, DEN = 4, 5
-#: Frequent shingles that the order knows, a table of fixed size; how often one must be seen in a count of COUNT_SHINGLES.
-FREQUENT, LEAST_SEEN, COUNT_SHINGLES = 1 << 16, 4, 2 << 20
+#: Frequent shingles that the order knows; a shingle's hash without its last bits stands for it, which can only change the
+#: order; shingles are counted in parts of COUNT_SHINGLES, and only those whose hash lies in the lowest share LOW.
+FREQUENT, DROPPED_BITS, COUNT_SHINGLES, LOW = 1 << 18, 24, 1 << 20, 0.25
 #: Bounds of a block that one task works on; groups of a point; children of a node.
 BLOCK_DOCS, BLOCK_SHINGLES, GROUPS, FANOUT = 20_000, 6_000_000, (16, 256), 32
 #: Blocks of a signature up to this size list their pairs, larger ones tie all to the first.
@@ -50,74 +52,80 @@ def needed(a, b):
 # -- sets, keys and frequent shingles ---------------------------------------------------------------------------------
 
 
+def _key(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, n and a key of each set, and (shingle, seen) of what is frequent among the different sets of this task."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("shingle", pa.int64()), ("seen", pa.int64())])
-    known: set[bytes] = set()
-    held: list[np.ndarray] = []
-    size = 0
+    """doc_id, n, key and node (the key's first half as a number) of each set."""
+    for batch in batches:
+        found = [(len(s), _key(s)) for s in sets(batch.column(1))]
+        nodes = np.frombuffer(b"".join(k[:8] for _, k in found), "<i8")
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([k for _, k in found], pa.binary()), pa.array(nodes)], ["doc_id", "n", "key", "node"])
 
-    def frequent() -> pa.RecordBatch:
-        values, counts = np.unique(np.concatenate(held), return_counts=True)
-        often = counts >= LEAST_SEEN
-        k = int(often.sum())
-        return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(values[often]), pa.array(counts[often].astype(np.int64))], schema=schema)
 
+def _different(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+    """(node, set) of the different sets of a task that have shingles. Copies in other tasks come once for each."""
+    known: set[bytes] = set()
     for batch in batches:
-        n, keys = [], []
-        for s in sets(batch.column(1)):
-            key = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-            n.append(len(s))
-            keys.append(key)
-            if key not in known:
+        for s in sets(batch.column(0)):
+            key = _key(s)[:8]
+            if len(s) and key not in known:
                 known.add(key)
-                held.append(s)
-                size += len(s)
-                if size >= COUNT_SHINGLES:
-                    yield frequent()
-                    held, size = [], 0
-        k = len(n)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], schema=schema)
+                yield int.from_bytes(key, "little", signed=True), s
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shingle, seen) of the low shingles of a task's different sets, summed within parts."""
+    top, held, size = int(-(1 << 63) + LOW * (1 << 64)), [], 0
+
+    def summed() -> pa.RecordBatch:
+        values, counts = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(values), pa.array(counts.astype(np.int32))], ["shingle", "seen"])
+
+    for _, s in _different(batches):
+        held.append(s[: np.searchsorted(s, top)] >> DROPPED_BITS)
+        size += len(held[-1])
+        if size >= COUNT_SHINGLES:
+            yield summed()
+            held, size = [], 0
     if held:
-        yield frequent()
+        yield summed()
 
 
 def signatures_of(s: np.ndarray, often: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The rarest shingles of a set, rarest first: enough to share one with any set that links."""
+    """The rarest shingles of a set, rarest first: enough to share one with any set that links. ``often`` are the frequent
+    ones without their last bits, ascending, and ``rank`` how frequent they are."""
     count = len(s) - -(-NUM * len(s) // DEN) + 1
-    if len(often):
-        at = np.minimum(np.searchsorted(often, s), len(often) - 1)
-        is_often = often[at] == s
-        if is_often.any():
-            rare, rest = s[~is_often], s[is_often]
-            if len(rare) < count:
-                rare = np.concatenate([rare, rest[np.argsort(rank[at[is_often]], kind="stable")]])
-            return rare[:count]
-    return s[:count]
+    if not len(often):
+        return s[:count]
+    at = np.minimum(np.searchsorted(often, s >> DROPPED_BITS), len(often) - 1)
+    is_often = often[at] == s >> DROPPED_BITS
+    rare, rest = s[~is_often], s[is_often]
+    if len(rare) < count:
+        rare = np.concatenate([rare, rest[np.argsort(rank[at[is_often]], kind="stable")]])
+    return rare[:count]
 
 
 def _signatures(often: np.ndarray, rank: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            got, size = [], 0
-
-            def out():
-                lens = np.array([len(g) for _, _, g in got])
-                return pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([g for *_, g in got])), pa.array(np.repeat(np.array([i for i, *_ in got], np.int64), lens)),
-                     pa.array(np.repeat(np.array([n for _, n, _ in got], np.int32), lens)), pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in lens]))],
-                    ["sig", "rep", "n", "place"])
-
-            for i, s in zip(ids, sets(batch.column(1))):
-                if len(s):
-                    got.append((i, len(s), signatures_of(s, often, rank)))
-                    size += len(got[-1][2])
-                    if size > 200_000:
-                        yield out()
-                        got, size = [], 0
-            if got:
+        got, size = [], 0
+
+        def out():
+            lens = np.array([len(g) for *_, g in got])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([g for *_, g in got])), pa.array(np.repeat(np.array([i for i, *_ in got], np.int64), lens)),
+                 pa.array(np.repeat(np.array([n for _, n, _ in got], np.int32), lens)), pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in lens]))],
+                ["sig", "node", "n", "place"])
+
+        for node, s in _different(batches):
+            got.append((node, len(s), signatures_of(s, often, rank)))
+            size += len(got[-1][2])
+            if size > 200_000:
                 yield out()
+                got, size = [], 0
+        if got:
+            yield out()
 
     return run
 
@@ -126,7 +134,7 @@ def _signatures(often: np.ndarray, rank: np.ndarray):
 
 
 def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links (a, b) that connect what shares a signature and may link; rows come sorted by sig, n, rep."""
+    """Ties (a, b) that connect what shares a signature and may link; rows come sorted by sig, n, node."""
     carry = tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int32, np.int32))
 
     def filtered(n1, p1, n2, p2):
@@ -136,6 +144,9 @@ def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def of(sig, rep, n, place) -> pa.RecordBatch:
         a, b = [], []
+        if len(sig):  # copies from other tasks
+            new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (rep[1:] != rep[:-1])])
+            sig, rep, n, place = sig[new], rep[new], n[new], place[new]
         cut = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.empty(0, int)
         size = np.diff(np.concatenate([cut, [len(sig)]]))
         for k in range(2, SMALL + 1):
@@ -266,38 +277,54 @@ def _link_group(table: pa.Table) -> pa.Table:
 def near_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id that links lead to. One row for each row of ``docs``."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    described = written(rows.mapInArrow(_describe, "doc_id long, n long, key binary, shingle long, seen long"), "sets")
-    sets_ = described.where(F.col("n").isNotNull()).select("doc_id", "n", "key")
-    seen = described.where(F.col("shingle").isNotNull()).groupBy("shingle").agg(F.sum("seen").alias("seen"))
-    often = seen.orderBy(F.desc("seen"), "shingle").limit(FREQUENT).collect()
-    table = sorted((r.shingle, r.seen) for r in often)
-    often, rank = np.array([a for a, _ in table], np.int64), np.array([b for _, b in table], np.int64)
-
-    # one document of each set, by its smallest id
-    reps = sets_.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
-    reps = written(reps, "reps")
-    texts = rows.join(reps.select(F.col("rep").alias("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi")
-    marks = texts.mapInArrow(_signatures(often, rank), "sig long, rep long, n int, place int")
-    ties = marks.repartition("sig").sortWithinPartitions("sig", "n", "rep").mapInArrow(_ties, "a long, b long")
+    described = written(rows.mapInArrow(_describe, "doc_id long, n long, key binary, node long"), "sets")
+    texts = rows.select("text")
+    seen = texts.mapInArrow(_count, "shingle long, seen int").groupBy("shingle").agg(F.sum("seen").alias("seen")).where("seen > 1")
+    # the table of frequent shingles has a fixed size, whatever the corpus
+    table = seen.orderBy(F.desc("seen"), "shingle").limit(FREQUENT).toArrow().sort_by("shingle")
+    often, rank = (table.column(c).to_numpy() for c in ("shingle", "seen"))
+
+    marks = texts.mapInArrow(_signatures(often, rank), "sig long, node long, n int, place int")
+    ties = marks.repartition("sig").sortWithinPartitions("sig", "n", "node").mapInArrow(_ties, "a long, b long")
     blocks = components(ties)
 
-    found = _links(rows, reps, blocks)
-    roots = components(found)
-    named = reps.join(roots, reps.rep == roots.node, "left").select("key", F.coalesce("root", "rep").alias("root"))
-    out = sets_.join(named, "key", "left")
-    result = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("root", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    erase_table(blocks)
-    return result
+    # one document of each set, the one with the smallest id
+    reps = written(described.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("node").alias("node")), "reps")
+    members = written(blocks.join(reps, "node").select("rep", "root", "n"), "members")
+    roots = components(_links(rows, members))
+    named = reps.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("key", F.coalesce("root", "rep").alias("root"))
+    out = described.join(named, "key", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("root", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+#: Bits of the table that says which documents are in blocks.
+MEMBER_BITS = 1 << 24
+
+
+def _only(ids: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows whose doc_id may be among ``ids`` (rep): a table of MEMBER_BITS bits, two MB whatever the corpus, spares most
+    texts the way to a join that they would not survive."""
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(MEMBER_BITS)) + 1  # noqa: E731  positions and buckets count from 1
+    maps = ids.select(at("rep").alias("p")).groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
+    table = bytearray(MEMBER_BITS // 8)
+    for m in maps:
+        table[(m.k - 1) * 4096 : m.k * 4096] = m.bits
+    bits = rows.sparkSession.sparkContext.broadcast(bytes(table))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.unpackbits(np.frombuffer(bits.value, np.uint8), bitorder="little").astype(bool)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(batch.filter(pa.array(held[batch.column(2).to_numpy() - 1])).columns[:2], ["doc_id", "text"])
+
+    return rows.where("doc_id is not null").withColumn("p", at("doc_id")).mapInArrow(run, "doc_id long, text string")
 
 
-def _links(rows: DataFrame, reps: DataFrame, blocks: DataFrame) -> DataFrame:
+def _links(rows: DataFrame, members: DataFrame) -> DataFrame:
     """Links that connect what links within blocks. A large block is cut into parts by a hash of its documents, and each
-    pair of parts is a group; the parts follow from the block's size alone, so they are known without collecting it."""
-    sized = blocks.join(reps.select(F.col("rep").alias("node"), "n"), "node")
-    totals = sized.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"))
-    parted = sized.join(totals, "root").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    other = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
-    groups = parted.withColumn("other", F.explode(other)).select(
-        F.col("node").alias("doc_id"), "root", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
-    texts = rows.join(groups.hint("shuffle_hash"), "doc_id").select(F.col("doc_id").alias("rep"), "text", "root", "p", "q")
+    pair of parts is a group; the parts follow from the block's size alone."""
+    totals = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"))
+    parted = members.join(totals, "root").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    groups = parted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+        F.col("rep").alias("doc_id"), "root", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
+    texts = _only(members, rows).join(groups.hint("shuffle_hash"), "doc_id").select(F.col("doc_id").alias("rep"), "text", "root", "p", "q")
     return texts.groupBy("root", "p", "q").applyInArrow(_link_group, "a long, b long")
