@@ -28,8 +28,7 @@ def event_log(spark: SparkSession, path: str, strict: bool = False) -> DataFrame
         return spark.createDataFrame([], EVENT)
     if strict:
         return spark.read.schema(EVENT).json(path, mode="FAILFAST")
-    rows = spark.read.schema(f"{EVENT}, _corrupt string").json(path, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt")
-    return rows.where(F.col("_corrupt").isNull()).drop("_corrupt")
+    return _parsed(spark, path, EVENT)
 
 
 def tail(events: DataFrame, last: int) -> DataFrame:
@@ -44,8 +43,14 @@ def anchors(spark: SparkSession, path: str) -> DataFrame:
     """Anchors; lines that are none are passed over, a missing file is empty."""
     if not exists(spark, path):
         return spark.createDataFrame([], ANCHOR)
-    rows = spark.read.schema(f"{ANCHOR}, _corrupt string").json(path, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt")
-    return rows.where(F.col("_corrupt").isNull() & F.col("sequence").isNotNull() & F.col("event_hash").isNotNull()).drop("_corrupt")
+    return _parsed(spark, path, ANCHOR).where("sequence is not null and event_hash is not null")
+
+
+def _parsed(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of JSON lines; lines that are none are passed over."""
+    rows = spark.read.text(path).where(F.trim("value") != "")
+    one = F.from_json("value", f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    return rows.select(one.alias("r")).where(F.col("r._corrupt").isNull()).select("r.*").drop("_corrupt")
 
 
 def corpus(spark: SparkSession, path: str) -> DataFrame:
