@@ -26,7 +26,7 @@ from veilgrid.llm.common import labelled_sample
 from veilgrid.llm.quality import with_score
 
 #: Bound of the labelled sample, most terms of a lexicon, fewest toxic rows for a term, lengths of beginnings.
-MAX_DOCS, MAX_TERMS, LEAST_ROWS, SHORTEST, LONGEST = 8000, 48, 6, 4, 12
+MAX_DOCS, MAX_TERMS, LEAST_ROWS, SHORTEST, LONGEST = 8000, 48, 3, 4, 12
 #: Words on either side of a hit that its window has.
 WINDOW = 6
 #: Distinct words, and steps of the automaton, that a worker remembers.
@@ -162,7 +162,7 @@ def learn_lexicon(rows: list[tuple[int, str, int]], max_terms: int = MAX_TERMS)
     while len(chosen) < max_terms:
         scored = [(gain(t), t) for t in order if t not in chosen]
         best, term = max(scored, key=lambda x: x[0], default=(0, ""))
-        if best < max(2, LEAST_ROWS // 2):
+        if best < LEAST_ROWS - 1:
             # then terms that other rows hardly have, whole words first, none that begins a chosen one or with one
             for t in sorted(holders, key=lambda t: (t.endswith("*"), -len(holders[t]), t)):
                 clash = any(t.rstrip("*").startswith(c.rstrip("*")) or c.startswith(t.rstrip("*")) for c in chosen)
