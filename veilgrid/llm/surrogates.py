@@ -57,16 +57,15 @@ def _prf(key: str, round_: int, *parts: Column) -> Column:
 
 
 def _moved(c: Column, by: Column, hex_: Column) -> Column:
-    """A character moved within its class by a random number."""
+    """A character moved within its class by a random number. The classes are data, so that the plan stays small."""
     code = F.ascii(c)
-    within = lambda letters: F.substring(F.lit(letters), (F.pmod(F.instr(F.lit(letters), c) - 1 + by, F.lit(len(letters))) + 1).cast("int"), F.lit(1))
-    out = F.when(hex_ & F.lit(_HEX).contains(c), within(_HEX))
-    for letters in ("0123456789", _VOWELS, _CONSONANTS):
-        out = out.when(F.lit(letters).contains(c), within(letters))
-    for first, n in _RANGES:
-        new = F.pmod(code - first + by, F.lit(n)) + first
-        out = out.when(code.between(first, first + n - 1), F.decode(F.unhex(F.lpad(F.hex(new), 4, "0")), "UTF-16BE"))
-    return out.otherwise(c)
+    lists = F.when(hex_, F.lit([_HEX, "0123456789", _VOWELS, _CONSONANTS])).otherwise(F.lit(["0123456789", _VOWELS, _CONSONANTS]))
+    letters = F.get(F.filter(lists, lambda x: x.contains(c)), F.lit(0))
+    within = F.substring(letters, (F.pmod(F.instr(letters, c) - 1 + by, F.char_length(letters)) + 1).cast("int"), F.lit(1))
+    ranges = F.lit([[first, n] for first, n in _RANGES])
+    spot = F.get(F.filter(ranges, lambda r: (code >= r[0]) & (code < r[0] + r[1])), F.lit(0))
+    new = F.pmod(code - spot[0] + by, spot[1]) + spot[0]
+    return F.when(letters.isNotNull(), within).when(spot.isNotNull(), F.decode(F.unhex(F.lpad(F.hex(new), 4, "0")), "UTF-16BE")).otherwise(c)
 
 
 def _shift(part: Column, seed: Column, hex_: Column) -> Column:
