@@ -31,7 +31,7 @@ MALE = "john peter paul thomas martin david michael daniel lukas felix jean pier
 
 _WORD = r"[\p{L}\p{N}_]"
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]+\.)+\p{L}{2,}"
-ASSIGNED = rf"(?<!{_WORD})(?i:api[_-]?key|secret[_-]?key|access[_-]?token|auth[_-]?token|client[_-]?secret|token|secret|password|passwd)\s{{0,4}}[:=]\s{{0,4}}[\"']?[A-Za-z0-9._~+/-]{{12,}}"
+ASSIGNED = rf"(?<!{_WORD})(?i:api[_-]?key|secret[_-]?key|access[_-]?token|auth[_-]?token|client[_-]?secret|token|secret|password|passwd)[ \t]{{0,4}}[:=][ \t]{{0,4}}[\"']?[A-Za-z0-9._~+/-]{{12,}}"
 PREFIXED = rf"(?<!{_WORD})(?:(?:AKIA|ASIA)[0-9A-Z]{{16}}|gh[pousr]_[A-Za-z0-9]{{36,255}}|sk-[A-Za-z0-9_-]{{20,}}|xox[baprs]-[0-9A-Za-z-]{{10,}})"
 IBAN = rf"(?<!{_WORD})[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?(?!{_WORD})"
 PERSON = rf"(?<!{_WORD})(?:{TITLES})\.?\x20\p{{Lu}}[\p{{L}}'-]+(?:\x20\p{{Lu}}[\p{{L}}'-]+){{0,2}}"
@@ -40,7 +40,9 @@ PHONE = r"(?<![\p{N}+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[
 IPV4 = r"(?<![\p{N}.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?!\p{N}|\.[0-9])"
 CARD = r"(?<![\p{N}])[0-9](?:[ -]?[0-9]){12,18}(?![\p{N}])"
 ENTITY = "|".join((EMAIL, ASSIGNED, PREFIXED, IBAN, PERSON, SSN, PHONE, IPV4, CARD))
-_VALUE = r"^(.*?[:=]\s{0,4}[\"']?)(\S+)$"
+_VALUE = r"^(.*?[:=][ \t]{0,4}[\"']?)(\S+)$"
+#: What a line must have to hold an entity: a sign that most kinds need, or a title or beginning of the others.
+_SIGNS, _BEGINNINGS = "[0-9@:=_]", "AKIA ASIA sk- xox Mr Ms Miss Dr Prof Herr Frau Mme Mlle Madame Monsieur Sr Señor".split()
 
 _VOWELS, _CONSONANTS, _HEX = "aeiou", "bcdfghjklmnpqrstvwxyz", "0123456789abcdef"
 #: First letters and lengths of ranges of letters: accented Latin, Greek, Cyrillic, Hebrew, Arabic, kana, Han, Hangul.
@@ -245,14 +247,25 @@ def surrogate(kind_: Column, m: Column, key: str) -> Column:
     return let(new, lambda n: _assembled(kind_, m, n, key))
 
 
+def _may_hold(text: Column) -> Column:
+    """Whether a text could have an entity; much cheaper than to look for one."""
+    out = text.rlike(_SIGNS)
+    for x in _BEGINNINGS:
+        out = out | text.contains(x)
+    return out
+
+
 def _matches(docs: DataFrame, text: str) -> DataFrame:
-    return docs.withColumn("_m", F.regexp_extract_all(F.col(text), F.lit(ENTITY), F.lit(0)))
+    """``docs`` with the lines of the texts that may have entities, and each line's matches. No entity goes over a line's
+    end, so the long expression runs only over the few lines that could have one."""
+    one = lambda x: F.struct(x.alias("line"), F.when(_may_hold(x), F.regexp_extract_all(x, F.lit(ENTITY), F.lit(0))).alias("m"))
+    return docs.withColumn("_veilgrid_lines", F.when(_may_hold(F.col(text)), F.transform(F.split(F.col(text), "\n", -1), one)))
 
 
 def collisions(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """kind, surrogate, entities: surrogates that more than one entity of ``docs`` would get. Entities are made distinct
     in each task before they move, so one that is in a third of all rows is a row a task."""
-    found = _matches(docs.select(text), text).select(F.explode("_m").alias("m")).select(kind(F.col("m")).alias("kind"), "m").where(F.col("kind").isNotNull())
+    found = _matches(docs.select(text), text).select(F.explode(F.flatten(F.transform(F.filter("_veilgrid_lines", lambda x: F.size(x["m"]) > 0), lambda x: x["m"]))).alias("m")).select(kind(F.col("m")).alias("kind"), "m").where(F.col("kind").isNotNull())
     distinct = found.groupBy("kind", canonical(F.col("kind"), F.col("m")).alias("entity")).agg(F.min("m").alias("m"))
     # the notation does not matter for what an entity becomes, so one of each will do
     new = distinct.select("kind", "entity", canonical(F.col("kind"), surrogate(F.col("kind"), F.col("m"), key)).alias("surrogate"))
@@ -272,10 +285,17 @@ def replace(docs: DataFrame, key: str = KEY, text: str = "text", check: bool = T
     """``docs`` with surrogates in ``text``, and entities (kind, surrogate) and n_entities added."""
     key = salted(docs, key, text) if check else f"{key}\x1d0"
     one = lambda m: let(F.struct(m.alias("m"), kind(m).alias("k")), lambda x: F.struct(x["k"].alias("kind"), F.when(x["k"].isNull(), x["m"]).otherwise(surrogate(x["k"], x["m"], key)).alias("surrogate")))
-    rows = _matches(docs.drop("entities", "n_entities"), text).withColumn("_e", F.when(F.size("_m") > 0, F.transform("_m", one)))
-    parts = F.split(F.col(text), ENTITY, -1)
-    joined = F.array_join(F.flatten(F.zip_with(parts, F.transform("_e", lambda e: e["surrogate"]), lambda p, s: F.array(p, F.coalesce(s, F.lit(""))))), "")
-    kept = F.coalesce(F.filter("_e", lambda e: e["kind"].isNotNull()), F.array().cast("array<struct<kind:string,surrogate:string>>"))
-    new = F.when(F.col("_e").isNull(), F.col(text)).otherwise(joined).alias(text)
+    rows = _matches(docs.drop("entities", "n_entities"), text)
+    rows = rows.withColumn("_veilgrid_found", F.transform("_veilgrid_lines", lambda x: F.when(F.size(x["m"]) > 0, F.transform(x["m"], one))))
+
+    def joined(x: Column, e: Column) -> Column:
+        parts = F.split(x["line"], ENTITY, -1)
+        new = F.flatten(F.zip_with(parts, F.transform(e, lambda y: y["surrogate"]), lambda p, s: F.array(p, F.coalesce(s, F.lit("")))))
+        return F.when(e.isNull(), x["line"]).otherwise(F.array_join(new, ""))
+
+    found = F.flatten(F.filter("_veilgrid_found", lambda e: e.isNotNull()))
+    kept = F.coalesce(F.filter(found, lambda e: e["kind"].isNotNull()), F.array().cast("array<struct<kind:string,surrogate:string>>"))
+    any_ = F.exists("_veilgrid_lines", lambda x: F.size(x["m"]) > 0)
+    new = F.when(any_, F.array_join(F.zip_with("_veilgrid_lines", "_veilgrid_found", joined), "\n")).otherwise(F.col(text)).alias(text)
     # one projection for all: each step is analysed anew together with the long expressions below it
-    return rows.select(*(new if c == text else F.col(c) for c in rows.columns if c not in ("_m", "_e")), kept.alias("entities"), F.size(kept).alias("n_entities"))
+    return rows.select(*(new if c == text else F.col(c) for c in rows.columns if c not in ("_veilgrid_lines", "_veilgrid_found")), kept.alias("entities"), F.size(kept).alias("n_entities"))
