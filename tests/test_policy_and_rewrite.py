@@ -79,6 +79,19 @@ def test_scalars(spark):
     assert got[3][1] == "a b c d e " and got[4][1] == "a+b c d e fgh" and got[5][1] is None
 
 
+def test_long_values(spark):
+    import base64
+
+    raw = ("long text, " * 200).encode()
+    b = base64.b64encode(raw).decode()
+    d = spark.createDataFrame([(b, base64.urlsafe_b64encode(raw).decode().rstrip("="), raw.decode())], "a string, b string, t string")
+    got = d.select(T.decode_base64(F.col("a")), T.decode_base64(F.col("b")), T.base64url(F.encode("t", "UTF-8")) == F.col("b"), T.from_base64url(F.col("b")).cast("string")).first()
+    assert tuple(got) == (raw.decode(), raw.decode(), True, raw.decode())
+    key = b"k" * 32
+    e = d.select(T.encrypt(F.col("t"), key, F.lit("x")).alias("e")).select(T.decrypt(F.col("e"), {T.short_id(key): key}, F.lit("x"))).first()[0]
+    assert e == raw.decode()
+
+
 def test_trees(spark):
     deep = json.dumps(__import__("functools").reduce(lambda a, _: [a], range(300), "x"))
     df = spark.createDataFrame([(1, '{"a": [1, "x", true, null, 1e21, 0.1], "b": {"c": ""}}'), (2, "{no"), (3, None), (4, deep)], "id int, t string")

@@ -16,8 +16,13 @@ def short_hash(text: Column, n: int = 12) -> Column:
     return F.substring(F.sha2(text, 256), 1, n)
 
 
+def base64(data: Column) -> Column:
+    """Base64 on one line; Spark's own breaks it after 76 characters."""
+    return F.translate(F.base64(data), "\r\n", "")
+
+
 def base64url(data: Column) -> Column:
-    return F.translate(F.rtrim(F.base64(data), F.lit("=")), "+/", "-_")
+    return F.translate(F.rtrim(base64(data), F.lit("=")), "+/", "-_")
 
 
 def sha256_base64url(text: Column) -> Column:
@@ -72,7 +77,7 @@ def decode_base64(text: Column, low: int = 16, high: int = 8192) -> Column:
     url = ~plain & text.rlike("^[A-Za-z0-9_-]+$") & (n % 4 != 1)
     std = F.rpad(F.translate(text, "-_", "+/"), (F.ceil(n / 4) * 4).cast("int"), F.lit("="))
     data = F.try_to_binary(F.when(plain, text).when(url, std), F.lit("base64"))
-    again = F.when(plain, F.base64(data) == text).otherwise(base64url(data) == text)
+    again = F.when(plain, base64(data) == text).otherwise(base64url(data) == text)
     ok = n.between(low, high) & (F.octet_length(data) > 0) & again & F.is_valid_utf8(data.cast("string"))
     return F.when(ok, data.cast("string"))
 
@@ -184,3 +189,15 @@ def decrypt(envelope: Column, keys: dict[str, bytes], aad: Column, now: Column |
     if now is not None:
         ok &= envelope["expires_at"].isNull() | (now < envelope["expires_at"])
     return F.when(ok, F.try_aes_decrypt(sealed, key, F.lit("GCM"), F.lit("DEFAULT"), aad).cast("string"))
+
+
+def in_range(version: Column, low: str | None = None, below: str | None = None) -> Column:
+    """Whether a version is at least one and below another; null for other texts."""
+    key = version_key(version)
+    number = lambda v: F.lit([int(x) for x in v.split(".")]).cast("array<int>")
+    out = key.isNotNull()
+    if low is not None:
+        out = out & (key >= number(low))
+    if below is not None:
+        out = out & (key < number(below))
+    return F.when(key.isNotNull(), out)

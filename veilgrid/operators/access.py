@@ -149,3 +149,23 @@ def blocked_address(address: Column) -> Column:
         return s.map(one, na_action="ignore").astype("object")
 
     return run(address)
+
+
+def claims_verdict(token: Column, issuer: str, audience: str, now: Column, algorithms: tuple[str, ...] = ("RS256", "ES256"), skew: int = 60) -> Column:
+    """Why a JWT's header and claims are refused, null if they are not. Its signature is not looked at: that needs a
+    library that is not part of the engine. ``now`` is in seconds."""
+    part = lambda k: T.from_base64url(F.split_part(token, F.lit("."), F.lit(k))).cast("string")
+    claim = lambda name: F.get_json_object(part(2), f"$.{name}")
+    number = lambda name: claim(name).cast("double")
+    aud = F.coalesce(F.from_json(claim("aud"), "array<string>"), F.array(claim("aud")))
+    return (
+        F.when(~token.rlike(r"^[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+$"), "malformed")
+        .when(~F.coalesce(F.get_json_object(part(1), "$.alg").isin(*algorithms), F.lit(False)), "algorithm")
+        .when(F.get_json_object(part(1), "$.kid").isNull(), "key id")
+        .when(~claim("iss").eqNullSafe(F.lit(issuer)), "issuer")
+        .when(~F.coalesce(F.array_contains(aud, audience), F.lit(False)), "audience")
+        .when(F.coalesce(claim("sub"), F.lit("")) == "", "subject")
+        .when(number("exp").isNull() | (now >= number("exp") + skew), "expired")
+        .when(number("nbf") > now + skew, "not yet")
+        .when(number("iat") > now + skew, "issued later")
+    )

@@ -129,3 +129,25 @@ class Profiles:
 def decide(found: DataFrame, policy: Policy, kind: str = "type") -> DataFrame:
     """Long rows of detections with action, reason and mode."""
     return found.withColumns({"action": policy.action(F.col(kind)), "reason": F.concat(F.lit("matched:"), F.col("rule_id")), "mode": F.lit(policy.mode)})
+
+
+def signed(policy: Policy, key: bytes) -> dict:
+    """A policy as a bundle with an HMAC over its canonical form."""
+    import dataclasses
+    import hashlib
+    import hmac
+
+    from veilgrid.functions.text import canonical
+
+    body = dataclasses.asdict(policy)
+    return {"policy": body, "alg": "HMAC-SHA256", "signature": hmac.new(key, canonical(body).encode(), hashlib.sha256).hexdigest()}
+
+
+def opened(bundle: Mapping, key: bytes) -> Policy:
+    """The policy of a bundle; an error if its signature is wrong."""
+    import hmac
+
+    policy = Policy(**bundle["policy"])
+    if bundle.get("alg") != "HMAC-SHA256" or not hmac.compare_digest(signed(policy, key)["signature"], str(bundle.get("signature"))):
+        raise ValueError("the bundle's signature is wrong")
+    return policy

@@ -80,3 +80,17 @@ def audit_rows(done: DataFrame, operation: str, key: bytes, now: Column) -> Data
     token = T.safe_token(key, F.col("token")) if "token" in done.columns else F.lit(None).cast("string")
     reason = F.col("reason") if "reason" in done.columns else F.lit(None).cast("string")
     return done.select(F.lit(operation).alias("operation"), F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("timestamp"), token.alias("token"), reason.alias("reason"))
+
+
+class KeyRing:
+    """An active key for new envelopes and retired ones that still open old ones."""
+
+    def __init__(self, active: bytes, retired: list[bytes] = ()):  # noqa: B006
+        self.active, self.retired = active, list(retired)
+
+    def rotated(self, new: bytes) -> KeyRing:
+        return KeyRing(new, [*self.retired, self.active])
+
+    @property
+    def keys(self) -> dict[str, bytes]:
+        return {T.short_id(k): k for k in (*self.retired, self.active)}

@@ -492,3 +492,28 @@ def rpc_messages(spark, sf_dir):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with their e-mail addresses redacted."""
     return redact_emails(spark, sf_dir)
+
+
+@query("""WITH s AS (SELECT conv_id, turn, strlen(text) AS n, sum(strlen(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS upto FROM conversations)
+SELECT conv_id, turn, upto > 1000 AS truncated FROM s WHERE upto - n <= 1000""")
+def pass_through_cap(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return frames.capped(c, 1000, "conv_id", "turn", "text").select("conv_id", "turn", "truncated")
+
+
+@query("""SELECT * FROM (VALUES (1, NULL), (2, 'algorithm'), (3, 'expired'), (4, 'audience'), (5, 'malformed'), (6, 'not yet')) v(id, verdict)""")
+def token_claims(spark, sf_dir):
+    claims = {"iss": "https://i", "aud": ["a", "b"], "sub": "s", "exp": 2000}
+    cases = [(1, {}, {}), (2, {"alg": "none"}, {}), (3, {}, {"exp": 900}), (4, {}, {"aud": "c"}), (6, {}, {"nbf": 5000})]
+    import json
+
+    rows = spark.createDataFrame([(i, json.dumps({"alg": "RS256", "kid": "k", **h}), json.dumps({**claims, **c})) for i, h, c in cases], "id int, h string, c string")
+    enc = lambda c: T.base64url(F.encode(c, "UTF-8"))
+    rows = rows.select("id", F.concat_ws(".", enc("h"), enc("c"), F.lit("x")).alias("t")).union(spark.createDataFrame([(5, "a.b")], "id int, t string"))
+    return rows.select("id", access.claims_verdict(F.col("t"), "https://i", "b", F.lit(1000)).alias("verdict"))
+
+
+@query("SELECT * FROM (VALUES ('1.2.3', true), ('1.10.0', true), ('2.0.0', false), ('0.9', NULL)) v(version, ok)")
+def version_ranges(spark, sf_dir):
+    rows = spark.createDataFrame([("1.2.3",), ("1.10.0",), ("2.0.0",), ("0.9",)], "version string")
+    return rows.select("version", T.in_range(F.col("version"), "1.2.3", "2.0.0").alias("ok"))

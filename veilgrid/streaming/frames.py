@@ -74,3 +74,12 @@ def serialized(frame: str, form: str, value) -> str:
             out += [f"data: {x}" for x in text.split("\n")]
             done = True
     return "\n".join(out if done else [*out, *(f"data: {x}" for x in text.split("\n"))])
+
+
+def capped(rows: DataFrame, most: int, stream: str = "stream_id", seq: str = "seq", frame: str = "frame") -> DataFrame:
+    """Frames that are passed on as they are, up to a number of bytes a stream; truncated marks the first that is not."""
+    from pyspark.sql import Window
+
+    over = Window.partitionBy(stream).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
+    sums = rows.withColumn("_sum", F.sum(F.octet_length(frame)).over(over))
+    return sums.where(F.col("_sum") - F.octet_length(frame) <= most).withColumn("truncated", F.col("_sum") > most).drop("_sum")
