@@ -215,6 +215,22 @@ def test_blocks_against_all_pairs():
         assert len(set(root)) == len(set(want))
 
 
+def test_a_signature_over_many_batches_ties_all_its_rows(monkeypatch):
+    import pyarrow as pa
+
+    r = random.Random(4)
+    rows = sorted((r.choice([1, 1, 1, 2, 3]), r.randrange(90, 100), k) for k in range(200))
+    batch = lambda part: pa.RecordBatch.from_arrays([pa.array([x[0] for x in part], pa.int64()), pa.array([x[2] for x in part], pa.int64()), pa.array([x[1] for x in part], pa.int32()), pa.array([50] * len(part), pa.int32())], ["sig", "node", "n", "place"])
+    for held in (5, 100_000):
+        monkeypatch.setattr(jaccard_join, "MOST_HELD", held)
+        root = list(range(200))
+        for out in jaccard_join._ties(batch(rows[i : i + 7]) for i in range(0, 200, 7)):
+            for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist()):
+                x, y = root[a], root[b]
+                root = [min(x, y) if z in (x, y) else z for z in root]
+        assert len({root[x[2]] for x in rows}) == 3 and all(len({root[x[2]] for x in rows if x[0] == s}) == 1 for s in (1, 2, 3))
+
+
 def test_op2(spark, data, texts):
     rows = sorted((r.doc_id, r.text) for r in texts.collect())
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in op2_jaccard(spark, data).collect()}

@@ -42,6 +42,8 @@ FREQUENT, DROPPED_BITS, COUNT_SHINGLES, LOW = 1 << 18, 24, 1 << 20, 0.25
 BLOCK_DOCS, BLOCK_SHINGLES, GROUPS, FANOUT = 20_000, 6_000_000, (16, 256), 32
 #: Blocks of a signature up to this size list their pairs, larger ones tie all to the first.
 SMALL = 8
+#: Rows of one signature that are held at once.
+MOST_HELD = 100_000
 
 
 def needed(a, b):
@@ -142,22 +144,25 @@ def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # what comes after a first shared signature bounds the intersection
         return (low * DEN >= high * NUM) & (np.minimum(n1 - p1, n2 - p2) >= needed(n1, n2))
 
-    def of(sig, rep, n, place) -> pa.RecordBatch:
+    def of(sig, rep, n, place, goes_on: bool = False) -> pa.RecordBatch:
+        """Ties of whole signatures; the first one may be the end of one that was too large to hold."""
         a, b = [], []
         if len(sig):  # copies from other tasks
             new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (rep[1:] != rep[:-1])])
             sig, rep, n, place = sig[new], rep[new], n[new], place[new]
         cut = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.empty(0, int)
         size = np.diff(np.concatenate([cut, [len(sig)]]))
+        is_large = size > SMALL
+        is_large[:1] |= goes_on
         for k in range(2, SMALL + 1):
-            rows = cut[size == k][:, None] + np.arange(k)
+            rows = cut[(size == k) & ~is_large][:, None] + np.arange(k)
             if len(rows):
                 i, j = np.triu_indices(k, 1)
                 x, y = rows[:, i].ravel(), rows[:, j].ravel()
                 ok = filtered(n[x].astype(np.int64), place[x], n[y].astype(np.int64), place[y])
                 a.append(rep[x[ok]])
                 b.append(rep[y[ok]])
-        large = np.flatnonzero(size > SMALL)
+        large = np.flatnonzero(is_large)
         for start, k in zip(cut[large].tolist(), size[large].tolist()):
             m = n[start : start + k].astype(np.int64)
             # sizes ascend: over a gap that no pair can bridge a new tie begins
@@ -174,18 +179,21 @@ def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = (a != b) & np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
         return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], ["a", "b"])
 
+    goes_on = False
     for batch in batches:
         now = [np.concatenate([c, batch.column(i).to_numpy()]) for i, c in enumerate(carry)]
         if not len(now[0]):
             continue
         last = int(np.searchsorted(now[0], now[0][-1]))
-        yield of(*(x[:last] for x in now))
+        if last:
+            yield of(*(x[:last] for x in now), goes_on)
+            goes_on = False
         carry = tuple(x[last:] for x in now)
-        if len(carry[0]) > 100_000:  # one signature over many batches: tie what is there, keep its last rows to go on from
-            yield of(*carry)
-            carry = tuple(x[-1:] for x in carry)
+        if len(carry[0]) > MOST_HELD:  # tie what is there, and go on from its last row
+            yield of(*carry, True)
+            carry, goes_on = tuple(x[-1:] for x in carry), True
     if len(carry[0]):
-        yield of(*carry)
+        yield of(*carry, goes_on)
 
 
 # -- the R-tree join of a block ---------------------------------------------------------------------------------------
