@@ -38,7 +38,8 @@ PERSON = rf"(?<!{_WORD})(?:{TITLES})\.?\x20\p{{Lu}}[\p{{L}}'-]+(?:\x20\p{{Lu}}[\
 SSN = r"(?<![\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{N}-])"
 PHONE = r"(?<![\p{N}+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4})(?![\p{N}])"
 IPV4 = r"(?<![\p{N}.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?!\p{N}|\.[0-9])"
-CARD = r"(?<![\p{N}])[0-9](?:[ -]?[0-9]){12,18}(?![\p{N}])"
+# one run of digits, or groups of 4-4-4-4 or 4-6-5; a number that follows belongs to no card
+CARD = r"(?<![\p{N}])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![\p{N}])"
 ENTITY = "|".join((EMAIL, ASSIGNED, PREFIXED, IBAN, PERSON, SSN, PHONE, IPV4, CARD))
 _VALUE = r"^(.*?[:=][ \t]{0,4}[\"']?)(\S+)$"
 #: What a line must have to hold an entity: a sign that most kinds need, or a title or beginning of the others.
