@@ -24,13 +24,13 @@ def test_chains(spark):
     hashes = [json.loads(x)["auditIntegrity"]["eventHash"] for x in good]
     assert verify(spark, [*good[:3], " ", *good[3:]]) == (True, 6, None)
     edit = lambda i, f: [f(x) if k == i else x for k, x in enumerate(good)]
-    assert verify(spark, edit(2, lambda x: x.replace('"i": 2', '"i": 9'))) == (False, 2, "event hash mismatch")
-    assert verify(spark, good[:2] + good[3:]) == (False, 2, "sequence mismatch")
-    assert verify(spark, edit(3, lambda x: json.dumps({"i": 3}))) == (False, 3, "missing auditIntegrity")
+    assert verify(spark, edit(2, lambda x: x.replace('"i": 2', '"i": 9'))) == (False, 2, "wrong hash")
+    assert verify(spark, good[:2] + good[3:]) == (False, 2, "wrong sequence")
+    assert verify(spark, edit(3, lambda x: json.dumps({"i": 3}))) == (False, 3, "no integrity block")
     other = [json.dumps(r) for r in E.chained({"i": i + 5} for i in range(6))]
-    assert verify(spark, good[:2] + other[2:]) == (False, 2, "previous hash mismatch")
-    assert verify(spark, good, [(2, hashes[1]), (4, "x")]) == (False, 3, "anchor hash mismatch at sequence 4")
-    assert verify(spark, good[:4], [(6, hashes[5])])[2].startswith("tail truncation")
+    assert verify(spark, good[:2] + other[2:]) == (False, 2, "wrong previous hash")
+    assert verify(spark, good, [(2, hashes[1]), (4, "x")]) == (False, 3, "not the anchored hash at 4")
+    assert verify(spark, good[:4], [(6, hashes[5])])[2].startswith("cut short")
     assert verify(spark, good, [(4, "x"), (4, hashes[3])]) == (True, 6, None)
 
 

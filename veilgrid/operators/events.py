@@ -183,11 +183,11 @@ def verify_chains(lines: DataFrame, anchors: DataFrame | None = None, chain: str
     else:
         rows = rows.withColumn("anchor", F.lit(None).cast("string"))
     fault = (
-        F.when(F.col("own").isNull() & F.col("sequence").isNull(), "missing auditIntegrity")
-        .when(~F.col("sequence").eqNullSafe(F.col("expected")), "sequence mismatch")
-        .when(~F.col("previous").eqNullSafe(F.col("before")), "previous hash mismatch")
-        .when(~F.col("own").eqNullSafe(F.col("right")), "event hash mismatch")
-        .when(F.col("anchor") != F.col("own"), F.concat(F.lit("anchor hash mismatch at sequence "), F.col("expected").cast("string")))
+        F.when(F.col("own").isNull() & F.col("sequence").isNull(), "no integrity block")
+        .when(~F.col("sequence").eqNullSafe(F.col("expected")), "wrong sequence")
+        .when(~F.col("previous").eqNullSafe(F.col("before")), "wrong previous hash")
+        .when(~F.col("own").eqNullSafe(F.col("right")), "wrong hash")
+        .when(F.col("anchor") != F.col("own"), F.concat(F.lit("not the anchored hash at "), F.col("expected").cast("string")))
     )
     rows = rows.withColumn("fault", fault)
     bad = F.min(F.when(F.col("fault").isNotNull(), F.struct("expected", "fault")))
@@ -197,11 +197,11 @@ def verify_chains(lines: DataFrame, anchors: DataFrame | None = None, chain: str
     else:
         out = out.withColumn("attested", F.lit(None).cast("long"))
     cut = F.col("bad").isNull() & (F.col("attested") > F.col("n"))
-    short = F.concat(F.lit("tail truncation: chain has "), F.col("n").cast("string"), F.lit(" records but anchor attests sequence "), F.col("attested").cast("string"))
+    short = F.concat(F.lit("cut short: it has "), F.col("n").cast("string"), F.lit(" records and is anchored up to "), F.col("attested").cast("string"))
     valid = F.col("bad").isNull() & ~F.coalesce(cut, F.lit(False))
     return out.select(
         "chain", valid.alias("valid"), F.coalesce(F.col("bad.expected") - 1, "n").alias("records"), F.coalesce("bad.fault", F.when(cut, short)).alias("reason"),
-        F.when(valid, F.col("head")).alias("head_hash"), F.startswith(F.coalesce("bad.fault", F.when(cut, short), F.lit("")), F.lit("tail truncation")).alias("truncated"))
+        F.when(valid, F.col("head")).alias("head_hash"), F.startswith(F.coalesce("bad.fault", F.when(cut, short), F.lit("")), F.lit("cut short")).alias("truncated"))
 
 
 def anchors_of(chains: DataFrame, every: int) -> DataFrame:

@@ -279,7 +279,7 @@ def chain_verify(spark, sf_dir):
 
 
 @query("""WITH s AS (SELECT user_id % 16 AS c, event_id, row_number() OVER (PARTITION BY user_id % 16 ORDER BY event_id) AS n FROM events)
-SELECT CAST(c AS VARCHAR) AS chain, CASE WHEN c % 3 = 0 THEN 4 ELSE count(*) END AS records, c % 3 <> 0 AS valid, CASE WHEN c % 3 = 0 THEN 'event hash mismatch' END AS reason FROM s GROUP BY c""")
+SELECT CAST(c AS VARCHAR) AS chain, CASE WHEN c % 3 = 0 THEN 4 ELSE count(*) END AS records, c % 3 <> 0 AS valid, CASE WHEN c % 3 = 0 THEN 'wrong hash' END AS reason FROM s GROUP BY c""")
 def chain_tampering(spark, sf_dir):
     built = E.build_chains(_records(spark, sf_dir), "chain", "position", "record")
     bad = (F.col("chain").cast("int") % 3 == 0) & (F.col("sequence") == 5)
