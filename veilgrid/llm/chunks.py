@@ -11,6 +11,8 @@ import re
 import struct
 from itertools import chain
 
+from veilgrid.llm.common import remembering
+
 #: Distinct pieces that a worker remembers, about 200 bytes each. Beyond it the memory starts anew.
 CACHE_PIECES = 600_000
 #: A space or line feed, letters that have one form and one lower case, then nothing or what begins with an ASCII mark.
@@ -132,6 +134,7 @@ class PieceEncoder:
 
 def encoder(path: str, limit: int = CACHE_PIECES) -> PieceEncoder:
     """One encoder per worker process and file."""
+    remembering(f"pieces {path}", _ENCODERS.clear)
     if (path, limit) not in _ENCODERS:
         _ENCODERS[path, limit] = PieceEncoder(path, limit)
     return _ENCODERS[path, limit]

@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +48,20 @@ def erase_table(df: DataFrame) -> None:
         erase(df.sparkSession, d)
 
 
+#: What worker processes remember from row to row, by operator: something to empty it with. Workers are used again for
+#: other operators, and together these would fill an executor's memory.
+_REMEMBERED: dict[str, Callable[[], None]] = {}
+
+
+def remembering(name: str, empty: Callable[[], None]) -> None:
+    """Called by a task that begins: what other operators' tasks have remembered in this worker goes."""
+    for other in [n for n in _REMEMBERED if n != name]:
+        _REMEMBERED.pop(other)()
+    if name not in _REMEMBERED:
+        pa.default_memory_pool().release_unused()
+    _REMEMBERED[name] = empty
+
+
 def id_crc(id_col: str | Column) -> Column:
     """crc32 of the id's decimal text, the fold of a row."""
     return F.crc32(F.col(id_col).cast("string") if isinstance(id_col, str) else id_col.cast("string"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilgrid.llm.common import written
+from veilgrid.llm.common import remembering, written
 from veilgrid.llm.components import components
 from veilgrid.llm.shingles import sets
 
@@ -60,6 +60,7 @@ def _key(s: np.ndarray) -> bytes:
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, n, key and node (the key's first half as a number) of each set."""
+    remembering("jaccard", lambda: None)
     for batch in batches:
         found = [(len(s), _key(s)) for s in sets(batch.column(1))]
         nodes = np.frombuffer(b"".join(k[:8] for _, k in found), "<i8")
@@ -68,6 +69,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _different(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
     """(node, set) of the different sets of a task that have shingles. Copies in other tasks come once for each."""
+    remembering("jaccard", lambda: None)
     known: set[bytes] = set()
     for batch in batches:
         for s in sets(batch.column(0)):

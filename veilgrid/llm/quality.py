@@ -25,14 +25,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from veilgrid.llm.common import labelled_sample
+from veilgrid.llm.common import labelled_sample, remembering
 
 #: Slots of words and of shapes, dimensions, nonzeros of an index vector, words on either side that count as neighbours.
 SLOTS, SHAPES, DIM, NONZERO, NEAR = 1 << 14, 1 << 10, 48, 6, 2
 #: Bound of the labelled sample; hidden units; a share of 1 / HELD_BACK of the sample sets the temperature.
 MAX_DOCS, HIDDEN, HELD_BACK = 6000, 24, 5
 #: Distinct words that a worker remembers.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 _RUNS = re.compile(r"(.)\1+")
 
 
@@ -115,6 +115,10 @@ class Model:
     def features(self, text: str | None) -> np.ndarray:
         return pooled(*_SLOTS.of(text or ""), self.vectors, self.shape_vectors)
 
+    @staticmethod
+    def forget() -> None:
+        _SLOTS.known.clear()
+
     def logits(self, x: np.ndarray) -> np.ndarray:
         if self.layers is None:
             return np.zeros(len(x))
@@ -185,6 +189,7 @@ def with_score(docs: DataFrame, model, column: str = "score", text: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
+        remembering(type(m).__module__, m.forget)
         for batch in batches:
             if batch.num_rows:
                 x = np.stack([m.features(t) for t in batch.column(at).to_pylist()])

@@ -12,7 +12,7 @@ import pyarrow as pa
 
 SIZE = 5
 #: Bytes of text that are hashed at once, at least one text; bounds the memory of a worker.
-BLOCK = 2 << 20
+BLOCK = 512 << 10
 _U = np.uint64
 _RNG = np.random.default_rng(20240501)
 _BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)

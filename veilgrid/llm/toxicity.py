@@ -30,7 +30,7 @@ MAX_DOCS, MAX_TERMS, LEAST_ROWS, SHORTEST, LONGEST = 8000, 48, 3, 4, 12
 #: Words on either side of a hit that its window has.
 WINDOW = 6
 #: Distinct words, and steps of the automaton, that a worker remembers.
-CACHE_WORDS, CACHE_STEPS = 500_000, 300_000
+CACHE_WORDS, CACHE_STEPS = 250_000, 200_000
 QUOTES = frozenset("\"'“”„«»‘’‚‹›「」")
 REPORTING = frozenset("said says quote quoted quotes wrote called writes sagte sagt schrieb zitat zitiert dit écrit cite cité dijo dice escribió cita".split())
 ADDRESS = frozenset("you your you're yourself du dich dir dein deine ihr euch tu toi ton vous votre tú te usted ustedes vosotros".split())
@@ -187,6 +187,10 @@ class Model:
     def __getstate__(self):
         return {**self.__dict__, "automaton": None, "known": {}}
 
+    def forget(self) -> None:
+        self.known.clear()
+        self.automaton = None
+
     def hits(self, text: str) -> tuple[list[tuple[int, int, int, bool, bool]], int]:
         """(place, edits, term, quoted, addressed) of each hit, and the number of words."""
         if self.automaton is None:
