@@ -40,6 +40,16 @@ def precise(found: Column, min_confidence: float | None = None, allow: Iterable[
     )
 
 
+def fates(found: DataFrame, allowed: DataFrame, min_confidence: float | None = None) -> DataFrame:
+    """Rows of spans with fate added: kept, suppressed or dropped, as ``precise`` has them, for an allow list that is a
+    table of values of any size."""
+    hard = F.col("type").isin(sorted(HARD_TYPES))
+    values = allowed.select(F.col("value").alias("_allowed")).distinct()
+    unsure = F.col("confidence") < min_confidence if min_confidence is not None else F.lit(False)
+    fate = F.when(hard, "kept").when(F.col("_allowed").isNotNull(), "suppressed").when(unsure, "dropped").otherwise("kept")
+    return found.join(values, F.col("value") == F.col("_allowed"), "left").withColumn("fate", fate).drop("_allowed")
+
+
 def with_actions(found: Column, policy: Policy) -> Column:
     """Spans with action, reason and mode."""
     return F.transform(found, lambda s: s.withField("action", policy.action(s["type"])).withField("reason", F.concat(F.lit("matched:"), s["rule_id"])).withField("mode", F.lit(policy.mode)))
