@@ -1,7 +1,7 @@
 """PII: detected entities get keyed surrogates of the same kind, gender, script and format. Spark's own functions alone.
 
-What is found: e-mail addresses, phone numbers, IPv4 addresses, payment cards with a right check digit, US social security
-numbers, IBANs with right check digits, secrets (assigned to a telling name, or with a well-known beginning) and persons
+What is found: e-mail addresses, phone numbers, IPv4 addresses, payment cards with a right check digit (one run of digits,
+or groups of 4-4-4-4, 4-4-4-4-1 to 4-4-4-4-3, 4-6-4, 4-6-5, 4-5-6, 4-4-5 and 6-13), US social security numbers, IBANs with right check digits, secrets (assigned to a telling name, or with a well-known beginning) and persons
 after a title. A surrogate is a keyed permutation of the entity's canonical form: a Feistel network over its characters
 that keeps each in its class (digit, vowel, consonant, letters of a script), or over numbers where a kind has a range.
 So the same entity gets the same surrogate in every document and notation (coreference), and different entities of a kind
@@ -38,8 +38,9 @@ PERSON = rf"(?<!{_WORD})(?:{TITLES})\.?\x20\p{{Lu}}[\p{{L}}'-]+(?:\x20\p{{Lu}}[\
 SSN = r"(?<![\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{N}-])"
 PHONE = r"(?<![\p{N}+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4})(?![\p{N}])"
 IPV4 = r"(?<![\p{N}.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?!\p{N}|\.[0-9])"
-# one run of digits, or groups of 4-4-4-4 or 4-6-5; a number that follows belongs to no card
-CARD = r"(?<![\p{N}])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![\p{N}])"
+# one run of digits, or groups; after 4-4-4-4 up to three more that begin no other entity, which the check digit decides on
+_CARD_16 = r"[0-9]{4}(?:[ -][0-9]{4}){3}"
+CARD = rf"(?<![\p{{N}}])(?:[0-9]{{13,19}}|{_CARD_16}[ -](?!{EMAIL}|{SSN}|{PHONE}|{IPV4})[0-9]{{1,3}}|{_CARD_16}|[0-9]{{4}}[ -](?:[0-9]{{6}}[ -][0-9]{{4,5}}|[0-9]{{5}}[ -][0-9]{{6}}|[0-9]{{4}}[ -][0-9]{{5}})|[0-9]{{6}}[ -][0-9]{{13}})(?![\p{{N}}])"
 ENTITY = "|".join((EMAIL, ASSIGNED, PREFIXED, IBAN, PERSON, SSN, PHONE, IPV4, CARD))
 _VALUE = r"^(.*?[:=][ \t]{0,4}[\"']?)(\S+)$"
 #: What a line must have to hold an entity: a sign that most kinds need, or a title or beginning of the others.
@@ -134,6 +135,15 @@ def _luhn_digit(body: Column) -> Column:
     return F.pmod(10 - F.pmod(total, F.lit(10)), F.lit(10)).cast("string")
 
 
+def _luhn_ok(m: Column) -> Column:
+    return F.coalesce(F.call_function("luhn_check", _digits(m)), F.lit(False))
+
+
+def entity(m: Column) -> Column:
+    """What of a match of ENTITY is the entity: all, or the first 16 digits if with what follows they are no card."""
+    return F.when(m.rlike(f"^{_CARD_16}[ -]") & ~_luhn_ok(m), F.substring(m, 1, 19)).otherwise(m)
+
+
 def _mod97(text: Column) -> Column:
     """The remainder of an IBAN's letters and digits, letters counting from 10."""
     return F.aggregate(F.split(text, ""), F.lit(0), lambda s, c: F.when(c.rlike("^[0-9]$"), (s * 10 + c.cast("int")) % 97).otherwise((s * 100 + F.ascii(c) - 55) % 97))
@@ -151,7 +161,7 @@ def kind(m: Column) -> Column:
         .when(m.rlike(f"^{SSN}$"), F.when(~m.rlike("^(?:000|666|9)|-00-|-0000$"), "ssn"))
         .when(m.rlike(r"^[+(]|^[0-9]{3}-[0-9]{3}-[0-9]{4}$"), "phone")
         .when(m.contains("."), "ipv4")
-        .when(F.coalesce(F.call_function("luhn_check", _digits(m)), F.lit(False)), "card")
+        .when(_luhn_ok(m), "card")
     )
 
 
@@ -266,7 +276,7 @@ def _matches(docs: DataFrame, text: str) -> DataFrame:
 def collisions(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """kind, surrogate, entities: surrogates that more than one entity of ``docs`` would get. Entities are made distinct
     in each task before they move, so one that is in a third of all rows is a row a task."""
-    found = _matches(docs.select(text), text).select(F.explode(F.flatten(F.transform(F.filter("_veilgrid_lines", lambda x: F.size(x["m"]) > 0), lambda x: x["m"]))).alias("m")).select(kind(F.col("m")).alias("kind"), "m").where(F.col("kind").isNotNull())
+    found = _matches(docs.select(text), text).select(F.explode(F.flatten(F.transform(F.filter("_veilgrid_lines", lambda x: F.size(x["m"]) > 0), lambda x: x["m"]))).alias("m")).select(entity(F.col("m")).alias("m")).select(kind(F.col("m")).alias("kind"), "m").where(F.col("kind").isNotNull())
     distinct = found.groupBy("kind", canonical(F.col("kind"), F.col("m")).alias("entity")).agg(F.min("m").alias("m"))
     # the notation does not matter for what an entity becomes, so one of each will do
     new = distinct.select("kind", "entity", canonical(F.col("kind"), surrogate(F.col("kind"), F.col("m"), key)).alias("surrogate"))
@@ -285,17 +295,19 @@ def salted(docs: DataFrame, key: str, text: str = "text") -> str:
 def replace(docs: DataFrame, key: str = KEY, text: str = "text", check: bool = True) -> DataFrame:
     """``docs`` with surrogates in ``text``, and entities (kind, surrogate) and n_entities added."""
     key = salted(docs, key, text) if check else f"{key}\x1d0"
-    one = lambda m: let(F.struct(m.alias("m"), kind(m).alias("k")), lambda x: F.struct(x["k"].alias("kind"), F.when(x["k"].isNull(), x["m"]).otherwise(surrogate(x["k"], x["m"], key)).alias("surrogate")))
+    rest = lambda m, e: F.substring(m, F.char_length(e) + 1, F.char_length(m))
+    one = lambda m: let(entity(m), lambda e: let(F.struct(e.alias("m"), kind(e).alias("k"), rest(m, e).alias("rest")), lambda x: F.struct(
+        x["k"].alias("kind"), F.when(x["k"].isNull(), x["m"]).otherwise(surrogate(x["k"], x["m"], key)).alias("surrogate"), x["rest"].alias("rest"))))
     rows = _matches(docs.drop("entities", "n_entities"), text)
     rows = rows.withColumn("_veilgrid_found", F.transform("_veilgrid_lines", lambda x: F.when(F.size(x["m"]) > 0, F.transform(x["m"], one))))
 
     def joined(x: Column, e: Column) -> Column:
         parts = F.split(x["line"], ENTITY, -1)
-        new = F.flatten(F.zip_with(parts, F.transform(e, lambda y: y["surrogate"]), lambda p, s: F.array(p, F.coalesce(s, F.lit("")))))
+        new = F.flatten(F.zip_with(parts, F.transform(e, lambda y: F.concat(y["surrogate"], y["rest"])), lambda p, s: F.array(p, F.coalesce(s, F.lit("")))))
         return F.when(e.isNull(), x["line"]).otherwise(F.array_join(new, ""))
 
     found = F.flatten(F.filter("_veilgrid_found", lambda e: e.isNotNull()))
-    kept = F.coalesce(F.filter(found, lambda e: e["kind"].isNotNull()), F.array().cast("array<struct<kind:string,surrogate:string>>"))
+    kept = F.coalesce(F.transform(F.filter(found, lambda e: e["kind"].isNotNull()), lambda e: e.dropFields("rest")), F.array().cast("array<struct<kind:string,surrogate:string>>"))
     any_ = F.exists("_veilgrid_lines", lambda x: F.size(x["m"]) > 0)
     new = F.when(any_, F.array_join(F.zip_with("_veilgrid_lines", "_veilgrid_found", joined), "\n")).otherwise(F.col(text)).alias(text)
     # one projection for all: each step is analysed anew together with the long expressions below it
