@@ -2,7 +2,7 @@
 
 import re
 
-from veilgrid.llm import surrogates
+from veilgrid.llm import surrogates, toxicity
 from veilgrid.plans import catalog
 
 
@@ -38,3 +38,11 @@ def test_cards_in_groups_of_other_lengths(spark):
     assert plain.text == first + " 123" and first != after[0][:19] and [tuple(e) for e in plain.entities] == [("card", first)]
     assert all(r.text.startswith(first + " ") and [e.kind for e in r.entities] == ["card", k] and r.text[20:] != t[20:] for r, t, k in zip((ssn, ipv4, email), after[1:], ("ssn", "ipv4", "email")))
     assert none.text == rows[-1] and none.n_entities == 0
+
+
+def test_a_lexicon_has_all_terms_that_rows_give_reason_for():
+    terms = [a + b + c + "ung" for a in "bdfgk" for b in "aeiou" for c in "lmnr"]
+    rows = [(i, f"some words {t} here", 1) for i, t in enumerate(terms * 3)] + [(1000 + i, "some words here", 0) for i in range(300)]
+    model = toxicity.fit(rows)
+    assert len(model.terms) > 48
+    assert all(model.hits(text)[0] for _, text, label in rows if label)

@@ -7,8 +7,9 @@ with the fewest edits. So misspelled terms are caught in one pass over a word. A
 looked at: marks of quotation on both sides, or a verb of reporting, make it a quotation; a second person makes it
 address. A document's counts of hits by term, exact, misspelled, quoted and addressed, go into a logistic regression.
 
-The model is fitted on at most ``max_docs`` labelled rows, chosen by a hash of the id, all with their whole texts; that
-bound is the only limit. Scores use the text alone.
+The model is fitted on at most ``max_docs`` labelled rows, chosen by a hash of the id, all with their whole texts; the
+lexicon has as many terms as rows give reason for. Terms are words of letters alone, SHORTEST at least, that LEAST_ROWS
+toxic rows have; a text whose only terms are others has no hit. Scores use the text alone.
 
 Cases: null and empty texts get the score of a document without hits; without labelled rows of both labels every score is
 0.5; equal texts get equal scores; repeated rows are scored each; empty tables give no rows."""
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass, field
+from heapq import heapify, heappop, heapreplace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 from veilgrid.llm.common import labelled_sample
 from veilgrid.llm.quality import with_score
 
-#: Bound of the labelled sample, most terms of a lexicon, fewest toxic rows for a term, lengths of beginnings.
-MAX_DOCS, MAX_TERMS, LEAST_ROWS, SHORTEST, LONGEST = 8000, 48, 3, 4, 12
+#: Bound of the labelled sample, fewest toxic rows for a term, lengths of beginnings.
+MAX_DOCS, LEAST_ROWS, SHORTEST, LONGEST = 8000, 3, 4, 12
 #: Words on either side of a hit that its window has.
 WINDOW = 6
 #: Distinct words, and steps of the automaton, that a worker remembers.
@@ -137,7 +139,7 @@ def bare(word: str) -> str:
     return word[a:b].lower()
 
 
-def learn_lexicon(rows: list[tuple[int, str, int]], max_terms: int = MAX_TERMS) -> list[str]:
+def learn_lexicon(rows: list[tuple[int, str, int]]) -> list[str]:
     """Terms chosen one by one, each for the most toxic rows that no chosen one covers, less the share of other rows."""
     holders: dict[str, list[int]] = {}
     others: Counter[str] = Counter()
@@ -159,18 +161,23 @@ def learn_lexicon(rows: list[tuple[int, str, int]], max_terms: int = MAX_TERMS)
     covered: set[int] = set()
     chosen: list[str] = []
     gain = lambda t: len([i for i in holders[t] if i not in covered]) - 2 * share * others[t]
-    while len(chosen) < max_terms:
-        scored = [(gain(t), t) for t in order if t not in chosen]
-        best, term = max(scored, key=lambda x: x[0], default=(0, ""))
-        if best < LEAST_ROWS - 1:
-            # then terms that other rows hardly have, whole words first, none that begins a chosen one or with one
-            for t in sorted(holders, key=lambda t: (t.endswith("*"), -len(holders[t]), t)):
-                clash = any(t.rstrip("*").startswith(c.rstrip("*")) or c.startswith(t.rstrip("*")) for c in chosen)
-                if len(chosen) < max_terms and not clash and len(holders[t]) >= 3 * LEAST_ROWS and others[t] <= len(holders[t]) * share / 4:
-                    chosen.append(t)
-            break
+    # gains only fall as rows are covered, so the best of the old ones is the best if it is still what it was
+    queue = [(-gain(t), k, t) for k, t in enumerate(order)]
+    heapify(queue)
+    while queue and -queue[0][0] >= LEAST_ROWS - 1:
+        was, k, term = queue[0]
+        now = -gain(term)
+        if now != was:
+            heapreplace(queue, (now, k, term))
+            continue
+        heappop(queue)
         chosen.append(term)
         covered.update(holders[term])
+    # then terms that other rows hardly have, whole words first, none that begins a chosen one or with one
+    for t in sorted(holders, key=lambda t: (t.endswith("*"), -len(holders[t]), t)):
+        if len(holders[t]) >= 3 * LEAST_ROWS and others[t] <= len(holders[t]) * share / 4:
+            if not any(t.rstrip("*").startswith(c.rstrip("*")) or c.startswith(t.rstrip("*")) for c in chosen):
+                chosen.append(t)
     return chosen
 
 
