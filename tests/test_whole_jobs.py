@@ -2,7 +2,7 @@
 
 import re
 
-from veilgrid.llm import surrogates, toxicity
+from veilgrid.llm import quality, surrogates, toxicity
 from veilgrid.plans import catalog
 
 
@@ -46,3 +46,7 @@ def test_a_lexicon_has_all_terms_that_rows_give_reason_for():
     model = toxicity.fit(rows)
     assert len(model.terms) > 48
     assert all(model.hits(text)[0] for _, text, label in rows if label)
+
+
+def test_the_shape_of_a_word_is_that_of_the_whole_word():
+    assert quality._shape("文" * 100 + "7!A") == "a9!A"

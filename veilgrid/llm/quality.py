@@ -38,7 +38,7 @@ _RUNS = re.compile(r"(.)\1+")
 
 def _shape(word: str) -> str:
     """Upper case letters as A, lower case as a, digits as 9, other characters as they are; runs count once."""
-    return _RUNS.sub(r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in word[:64]))
+    return _RUNS.sub(r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in word))
 
 
 class Slots:
