@@ -1,7 +1,8 @@
 """Encoding with the tokenizers library, with each distinct piece of a text encoded once per worker.
 
 A text may be cut before a space or line feed that follows a character that is no white space: both tokenizers used here
-split there whatever stands around, so the ids of the pieces, joined, are the ids of the text."""
+split there whatever stands around, so the ids of the pieces, joined, are the ids of the text. A text that holds the string
+of a special token is given to the library whole, so that it is encoded as the library by default does."""
 
 from __future__ import annotations
 
@@ -9,7 +10,6 @@ import json
 import os
 import re
 import struct
-from itertools import chain
 
 from veilgrid.llm.common import remembering
 
@@ -29,6 +29,18 @@ def _byte_letter(b: int) -> str:
     return chr(b) if b > 0xA0 else chr(0x121 + b - 0x7F)
 
 
+class _Known(dict):
+    """Ids by key; those of a key that is not known yet come from ``find``."""
+
+    def __init__(self, find):
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, key: str) -> bytes | None:
+        self[key] = found = self.find(key)
+        return found
+
+
 class PieceEncoder:
     """``encode(texts)`` gives for each text its ids as little-endian unsigned 32-bit integers. Null counts as empty."""
 
@@ -37,13 +49,14 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        steps = json.loads(self.tokenizer.to_str())
+        self.special = [t["content"] for t in steps["added_tokens"]]
+        self.sign = os.path.commonprefix(self.special)  # one search tells most texts apart
         self.limit = limit
-        self.known: dict[str, bytes] = {}
+        self.known = _Known(self._find)
         self.tails: dict[str, bytes] = {"": b""}
         # most pieces are a word of plain letters: its tokens come from the library's model at once, past the steps
         # before it, where those are known to leave such a word alone but for its case and the space before it
-        steps = json.loads(self.tokenizer.to_str())
         before = steps["pre_tokenizer"] or {}
         self.lower = "Lowercase" in json.dumps(steps["normalizer"])
         if before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not steps["normalizer"]:
@@ -99,30 +112,33 @@ class PieceEncoder:
             return None
         return ("\n" if key[:1] == "\0" else " ") + body
 
+    def _find(self, key: str) -> bytes | None:
+        """The ids of a key's piece; None if no cut is allowed after it."""
+        piece = self._piece(key)
+        if piece is None:
+            return None
+        ids = self._word(piece)
+        return self._raw([piece])[0] if ids is None else ids
+
+    def _has_special(self, text: str) -> bool:
+        return self.sign in text and any(x in text for x in self.special)
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.known) > self.limit:
             self.known.clear()
-        keyed = [self._keys(t) if t else [] for t in texts]
-        new = set(chain.from_iterable(filter(None, keyed))).difference(self.known)
-        if new:
-            rest = []
-            for k in new:
-                piece = self._piece(k)
-                ids = None if piece is None else self._word(piece)
-                self.known[k] = ids  # None: no cut is allowed after it
-                if ids is None and piece is not None:
-                    rest.append((k, piece))
-            for (k, _), ids in zip(rest, self._raw([p for _, p in rest])):
-                self.known[k] = ids
         out, get = [], self.known.__getitem__
-        for text, keys in zip(texts, keyed):
-            if keys is None:
-                out.append(self._careful(text))
-                continue
-            try:
-                out.append(b"".join(map(get, keys)))
-            except TypeError:  # some piece ends in white space
+        for text in texts:
+            if not text:
+                out.append(b"")
+            elif self._has_special(text):
+                out += self._raw([text])
+            elif (keys := self._keys(text)) is None:
                 out.append(self._careful(text))
+            else:
+                try:
+                    out.append(b"".join(map(get, keys)))
+                except TypeError:  # some piece ends in white space
+                    out.append(self._careful(text))
         return out
 
     def _careful(self, text: str) -> bytes:
