@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from veilgrid.llm import bpe_tree, packing, token_files
@@ -25,8 +26,7 @@ def some_texts(n, longest, seed=3):
 def test_pieces_give_the_ids_of_the_whole(name):
     e = PieceEncoder(P.path(name), limit=200)
     t = Tokenizer.from_file(P.path(name))
-    t.encode_special_tokens = True
-    for x in [*some_texts(1500, 40), "<|endoftext|> a", "x \0 \1", "  two  spaces ", "don't we'll"]:
+    for x in [*some_texts(1500, 40), "<|endoftext|> a", "hello <|endoftext|> world", "a\n<|startoftext|>b <|endoftext", "x \0 \1", "  two  spaces ", "don't we'll"]:
         assert e.encode([x])[0] == np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes(), repr(x)
     assert e.encode([None, ""]) == [b"", b""]
 
@@ -55,7 +55,6 @@ def test_op4(spark, data, texts, odd):
 
 def test_op6(spark, data, texts):
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     start = 0
     got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in op6_token_files(spark, data).collect()}
     for r in sorted(texts.collect(), key=lambda r: r.doc_id):
@@ -91,7 +90,6 @@ def test_token_files_are_written_as_asked(spark, texts, odd):
 def packed_well(rows, docs):
     """Each document's ids lie once in its pieces, sequences have no gaps; gives the sequences' fills."""
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     pieces, fill = defaultdict(list), defaultdict(list)
     for r in rows:
         pieces[r.doc_id].append(r)
@@ -119,7 +117,7 @@ def test_op8(spark, data, texts, odd):
     fills = packed_well(op8_packing(spark, data).collect(), [(r.doc_id, r.text) for r in texts.collect()])
     assert all(f & (f - 1) == 0 for f in fills)  # nothing is padded
     few = odd.where("doc_id not in (5) or doc_id is null")
-    packed_well(packing.pack(few, P.path("byte_bpe_50k.json"), max_open=2).collect(), [(r.doc_id, r.text) for r in few.collect()])
+    packed_well(packing.pack(few, P.path("byte_bpe_50k.json"), held_bytes=5000).collect(), [(r.doc_id, r.text) for r in few.collect()])
     assert packing.pack(odd, P.path("byte_bpe_50k.json")).where("doc_id = 5").count() >= 2
     assert packing.pack(odd.limit(0), P.path("byte_bpe_50k.json")).count() == 0
 
@@ -139,4 +137,33 @@ def test_the_chosen_level_is_the_best():
                     after[h + size] += 1
                 costs[h] = int((after[1:] ** 2).sum())
         assert costs[p.choose(size)] == min(costs.values())
-        p.add(0, b"\0\0\0\0" * size)
+        p.add_document(0, b"\0\0\0\0" * size)
+
+
+@pytest.mark.parametrize("held,moves", [(64 << 20, False), (1 << 20, True)])
+def test_windows_that_never_fill(held, moves):
+    """9,000 open windows of one level: no two pieces of 600 tokens fit together."""
+    left = []
+    p = packing.SumOfSquares(0, held_bytes=held, moved=left.extend)
+    for k in range(9000):
+        p.add_document(k, k.to_bytes(4, "little") * 600)
+        assert p.held <= held
+    assert bool(left) == moves and len(left) + p.level[600] == 9000 and not p.rows
+    p.close()
+    q = packing.SumOfSquares(0)
+    for piece in left:
+        q.add(piece)
+    q.close()
+    tokens, fill = Counter(), Counter()
+    for doc, start, n, _, total, sequence, offset in q.rows:
+        assert total == 600 and offset == fill[sequence] and start == tokens[doc]
+        tokens[doc] += n
+        fill[sequence] += n
+    assert tokens == dict.fromkeys(range(9000), 600) and all(f & (f - 1) == 0 for f in fill.values()) and sum(f < 1024 for f in fill.values()) <= 10
+
+
+def test_the_second_round_goes_on_with_the_first(spark, texts):
+    """However finely the table is cut, few sequences hold a piece that was cut to fill them."""
+    rows = packing.pack(texts.repartition(16), P.path("byte_bpe_50k.json"))
+    packed_well(rows.collect(), [(r.doc_id, r.text) for r in texts.collect()])
+    assert rows.where(F.col("sequence_id") >= packing.SECOND).count() > 0
