@@ -11,7 +11,7 @@ import os
 import re
 import struct
 
-from veilgrid.llm.common import remembering
+from veilgrid.llm.common import Known, remembering
 
 #: Distinct pieces that a worker remembers, about 200 bytes each. Beyond it the memory starts anew.
 CACHE_PIECES = 600_000
@@ -29,18 +29,6 @@ def _byte_letter(b: int) -> str:
     return chr(b) if b > 0xA0 else chr(0x121 + b - 0x7F)
 
 
-class _Known(dict):
-    """Ids by key; those of a key that is not known yet come from ``find``."""
-
-    def __init__(self, find):
-        super().__init__()
-        self.find = find
-
-    def __missing__(self, key: str) -> bytes | None:
-        self[key] = found = self.find(key)
-        return found
-
-
 class PieceEncoder:
     """``encode(texts)`` gives for each text its ids as little-endian unsigned 32-bit integers. Null counts as empty."""
 
@@ -53,7 +41,7 @@ class PieceEncoder:
         self.special = [t["content"] for t in steps["added_tokens"]]
         self.sign = os.path.commonprefix(self.special)  # one search tells most texts apart
         self.limit = limit
-        self.known = _Known(self._find)
+        self.known = Known(self._find)
         self.tails: dict[str, bytes] = {"": b""}
         # most pieces are a word of plain letters: its tokens come from the library's model at once, past the steps
         # before it, where those are known to leave such a word alone but for its case and the space before it

@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session. Only where it is unset (tests on one
-    machine) a temporary folder is made and set."""
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session. Only a local session, whose executors are
+    threads of the driver, gets a temporary folder where it is unset; on a cluster that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="veilgrid-")
         spark.conf.set("spark.checkpoint.dir", path)
         spark.sparkContext.setCheckpointDir(path)
@@ -62,6 +64,18 @@ def remembering(name: str, empty: Callable[[], None]) -> None:
     _REMEMBERED[name] = empty
 
 
+class Known(dict):
+    """What is known by key; what a key has that is not known yet comes from ``find``."""
+
+    def __init__(self, find: Callable):
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, key):
+        self[key] = found = self.find(key)
+        return found
+
+
 def id_crc(id_col: str | Column) -> Column:
     """crc32 of the id's decimal text, the fold of a row."""
     return F.crc32(F.col(id_col).cast("string") if isinstance(id_col, str) else id_col.cast("string"))
