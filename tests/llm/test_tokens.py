@@ -31,25 +31,51 @@ def test_pieces_give_the_ids_of_the_whole(name):
     assert e.encode([None, ""]) == [b"", b""]
 
 
-def test_tree_gives_the_ids_of_the_library():
-    c = bpe_tree.TreeCodec(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN, leaf=5, window=2)
-    for x in [*some_texts(1500, 90, 4), "a" * 500, "", "x" + " " * 50 + "y", "\n" * 40]:
+@pytest.fixture(scope="module")
+def library():
+    import base64
+
+    import tiktoken
+
+    with open(P.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("ranks", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
+def test_tree_gives_the_ids_of_the_library(library):
+    c = bpe_tree.TreeCodec(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN, leaf=5, window=2, bytes_=3)
+    for x in [*some_texts(1500, 90, 4), "a" * 500, "", "x" + " " * 50 + "y", "\n" * 40, "a\x1cb \x1f \x85c\u2028 d\u00a0e"]:
         ids = c.encode(x)
-        assert ids.tolist() == c.coder.encode_ordinary(x) and c.decode(ids) == x.encode()
+        assert ids.tolist() == library(x) and c.decode(ids) == x.encode()
+
+
+def test_pieces_break_where_the_library_breaks_them(library):
+    """Every character of the basic plane, between a letter and a digit."""
+    c = bpe_tree.TreeCodec(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    for k in range(0, 0x10000, 16):
+        x = "".join(f"b{chr(i)}{chr(i)}7 {chr(i)}" for i in range(k, k + 16) if not 0xD800 <= i < 0xE000)
+        assert c.encode(x).tolist() == library(x), hex(k)
+
 
+def test_joined_halves_are_what_merging_the_whole_gives():
+    c, r = bpe_tree.TreeCodec(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN), random.Random(6)
+    tokens = list(c.ranks)
+    for n in range(6000):
+        made = [bytes(r.choice(b"abcdeinrst") for _ in range(r.randrange(60))), bytes(r.choice(b"aab") for _ in range(r.randrange(80))), b"".join(r.choices(tokens, k=r.randrange(8))), r.randbytes(r.randrange(40))]
+        data, c.bytes = made[n % 4], r.choice([1, 2, 4, 8])
+        assert c.tokens(data) == c.merged(data)
 
-def test_op4(spark, data, texts, odd):
-    import tiktoken  # noqa: F401
 
-    coder = bpe_tree.codec(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).coder
+def test_op4(spark, data, texts, odd, library):
     want = {r.doc_id: r.text or "" for r in texts.collect()}
     rows = op4_bpe_tree(spark, data).collect()
     assert len(rows) == len(want)
     for r in rows:
-        ids = np.array(coder.encode_ordinary(want[r.doc_id]), "<u4")
+        ids = np.array(library(want[r.doc_id]), "<u4")
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(want[r.doc_id].encode()).hexdigest())
     got = bpe_tree.round_trip(odd, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN, keep_ids=True).collect()
     assert Counter(r.n_tokens for r in got)[0] == 2 and len(got) == 10
+    assert {r.doc_id: r.ids for r in got}[4] == library(next(r.text for r in odd.collect() if r.doc_id == 4))
     assert bpe_tree.round_trip(odd.limit(0), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).count() == 0
 
 
