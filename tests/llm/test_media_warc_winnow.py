@@ -91,11 +91,20 @@ def test_archives(spark):
     assert warc.read_warc(spark, none).count() == 0
 
 
+def plain_hash(gram, k):
+    if len(gram) < k:
+        return xxhash.xxh64_intdigest(gram, seed=42) >> (winnow.PLACE_BITS + 1)
+    h = 0
+    for b in gram:
+        h = (h << 1 & (1 << 64) - 1) ^ xxhash.xxh64_intdigest(bytes([b]), seed=42)
+    return h >> (winnow.PLACE_BITS + 1)
+
+
 def plain_winnow(text, k, w):
     b = text.encode()
     if not b:
         return []
-    h = [xxhash.xxh64_intdigest(b[j : j + k], seed=42) >> (winnow.PLACE_BITS + 1) for j in range(max(1, len(b) - k + 1))]
+    h = [plain_hash(b[j : j + k], k) for j in range(max(1, len(b) - k + 1))]
     chosen = set()
     for j in range(max(1, len(h) - w + 1)):
         window = h[j : j + w]
@@ -103,7 +112,7 @@ def plain_winnow(text, k, w):
     return sorted((j, h[j]) for j in chosen)
 
 
-@pytest.mark.parametrize("k,w", [(3, 5), (2, 7), (16, 16), (1, 1)])
+@pytest.mark.parametrize("k,w", [(3, 5), (2, 7), (16, 16), (1, 1), (7, 4)])
 def test_places_against_plain_winnowing(spark, monkeypatch, k, w):
     monkeypatch.setattr(winnow, "SEGMENT", 10)
     r = random.Random(0)
@@ -114,6 +123,20 @@ def test_places_against_plain_winnowing(spark, monkeypatch, k, w):
     assert all(sorted(got.get(i, [])) == plain_winnow(t or "", k, w) for i, t in enumerate(some))
 
 
+@pytest.mark.parametrize("k,w,letters", [(3, 5, "ab"), (2, 7, "abcé"), (16, 16, "abcdé"), (16, 16, "a"), (1, 1, "ab"), (5, 2, "ab")])
+def test_marks_of_edited_texts(spark, k, w, letters):
+    """What is put together from the marks of two texts is what winnowing the edited text itself gives."""
+    r = random.Random(1)
+    some = ["".join(r.choice(letters) for _ in range(r.choice([0, 1, 5, 20, 60, 200, 500]))) for _ in range(150)]
+    pairs = [(i, a, b) for i, (a, b) in enumerate(zip(some, some[1:]))]
+    cut = lambda a, b: (a[: len(a) - len(a) // 2], b[: len(a) // 2])
+    rows = spark.createDataFrame([(i, a, b, "".join(cut(a, b)), len(cut(a, b)[0].encode())) for i, a, b in pairs], "i int, a string, b string, e string, seam int")
+    f = lambda c: winnow.marks(winnow.fingerprint(F.col(c), k, w))
+    rows = rows.withColumns({"fa": f("a"), "fb": f("b")}).select("i", "e", winnow.edited_marks(F.col("e"), F.col("seam"), F.col("fa"), F.col("fb"), k, w).alias("f"))
+    for x in rows.collect():
+        assert [tuple(m) for m in x.f] == plain_winnow(x.e, k, w), (x.i, x.e)
+
+
 def test_op5(spark, data, texts):
     rows = {r.doc_id: r for r in op5_winnow(spark, data).collect()}
     docs = sorted((r.doc_id, r.text or "") for r in texts.collect())
