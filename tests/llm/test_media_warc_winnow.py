@@ -34,6 +34,128 @@ def test_a_plain_decoder_reads_the_frames():
             assert bits[at - 1] == "0" and value + 128 == want
 
 
+def plain_jpeg(planes, steps, sampling, restart=0):
+    """A baseline file, written term by term with fixed-length codes; and the pictures that its rounded terms stand for."""
+    order = sorted(((i, j) for i in range(8) for j in range(8)), key=lambda p: (p[0] + p[1], p[0] if (p[0] + p[1]) % 2 else p[1]))
+    cos = np.array([[(np.sqrt(0.125) if k == 0 else 0.5) * np.cos((2 * x + 1) * k * np.pi / 16) for x in range(8)] for k in range(8)])
+    symbols = [r << 4 | s for r in range(16) for s in range(1, 11)] + [0, 0xF0]
+    seg = lambda m, b: bytes([0xFF, m, (len(b) + 2) >> 8, (len(b) + 2) & 255]) + b
+    height, width = planes[0].shape
+    most = max(s[0] for s in sampling), max(s[1] for s in sampling)
+    units = -(-width // (8 * most[0])), -(-height // (8 * most[1]))
+    out, bits, wanted = b"", "", [np.zeros((units[1] * 8 * s[1], units[0] * 8 * s[0])) for s in sampling]
+    before, scan, unit = [0] * len(planes), b"", 0
+
+    def number(v):
+        size = int(abs(v)).bit_length()
+        return size, format(v if v > 0 else v + (1 << size) - 1, f"0{size}b") if size else ""
+
+    def flush():
+        nonlocal bits, scan
+        bits += "1" * (-len(bits) % 8)
+        scan += bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8)).replace(b"\xff", b"\xff\0")
+        bits = ""
+
+    for uy in range(units[1]):
+        for ux in range(units[0]):
+            if restart and unit and unit % restart == 0:
+                flush()
+                scan += bytes([0xFF, 0xD0 + (unit // restart - 1) % 8])
+                before = [0] * len(planes)
+            unit += 1
+            for c, (sx, sy) in enumerate(sampling):
+                for by in range(sy):
+                    for bx in range(sx):
+                        y, x = 8 * (uy * sy + by), 8 * (ux * sx + bx)
+                        full = np.zeros((8, 8))
+                        part = planes[c][y : y + 8, x : x + 8]
+                        full[: part.shape[0], : part.shape[1]] = part - 128.0
+                        q = np.rint(cos @ full @ cos.T / steps).astype(int)
+                        wanted[c][y : y + 8, x : x + 8] = np.clip(np.rint(cos.T @ (q * steps) @ cos + 128), 0, 255)
+                        size, extra = number(int(q[0, 0]) - before[c])
+                        before[c] = int(q[0, 0])
+                        bits += format(size, "04b") + extra
+                        run = 0
+                        last = max([k for k in range(1, 64) if q[order[k]]], default=0)
+                        for k in range(1, last + 1):
+                            v = int(q[order[k]])
+                            if v == 0:
+                                run += 1
+                                continue
+                            while run > 15:
+                                bits += format(symbols.index(0xF0), "08b")
+                                run -= 16
+                            size, extra = number(v)
+                            bits += format(symbols.index(run << 4 | size), "08b") + extra
+                            run = 0
+                        if last < 63:
+                            bits += format(symbols.index(0), "08b")
+    flush()
+    n = len(planes)
+    out = b"\xff\xd8" + seg(0xE0, b"AVI1\0") + seg(0xDB, bytes([0]) + bytes(int(steps[p]) for p in order))
+    out += seg(0xC0, bytes([8, height >> 8, height & 255, width >> 8, width & 255, n]) + b"".join(bytes([c + 1, sx << 4 | sy, 0]) for c, (sx, sy) in enumerate(sampling)))
+    out += seg(0xC4, bytes([0x00, 0, 0, 0, 12] + [0] * 12) + bytes(range(12))) + seg(0xC4, bytes([0x10] + [0] * 7 + [len(symbols)] + [0] * 8) + bytes(symbols))
+    if restart:
+        out += seg(0xDD, bytes([restart >> 8, restart & 255]))
+    return out + seg(0xDA, bytes([n]) + b"".join(bytes([c + 1, 0]) for c in range(n)) + bytes([0, 63, 0])) + scan + b"\xff\xd9", wanted
+
+
+@pytest.mark.parametrize("sampling,restart", [([(1, 1)], 0), ([(1, 1)], 3), ([(2, 2), (1, 1), (1, 1)], 0), ([(2, 1), (1, 1), (1, 1)], 2)])
+def test_frames_of_other_writers(sampling, restart):
+    r = np.random.default_rng(3)
+    steps = 1 + r.integers(0, 30, (8, 8))
+    most = max(s[0] for s in sampling), max(s[1] for s in sampling)
+    files, pictures = [], []
+    for k in range(3):
+        height, width = 40, 50
+        y, x = np.mgrid[0:height, 0:width]
+        base = 128 + 60 * np.sin(x / (5 + k)) * np.cos(y / 7) + r.normal(0, 20, (height, width))
+        planes = [np.clip(base, 0, 255)] + [np.clip(base[:: most[1], :: most[0]] + 20 * c, 0, 255) for c in range(1, len(sampling))]
+        file, wanted = plain_jpeg(planes, steps, sampling, restart)
+        files.append(file)
+        pictures.append(wanted)
+    for got, wanted in zip(media.decode_pictures(files), pictures):
+        for c, (sx, sy) in enumerate(sampling):
+            want = wanted[c].repeat(most[1] // sy, 0).repeat(most[0] // sx, 1)[:40, :50]
+            assert np.abs(got[c].astype(int) - want).max() <= 1
+    grey = media.decode_frames(files)
+    means = [w[0].reshape(w[0].shape[0] // 8, 8, -1, 8).mean((1, 3)).ravel() for w in pictures]
+    assert np.abs(grey - np.array(means)[:, : grey.shape[1]]).max() < 20 and np.abs(grey - np.array(means)).mean() < 1.5
+    for bad in (files[0][:300], files[0].replace(b"\xff\xc0", b"\xff\xc2"), b"GIF89a" + files[0]):
+        with pytest.raises(ValueError):
+            media.decode_frames([bad])
+
+
+def test_the_standard_codes():
+    for said, end, long_run in ((media._AC_LUMA, "1010", "11111111001"), (media._AC_CHROMA, "00", "1111111010")):
+        symbol, length = media._standard(said)
+        for code, want in ((end, 0), (long_run, 0xF0)):
+            at = int(code.ljust(16, "0"), 2)
+            assert (symbol[at], length[at]) == (want, len(code))
+        assert len(set(symbol[length > 0].tolist())) == 162 and not length[-1] and length[-3]
+
+
+def test_files_of_other_writers():
+    """Places that count from the file's begin, lists of records, no index, a sound stream first, dropped frames."""
+    frames = media.encode_frames(np.random.default_rng(2).integers(0, 256, (4, 192)).astype(np.uint8))
+    chunk = lambda k, b: k + len(b).to_bytes(4, "little") + b + b"\0" * (len(b) % 2)
+    strl = lambda kind, handler: chunk(b"LIST", b"strl" + chunk(b"strh", kind + handler + bytes(12) + (1).to_bytes(4, "little") + (10).to_bytes(4, "little") + bytes(24)))
+    head = chunk(b"LIST", b"hdrl" + chunk(b"avih", bytes(56)) + strl(b"auds", bytes(4)) + strl(b"vids", b"mjpg"))
+    records = b"".join(chunk(b"LIST", b"rec " + chunk(b"00wb", b"abc") + chunk(b"01dc", f)) for f in frames)
+    file = chunk(b"RIFF", b"AVI " + head + chunk(b"JUNK", b"x") + chunk(b"LIST", b"movi" + records))
+    assert media.read_avi(file) == frames and media.rate_of(file) == 10
+    body = chunk(b"00wb", b"abc") + chunk(b"01db", frames[0]) + chunk(b"01dc", b"") + chunk(b"01dc", frames[1])
+    begin = 12 + len(head) + 12
+    places, at = [], begin
+    for kind, size in ((b"00wb", 3), (b"01db", len(frames[0])), (b"01dc", 0), (b"01dc", len(frames[1]))):
+        places.append(kind + (16).to_bytes(4, "little") + at.to_bytes(4, "little") + size.to_bytes(4, "little"))
+        at += 8 + size + size % 2
+    file = chunk(b"RIFF", b"AVI " + head + chunk(b"LIST", b"movi" + body) + chunk(b"idx1", b"".join(places)))
+    assert media.read_avi(file) == [frames[0], frames[0], frames[1]]
+    part = lambda kind, some: chunk(b"RIFF", kind + (head if kind == b"AVI " else b"") + chunk(b"LIST", b"movi" + b"".join(chunk(b"01dc", f) for f in some)))
+    assert media.read_avi(part(b"AVI ", frames[:2]) + part(b"AVIX", frames[2:])) == frames
+
+
 def test_shots_and_broken_files():
     x = np.vstack([np.full((6, 192), 10), np.full((5, 192), 200)]).astype(np.uint8)
     assert media.shots(x) == [(0, 6), (6, 11)]
