@@ -213,6 +213,64 @@ def test_archives(spark):
     assert warc.read_warc(spark, none).count() == 0
 
 
+def foreign(kind, uri, block, version="1.0", **more):
+    head = [f"WARC/{version}", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{zlib.crc32(block):08x}-0000>", "WARC-Date: 2020-01-01T00:00:00Z"]
+    head += [f"WARC-Target-URI: {uri}"] * bool(uri) + [f"{k.replace('_', '-')}: {v}" for k, v in more.items()] + [f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+RECORDS = [
+    foreign("warcinfo", "", b"software: x\r\n", Content_Type="application/warc-fields"),
+    foreign("request", "http://a/", b"GET / HTTP/1.1\r\n\r\n", Content_Type="application/http; msgtype=request"),
+    foreign("response", "<http://a/>", b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n<p>one</p>", Content_Type="application/http; msgtype=response"),
+    foreign("revisit", "http://b/", b"HTTP/1.1 200 OK\r\n\r\n", "1.1", WARC_Payload_Digest="sha1:ABC", WARC_Refers_To="<urn:uuid:1>", Content_Type="application/http;\r\n  msgtype=response"),
+    foreign("resource", "file://c", b"WARC/1.0\r\n\r\n" * 9000, "1.1", Content_Type="text/plain"),
+]
+
+
+@pytest.mark.parametrize("form", ["plain", "members", "one", "named"])
+def test_archives_of_other_writers(spark, tmp_path, form):
+    import gzip
+    import io
+
+    def named(data):
+        out = io.BytesIO()
+        with gzip.GzipFile("some name", "wb", fileobj=out) as f:
+            f.write(data)
+        return out.getvalue()
+
+    data = {"plain": b"".join, "members": lambda r: b"".join(map(gzip.compress, r)), "one": lambda r: gzip.compress(b"".join(r)), "named": lambda r: b"".join(map(named, r))}[form](RECORDS)
+    path = tmp_path / ("a.warc" if form == "plain" else "a.warc.gz")
+    path.write_bytes(data)
+    warc.register(spark)
+    read = lambda split: spark.read.format("warc").option("split_bytes", split).load(str(tmp_path))
+    for split in (1 << 20, 100):
+        rows = {r.record_type: r for r in read(split).collect()}
+        assert sorted(rows) == ["request", "resource", "response", "revisit", "warcinfo"] and read(split).count() == 5
+        assert rows["response"].payload == b"<p>one</p>" and rows["response"].target_uri == "http://a/" and rows["response"].page_id is None and rows["response"].record_id.startswith("<urn:uuid:")
+        assert (rows["revisit"].payload, rows["revisit"].payload_bytes, rows["revisit"].payload_digest, rows["revisit"].refers_to_id) == (None, None, "ABC", "<urn:uuid:1>")
+        assert rows["resource"].payload == b"WARC/1.0\r\n\r\n" * 9000 and rows["warcinfo"].target_uri is None
+    assert [r.payload for r in read(100).where("record_type = 'response'").collect()] == [b"<p>one</p>"]
+    for bad in (data[:-30], b"WARX" + data[4:] if form == "plain" else data[:20] + b"xx" + data[22:]):
+        path.write_bytes(bad)
+        with pytest.raises(Exception):
+            read(1 << 20).collect()
+
+
+@pytest.mark.parametrize("split", [1, 200, 1000, 5000, 1 << 20])
+def test_ranges_of_a_file_have_each_record_once(spark, tmp_path, split):
+    """Payloads that hold whole members, stored as they are, are not taken for members of the file."""
+    r = random.Random(5)
+    inner = b"".join(warc.member(warc.record(900 + k, "in", r.randbytes(50), None, False)) for k in range(30))
+    pages = [(k, inner if k % 7 == 3 else r.randbytes(r.randrange(300)) if k % 2 else b"text " * r.randrange(200)) for k in range(60)]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(warc.member(warc.record(k, "u", p, None, False)) for k, p in pages))
+    (tmp_path / "b.warc.gz").write_bytes(b"")
+    reader = warc.WarcReader(warc.StructType.fromDDL(warc.SCHEMA), {"path": str(tmp_path), "split_bytes": str(split)})
+    parts = reader.partitions()
+    rows = [x for p in parts for batch in reader.read(p) for x in batch.to_pylist()]
+    assert sorted((x["page_id"], x["payload"]) for x in rows) == pages and (split > 5000 or len(parts) > 1)
+
+
 def plain_hash(gram, k):
     if len(gram) < k:
         return xxhash.xxh64_intdigest(gram, seed=42) >> (winnow.PLACE_BITS + 1)

@@ -1,20 +1,28 @@
 """WARC: a Python data source that writes and reads archives of web pages.
 
-Archives are ``.warc.gz`` files, a gzip member for each record, each member with the skip-lengths field ``sl`` that the
-format's standard describes: with it a reader passes over a record without inflating it. The reader plans partitions of
-whole files, about ``split_bytes`` each, largest first. Filters on record_type, target_uri and page_id are pushed down: a
-record's headers are inflated first and compared, and the payload is inflated only if the record is wanted and a column
-that needs the payload was asked for. Files are opened through the file system of their URI.
-
-Cases: null html counts as empty; null page_ids are written as ``null`` and read as null; a null url becomes an empty
-one; line ends in a url are escaped; records of any length; a broken member raises ValueError; an empty table gives
-readable files without records; of pages with equal payloads all that share the smallest page_id are responses."""
+What is written: ``.warc.gz`` files, a gzip member for each record, each member with the skip-lengths field ``sl`` that the
+format's standard describes: with it a reader passes over a record without inflating it.
+
+What is read: WARC 1.0 and 1.1 of any writer, plain or in gzip members of one record or many, with any record ids. The
+reader plans partitions of about ``split_bytes``: small files together, largest first, and of larger files whose members
+have skip lengths ranges, which begin at the first member that a chain of members over the whole range bears out. A large
+file without skip lengths, and a plain one, is one task; in a plain one what is not wanted is passed over by a seek.
+Filters on record_type, target_uri, record_id and page_id are pushed down: a record's headers come first and are compared,
+and the payload is inflated only if the record is wanted and a column that needs the payload was asked for. Files are
+opened through the file system of their URI.
+
+Cases: null html counts as empty; null page_ids are written as ``null`` and read as null, as are ids of other writers,
+which record_id has; a null url becomes an empty one; line ends in a url are escaped; records of any length; revisits of
+other writers have no length of their payload (null); broken, cut short and partly skippable split files raise ValueError;
+repeated rows are written each, and of pages with equal payloads all that share the smallest page_id are responses; an
+empty table gives readable files without records; other columns of the input are ignored, whatever their names."""
 
 from __future__ import annotations
 
 import base64
 import hashlib
 import heapq
+import re
 import struct
 import uuid
 import zlib
@@ -29,12 +37,13 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from pyspark.sql.types import StructType
 
 SCHEMA = (
-    "page_id long, record_type string, target_uri string, refers_to long, payload_bytes long, payload_digest string, payload binary"
+    "page_id long, record_type string, target_uri string, refers_to long, payload_bytes long, payload_digest string, payload binary, "
+    "record_id string, refers_to_id string, date string"
 )
 #: Bytes of archives in a partition; bytes of payload in a batch; bytes that are inflated to look for a header's end.
 SPLIT_BYTES, BATCH_BYTES, HEAD_BYTES = 64 << 20, 4 << 20, 1024
-_KINDS = {"page_id": pa.int64(), "record_type": pa.string(), "target_uri": pa.string(), "refers_to": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "payload": pa.binary()}
-_PUSHED = ("record_type", "target_uri", "page_id")
+_KINDS = {"page_id": pa.int64(), "record_type": pa.string(), "target_uri": pa.string(), "refers_to": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "payload": pa.binary(), "record_id": pa.string(), "refers_to_id": pa.string(), "date": pa.string()}
+_PUSHED = ("record_type", "target_uri", "page_id", "record_id")
 #: The date in all records: archives of equal pages are equal.
 _DATE = "1970-01-01T00:00:00Z"
 
@@ -55,8 +64,9 @@ def _urn(page_id: int | None) -> str:
 
 
 def _page(urn: str | None) -> int | None:
-    name = urn[len("<urn:page:") : -1] if urn else "null"
-    return None if name == "null" else int(name)
+    """The page_id of an id that this module wrote; null for others."""
+    found = re.fullmatch(r"<urn:page:(-?[0-9]{1,19})>", urn or "")
+    return int(found[1]) if found else None
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
@@ -88,15 +98,157 @@ def member(raw: bytes, level: int = 1) -> bytes:
 
 
 def parse_headers(data: bytes) -> dict[str, str]:
-    lines = data.decode("utf-8").split("\r\n")
-    if not lines[0].startswith("WARC/"):
+    """The fields of a record, names in lower case; a line that begins with white space goes on with the one before."""
+    lines = re.sub(r"\r\n[ \t]+", " ", data.decode("utf-8", "replace")).split("\r\n")
+    if not re.fullmatch(r"WARC/[0-9]+\.[0-9]+", lines[0]):
         raise ValueError("not a WARC record")
-    return {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+
+
+class _Plain:
+    """A file's bytes from a place on; what is skipped is not read."""
+
+    STEP = 1 << 20
+
+    def __init__(self, f, at: int = 0):
+        self.f, self.at, self.end, self.held, self.base = f, at, f.size(), b"", at
+
+    def peek(self, n: int) -> bytes:
+        """At least ``n`` bytes from here, or what there is."""
+        here = self.at - self.base
+        if len(self.held) - here < n and self.base + len(self.held) < self.end:
+            self.f.seek(self.at)
+            self.held, self.base, here = self.f.read(max(n, self.STEP)), self.at, 0
+        return self.held[here:] if here else self.held
+
+    def skip(self, n: int) -> None:
+        if self.at + n > self.end:
+            raise ValueError("the archive is cut short")
+        self.at += n
+
+    def take(self, n: int) -> bytes:
+        out = self.peek(n)[:n]
+        self.skip(n)
+        return out
+
+
+class _Inflated:
+    """What a gzip file holds, member after member."""
+
+    STEP = 1 << 16
+
+    def __init__(self, raw: _Plain):
+        self.raw, self.inflate, self.held, self.sums = raw, None, b"", (0, 0)
+
+    def _more(self) -> bool:
+        if self.inflate is None:
+            if not self.raw.peek(1):
+                return False
+            self.raw.skip(gzip_header(self.raw)[0])
+            self.inflate, self.sums = zlib.decompressobj(-15), (0, 0)
+        data = self.raw.peek(1)[: self.STEP]
+        if not data:
+            raise ValueError("the archive is cut short")
+        new = self.inflate.decompress(data)
+        self.sums = zlib.crc32(new, self.sums[0]), self.sums[1] + len(new)
+        self.raw.skip(len(data) - len(self.inflate.unused_data))
+        if self.inflate.eof:
+            self.inflate = None
+            if self.raw.take(8) != struct.pack("<II", self.sums[0], self.sums[1] & 0xFFFFFFFF):
+                raise ValueError("a broken member")
+        self.held += new
+        return True
+
+    def peek(self, n: int) -> bytes:
+        while len(self.held) < n and self._more():
+            pass
+        return self.held
+
+    def skip(self, n: int) -> None:
+        while n > len(self.held):
+            n -= len(self.held)
+            self.held = b""
+            if not self._more():
+                raise ValueError("the archive is cut short")
+        self.held = self.held[n:]
+
+    def take(self, n: int) -> bytes:
+        parts, left = [], n  # so that a long payload is joined once
+        while left:
+            if not self.held and not self._more():
+                raise ValueError("the archive is cut short")
+            parts.append(self.held[:left])
+            left -= len(parts[-1])
+            self.held = self.held[len(parts[-1]) :]
+        return b"".join(parts)
+
+
+def gzip_header(raw: _Plain) -> tuple[int, int | None]:
+    """Length of a member's header, and of the whole member where it says so."""
+    data = raw.peek(1024)
+    if data[:3] != b"\x1f\x8b\x08":
+        raise ValueError("not a gzip member")
+    flags, at, size = data[3], 10, None
+    if flags & 4:
+        end = at + 2 + struct.unpack_from("<H", data, at)[0]
+        data = raw.peek(end + 1024)
+        at += 2
+        while at + 4 <= end:
+            name, n = data[at : at + 2], struct.unpack_from("<H", data, at + 2)[0]
+            if name == b"sl" and n == 8:
+                size = struct.unpack_from("<I", data, at + 4)[0]
+            at += 4 + n
+        at = end
+    for flag in (8, 16):  # a name, a comment
+        if flags & flag:
+            while (stop := data.find(b"\0", at)) < 0:
+                more = raw.peek(len(data) + 1024)
+                if len(more) == len(data):
+                    raise ValueError("the archive is cut short")
+                data = more
+            at = stop + 1
+    return at + (2 if flags & 2 else 0), size
+
+
+def _chain(raw: _Plain, start: int, end: int) -> list[tuple[int, int, int]] | None:
+    """(place, length of the header, length) of the members from ``start`` to the first one at or after ``end``; None if
+    they do not follow one another, and if one has no skip lengths."""
+    out, raw.at = [], start
+    while raw.at < min(end, raw.end):
+        try:
+            head, size = gzip_header(raw)
+        except (ValueError, struct.error):
+            return None
+        if size is None or size < head + 8 or raw.at + size > raw.end:
+            return None
+        out.append((raw.at, head, size))
+        raw.at += size
+    return out
+
+
+def _members(raw: _Plain, start: int, end: int) -> list[tuple[int, int, int]]:
+    """The members that begin in a range of a file whose members have skip lengths."""
+    at = start
+    while at < min(end, raw.end):
+        if (found := _chain(raw, at, end)) is not None:
+            return found
+        if not start:
+            raise ValueError("members without skip lengths, or a file that is cut short")
+        at += 1
+        while at < end:
+            raw.at = at
+            data = raw.peek(1 << 16)
+            hit = data.find(b"\x1f\x8b\x08")
+            at += hit if hit >= 0 else max(1, len(data) - 2)
+            if hit >= 0 or len(data) < 3:
+                break
+    return []
 
 
 @dataclass
 class Files(InputPartition):
-    paths: list
+    #: path, and the first and last place (not included) of the range in which its members begin
+    ranges: list
 
 
 @dataclass
@@ -122,22 +274,27 @@ class WarcReader(DataSourceReader):
         from pyarrow import fs
 
         store, path = file_system(self.path)
-        found = store.get_file_info(fs.FileSelector(path, recursive=True))
-        files = sorted(((x.size, x.path) for x in found if x.is_file and ".warc" in x.base_name and x.base_name[0] not in "._"), reverse=True)
-        total = sum(n for n, _ in files)
-        bins = [(0, k, []) for k in range(max(1, min(len(files), -(-total // self.split))))]
-        for n, p in files:  # the next largest to the emptiest
-            held, k, paths = bins[0]
-            heapq.heapreplace(bins, (held + n, k, [*paths, p]))
-        return [Files(p) for *_, p in bins]
+        one = store.get_file_info(path)
+        found = [one] if one.is_file else store.get_file_info(fs.FileSelector(path, recursive=True))
+        ranges = []
+        for x in found:
+            if x.is_file and x.base_name[0] not in "._" and x.base_name.endswith((".warc", ".warc.gz")):
+                cuts = range(0, max(1, x.size), self.split if x.base_name.endswith(".gz") else max(1, x.size))
+                ranges += [(min(x.size - a, cuts.step), x.path, a, a + cuts.step) for a in cuts]
+        total = sum(r[0] for r in ranges)
+        bins = [(0, k, []) for k in range(max(1, min(len(ranges), -(-total // self.split))))]
+        for n, *r in sorted(ranges, reverse=True):  # the next largest to the emptiest
+            held, k, own = bins[0]
+            heapq.heapreplace(bins, (held + n, k, [*own, r]))
+        return [Files(r) for *_, r in bins]
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         store, _ = file_system(self.path)
         schema = pa.schema([(n, _KINDS[n]) for n in self.names])
         rows, held = [], 0
-        for path in partition.paths:
+        for path, start, end in partition.ranges:
             with store.open_input_file(path) as f:
-                for row in self._records(f):
+                for row in self._rows(f, start, end):
                     rows.append(row)
                     held += 200 + len(row.get("payload") or b"")
                     if held >= BATCH_BYTES:
@@ -146,46 +303,100 @@ class WarcReader(DataSourceReader):
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema)
 
-    def _records(self, f) -> Iterator[dict]:
-        needs = not {"payload", "payload_bytes", "payload_digest"}.isdisjoint(self.names)
-        at, end, buffer, base = 0, f.size(), b"", 0
-        while at < end:
-            if at + 65536 > base + len(buffer) and base + len(buffer) < end or at < base:
-                f.seek(at)
-                buffer, base = f.read(4 << 20), at
-            here = at - base
-            if buffer[here : here + 4] != b"\x1f\x8b\x08\x04" or buffer[here + 12 : here + 14] != b"sl":
-                raise ValueError("a member without skip lengths")
-            size, raw_size = struct.unpack_from("<II", buffer, here + 16)
-            inflate = zlib.decompressobj(-15)
-            if here + size <= len(buffer):
-                body = memoryview(buffer)[here + 24 : here + size]
-            elif at + size > end:
-                raise ValueError("the archive is cut short")
+    def _rows(self, f, start: int, end: int) -> Iterator[dict]:
+        raw = _Plain(f)
+        if not raw.end:
+            return
+        if raw.peek(2)[:2] != b"\x1f\x8b":
+            yield from self._records(raw) if start == 0 else ()
+        elif gzip_header(raw)[1] is None:
+            # where the next member begins is known only by inflating this one
+            yield from self._records(_Inflated(raw)) if start == 0 else ()
+        else:
+            for at, head, size in _members(raw, start, end):
+                yield from self._member(raw, at, head, size)
+
+    def _needs(self, kind: str | None) -> bool:
+        return kind != "revisit" and not {"payload", "payload_bytes", "payload_digest"}.isdisjoint(self.names)
+
+    def _wants(self, row: dict) -> bool:
+        return all(row[name] in values for name, values in self.wanted)
+
+    @staticmethod
+    def _described(head: dict[str, str]) -> dict:
+        return {
+            "page_id": _page(head.get("warc-record-id")), "record_type": head.get("warc-type"), "target_uri": (head.get("warc-target-uri") or "").removeprefix("<").removesuffix(">") if "warc-target-uri" in head else None,
+            "refers_to": _page(head.get("warc-refers-to")), "record_id": head.get("warc-record-id"), "refers_to_id": head.get("warc-refers-to"), "date": head.get("warc-date"),
+        }
+
+    def _row(self, row: dict, head: dict[str, str], block: bytes | None) -> dict:
+        """The columns asked for; ``block`` is what the record holds, where it is needed."""
+        payload = block
+        if block is not None and head.get("content-type", "").startswith("application/http") and block.startswith(b"HTTP/") and (cut := block.find(b"\r\n\r\n")) >= 0:
+            payload = block[cut + 4 :]
+        if payload is not None:
+            row |= {"payload": payload, "payload_bytes": len(payload), "payload_digest": digest(payload)}
+        else:
+            said = head.get("x-payload-length")
+            row |= {"payload": None, "payload_bytes": int(said) if said else None, "payload_digest": head["warc-payload-digest"].removeprefix("sha1:") if "warc-payload-digest" in head else None}
+        return {n: row[n] for n in self.names}
+
+    def _records(self, stream: _Plain | _Inflated) -> Iterator[dict]:
+        """Records one after another."""
+        while data := stream.peek(1):
+            if data[:1] in (b"\r", b"\n"):
+                stream.skip(1)
+                continue
+            n = HEAD_BYTES
+            while (cut := (data := stream.peek(n)).find(b"\r\n\r\n")) < 0:
+                if len(data) < n:
+                    raise ValueError("a record without an end of its headers")
+                n *= 2
+            head = parse_headers(data[:cut])
+            if not head.get("content-length", "").isdigit():
+                raise ValueError("a record without a length")
+            stream.skip(cut + 4)
+            row, size = self._described(head), int(head["content-length"])
+            if not self._wants(row):
+                stream.skip(size)
+            elif self._needs(row["record_type"]):
+                yield self._row(row, head, stream.take(size))
             else:
-                f.seek(at + 24)
-                body = memoryview(f.read(size - 24))
-            raw = inflate.decompress(body[:-8], HEAD_BYTES)
-            while b"\r\n\r\n" not in raw:
-                more = inflate.decompress(inflate.unconsumed_tail, HEAD_BYTES)
-                if not more:
+                stream.skip(size)
+                yield self._row(row, head, None)
+
+    def _member(self, raw: _Plain, at: int, start: int, size: int) -> Iterator[dict]:
+        """The record of a member whose length is known: its headers are inflated first, from its first bytes."""
+        raw.at = at
+        body = raw.peek(min(size, 1 << 16))[start:size]
+        inflate = zlib.decompressobj(-15)
+        found, used = inflate.decompress(body, HEAD_BYTES), False
+        while b"\r\n\r\n" not in found:
+            more = inflate.decompress(inflate.unconsumed_tail, HEAD_BYTES) if inflate.unconsumed_tail else b""
+            if not more:
+                if used or start + len(body) >= size:
                     raise ValueError("a record without an end of its headers")
-                raw += more
-            cut = raw.index(b"\r\n\r\n") + 4
-            head = parse_headers(raw[: cut - 4])
-            row = {"page_id": _page(head.get("warc-record-id")), "record_type": head.get("warc-type"), "target_uri": head.get("warc-target-uri"), "refers_to": _page(head.get("warc-refers-to"))}
-            if all(row[name] in values for name, values in self.wanted):
-                if needs and row["record_type"] == "response":
-                    raw += inflate.decompress(inflate.unconsumed_tail) + inflate.flush()
-                    if struct.unpack("<II", body[-8:]) != (zlib.crc32(raw), len(raw) & 0xFFFFFFFF) or raw_size != len(raw) & 0xFFFFFFFF:
-                        raise ValueError("a broken member")
-                    block = raw[cut : cut + int(head["content-length"])]
-                    payload = block[block.index(b"\r\n\r\n") + 4 :]
-                    row |= {"payload": payload, "payload_bytes": len(payload), "payload_digest": digest(payload)}
-                else:
-                    row |= {"payload": None, "payload_bytes": int(head["x-payload-length"]), "payload_digest": head["warc-payload-digest"].removeprefix("sha1:")}
-                yield {n: row[n] for n in self.names}
-            at += size
+                used, body = True, raw.peek(size)[start:size]
+                inflate = zlib.decompressobj(-15)
+                found, more = b"", inflate.decompress(body, HEAD_BYTES)
+            found += more
+        cut = found.index(b"\r\n\r\n") + 4
+        head = parse_headers(found[: cut - 4])
+        row = self._described(head)
+        if not self._wants(row):
+            return
+        if not self._needs(row["record_type"]):
+            yield self._row(row, head, None)
+            return
+        raw.at = at
+        body = raw.peek(size)[start:size]
+        found = zlib.decompress(body[:-8], -15)
+        if body[-8:] != struct.pack("<II", zlib.crc32(found), len(found) & 0xFFFFFFFF):
+            raise ValueError("a broken member")
+        length = int(head["content-length"])
+        if len(found) > cut + length + 4:
+            raise ValueError("a member with skip lengths and more than one record")
+        yield self._row(row, head, found[cut : cut + length])
 
 
 class WarcWriter(DataSourceArrowWriter):
