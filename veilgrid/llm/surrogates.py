@@ -1,54 +1,110 @@
 """PII: detected entities get keyed surrogates of the same kind, gender, script and format. Spark's own functions alone.
 
 What is found: e-mail addresses, phone numbers, IPv4 addresses, payment cards with a right check digit (one run of digits,
-or groups of 4-4-4-4, 4-4-4-4-1 to 4-4-4-4-3, 4-6-4, 4-6-5, 4-5-6, 4-4-5 and 6-13), US social security numbers, IBANs with right check digits, secrets (assigned to a telling name, or with a well-known beginning) and persons
-after a title. A surrogate is a keyed permutation of the entity's canonical form: a Feistel network over its characters
-that keeps each in its class (digit, vowel, consonant, letters of a script), or over numbers where a kind has a range.
-So the same entity gets the same surrogate in every document and notation (coreference), and different entities of a kind
-get different ones, without a table of them; case, separators, lengths, country and card brand stay, check digits are
-made right again. A given name that is known moves within the list of its gender; an unknown one keeps its last letter.
+or groups of 4-4-4-4, 4-4-4-4-1 to 4-4-4-4-3, 4-6-4, 4-6-5, 4-5-6, 4-4-5 and 6-13), US social security numbers, IBANs with right check digits, secrets (assigned to a telling name, or with a well-known beginning) and persons:
+after a title, before one (Han, kana, Hangul), or a listed given name with a capitalised name after it.
 
-``collisions`` checks this over all entities of a corpus, distinct ones counted before anything moves; ``replace`` takes
-another salt if it finds any. Nothing needs a join or moves a text.
+A surrogate is a keyed permutation of the entity's canonical form: a Feistel network over its characters that keeps each
+in its class (digit, vowel, consonant, letters of a script), or over numbers where a kind has a range. So the same entity
+gets the same surrogate in every document and notation (coreference), and different entities of a kind get different ones,
+without a table of them. What stays: case, separators, lengths, an e-mail's last label, a phone's country code, an IBAN's
+country, a card's first two digits, well-known beginnings of secrets, titles; check digits are made right again.
+
+Of a person each part of a name is replaced by itself. A listed given name becomes the next in a cycle through the list of
+its gender and script, whose order the key decides. Any other keeps its last letter, which often tells the gender, and
+the rest is permuted, again and again as long as a listed name comes out. Such a walk leaves the listed names after as
+many steps as there are of them, and is a permutation of the names that are not listed; so no two names get one surrogate.
+
+``collisions`` checks over all entities of a corpus, distinct ones counted before anything moves, what the construction
+promises: that no two get one surrogate. ``replace`` asks it first and raises ValueError if they do. Nothing needs a join
+or moves a text.
 
 Cases: null texts stay null and have no entities; empty texts stay; texts without entities stay as they are; long texts
 cost in proportion; repeated rows are replaced alike; empty tables give no rows; all other columns are kept, and columns
-named entities or n_entities are replaced."""
+named entities or n_entities are replaced. Letters without a capital of their own (as the German sharp s) stay as they
+are, as do those beyond Unicode's basic plane but for Han."""
 
 from __future__ import annotations
 
+import hashlib
+import hmac
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Default key; give a secret one.
 KEY = "veilgrid"
-SALTS = 4
-FEMALE_TITLES = "Mrs|Ms|Miss|Frau|Mme|Mlle|Madame|Sra|Srta|Señora"
-MALE_TITLES = "Mr|Herr|Monsieur|Sr|Señor"
-TITLES = f"{FEMALE_TITLES}|{MALE_TITLES}|Dr|Prof"
-FEMALE = "anna maria julia laura sophie clara emma marie lucia elena sarah alice nina carla eva ines paula olga vera linda susan helen ruth diana".split()
-MALE = "john peter paul thomas martin david michael daniel lukas felix jean pierre louis hugo carlos juan miguel pablo diego robert james george frank simon".split()
+FEMALE_TITLES = "Mrs|Ms|Miss|Frau|Mme|Mlle|Madame|Sra|Srta|Señora|[Гг]-жа|[Гг]оспожа|κα|[Κκ]υρία|גב'|גברת|السيدة"
+MALE_TITLES = "Mr|Herr|Monsieur|Sr|Señor|[Гг]-н|[Гг]осподин|κ|κος|[Κκ]ύριος|מר|السيد"
+TITLES = f"{FEMALE_TITLES}|{MALE_TITLES}|Dr|Prof|[Дд]октор|[Пп]рофессор|Δρ|ד[\"״]ר|פרופ'|الدكتور|الدكتورة"
+AFTER = "先生|女士|小姐|教授|博士|医生|さん|様|氏|\x20?씨|\x20?선생님|\x20?교수님|\x20?박사님"
+SURNAMES = "王李张刘陈杨赵黄周吴徐孙胡朱高林何郭马罗梁宋郑谢韩唐冯于董萧程曹袁邓许傅沈曾彭吕苏卢蒋蔡贾丁魏薛叶余潘杜戴夏钟汪田任姜范方石姚谭廖邹熊金陆郝孔白崔康毛邱秦江史顾侯邵孟"
+#: Given names by gender and script. No name is in two lists.
+GIVEN = {
+    "female latin": "anna maria julia laura sophie clara emma marie lucia elena sarah alice nina carla eva ines paula olga vera linda susan helen ruth diana mary patricia jennifer elizabeth barbara jessica margaret nancy karen lisa betty sandra ashley emily michelle amanda rebecca katharina monika sabine petra ursula claudia isabelle nathalie camille chloé amélie carmen pilar rosa isabel beatriz".split(),
+    "male latin": "john peter paul thomas martin david michael daniel lukas felix jean pierre louis hugo carlos juan miguel pablo diego robert james george frank simon william richard joseph charles christopher matthew anthony mark donald steven andrew kenneth joshua kevin brian edward hans jürgen wolfgang klaus stefan andreas françois jacques philippe antoine nicolas étienne josé antonio manuel javier".split(),
+    "female cyrillic": "анна мария елена ольга наталья татьяна ирина светлана екатерина юлия".split(),
+    "male cyrillic": "иван алексей дмитрий сергей андрей михаил николай владимир александр павел".split(),
+    "female greek": "μαρία ελένη κατερίνα σοφία αγγελική".split(),
+    "male greek": "γιώργος δημήτρης κώστας νίκος παναγιώτης".split(),
+}
+_LISTED = [x for names in GIVEN.values() for x in names]
+FEMALE, MALE = ([x for k, names in GIVEN.items() if k.startswith(g) for x in names] for g in ("female", "male"))
 
 _WORD = r"[\p{L}\p{N}_]"
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]+\.)+\p{L}{2,}"
 ASSIGNED = rf"(?<!{_WORD})(?i:api[_-]?key|secret[_-]?key|access[_-]?token|auth[_-]?token|client[_-]?secret|token|secret|password|passwd)[ \t]{{0,4}}[:=][ \t]{{0,4}}[\"']?[A-Za-z0-9._~+/-]{{12,}}"
 PREFIXED = rf"(?<!{_WORD})(?:(?:AKIA|ASIA)[0-9A-Z]{{16}}|gh[pousr]_[A-Za-z0-9]{{36,255}}|sk-[A-Za-z0-9_-]{{20,}}|xox[baprs]-[0-9A-Za-z-]{{10,}})"
 IBAN = rf"(?<!{_WORD})[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?(?!{_WORD})"
-PERSON = rf"(?<!{_WORD})(?:{TITLES})\.?\x20\p{{Lu}}[\p{{L}}'-]+(?:\x20\p{{Lu}}[\p{{L}}'-]+){{0,2}}"
+_CASED = r"\p{Lu}[\p{L}\p{M}'’-]+"
+_EAST = r"\p{IsHan}{2,4}|\p{IsHangul}{2,4}|[\p{IsHiragana}\p{IsKatakana}ー]{2,8}"
+_CASELESS = r"[\p{Lo}\p{M}&&[^\p{IsHan}\p{IsHangul}\p{IsHiragana}\p{IsKatakana}]]{2,}"
+_TITLED = rf"(?:{TITLES})\.?\x20(?:{_CASED}(?:\x20{_CASED}){{0,2}}|{_EAST}|{_CASELESS}(?:\x20{_CASELESS})?)"
+_KNOWN = rf"(?:{'|'.join(x.capitalize() for x in _LISTED)})"
+# no other word begins with these letters
+_BEGINS = rf"(?=[\p{{Lu}}\p{{Lo}}гдпκ])(?<!{_WORD})"
+PERSON = (
+    rf"{_BEGINS}(?:{_TITLED}|{_KNOWN}(?:-{_CASED})?(?:\x20{_CASED}){{1,2}})"
+    rf"|(?:[{SURNAMES}]\p{{IsHan}}{{1,2}}(?=先生|女士|小姐|教授|博士|医生)|(?<!\p{{IsHan}})\p{{IsHan}}{{2,4}}(?=さん|様|氏)|(?<![\p{{IsKatakana}}ー])[\p{{IsKatakana}}ー]{{2,8}}(?=さん|様|氏)|(?<!\p{{IsHangul}})\p{{IsHangul}}{{2,4}}(?=\x20?(?:씨|선생님|교수님|박사님)(?!\p{{IsHangul}})))(?:{AFTER})"
+)
 SSN = r"(?<![\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{N}-])"
 PHONE = r"(?<![\p{N}+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4})(?![\p{N}])"
+#: Country codes of two digits; 1 and 7 have one, all others three.
+_TWO_DIGITS = "20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
 IPV4 = r"(?<![\p{N}.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?!\p{N}|\.[0-9])"
 # one run of digits, or groups; after 4-4-4-4 up to three more that begin no other entity, which the check digit decides on
 _CARD_16 = r"[0-9]{4}(?:[ -][0-9]{4}){3}"
 CARD = rf"(?<![\p{{N}}])(?:[0-9]{{13,19}}|{_CARD_16}[ -](?!{EMAIL}|{SSN}|{PHONE}|{IPV4})[0-9]{{1,3}}|{_CARD_16}|[0-9]{{4}}[ -](?:[0-9]{{6}}[ -][0-9]{{4,5}}|[0-9]{{5}}[ -][0-9]{{6}}|[0-9]{{4}}[ -][0-9]{{5}})|[0-9]{{6}}[ -][0-9]{{13}})(?![\p{{N}}])"
 ENTITY = "|".join((EMAIL, ASSIGNED, PREFIXED, IBAN, PERSON, SSN, PHONE, IPV4, CARD))
 _VALUE = r"^(.*?[:=][ \t]{0,4}[\"']?)(\S+)$"
-#: What a line must have to hold an entity: a sign that most kinds need, or a title or beginning of the others.
-_SIGNS, _BEGINNINGS = "[0-9@:=_]", "AKIA ASIA sk- xox Mr Ms Miss Dr Prof Herr Frau Mme Mlle Madame Monsieur Sr Señor".split()
+#: What a line must have to hold an entity: a sign that most kinds need, or a beginning of the others.
+_SIGNS = rf"[0-9@:=_先女小教博医さ様氏씨님]|{_BEGINS}(?:(?:{TITLES})\.?|{_KNOWN}(?:-{_CASED})?)\x20"
+_BEGINNINGS = ("AKIA", "ASIA", "sk-", "xox")
+
+_DIGITS, _VOWELS, _CONSONANTS = "0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz"
+#: Code points and numbers of large scripts: Han, its extensions A and B, Hangul.
+_RANGES = ((0x4E00, 20992), (0x3400, 6592), (0x20000, 42720), (0xAC00, 11172))
+
+
+def _classes() -> list[str]:
+    """The letters of each script but the large ones, in blocks of 128 code points: small ones that have a capital of their
+    own, and those of scripts without case. A letter that is alone in its block stays as it is."""
+    common = ["αβγδεζηθικλμνξοπρστυφχψω", "άέήίόύώ", "".join(map(chr, range(0x430, 0x450)))]  # apart from old letters
+    found: dict[tuple[str, int], str] = {}
+    for code in range(0x80, 0xFB00):
+        c = chr(code)
+        if any(c in x for x in common) or any(first <= code < first + n for first, n in _RANGES) or unicodedata.category(c) not in ("Ll", "Lo"):
+            continue
+        if unicodedata.category(c) == "Ll" and not (len(c.upper()) == 1 and c.upper() != c and c.upper().lower() == c):
+            continue
+        script = unicodedata.name(c, "").split(" ")[0]
+        found[script, code >> 7] = found.get((script, code >> 7), "") + c
+    return common + [letters for _, letters in sorted(found.items()) if len(letters) > 1]
 
-_VOWELS, _CONSONANTS, _HEX = "aeiou", "bcdfghjklmnpqrstvwxyz", "0123456789abcdef"
-#: First letters and lengths of ranges of letters: accented Latin, Greek, Cyrillic, Hebrew, Arabic, kana, Han, Hangul.
-_RANGES = ((0xE0, 23), (0xF8, 7), (0x3B1, 25), (0x430, 32), (0x5D0, 27), (0x627, 20), (0x3041, 86), (0x30A1, 90), (0x4E00, 20992), (0xAC00, 11172))
+
+#: Classes of characters of names and the like, and of secrets, where hexadecimal ones stay hexadecimal and others don't become so.
+_PLAIN, _SECRET = [_DIGITS, _VOWELS, _CONSONANTS, *_classes()], [_DIGITS, "abcdef", "ghijklmnopqrstuvwxyz"]
 
 
 def let(value: Column, body) -> Column:
@@ -56,60 +112,75 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _prf(key: str, round_: int, *parts: Column) -> Column:
-    return F.sha2(F.concat_ws("\x1f", F.lit(f"{key}\x1e{round_}"), *parts), 256)
+def _prf(key: str, round_: Column, *parts: Column) -> Column:
+    return F.sha2(F.concat_ws("\x1f", F.concat(F.lit(f"{key}\x1e"), round_.cast("string")), *parts), 256)
 
 
-def _moved(c: Column, by: Column, hex_: Column) -> Column:
+def _moved(c: Column, by: Column, secret: Column) -> Column:
     """A character moved within its class by a random number. The classes are data, so that the plan stays small."""
     code = F.ascii(c)
-    lists = F.when(hex_, F.lit([_HEX, "0123456789", _VOWELS, _CONSONANTS])).otherwise(F.lit(["0123456789", _VOWELS, _CONSONANTS]))
+    lists = F.when(secret, F.lit(_SECRET)).when(code < 128, F.lit(_PLAIN[:3])).otherwise(F.lit(_PLAIN[3:]))
     letters = F.get(F.filter(lists, lambda x: x.contains(c)), F.lit(0))
     within = F.substring(letters, (F.pmod(F.instr(letters, c) - 1 + by, F.char_length(letters)) + 1).cast("int"), F.lit(1))
     ranges = F.lit([[first, n] for first, n in _RANGES])
     spot = F.get(F.filter(ranges, lambda r: (code >= r[0]) & (code < r[0] + r[1])), F.lit(0))
     new = F.pmod(code - spot[0] + by, spot[1]) + spot[0]
-    return F.when(letters.isNotNull(), within).when(spot.isNotNull(), F.decode(F.unhex(F.lpad(F.hex(new), 4, "0")), "UTF-16BE")).otherwise(c)
+    return F.when(letters.isNotNull(), within).when(spot.isNotNull(), F.decode(F.unhex(F.lpad(F.hex(new), 8, "0")), "UTF-32")).otherwise(c)
 
 
-def _shift(part: Column, seed: Column, hex_: Column) -> Column:
+def _shift(part: Column, seed: Column, secret: Column) -> Column:
     return F.when(part == "", part).otherwise(
-        let(seed, lambda s: F.array_join(F.transform(F.split(part, ""), lambda c, i: _moved(c, F.shiftrightunsigned(F.xxhash64(s, i), 33), hex_)), ""))
+        let(seed, lambda s: F.array_join(F.transform(F.split(part, ""), lambda c, i: _moved(c, F.shiftrightunsigned(F.xxhash64(s, i), 33), secret)), ""))
     )
 
 
-def permuted(text: Column, key: str, tweak: Column, hex_: Column | None = None) -> Column:
-    """A permutation of the lower-case texts of each pattern of classes: four rounds of a Feistel network."""
-    hex_ = F.lit(False) if hex_ is None else hex_
+def permuted(text: Column, key: str, tweak: Column, secret: Column | None = None) -> Column:
+    """A permutation of the lower-case texts of each pattern of classes: four rounds of a Feistel network, each of which
+    moves one half by a hash of the other."""
+    secret = F.lit(False) if secret is None else secret
     cut = (F.char_length(text) / 2).cast("int")
-    state = F.struct(F.substring(text, F.lit(1), cut).alias("a"), F.substring(text, cut + 1, F.char_length(text)).alias("b"), tweak.alias("t"))
-    for k in range(4):
-        state = let(state, (_right if k % 2 else _left)(key, k, hex_))
-    return let(state, lambda s: F.concat(s["a"], s["b"]))
 
+    def round_(s: Column, k: Column) -> Column:
+        first = k % 2 == 0
+        new = _shift(F.when(first, s["a"]).otherwise(s["b"]), _prf(key, k, tweak, F.when(first, s["b"]).otherwise(s["a"])), secret)
+        return F.struct(F.when(first, new).otherwise(s["a"]).alias("a"), F.when(first, s["b"]).otherwise(new).alias("b"))
 
-def _left(key: str, k: int, hex_: Column):
-    return lambda s: F.struct(_shift(s["a"], _prf(key, k, s["t"], s["b"]), hex_).alias("a"), s["b"].alias("b"), s["t"].alias("t"))
+    halves = F.struct(F.substring(text, F.lit(1), cut).alias("a"), F.substring(text, cut + 1, F.char_length(text)).alias("b"))
+    return F.aggregate(F.lit([0, 1, 2, 3]), halves, round_, lambda s: F.concat(s["a"], s["b"]))
 
 
-def _right(key: str, k: int, hex_: Column):
-    return lambda s: F.struct(s["a"].alias("a"), _shift(s["b"], _prf(key, k, s["t"], s["a"]), hex_).alias("b"), s["t"].alias("t"))
+def _walked(unit: Column, key: str) -> Column:
+    """What a unit becomes: its text permuted but for the letters that stay, and of a name again while a listed one
+    comes out."""
 
+    def step(s: Column, _: Column) -> Column:
+        n = F.char_length(s["text"]) - unit["keep"]
+        last = F.substring(s["text"], n + 1, unit["keep"])
+        new = F.concat(permuted(F.substring(s["text"], F.lit(1), n), key, F.concat(unit["tweak"], last), unit["secret"]), last)
+        return F.when(s["go"], let(new, lambda x: F.struct(x.alias("text"), (unit["name"] & x.isin(_LISTED)).alias("go")))).otherwise(s)
+
+    most = F.when(unit["name"], len(_LISTED)).otherwise(0)
+    return F.aggregate(F.sequence(F.lit(0), most), F.struct(unit["text"].alias("text"), F.lit(True).alias("go")), step, lambda s: s["text"])
 
-def _pair(a: Column, b: Column, m: int, n: int, key: str, tweak: str) -> Column:
-    """A permutation of pairs of numbers below m and n."""
-    number = lambda k, x, top: F.pmod(F.xxhash64(_prf(key, k, F.lit(tweak), x.cast("string"))), F.lit(top))
-    state = F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"))
 
-    def left(k):
-        return lambda s: F.struct(F.pmod(s["a"] + number(k, s["b"], m), F.lit(m)).alias("a"), s["b"].alias("b"))
+def next_names(key: str) -> dict[str, str]:
+    """For each listed name the next of its list, in the order of a hash that the key decides."""
+    out = {}
+    for names in GIVEN.values():
+        order = sorted(names, key=lambda x: hmac.new(key.encode(), x.encode(), hashlib.sha256).digest())
+        out |= dict(zip(order, order[1:] + order[:1]))
+    return out
+
 
-    def right(k):
-        return lambda s: F.struct(s["a"].alias("a"), F.pmod(s["b"] + number(k, s["a"], n), F.lit(n)).alias("b"))
+def _pair(a: Column, b: Column, m: int, n: int, key: str, tweak: str) -> Column:
+    """A permutation of pairs of numbers below m and n, in four rounds too."""
 
-    for k in range(2):
-        state = let(let(state, left(2 * k)), right(2 * k + 1))
-    return state
+    def round_(s: Column, k: Column) -> Column:
+        first = k % 2 == 0
+        move = F.xxhash64(_prf(key, k, F.lit(tweak), F.when(first, s["b"]).otherwise(s["a"]).cast("string")))
+        return F.struct(F.when(first, F.pmod(s["a"] + F.pmod(move, F.lit(m)), F.lit(m))).otherwise(s["a"]).alias("a"), F.when(first, s["b"]).otherwise(F.pmod(s["b"] + F.pmod(move, F.lit(n)), F.lit(n))).alias("b"))
+
+    return F.aggregate(F.lit([0, 1, 2, 3]), F.struct(a.cast("long").alias("a"), b.cast("long").alias("b")), round_)
 
 
 def _recased(old: Column, new: Column) -> Column:
@@ -154,7 +225,7 @@ def kind(m: Column) -> Column:
     iban = F.regexp_replace(m, " ", "")
     return (
         F.when(m.contains("@"), "email")
-        .when(m.rlike(rf"^(?:{TITLES})\.?\x20"), "person")
+        .when(m.rlike(rf"^(?:{TITLES})\.?\x20|^{_KNOWN}[ -]|[\p{{IsHan}}\p{{IsHangul}}\p{{IsKatakana}}ー](?:{AFTER})$"), "person")
         .when(m.rlike(r"^(?:AKIA|ASIA|gh[pousr]_|sk-|xox[baprs]-)"), "secret")
         .when(m.rlike(r"^[A-Z]{2}[0-9]{2}[ A-Z0-9]+$"), F.when(_mod97(F.concat(F.substring(iban, F.lit(5), F.char_length(iban)), F.substring(iban, 1, 4))) == 1, "iban"))
         .when(m.rlike(r"^[A-Za-z]"), "secret")
@@ -165,27 +236,46 @@ def kind(m: Column) -> Column:
     )
 
 
+def _country(m: Column) -> Column:
+    """The digits of a phone number's country code; empty without a plus sign."""
+    return F.regexp_extract(F.concat(F.substring(m, 1, 1), _digits(m)), rf"^\+([17]|{_TWO_DIGITS}|[0-9]{{3}})", 1)
+
+
+def _national(m: Column) -> Column:
+    return F.substring(_digits(m), F.char_length(_country(m)) + 1, F.char_length(m))
+
+
 def canonical(kind_: Column, m: Column) -> Column:
-    """The form in which an entity is the same in all notations."""
+    """The form in which an entity is the same in all notations; numbers without a country code are those of code 1."""
     return (
         F.when(kind_ == "email", F.lower(m))
         .when(kind_.isin("card", "ssn"), _digits(m))
-        .when(kind_ == "phone", let(_digits(m), lambda d: F.substring(d, -10, 10)))
-        .when(kind_ == "person", F.lower(F.regexp_replace(m, rf"^(?:{TITLES})\.?\x20", "")))
+        .when(kind_ == "phone", F.concat(F.coalesce(F.nullif(_country(m), F.lit("")), F.lit("1")), F.lit("-"), _national(m)))
+        .when(kind_ == "person", F.lower(_names(m)["names"]))
         .when(kind_ == "iban", F.regexp_replace(m, " ", ""))
         .when(kind_ == "secret", F.lower(F.regexp_replace(m, _VALUE, "$2")))
         .otherwise(m)
     )
 
 
-def _unit(text: Column, tweak: Column, hex_: Column | None = None) -> Column:
-    """A lower-case text to permute. All kinds share one permutation in the plan, over arrays of these."""
-    return F.struct(text.alias("text"), tweak.alias("tweak"), (F.lit(False) if hex_ is None else hex_).alias("hex"))
+def _unit(text: Column, tweak: Column, secret: bool = False, name: bool = False, keep: Column | None = None) -> Column:
+    """A lower-case text to permute, and how many of its last letters stay. All kinds share one permutation in the plan."""
+    return F.struct(text.alias("text"), tweak.alias("tweak"), F.lit(secret).alias("secret"), F.lit(name).alias("name"), (F.lit(0) if keep is None else keep).alias("keep"))
+
 
+def _names(m: Column) -> Column:
+    """The title before a person's names, the names, and the title after them."""
+    before = F.regexp_extract(m, rf"^(?:{TITLES})\.?\x20", 0)
+    after = F.regexp_extract(m, rf"(?<=[\p{{IsHan}}\p{{IsHangul}}\p{{IsKatakana}}ー])(?:{AFTER})$", 0)
+    cut = lambda b, a: F.substring(m, F.char_length(b) + 1, F.char_length(m) - F.char_length(b) - F.char_length(a))
+    return let(F.struct(before.alias("before"), after.alias("after")), lambda x: F.struct(x["before"].alias("before"), cut(x["before"], x["after"]).alias("names"), x["after"].alias("after")))
 
-def _names(m: Column) -> tuple[Column, Column]:
-    title = F.regexp_extract(m, rf"^(?:{TITLES})\.?\x20", 0)
-    return title, F.split(F.substring(m, F.char_length(title) + 1, F.char_length(m)), " ")
+
+_PART = r"[\p{L}\p{M}]+"
+
+
+def _parts(names: Column) -> Column:
+    return F.regexp_extract_all(names, F.lit(_PART), F.lit(0))
 
 
 def _secret(m: Column) -> tuple[Column, Column]:
@@ -202,17 +292,14 @@ def _units(kind_: Column, m: Column) -> Column:
     """What of a match is permuted."""
     local = F.split_part(m, F.lit("@"), F.lit(1))
     iban = F.regexp_replace(m, " ", "")
-    # of a given name the last letter stays and turns the permutation
-    name = lambda w, i, n: F.when(i == n - 1, _unit(w, F.lit("family"))).otherwise(
-        _unit(F.substring(w, F.lit(1), F.char_length(w) - 1), F.concat(F.lit("given"), F.substring(w, -1, 1))))
-    rest = F.lower(_secret(m)[1])
+    name = lambda w: _unit(w, F.lit("name"), name=True, keep=(F.char_length(w) > 2).cast("int"))
     return (
         F.when(kind_ == "email", F.array(_unit(F.lower(local), F.concat(F.lit("local"), F.lower(F.split_part(m, F.lit("@"), F.lit(2))))), _unit(F.lower(F.regexp_extract(m, _HOST, 1)), F.lit("host"))))
-        .when(kind_ == "phone", F.array(_unit(F.substring(_digits(m), -10, 10), F.lit("phone"))))
-        .when(kind_ == "card", let(_digits(m), lambda d: F.array(_unit(F.substring(d, F.lit(2), F.char_length(d) - 2), F.concat(F.lit("card"), F.substring(d, 1, 1))))))
+        .when(kind_ == "phone", F.array(_unit(_national(m), F.lit("phone"))))
+        .when(kind_ == "card", let(_digits(m), lambda d: F.array(_unit(F.substring(d, F.lit(3), F.char_length(d) - 3), F.concat(F.lit("card"), F.substring(d, 1, 2))))))
         .when(kind_ == "iban", F.array(_unit(F.lower(F.substring(iban, F.lit(5), F.char_length(iban))), F.concat(F.lit("iban"), F.substring(iban, 1, 2)))))
-        .when(kind_ == "secret", F.array(_unit(rest, F.lit("secret"), rest.rlike("^[0-9a-f]+$"))))
-        .when(kind_ == "person", let(_names(m)[1], lambda n: F.transform(n, lambda w, i: name(F.lower(w), i, F.size(n)))))
+        .when(kind_ == "secret", F.array(_unit(F.lower(_secret(m)[1]), F.lit("secret"), secret=True)))
+        .when(kind_ == "person", F.transform(_parts(_names(m)["names"]), lambda w: name(F.lower(w))))
     )
 
 
@@ -220,11 +307,11 @@ def _assembled(kind_: Column, m: Column, new: Column, key: str) -> Column:
     """A match's surrogate, from what its units became."""
     first = F.get(new, F.lit(0))
     kept, rest = _secret(m)
-    secret = F.concat(kept, F.when(~F.lower(rest).rlike("^[0-9a-f]+$"), _recased(rest, first)).when(rest == F.lower(rest), first).otherwise(F.upper(first)))
+    secret = F.concat(kept, _recased(rest, first))
     local = F.split_part(m, F.lit("@"), F.lit(1))
     email = F.concat(_recased(local, first), F.lit("@"), _recased(F.regexp_extract(m, _HOST, 1), F.get(new, F.lit(1))), F.regexp_extract(m, _HOST, 2))
-    phone = let(_digits(m), lambda d: _filled(m, F.concat(F.substring(d, F.lit(1), F.greatest(F.lit(0), F.char_length(d) - 10)), first)))
-    card = let(F.concat(F.substring(m, 1, 1), first), lambda b: _filled(m, F.concat(b, _luhn_digit(b))))
+    phone = _filled(m, F.concat(_country(m), first))
+    card = let(F.concat(F.substring(m, 1, 2), first), lambda b: _filled(m, F.concat(b, _luhn_digit(b))))
     land = F.substring(m, 1, 2)
     iban = let(F.upper(first), lambda b: _filled(m, F.concat(land, F.lpad((98 - _mod97(F.concat(b, land, F.lit("00")))).cast("string"), 2, "0"), b)))
     ssn = let(_digits(m), lambda d: let(
@@ -233,28 +320,27 @@ def _assembled(kind_: Column, m: Column, new: Column, key: str) -> Column:
     ipv4 = let(F.transform(F.split(m, r"\."), lambda x: x.cast("int")), lambda o: let(
         _pair(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, key, "ipv4"),
         lambda p: F.concat_ws(".", F.floor(p["a"] / 256).cast("string"), (p["a"] % 256).cast("string"), F.floor(p["b"] / 256).cast("string"), (p["b"] % 256).cast("string"))))
-    title, names = _names(m)
-    female, male = title.rlike(f"^(?:{FEMALE_TITLES})[. ]"), title.rlike(f"^(?:{MALE_TITLES})[. ]")
+    known = next_names(key)
+    cycle = F.lit([list(known), list(known.values())])
 
-    def listed(known: list[str], w: Column) -> Column:
-        turn = 1 + sum(map(ord, key)) % (len(known) - 1)
-        return F.get(F.lit(known), F.pmod(F.array_position(F.lit(known), w).cast("int") - 1 + turn, F.lit(len(known))))
+    def word(w: Column, x: Column) -> Column:
+        at = F.array_position(cycle[0], F.lower(w)).cast("int")
+        return F.when(at > 0, F.when(F.lower(w) == w, F.get(cycle[1], at - 1)).when(F.upper(w) == w, F.upper(F.get(cycle[1], at - 1))).otherwise(F.initcap(F.get(cycle[1], at - 1)))).otherwise(_recased(w, x))
 
-    def given(w: Column, x: Column) -> Column:
-        a, b = w.isin(FEMALE), w.isin(MALE)
-        return F.when(a & ~(male & b), listed(FEMALE, w)).when(b & ~(female & a), listed(MALE, w)).otherwise(F.concat(x, F.substring(w, -1, 1)))
+    def person(n: Column) -> Column:
+        between = F.split(n["names"], _PART, -1)
+        one = lambda s, p: F.concat(s, F.coalesce(p, F.lit("")))
+        return F.concat(n["before"], F.array_join(F.zip_with(between, F.zip_with(_parts(n["names"]), new, word), one), ""), n["after"])
 
-    word = lambda w, x, last: _recased(w, F.when(last, x).otherwise(given(F.lower(w), x)))
-    person = F.concat(title, let(names, lambda n: F.array_join(F.transform(n, lambda w, i: word(w, F.get(new, i), i == F.size(n) - 1)), " ")))
     return (
         F.when(kind_ == "email", email).when(kind_ == "secret", secret).when(kind_ == "phone", phone).when(kind_ == "card", card)
-        .when(kind_ == "ssn", ssn).when(kind_ == "ipv4", ipv4).when(kind_ == "iban", iban).when(kind_ == "person", person)
+        .when(kind_ == "ssn", ssn).when(kind_ == "ipv4", ipv4).when(kind_ == "iban", iban).when(kind_ == "person", let(_names(m), person))
     )
 
 
 def surrogate(kind_: Column, m: Column, key: str) -> Column:
     """The surrogate of a match, in its notation."""
-    new = F.transform(_units(kind_, m), lambda u: permuted(u["text"], key, u["tweak"], u["hex"]))
+    new = F.transform(_units(kind_, m), lambda u: _walked(u, key))
     return let(new, lambda n: _assembled(kind_, m, n, key))
 
 
@@ -279,22 +365,14 @@ def collisions(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     found = _matches(docs.select(text), text).select(F.explode(F.flatten(F.transform(F.filter("_veilgrid_lines", lambda x: F.size(x["m"]) > 0), lambda x: x["m"]))).alias("m")).select(entity(F.col("m")).alias("m")).select(kind(F.col("m")).alias("kind"), "m").where(F.col("kind").isNotNull())
     distinct = found.groupBy("kind", canonical(F.col("kind"), F.col("m")).alias("entity")).agg(F.min("m").alias("m"))
     # the notation does not matter for what an entity becomes, so one of each will do
-    new = distinct.select("kind", "entity", canonical(F.col("kind"), surrogate(F.col("kind"), F.col("m"), key)).alias("surrogate"))
+    new = distinct.select("kind", "entity", let(surrogate(F.col("kind"), F.col("m"), key), lambda x: canonical(F.col("kind"), x)).alias("surrogate"))
     return new.groupBy("kind", "surrogate").agg(F.count("*").alias("entities")).where("entities > 1")
 
 
-def salted(docs: DataFrame, key: str, text: str = "text") -> str:
-    """The key with the first salt under which no two entities of ``docs`` collide."""
-    for salt in range(SALTS):
-        found = f"{key}\x1d{salt}"
-        if not collisions(docs, found, text).limit(1).collect():
-            return found
-    raise RuntimeError(f"entities collide under {SALTS} salts")
-
-
 def replace(docs: DataFrame, key: str = KEY, text: str = "text", check: bool = True) -> DataFrame:
     """``docs`` with surrogates in ``text``, and entities (kind, surrogate) and n_entities added."""
-    key = salted(docs, key, text) if check else f"{key}\x1d0"
+    if check and (found := collisions(docs, key, text).limit(1).collect()):
+        raise ValueError(f"{found[0].entities} entities of kind {found[0].kind} have one surrogate")
     rest = lambda m, e: F.substring(m, F.char_length(e) + 1, F.char_length(m))
     one = lambda m: let(entity(m), lambda e: let(F.struct(e.alias("m"), kind(e).alias("k"), rest(m, e).alias("rest")), lambda x: F.struct(
         x["k"].alias("kind"), F.when(x["k"].isNull(), x["m"]).otherwise(surrogate(x["k"], x["m"], key)).alias("surrogate"), x["rest"].alias("rest"))))
