@@ -328,7 +328,7 @@ def families(seed, n, words):
 @pytest.mark.parametrize("parts", [False, True])
 def test_components_against_all_pairs(spark, monkeypatch, parts):
     if parts:
-        monkeypatch.setattr(jaccard_join, "BLOCK_DOCS", 3)
+        monkeypatch.setattr(jaccard_join, "PART_DOCS", 3)
     texts = families(5 + parts, 60, 30 if parts else 400)
     ids = [3 * k + 1 for k in range(len(texts))]
     sets = plain_sets(texts)
@@ -355,20 +355,78 @@ def test_blocks_against_all_pairs():
         assert len(set(root)) == len(set(want))
 
 
-def test_a_signature_over_many_batches_ties_all_its_rows(monkeypatch):
+def marks_batch(part):
     import pyarrow as pa
 
+    c = list(zip(*part))
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(c, kinds)], ["sig", "node", "low", "high", "place", "other"])
+
+
+def test_a_signature_over_many_batches_ties_all_its_rows(monkeypatch):
     r = random.Random(4)
     rows = sorted((r.choice([1, 1, 1, 2, 3]), r.randrange(90, 100), k) for k in range(200))
-    batch = lambda part: pa.RecordBatch.from_arrays([pa.array([x[0] for x in part], pa.int64()), pa.array([x[2] for x in part], pa.int64()), pa.array([x[1] for x in part], pa.int32()), pa.array([50] * len(part), pa.int32())], ["sig", "node", "n", "place"])
+    rows = [(s, k, n, n, 50, None) for s, n, k in rows]
     for held in (5, 100_000):
         monkeypatch.setattr(jaccard_join, "MOST_HELD", held)
         root = list(range(200))
-        for out in jaccard_join._ties(batch(rows[i : i + 7]) for i in range(0, 200, 7)):
+        for out in jaccard_join._ties(marks_batch(rows[i : i + 7]) for i in range(0, 200, 7)):
             for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist()):
                 x, y = root[a], root[b]
                 root = [min(x, y) if z in (x, y) else z for z in root]
-        assert len({root[x[2]] for x in rows}) == 3 and all(len({root[x[2]] for x in rows if x[0] == s}) == 1 for s in (1, 2, 3))
+        assert len({root[x[1]] for x in rows}) == 3 and all(len({root[x[1]] for x in rows if x[0] == s}) == 1 for s in (1, 2, 3))
+
+
+@pytest.mark.parametrize("held", [3, 100_000])
+def test_signatures_that_tasks_have_tied_lose_no_tie(monkeypatch, held):
+    """Sets of one signature, dealt to tasks that tie their own: all whose sizes a chain of others bridges are connected,
+    and others are not."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(jaccard_join, "MOST_HELD", held)
+    r = random.Random(7)
+    for turn in range(30):
+        sizes = {k: r.choice([5, 6, 7, 40, 50, 60, 70, 200, 1000]) for k in range(r.randrange(2, 80))}
+        tasks = [[k for k in sizes if r.random() < 0.5] for _ in range(4)]
+        tasks.append([k for k in sizes if not any(k in t for t in tasks)])
+        made = []
+        for t in tasks:
+            monkeypatch.setattr(jaccard_join, "_different", lambda batches: ((k, np.arange(sizes[k])) for k in t))
+            monkeypatch.setattr(jaccard_join, "signatures_of", lambda s, often, rank: np.array([7], np.int64))
+            for b in jaccard_join._signatures(None, None)(iter([])):
+                made += [tuple(c[i].as_py() for c in b.columns) for i in range(b.num_rows)]
+        assert len([x for x in made if x[5] is None]) < len(sizes) * 4 + 1
+        made.sort(key=lambda x: (x[0], x[2], x[1]))
+        root = {k: k for k in sizes}
+        for out in jaccard_join._ties(marks_batch(made[i : i + 5]) for i in range(0, len(made), 5)):
+            for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist()):
+                x, y = root[a], root[b]
+                root = {k: min(x, y) if z in (x, y) else z for k, z in root.items()}
+        order = sorted(sizes.values())
+        for a in sizes:
+            for b in sizes:
+                if sizes[a] <= sizes[b] and 5 * sizes[a] >= 4 * sizes[b] and len(sizes) > jaccard_join.SMALL:
+                    assert root[a] == root[b], (turn, sizes[a], sizes[b], order)
+
+
+def test_many_near_copies_in_parts(spark, monkeypatch):
+    """One large family of near copies, families that share its words but not enough, and links through single documents."""
+    monkeypatch.setattr(jaccard_join, "PART_DOCS", 8)
+    r = random.Random(9)
+    base = [f"w{k}" for k in range(80)]
+    texts = []
+    for k in range(150):
+        t = list(base)
+        for _ in range(r.randrange(3)):
+            t[r.randrange(80)] = f"x{r.randrange(50)}"
+        texts.append(" ".join(t))
+    for k in range(60):
+        texts.append(" ".join(base[: r.randrange(40, 80)] + [f"y{r.randrange(9)}" for _ in range(r.randrange(30))]))
+    r.shuffle(texts)
+    ids = [2 * k + 5 for k in range(len(texts))]
+    sets = plain_sets(texts)
+    got = {r.doc_id: r for r in jaccard_join.near_components(spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")).collect()}
+    assert [got[i].component_id for i in ids] == plain_components(ids, sets)
 
 
 def test_op2(spark, data, texts):

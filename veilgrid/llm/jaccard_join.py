@@ -10,18 +10,27 @@ shingles are signatures, as many as must contain one that any linked set shares
 a block is what signatures connect, directly or through others, among sets of sizes that can link. Frequent shingles come
 last in the order that says which are rarest, so that what many unlike documents share ties none of them. They are counted
 over all documents, among the shingles that can be signatures; the order knows the FREQUENT most frequent ones, a table of
-fixed size, and changes nothing in the result, only the sizes of blocks. Equal sets are one point. A block over BLOCK_DOCS documents or BLOCK_SHINGLES shingles is
-cut into parts, and each pair of parts that can link is a task of its own. In a block a document that has joined a
+fixed size, and changes nothing in the result, only the sizes of blocks. Equal sets are one point. A signature that many
+sets of a task have leaves it as one row, an interval of sizes, so that a signature of a third of all sets is a row or two
+a task.
+
+A block over PART_DOCS documents or PART_SHINGLES shingles is worked on in parts of that size, first each part by itself,
+then what is left: of each component that was found one document, in parts again, until few are left or no fewer become
+so. That makes one component of many near copies in a few rounds, each linear in them. Then the nodes above the points are
+built, a node having documents of one component, or of small ones and like sizes; two nodes whose sizes allow a link and
+that are not one component are a task, in which one tree holds both. So every link between two components is found, and a
+text moves again only where it may link with what it is not connected with. In a tree a document that has joined a
 component is held against no more of its members, so that thousands of near copies cost about a comparison each.
 
 Cases: null, empty and blank texts have no shingles, link with nothing and are their own component; texts of any length
 are taken whole; rows with equal ids count as texts of one document's id, with a row for each in the result; null ids are
 left null and give no name to a component unless alone; empty tables give no rows; other columns of the input are
-ignored."""
+ignored, whatever their names."""
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,8 +47,8 @@ NUM, DEN = 4, 5
 #: Frequent shingles that the order knows; a shingle's hash without its last bits stands for it, which can only change the
 #: order; shingles are counted in parts of COUNT_SHINGLES, and only those whose hash lies in the lowest share LOW.
 FREQUENT, DROPPED_BITS, COUNT_SHINGLES, LOW = 1 << 18, 24, 1 << 20, 0.25
-#: Bounds of a block that one task works on; groups of a point; children of a node.
-BLOCK_DOCS, BLOCK_SHINGLES, GROUPS, FANOUT = 20_000, 6_000_000, (16, 256), 32
+#: Bounds of a part of a block, which one task works on; groups of a point; children of a node; the factor between sizes of a band.
+PART_DOCS, PART_SHINGLES, GROUPS, FANOUT, BAND = 256, 1_000_000, (16, 256), 32, 1.12
 #: Blocks of a signature up to this size list their pairs, larger ones tie all to the first.
 SMALL = 8
 #: Rows of one signature that are held at once.
@@ -112,15 +121,36 @@ def signatures_of(s: np.ndarray, often: np.ndarray, rank: np.ndarray) -> np.ndar
 
 
 def _signatures(often: np.ndarray, rank: np.ndarray):
+    """sig, node, low, high, place, other: a row for each signature of a set, whose size is low and high; place is the
+    signature's among the set's. Where more than SMALL sets of a task have a signature, sets of sizes that can link are
+    tied here (other is the first of them), and a row with place -1 stands for them all."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got, size = [], 0
 
-        def out():
+        def out() -> pa.RecordBatch:
             lens = np.array([len(g) for *_, g in got])
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([g for *_, g in got])), pa.array(np.repeat(np.array([i for i, *_ in got], np.int64), lens)),
-                 pa.array(np.repeat(np.array([n for _, n, _ in got], np.int32), lens)), pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in lens]))],
-                ["sig", "node", "n", "place"])
+            sig = np.concatenate([g for *_, g in got])
+            node = np.repeat(np.array([i for i, *_ in got], np.int64), lens)
+            n = np.repeat(np.array([n for _, n, _ in got], np.int32), lens)
+            place = np.concatenate([np.arange(k, dtype=np.int32) for k in lens])
+            order = np.lexsort((node, n, sig))
+            sig, node, n, place = sig[order], node[order], n[order], place[order]
+            cut = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+            count = np.diff(np.concatenate([cut, [len(sig)]]))
+            many = np.repeat(count > SMALL, count)
+            wide = n.astype(np.int64)
+            begins = np.concatenate([[True], (sig[1:] != sig[:-1]) | (wide[:-1] * DEN < wide[1:] * NUM)])[many]
+            at = np.flatnonzero(many)[begins]
+            ends = np.flatnonzero(many)[np.concatenate([begins[1:], [True]])] if len(begins) else at
+            first = node[at][np.cumsum(begins) - 1] if len(begins) else node[:0]
+            few, tied = ~many, node[many]
+            columns = [
+                np.concatenate([sig[few], sig[at], tied]), np.concatenate([node[few], node[at], tied]), np.concatenate([n[few], n[at], np.zeros(len(tied), np.int32)]),
+                np.concatenate([n[few], n[ends], np.zeros(len(tied), np.int32)]), np.concatenate([place[few], np.full(len(at), -1, np.int32), np.zeros(len(tied), np.int32)]),
+            ]
+            other = pa.array(np.concatenate([np.zeros(len(columns[0]) - len(tied), np.int64), first]), mask=np.arange(len(columns[0])) < len(columns[0]) - len(tied))
+            return pa.RecordBatch.from_arrays([*map(pa.array, columns), other], ["sig", "node", "low", "high", "place", "other"])
 
         for node, s in _different(batches):
             got.append((node, len(s), signatures_of(s, often, rank)))
@@ -137,53 +167,66 @@ def _signatures(often: np.ndarray, rank: np.ndarray):
 # -- from signatures to blocks ----------------------------------------------------------------------------------------
 
 
+def _tie_batch(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
+    """Ties, each once and none of a node with itself."""
+    if not a:
+        return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, ["a", "b"])
+    x, y = np.concatenate(a), np.concatenate(b)
+    x, y = np.maximum(x, y), np.minimum(x, y)
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    new = (x != y) & np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+    return pa.RecordBatch.from_arrays([pa.array(x[new]), pa.array(y[new])], ["a", "b"])
+
+
 def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ties (a, b) that connect what shares a signature and may link; rows come sorted by sig, n, node."""
-    carry = tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int32, np.int32))
+    """Ties (a, b) that connect what shares a signature and may link, those that tasks have made already among them; rows
+    come sorted by sig, low, node."""
+    carry = tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int32, np.int32, np.int32))
 
     def filtered(n1, p1, n2, p2):
         low, high = np.minimum(n1, n2), np.maximum(n1, n2)
         # what comes after a first shared signature bounds the intersection
         return (low * DEN >= high * NUM) & (np.minimum(n1 - p1, n2 - p2) >= needed(n1, n2))
 
-    def of(sig, rep, n, place, goes_on: bool = False) -> pa.RecordBatch:
+    def of(sig, rep, low, high, place, goes_on: bool = False) -> pa.RecordBatch:
         """Ties of whole signatures; the first one may be the end of one that was too large to hold."""
         a, b = [], []
         if len(sig):  # copies from other tasks
-            new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (rep[1:] != rep[:-1])])
-            sig, rep, n, place = sig[new], rep[new], n[new], place[new]
+            new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (rep[1:] != rep[:-1]) | (place[1:] < 0) | (place[:-1] < 0)])
+            sig, rep, low, high, place = sig[new], rep[new], low[new], high[new], place[new]
         cut = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.empty(0, int)
         size = np.diff(np.concatenate([cut, [len(sig)]]))
-        is_large = size > SMALL
+        is_large = (size > SMALL) | (np.minimum.reduceat(place, cut) < 0 if len(cut) else np.empty(0, bool))
         is_large[:1] |= goes_on
         for k in range(2, SMALL + 1):
             rows = cut[(size == k) & ~is_large][:, None] + np.arange(k)
             if len(rows):
                 i, j = np.triu_indices(k, 1)
                 x, y = rows[:, i].ravel(), rows[:, j].ravel()
-                ok = filtered(n[x].astype(np.int64), place[x], n[y].astype(np.int64), place[y])
+                ok = filtered(low[x].astype(np.int64), place[x], low[y].astype(np.int64), place[y])
                 a.append(rep[x[ok]])
                 b.append(rep[y[ok]])
         large = np.flatnonzero(is_large)
         for start, k in zip(cut[large].tolist(), size[large].tolist()):
-            m = n[start : start + k].astype(np.int64)
             # sizes ascend: over a gap that no pair can bridge a new tie begins
-            run = np.concatenate([[0], np.cumsum(m[:-1] * DEN < m[1:] * NUM)])
+            upto = np.maximum.accumulate(high[start : start + k].astype(np.int64))
+            run = np.concatenate([[0], np.cumsum(upto[:-1] * DEN < low[start + 1 : start + k].astype(np.int64) * NUM)])
             head = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
             a.append(rep[start : start + k])
             b.append(rep[start : start + k][head[run]])
-        if not a:
-            return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, ["a", "b"])
-        a, b = np.concatenate(a), np.concatenate(b)
-        a, b = np.maximum(a, b), np.minimum(a, b)
-        order = np.lexsort((b, a))
-        a, b = a[order], b[order]
-        new = (a != b) & np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], ["a", "b"])
+        return _tie_batch(a, b)
 
     goes_on = False
     for batch in batches:
-        now = [np.concatenate([c, batch.column(i).to_numpy()]) for i, c in enumerate(carry)]
+        if not batch.num_rows:
+            continue
+        mark = np.asarray(batch.column(5).is_null())
+        columns = [batch.column(i).to_numpy() for i in range(5)]
+        if not mark.all():
+            made = batch.column(5).drop_null().to_numpy()
+            yield _tie_batch([columns[1][~mark]], [made])
+        now = [np.concatenate([c, x[mark]]) for c, x in zip(carry, columns)]
         if not len(now[0]):
             continue
         last = int(np.searchsorted(now[0], now[0][-1]))
@@ -191,9 +234,10 @@ def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield of(*(x[:last] for x in now), goes_on)
             goes_on = False
         carry = tuple(x[last:] for x in now)
-        if len(carry[0]) > MOST_HELD:  # tie what is there, and go on from its last row
+        if len(carry[0]) > MOST_HELD:  # tie what is there, and go on from its last row and largest size
             yield of(*carry, True)
-            carry, goes_on = tuple(x[-1:] for x in carry), True
+            sig, rep, low, high, place = (x[-1:].copy() for x in carry)
+            carry, goes_on = (sig, rep, low, np.array([carry[3].max()], np.int32), np.full(1, -1, np.int32)), True
     if len(carry[0]):
         yield of(*carry, goes_on)
 
@@ -231,9 +275,11 @@ class RTree:
         return nodes[ok], share[ok]
 
 
-def link_block(members: list[np.ndarray]) -> list[tuple[int, int]]:
+def link_block(members: list[np.ndarray], known: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links (places of members) that connect what links within a block, as few as connect it: no link between two
-    components of the result exists."""
+    components of the result exists. Members with equal labels in ``known`` are connected already."""
+    if not members:
+        return []
     sizes = np.array([len(s) for s in members], np.int64)
     groups = min(GROUPS[1], max(GROUPS[0], 1 << int(np.ceil(np.log2(max(1.0, sizes.mean() / 4))))))
     flat = np.concatenate(members)
@@ -246,12 +292,15 @@ def link_block(members: list[np.ndarray]) -> list[tuple[int, int]]:
     start = np.concatenate([[0], np.cumsum(sizes)])
     points, ordered = points[order], sizes[order]
     tree = RTree(points, ordered)
-    root = np.arange(len(members))
+    root = np.arange(len(members)) if known is None else np.unique(known[order], return_inverse=True)[1]
     mark = np.zeros(int(ids.max()) + 1 if len(ids) else 1, bool)
     out = []
     for i in range(1, len(order)):
         found, share = tree.search(points[i], int(ordered[i]), i)
         found = found[np.argsort(-share, kind="stable")]
+        found = found[root[found] != root[i]]
+        if not len(found):
+            continue
         own = ids[start[order[i]] : start[order[i] + 1]]
         mark[own] = True
         step = 4
@@ -274,11 +323,12 @@ _SPREAD = np.uint64(0xD6E8FEB86659FD93)
 
 
 def _link_group(table: pa.Table) -> pa.Table:
-    reps = table.column("rep").to_pylist()
+    """Links between the labels ``c`` of a group's rows."""
+    labels = table.column("c").to_numpy()
     texts = table.column("text").combine_chunks()
     texts = texts if isinstance(texts, pa.Array) else pa.concat_arrays(texts.chunks)
-    links = link_block(list(sets(texts)))
-    return pa.table({"a": pa.array([reps[i] for i, _ in links], pa.int64()), "b": pa.array([reps[j] for _, j in links], pa.int64())})
+    links = link_block(list(sets(texts)), labels)
+    return pa.table({"a": pa.array([int(labels[i]) for i, _ in links], pa.int64()), "b": pa.array([int(labels[j]) for _, j in links], pa.int64())})
 
 
 # -- the join ---------------------------------------------------------------------------------------------------------
@@ -294,15 +344,14 @@ def near_components(docs: DataFrame) -> DataFrame:
     table = seen.orderBy(F.desc("seen"), "shingle").limit(FREQUENT).toArrow().sort_by("shingle")
     often, rank = (table.column(c).to_numpy() for c in ("shingle", "seen"))
 
-    marks = texts.mapInArrow(_signatures(often, rank), "sig long, node long, n int, place int")
-    ties = marks.repartition("sig").sortWithinPartitions("sig", "n", "node").mapInArrow(_ties, "a long, b long")
+    marks = texts.mapInArrow(_signatures(often, rank), "sig long, node long, low int, high int, place int, other long")
+    ties = marks.repartition("sig").sortWithinPartitions("sig", "low", "node").mapInArrow(_ties, "a long, b long")
     blocks = components(ties)
 
     # one document of each set, the one with the smallest id
     reps = written(described.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("node").alias("node")), "reps")
     members = written(blocks.join(reps, "node").select("rep", "root", "n"), "members")
-    roots = components(_links(rows, members))
-    named = reps.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("key", F.coalesce("root", "rep").alias("root"))
+    named = reps.join(_roots(rows, members), "rep", "left").select("key", F.coalesce("c", "rep").alias("root"))
     out = described.join(named, "key", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("root", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
@@ -329,12 +378,73 @@ def _only(ids: DataFrame, rows: DataFrame) -> DataFrame:
     return rows.where("doc_id is not null").withColumn("p", at("doc_id")).mapInArrow(run, "doc_id long, text string")
 
 
-def _links(rows: DataFrame, members: DataFrame) -> DataFrame:
-    """Links that connect what links within blocks. A large block is cut into parts by a hash of its documents, and each
-    pair of parts is a group; the parts follow from the block's size alone."""
-    totals = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"))
-    parted = members.join(totals, "root").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    groups = parted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-        F.col("rep").alias("doc_id"), "root", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
-    texts = _only(members, rows).join(groups.hint("shuffle_hash"), "doc_id").select(F.col("doc_id").alias("rep"), "text", "root", "p", "q")
+def _linked(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Links between labels, as few as connect what links within groups (doc_id, root, p, q, c)."""
+    texts = _only(groups.select(F.col("doc_id").alias("rep")), rows).join(groups.hint("shuffle_hash"), "doc_id").select("text", "root", "p", "q", "c")
     return texts.groupBy("root", "p", "q").applyInArrow(_link_group, "a long, b long")
+
+
+def _parts(count: str, shingles: str | None = None):
+    """How many parts a block needs."""
+    parts = F.ceil(F.col(count) / PART_DOCS)
+    return (F.greatest(parts, F.ceil(F.col(shingles) / PART_SHINGLES)) if shingles else parts).cast("int")
+
+
+def _roots(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """rep, c: the smallest member of its component, for members (rep, root, n) that link with any."""
+    totals = members.groupBy("root").agg(F.count("*").alias("k"), F.sum("n").alias("s")).select("root", _parts("k", "s").alias("parts"))
+    parted = members.join(totals.hint("rebalance"), "root")
+    part = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
+    first = components(_linked(rows, parted.select(F.col("rep").alias("doc_id"), "root", part.alias("p"), F.lit(0).alias("q"), F.col("rep").alias("c"))))
+    first = first.select(F.col("node").alias("rep"), F.col("root").alias("c"))
+    large = parted.where("parts > 1").select("rep", "root", "n")
+    if large.isEmpty():
+        return first
+    labels = written(large.join(first, "rep", "left").select("rep", "root", "n", F.coalesce("c", "rep").alias("was")).withColumn("c", F.col("was")), "labels")
+    labels = _between(rows, _leaders(rows, labels))
+    moved = labels.where("was <> c").select("was", "c").distinct()
+    every = first.unionByName(labels.select("rep", F.col("was").alias("c"))).distinct().withColumnRenamed("c", "was")
+    return every.join(moved.hint("rebalance"), "was", "left").select("rep", F.coalesce("c", "was").alias("c"))
+
+
+def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    new = components(links).select(F.col("node").alias("c"), F.col("root").alias("new"))
+    return written(labels.join(new.hint("rebalance"), "c", "left").select("rep", "root", "n", "was", F.coalesce("new", "c").alias("c")), "labels")
+
+
+def _leaders(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Labels after components have been connected through one document of each, in rounds."""
+    turn = 0
+    while True:
+        leaders = labels.where("rep = c")
+        counts = leaders.groupBy("root").agg(F.count("*").alias("k"), F.sum("n").alias("s")).where("k > 1").select("root", "k", _parts("k", "s").alias("parts"))
+        before = counts.agg(F.sum("k"), F.max("parts")).first()
+        if not before[0]:
+            return labels
+        part = F.pmod(F.xxhash64("rep", F.lit(turn)), F.col("parts")).cast("int")
+        groups = leaders.join(counts.hint("rebalance"), "root").select(F.col("rep").alias("doc_id"), "root", part.alias("p"), F.lit(-1 - turn).alias("q"), "c")
+        labels, turn = _relabelled(labels, _linked(rows, groups)), turn + 1
+        if before[1] == 1 or 2 * labels.where("rep = c").join(counts.hint("rebalance"), "root").count() > before[0]:
+            return labels
+
+
+def _between(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Labels after every link between two components of a block has been found: between nodes of which at most one
+    component is known, where sizes allow a link and they are not the same component."""
+    sizes = labels.groupBy("root", "c").agg(F.count("*").alias("k"))
+    more = sizes.groupBy("root").agg(F.count("*").alias("components")).where("components > 1").select("root")
+    if more.isEmpty():
+        return labels
+    own = labels.join(more.hint("rebalance"), "root").join(sizes.hint("rebalance"), ["root", "c"])
+    band = F.floor(F.log("n") / math.log(BAND))
+    own = own.withColumn("key", F.when(F.col("k") >= PART_DOCS, F.xxhash64(F.lit("component"), "c")).otherwise(F.xxhash64(F.lit("band"), band)))
+    keys = own.groupBy("root", "key").agg(F.count("*").alias("m"), F.sum("n").alias("s")).select("root", "key", _parts("m", "s").alias("subs"))
+    placed = own.join(keys.hint("rebalance"), ["root", "key"])
+    placed = written(placed.select("rep", "root", "n", "c", F.xxhash64("key", F.pmod(F.xxhash64("rep"), F.col("subs"))).alias("node")), "nodes")
+    nodes = placed.groupBy("root", "node").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("c").alias("c1"), F.max("c").alias("c2"))
+    one, two = (nodes.select("root", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "low", "high", "c1", "c2"))) for x in "pq")
+    pairs = one.join(two, "root").where(
+        f"node_p <= node_q and low_p * {NUM} <= high_q * {DEN} and low_q * {NUM} <= high_p * {DEN} and not (c1_p = c2_p and c1_q = c2_q and c1_p = c1_q)")
+    sides = pairs.select("root", F.col("node_p").alias("p"), F.col("node_q").alias("q"), F.explode(F.array_distinct(F.array("node_p", "node_q"))).alias("node"))
+    groups = placed.join(sides, ["root", "node"]).select(F.col("rep").alias("doc_id"), "root", "p", "q", "c")
+    return _relabelled(labels, _linked(rows, groups))
