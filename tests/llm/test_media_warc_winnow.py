@@ -272,11 +272,10 @@ def test_ranges_of_a_file_have_each_record_once(spark, tmp_path, split):
 
 
 def plain_hash(gram, k):
-    if len(gram) < k:
-        return xxhash.xxh64_intdigest(gram, seed=42) >> (winnow.PLACE_BITS + 1)
-    h = 0
-    for b in gram:
-        h = (h << 1 & (1 << 64) - 1) ^ xxhash.xxh64_intdigest(bytes([b]), seed=42)
+    number = lambda b: xxhash.xxh64_intdigest(b, seed=42)
+    if len(gram) < k or k % 2:
+        return number(gram) >> (winnow.PLACE_BITS + 1)
+    h = (number(gram[: k // 2]) << k // 2 & (1 << 64) - 1) ^ number(gram[k // 2 :])
     return h >> (winnow.PLACE_BITS + 1)
 
 

@@ -4,9 +4,9 @@ The bytes of a text give a k-gram at each place; each is hashed. In every window
 chosen, of equal ones the rightmost. So any passage of at least w + k - 1 bytes that two texts share gives them a common
 fingerprint, and the places of the fingerprints say where it is.
 
-The hash rolls by doubling, as Spark has no running fold over arrays that is linear: each byte has a random number, and
-the hash of a gram of a + b bytes is that of its first a, moved by b bits, with that of the b after them added without
-carry. So a gram of 16 bytes costs four such steps, and what a text costs grows with its length and log k, not with k.
+The hash rolls by halves: of a gram of even length the first half's hash, moved by as many bits, with the second half's
+added without carry. A half's hash serves the two grams it ends and begins. Spark has no running fold over arrays that is
+linear; to roll on down to single bytes, by doubling, costs more than it spares (README).
 
 A hash and its place are one number, hash first and place counted down, so that the least number is the least hash with
 the rightmost place; the least of each window comes from growing windows: 1, 4, 16, ... w. Texts are worked off in
@@ -41,30 +41,22 @@ def _wider(steps: list[int]):
     return lambda m: F.transform(m, lambda x, i: F.least(x, *[F.get(m, i + j) for j in steps]))
 
 
-def _grams(symbols: Column, k: int) -> Column:
-    """The hashes of all grams of k symbols, from those of 1, 2, 4, ... symbols."""
-
-    def joined(a: Column, b: Column, first: int, second: int) -> Column:
-        whole = F.slice(a, F.lit(1), F.greatest(F.lit(0), F.size(a) - second))
-        return F.transform(whole, lambda x, i: F.shiftleft(x, second).bitwiseXOR(F.get(b, i + first)))
-
-    def grown(power: Column, size: int, done: Column | None, length: int) -> Column:
-        if k & size:
-            done, length = (joined(done, power, length, size), length + size) if length else (power, size)
-        if length == k:
-            return done
-        go = lambda p, d: let(joined(p, p, size, size), lambda q: grown(q, 2 * size, d, length))
-        return let(done, lambda d: go(power, d)) if k & size else go(power, done)
-
-    return let(symbols, lambda p: grown(p, 1, None, 0))
+def _grams(piece: Column, k: int) -> Column:
+    """The hashes of all grams of a piece."""
+    half = k if k % 2 else k // 2
+    n = F.greatest(F.lit(1), F.octet_length(piece) - (half - 1))
+    halves = F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.substring(piece, i, F.lit(half))))
+    if half == k:
+        return halves
+    whole = lambda a: F.slice(a, F.lit(1), F.greatest(F.lit(0), F.size(a) - half))
+    return let(halves, lambda a: F.transform(whole(a), lambda x, i: F.shiftleft(x, half).bitwiseXOR(F.get(a, i + half))))
 
 
 def _segment(piece: Column, k: int, w: int) -> Column:
     """The chosen numbers of a piece, in order of their places."""
     top = (1 << PLACE_BITS) - 1
     n = F.octet_length(piece)
-    byte = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n)), lambda i: F.xxhash64(F.substring(piece, i, F.lit(1))))
-    hashed = F.when(n < k, F.array(F.xxhash64(piece))).otherwise(_grams(byte, k))
+    hashed = F.when(n < k, F.array(F.xxhash64(piece))).otherwise(_grams(piece, k))
     least = F.transform(hashed, lambda x, i: F.shiftleft(F.shiftrightunsigned(x, PLACE_BITS + 1), PLACE_BITS).bitwiseOR(top - 1 - i))
     size = 1
     while size < w:  # the least of each window from those of two to four smaller ones that cover it
