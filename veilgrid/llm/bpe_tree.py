@@ -31,9 +31,9 @@ from pyspark.sql import DataFrame
 from veilgrid.llm.common import Known, remembering
 
 #: Characters of a leaf of a text, and of a window's first half; bytes of a leaf of a piece.
-LEAF, WINDOW, BYTES = 1024, 32, 32
+LEAF, WINDOW, BYTES = 2048, 32, 32
 #: Pieces, and borders, that a worker remembers. Beyond it the memory starts anew.
-CACHE = 800_000
+CACHE = 1_500_000
 _STABLE = re.compile(r"(?<=[^\W_])(?=[ \n])")
 _CODECS: dict[tuple[str, str], "TreeCodec"] = {}
 _NEVER = 1 << 62
