@@ -85,7 +85,7 @@ def marks(found: Column) -> Column:
     """place (byte, from 0) and hash of each of a fingerprint's numbers, in order. The first of a segment may be the last
     of the one before and then counts once."""
     each = F.flatten(F.transform(found, lambda x, s: F.transform(x, lambda y: _mark(y, s.cast("long") * SEGMENT))))
-    return F.when(F.size(found) < 2, each).otherwise(let(each, lambda m: F.filter(m, lambda x, i: (i == 0) | (x["place"] != F.get(m, F.greatest(i - 1, F.lit(0)))["place"]))))
+    return let(each, lambda m: F.filter(m, lambda x, i: (i == 0) | (x["place"] != F.get(m, F.greatest(i - 1, F.lit(0)))["place"])))
 
 
 def _mark(number: Column, start: Column) -> Column:
