@@ -18,9 +18,13 @@ def test_settings(tmp_path):
 
 
 def test_manifests():
-    good = {"id": "a", "version": "1.0.0", "kind": "auth-provider", "runtime": "worker-isolated", "capabilities": dict.fromkeys(config.CAPABILITIES, False)}
-    assert config.manifest_errors(good) == []
-    assert config.manifest_errors({**good, "kind": "audit-sink"}) and config.manifest_errors({**good, "capabilities": {}}) and config.manifest_errors({})
+    good = {"id": "a", "version": "1.0.0", "kind": "audit-sink", "runtime": "manifest-only", "entrypoint": "x", "compatibility": {"core": "1"}, "capabilities": dict.fromkeys(config.CAPABILITIES, False)}
+    assert config.manifest_errors(good) == config.manifest_errors({"r": good}, "r") == []
+    for bad in ({"kind": "x"}, {"capabilities": {}}, {"runtime": "x"}, {"entrypoint": ""}, {"compatibility": None}, {"dataHandling": {"logsRawPayload": True}}, {"capabilities": {**good["capabilities"], "networkEgress": True, "readsPlaintext": True}}):
+        assert config.manifest_errors({**good, **bad}), bad
+    loaded = {**good, "kind": "authProvider", "runtime": "worker-isolated", "signature": "abc=", "entrySha256": "0" * 64}
+    assert config.manifest_errors(loaded) == []
+    assert config.manifest_errors({**loaded, "kind": "audit-sink"}) and config.manifest_errors({**loaded, "entrySha256": "x"}) and config.manifest_errors({})
 
 
 def test_bundles_and_keys():

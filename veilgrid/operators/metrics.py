@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 from veilgrid.functions.text import label_value
 
 # -- fixed values --
-BUCKETS = (5, 10, 25, 50, 100, 250, 500, 1000, 2500, 5000, 10000)
+BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1, 2.5, 5, 10)
 # -- end of fixed values --
 EPSILON = 1e-9
 #: Budget of random nonces of a key, the share at which to warn, and how many a writer reserves at once.
 NONCES, NONCE_WARNING, NONCE_BLOCK = 1 << 32, 1 << 31, 1 << 20
 
 
+def bound_name(b: float) -> str:
+    """The column of a bound's count."""
+    return f"le_{b}".replace(".", "_")
+
+
 def counters(rows: DataFrame, labels: list[str], amount: Column | None = None, declared: list[str] | None = None, name: str = "name") -> DataFrame:
     """Sums by cleaned labels; counters that are not declared are passed over."""
     kept = rows if declared is None else rows.where(F.col(name).isin(declared))
@@ -23,8 +28,8 @@ def counters(rows: DataFrame, labels: list[str], amount: Column | None = None, d
 
 
 def histogram(rows: DataFrame, value: str, by: list[str], buckets: tuple = BUCKETS) -> DataFrame:
-    """A row for each group: cumulative counts le_<bound>, sum and count, in one pass."""
-    counts = [F.count_if(F.col(value) <= b).alias(f"le_{b}") for b in buckets]
+    """A row for each group: cumulative counts le_<bound> (a point becomes a line), sum and count, in one pass."""
+    counts = [F.count_if(F.col(value) <= b).alias(bound_name(b)) for b in buckets]
     return rows.groupBy(*by).agg(*counts, F.sum(value).alias("sum"), F.count(value).alias("count"))
 
 
@@ -34,7 +39,7 @@ def exposition(found: DataFrame, metric: str, by: list[str], buckets: tuple = BU
     labels = F.concat_ws(",", *(F.concat(F.lit(f'{c}="'), esc(c), F.lit('"')) for c in sorted(by)))
     comma = F.lit("," if by else "")
     bound = lambda b, c: F.concat(F.lit(f"{metric}_bucket{{"), labels, comma, F.lit(f'le="{b}"}} '), F.col(c).cast("string"))
-    lines = [bound(b, f"le_{b}") for b in buckets] + [bound("+Inf", "count"), F.concat(F.lit(f"{metric}_sum{{"), labels, F.lit("} "), F.col("sum").cast("string")), F.concat(F.lit(f"{metric}_count{{"), labels, F.lit("} "), F.col("count").cast("string"))]
+    lines = [bound(b, bound_name(b)) for b in buckets] + [bound("+Inf", "count"), F.concat(F.lit(f"{metric}_sum{{"), labels, F.lit("} "), F.col("sum").cast("string")), F.concat(F.lit(f"{metric}_count{{"), labels, F.lit("} "), F.col("count").cast("string"))]
     head = found.sparkSession.createDataFrame([(0, "", 0, f"# HELP {metric} {metric}"), (0, "", 1, f"# TYPE {metric} histogram")], "part int, series string, place int, line string")
     body = found.select(F.lit(1).alias("part"), labels.alias("series"), F.posexplode(F.array(*lines)).alias("place", "line"))
     return head.unionByName(body).orderBy("part", "series", "place").select("line")
