@@ -119,3 +119,22 @@ def test_nulls_and_empty_tables(spark):
     got = [r.s if r.s is None else len(r.s) for r in df.select(detect.spans(F.col("t")).alias("s")).collect()]
     assert got == [None, 0, 1]
     assert df.limit(0).select(detect.spans(F.col("t")).alias("s")).collect() == []
+
+
+def test_flags_of_custom_rules():
+    found = lambda flags, pattern, text: [text[a:b] for a, b in detect.matches(custom_rule("x", "y", pattern, flags), text)]
+    assert found("g", "^b", "a\nb") == [] and found("gm", "^b", "a\nb") == ["b"]
+    assert found("g", "a.b", "a\nb") == [] and found("gs", "a.b", "a\nb") == ["a\nb"]
+    assert found("gy", "a", "aaba") == ["a", "a"] and found("gi", "A", "a") == ["a"]
+
+
+def test_rules_that_are_passed_over_have_no_match():
+    """Of every rule that ``able`` leaves out, no match exists."""
+    import random
+
+    r = random.Random(3)
+    bits = ["a@b.com", "010-1234-5678", "900101-1234568", "4111 1111 1111 1111", "123-45-6789", "DE89370400440532013000", "12345678Z", "X1234567L", "S1234567D", "AB123456C", "111222333", "(212) 555-1234", "+82 10 1234 5678", "RSSMRA85T10A562S", "key = abcdefghijklm1", "Bearer abcdefghijklmnopq", "2 5 5 0 8 1", "255081416802538", "+1234567", "-", " ", "x", "sk_abc", "AC" + "0" * 32]
+    for _ in range(2000):
+        text = r.choice(["", " "]).join(r.choices(bits, k=r.randrange(1, 5)))
+        ids = {rule.id for _, rule in detect.able(RULES, text)}
+        assert all(rule.id in ids or not list(detect.matches(rule, text)) for rule in RULES), text

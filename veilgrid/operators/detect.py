@@ -30,7 +30,7 @@ _SPACE = "[\t\n\x0b\x0c\r    -     　﻿]"
 
 @lru_cache(maxsize=None)
 def _compiled(rule: Rule) -> tuple[re.Pattern, re.Pattern | None]:
-    flags = re.ASCII | (re.IGNORECASE if rule.ignore_case else 0)
+    flags = re.ASCII | (re.IGNORECASE if rule.ignore_case else 0) | (re.MULTILINE if rule.multiline else 0) | (re.DOTALL if rule.dotall else 0)
     spaced = lambda p: p.replace(r"[-\s]", f"[-{_SPACE[1:]}").replace(r"[-.\s]", f"[-.{_SPACE[1:]}").replace(r"\s", _SPACE)
     return re.compile(spaced(rule.pattern), flags), re.compile(spaced(rule.after), flags) if rule.after else None
 
@@ -38,6 +38,12 @@ def _compiled(rule: Rule) -> tuple[re.Pattern, re.Pattern | None]:
 def matches(rule: Rule, text: str) -> Iterator[tuple[int, int]]:
     """Places of a rule's matches, left to right without overlap, not yet checked."""
     pattern, after = _compiled(rule)
+    if rule.sticky:
+        at = 0
+        while (m := pattern.match(text, at)) and m.end() > at:
+            yield m.span()
+            at = m.end()
+        return
     if after is None:
         for m in pattern.finditer(text):
             yield m.span()
@@ -60,8 +66,39 @@ def matches(rule: Rule, text: str) -> Iterator[tuple[int, int]]:
             done = m.end()
 
 
-def _first(rules: Iterable[Rule], text: str) -> Iterator[tuple[int, Rule]]:
+#: What a text must have for a built-in rule to match, by the rule's id; rules without one run over every text.
+_SIGNS = {
+    "email": "@", "openai-like-key": "k_", "github-token": "gh", "google-api-key": "AIza", "slack-token": "xox", "anthropic-api-key": "sk-ant-", "openai-api-key": "sk-",
+    "google-oauth-client-secret": "GOCSPX-", "sendgrid-api-key": "SG.", "npm-token": "npm_", "jwt": "eyJ", "pem-private-key": "-----BEGIN", "bearer-token": "Bearer", "e164-phone": "+",
+}
+#: The digits that a match of a rule has at least, one after another but for the marks that may stand between them.
+_RUNS = {
+    "kr-phone": 9, "kr-rrn-like": 13, "card-like": 13, "us-ssn": 9, "jp-mynumber": 12, "fr-nir": 6, "es-dni-nie": 7, "sg-nric": 7, "in-aadhaar": 12, "de-steuer-id": 11, "nl-bsn": 9, "uk-nino": 6,
+    "us-phone": 10, "it-codice-fiscale": 2, "iban": 2, "e164-phone": 7,
+}
+_RUN = re.compile(r"[0-9](?:[^0-9A-Za-z]{0,4}[0-9])*")
+_DIGIT = re.compile("[0-9]")
+
+
+def able(rules: Iterable[Rule], text: str) -> Iterator[tuple[int, Rule]]:
+    """The rules, with their numbers, that could match a text. Most texts have no sign of most rules, and one look for the
+    longest run of digits spares them the patterns of all numbers."""
+    longest = None
     for k, rule in enumerate(rules):
+        if rule.id in _SIGNS and _SIGNS[rule.id] not in text:
+            continue
+        if rule.id in _RUNS:
+            if longest is None:
+                longest = max((len(_DIGIT.findall(run)) for run in _RUN.findall(text)), default=0)
+            if longest < _RUNS[rule.id]:
+                continue
+        elif rule.id == "assignment-secret" and ":" not in text and "=" not in text:
+            continue
+        yield k, rule
+
+
+def _first(rules: Iterable[Rule], text: str) -> Iterator[tuple[int, Rule]]:
+    for k, rule in able(rules, text):
         if any(validated(rule, text[a:b]) for a, b in matches(rule, text)):
             yield k, rule
 
@@ -142,15 +179,15 @@ def scan(text: str, kind: str, rules: tuple[Rule, ...], direction: str, numbers:
     else:
         spared = marker_spans(text, rules) if direction == "response" else []
         out = []
-        for k, rule in enumerate(rules):
+        for k, rule in able(rules, folded):
             for a, b in matches(rule, folded):
                 if b > a and validated(rule, folded[a:b]) and not any(a < y and b > x for x, y in spared):
                     out.append((rule.type, rule.id, k, a, b, rule.confidence, text[a:b]))
         out = greedy(out)
     if decode and kind != "number" and (inner := decoded(text)) is not None:
-        able = [(k, r) for k, r in enumerate(rules) if r.decodes]
-        numbers_ = {r.id: k for k, r in able}
-        out += whole(first_of_type((numbers_[r.id], r) for _, r in _first([r for _, r in able], inner)))
+        inside = [(k, r) for k, r in enumerate(rules) if r.decodes]
+        numbers_ = {r.id: k for k, r in inside}
+        out += whole(first_of_type((numbers_[r.id], r) for _, r in _first([r for _, r in inside], inner)))
     return out
 
 

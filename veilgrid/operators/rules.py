@@ -23,6 +23,10 @@ class Rule:
     direction: str | None = None
     #: Of an assignment: the key that stands before the value; the match itself is the value alone.
     after: str | None = None
+    multiline: bool = False
+    dotall: bool = False
+    #: Whether a match must begin where the one before ended, the first at the text's begin.
+    sticky: bool = False
 
     @property
     def decodes(self) -> bool:
@@ -30,8 +34,8 @@ class Rule:
         return self.type in HARD_TYPES or (self.check is not None and self.type != "phone")
 
 
-_KEYS = r"api[_-]?key|api[_-]?secret|secret[_-]?key|secret|aws[_-]?secret[_-]?access[_-]?key|client[_-]?secret|private[_-]?key|access[_-]?token|refresh[_-]?token|auth[_-]?token|accountkey|token|password"
 # -- fixed values: rules in the order that breaks ties --
+_KEYS = r"api[_-]?key|api[_-]?secret|secret[_-]?key|secret|aws[_-]?secret[_-]?access[_-]?key|client[_-]?secret|private[_-]?key|access[_-]?token|refresh[_-]?token|auth[_-]?token|accountkey|token|password"
 RULES: tuple[Rule, ...] = (
     Rule("email", "email", r"\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b", 0.95, True),
     Rule("kr-phone", "phone", r"(?<![\w+-])(?:\+82[-\s]?)?0?1[016789][-.\s]?\d{3,4}[-.\s]?\d{4}(?![\w-])", 0.9, check="kr_phone"),
@@ -88,7 +92,8 @@ def custom_rule(id: str, type: str, pattern: str, flags: str = "g", confidence:
     if set(flags) - set("dgimsuvy"):
         raise ValueError(f"unknown flags: {flags}")
     re.compile(pattern)
-    return Rule(id, type, pattern, confidence, "i" in flags)
+    # d and g change no match, and texts are code points without u or v
+    return Rule(id, type, pattern, confidence, "i" in flags, multiline="m" in flags, dotall="s" in flags, sticky="y" in flags)
 
 
 def validated(rule: Rule, text: str) -> bool:
