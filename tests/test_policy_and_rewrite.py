@@ -111,3 +111,35 @@ def test_json_is_protected(spark):
     got = {r.id: r for r in trees.protect_json(df, "t", P.build(mode="enforce")).collect()}
     assert json.loads(got[1].out) == {"m": "[REDACTED:email]", "[REDACTED:email]": "[REDACTED:card]"}
     assert got[2].error == "invalid_json" and got[2].blocked and got[3].out is None
+
+
+def test_json_allow_lists_paths_tokens_and_seals(spark):
+    import hashlib
+    import hmac
+
+    from veilgrid.operators import policy as P, trees
+
+    doc = '{"a": "x@y.com", "b": ["x@y.com", {"c": "z@y.com 4111111111111111"}]}'
+    rows = spark.createDataFrame([(1, doc)], "id int, j string")
+    policy = P.build(actions={"email": "redact", "card": "redact"}, default="allow", mode="enforce")
+    at = {p: trees.safe_path(p) for p in (("a",), ("b", 0), ("b", 1, "c"))}
+    out = lambda allow, **how: trees.protect_json(rows, "j", how.pop("policy", policy), allow=allow, **how).first()
+    assert out([]).out.count("[REDACTED:email]") == 3
+    one = out([{"value": "x@y.com", "path": at["a",]}])
+    assert one.out.startswith('{"a": "x@y.com"') and one.out.count("[REDACTED:email]") == 2
+    assert [(f.path, f.type) for f in one.found] == [(at["b", 0], "email"), (at["b", 1, "c"], "email"), (at["b", 1, "c"], "card")]
+    by_path = out([{"path": at["b", 1, "c"]}])
+    assert "z@y.com [REDACTED:card]" in by_path.out and by_path.out.count("[REDACTED:email]") == 2  # a hard type is never spared
+    assert out(["x@y.com"]).out.count("x@y.com") == 2 and out(["4111111111111111"]).out.count("REDACTED:card") == 1
+    key = b"k" * 32
+    tokens = out([], policy=P.build(actions={"email": "tokenize", "card": "redact"}, default="allow", mode="enforce"), key=key)
+    want = ["tok_email_" + hmac.new(key, f"email:{v}".encode(), hashlib.sha256).hexdigest()[:32] for v in ("x@y.com", "z@y.com")]
+    assert tokens.issued == want and tokens.out.count(f"[TOKEN:{want[0]}]") == 2
+    sealed = out([], policy=P.build(actions={"email": "encrypt", "card": "encrypt"}, default="allow", mode="enforce"), sealing_key=key)
+    assert sealed.out.count("[SEALED:") == 4 and "@y.com" not in sealed.out and "" not in sealed.out
+    from veilgrid.operators import detect
+
+    import json
+
+    inner = json.loads(sealed.out)["a"]
+    assert detect.marker_spans(inner, detect.rules_for("response")) == [(0, len(inner))]

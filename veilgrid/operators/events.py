@@ -34,9 +34,11 @@ EVENT = (
 UUID = "(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 
 
-def event_columns(policy, protocol: str, operation: str, timestamp: Column, event_id: Column, payload: Column | None = None, decided: str = "decided") -> dict[str, Column]:
-    """Columns of an event for rows that ``protect`` made; no text of the payload is among them."""
-    found = F.transform(decided, lambda s: F.struct(s["type"].alias("type"), s["rule_id"].alias("rule_id"), F.lit("$").alias("path"), F.lit("value").alias("kind"), s["confidence"].alias("confidence"), s["action"].alias("action"), F.lit(policy.enforced).alias("enforced")))
+def event_columns(policy, protocol: str, operation: str, timestamp: Column, event_id: Column, payload: Column | None = None, decided: str = "decided", located: bool = False) -> dict[str, Column]:
+    """Columns of an event for rows that ``protect`` made, or, with ``located``, those of ``found`` that ``protect_json``
+    made, which say where in the payload they are; no text of the payload is among them."""
+    path, kind = (lambda s: s["path"], lambda s: s["kind"]) if located else (lambda s: F.lit("$"), lambda s: F.lit("value"))
+    found = F.transform(decided, lambda s: F.struct(s["type"].alias("type"), s["rule_id"].alias("rule_id"), path(s).alias("path"), kind(s).alias("kind"), s["confidence"].alias("confidence"), s["action"].alias("action"), F.lit(policy.enforced).alias("enforced")))
     return {
         "schema_version": F.lit("1"), "id": event_id, "timestamp": F.date_format(timestamp, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), "protocol": F.lit(protocol), "operation": F.lit(operation),
         "mode": F.lit(policy.mode), "enforced": F.lit(policy.enforced), "detections": found, "payload_shape_hash": shape_hash(payload) if payload is not None else F.lit(None).cast("string"),

@@ -166,26 +166,35 @@ def rewrite_tree(value, change, path: tuple = ()):
     return out
 
 
-def protect_json(rows: DataFrame, column: str, policy, direction: str = "request", most: int = MOST_DEPTH, **dials) -> DataFrame:
-    """Rows with out (JSON as the policy wants it, null if blocked or no JSON), blocked, detections and error. The tree is
-    walked once; decisions are those of ``policy`` for each leaf."""
+#: What stands for a value to encrypt until it is, between two characters for private use.
+_MARK = "\ue000%d\ue001"
+
+
+def protect_json(rows: DataFrame, column: str, policy, direction: str = "request", most: int = MOST_DEPTH, min_confidence: float | None = None, allow=(), key: bytes | None = None, sealing_key: bytes | None = None, aad: Column | None = None) -> DataFrame:
+    """Rows with out (JSON as the policy wants it, null if blocked or no JSON), blocked, detections, types, found, issued and
+    error. The tree is walked once; decisions are those of ``policy`` for each leaf. ``allow`` has texts, and entries with a
+    value, a (safe) path or both, of which both must fit; hard types are never spared. With ``key`` tokens are those of the
+    vault, and ``issued`` has them, each once; with ``sealing_key`` what should be encrypted is, natively, else redacted.
+    ``found`` has type, rule_id, path (safe), kind, confidence and action of each detection."""
+    import hmac
+
+    from veilgrid.functions import text as T
     from veilgrid.operators import detect
     from veilgrid.operators.rules import HARD_TYPES
 
     rules = detect.rules_for(direction)
-    low, actions, default, enforced = dials.get("min_confidence"), dict(policy.actions), policy.default, policy.enforced
-    allowed = {e if isinstance(e, str) else e.get("value") for e in dials.get("allow", ())}
+    low, actions, default, enforced = min_confidence, dict(policy.actions), policy.default, policy.enforced
+    entries = [{"value": e} if isinstance(e, str) else e for e in allow]
+    if any("value" not in e and "path" not in e for e in entries):
+        raise ValueError("an allowed entry needs a value or a path")
+    values = {e["value"] for e in entries if "path" not in e}
+    paths = {e["path"] for e in entries if "value" not in e}
+    pairs = {(e["value"], e["path"]) for e in entries if "value" in e and "path" in e}
+    seals = sealing_key is not None
 
     def stars(v: str) -> str:
         return "*" * len(v) if len(v) <= 8 else v[:2] + "*" * max(4, len(v) - 4) + v[-2:]
 
-    def replaced(kind: str, action: str, v: str) -> str:
-        if action == "mask":
-            return stars(v)
-        if action == "tokenize":
-            return f"[TOKEN:{kind}:{hashlib.sha256(v.encode()).hexdigest()[:12]}]"
-        return f"[REDACTED:{kind}]"
-
     def one(t):
         if t is None:
             return None
@@ -193,34 +202,55 @@ def protect_json(rows: DataFrame, column: str, policy, direction: str = "request
             tree = json.loads(t)
             list(leaves(tree, (), most))
         except (ValueError, RecursionError) as e:
-            return {"out": None, "blocked": True, "detections": 0, "types": [], "error": "too_deep" if isinstance(e, (TooDeep, RecursionError)) else "invalid_json"}
-        seen: list[str] = []
-        stop = False
-
-        def change(v, kind, _):
-            nonlocal stop
-            out, at = [], 0
-            for type_, _rule, _n, a, b, sure, text in detect.scan(v, kind, rules, direction):
-                if type_ not in HARD_TYPES and (text in allowed or (low is not None and sure < low)):
+            return {"out": None, "blocked": True, "detections": 0, "types": [], "found": [], "issued": [], "sealed": [], "error": "too_deep" if isinstance(e, (TooDeep, RecursionError)) else "invalid_json"}
+        found: list[dict] = []
+        issued: dict[str, None] = {}
+        sealed: list[dict] = []
+
+        def replaced(kind: str, action: str, v: str) -> str:
+            if action == "mask":
+                return stars(v)
+            if action == "tokenize" and key:
+                token = f"tok_{kind}_{hmac.new(key, f'{kind}:{v}'.encode(), hashlib.sha256).hexdigest()[:32]}"
+                issued[token] = None
+                return f"[TOKEN:{token}]"
+            if action == "tokenize":
+                return f"[TOKEN:{kind}:{hashlib.sha256(v.encode()).hexdigest()[:12]}]"
+            if action == "encrypt" and seals:
+                sealed.append({"mark": _MARK % len(sealed), "value": v})
+                return sealed[-1]["mark"]
+            return f"[REDACTED:{kind}]"
+
+        def change(v, kind, path):
+            out, at, where = [], 0, None
+            for type_, rule_id, _n, a, b, sure, text in detect.scan(v, kind, rules, direction):
+                where = safe_path(path) if where is None else where
+                if type_ not in HARD_TYPES and (text in values or where in paths or (text, where) in pairs or (low is not None and sure < low)):
                     continue
                 action = actions.get(type_, default)
-                seen.append(type_)
-                stop = stop or action == "block"
-                if action not in ("allow", "block"):
+                found.append({"type": type_, "rule_id": rule_id, "path": where, "kind": kind, "confidence": sure, "action": action})
+                if enforced and action not in ("allow", "block"):
                     out += [v[at:a], replaced(type_, action, text)]
                     at = b
             return "".join([*out, v[at:]])
 
         new = rewrite_tree(tree, change)
-        text = None if enforced and stop else json.dumps(new if enforced else tree, ensure_ascii=False)
-        return {"out": text, "blocked": enforced and stop, "detections": len(seen), "types": sorted(set(seen)), "error": None}
+        stop = enforced and any(f["action"] == "block" for f in found)
+        text = None if stop else json.dumps(new if enforced else tree, ensure_ascii=False)
+        return {"out": text, "blocked": stop, "detections": len(found), "types": sorted({f["type"] for f in found}), "found": found, "issued": list(issued), "sealed": sealed, "error": None}
+
+    detection = "struct<type:string,rule_id:string,path:string,kind:string,confidence:double,action:string>"
 
-    @F.pandas_udf("struct<out:string,blocked:boolean,detections:int,types:array<string>,error:string>")
+    @F.pandas_udf(f"struct<out:string,blocked:boolean,detections:int,types:array<string>,found:array<{detection}>,issued:array<string>,sealed:array<struct<mark:string,value:string>>,error:string>")
     def run(s: pd.Series) -> pd.DataFrame:
-        none = {"out": None, "blocked": None, "detections": None, "types": None, "error": None}
+        none = dict.fromkeys(("out", "blocked", "detections", "types", "found", "issued", "sealed", "error"))
         return pd.DataFrame([one(t) or none for t in s], columns=list(none))
 
-    return rows.withColumn("_r", run(F.col(column))).select("*", "_r.*").drop("_r")
+    done = rows.withColumn("_r", run(F.col(column))).select("*", "_r.*").drop("_r")
+    if seals:
+        envelope = lambda v: F.concat(F.lit("[SEALED:"), T.base64url(F.encode(F.to_json(T.encrypt(v, sealing_key, F.lit("") if aad is None else aad)), "UTF-8")), F.lit("]"))
+        done = done.withColumn("out", F.aggregate("sealed", F.col("out"), lambda t, x: F.replace(t, x["mark"], envelope(x["value"]))))
+    return done.drop("sealed")
 
 
 def restore_tokens(text: Column, known: Column) -> Column:

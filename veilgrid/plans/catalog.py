@@ -209,13 +209,12 @@ def payload_shapes(spark, sf_dir):
 
 
 @query(f"""SELECT doc_id, len(regexp_extract_all(text, '{EMAIL_SQL}')) AS detections,
-  regexp_replace(text, '{EMAIL_SQL}', '[REDACTED:email]', 'g') AS content FROM documents WHERE regexp_matches(text, '{EMAIL_SQL}')""")
+  regexp_replace(text, '{EMAIL_SQL}', '[REDACTED:email]', 'g') AS content FROM documents""")
 def rewrite_json(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where(F.col("text").rlike(r"[A-Za-z0-9._%+-]@[A-Za-z0-9.-]+\.[A-Za-z]{2,}")).select("doc_id", F.to_json(F.struct(F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content"))).alias("messages"))).alias("payload"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.to_json(F.struct(F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content"))).alias("messages"))).alias("payload"))
     policy = P.build(actions={"email": "redact"}, default="allow", mode="enforce")
     done = trees.protect_json(docs, "payload", policy)
-    only = F.size(F.filter(detect.spans(F.get_json_object("payload", "$.messages[0].content"), only=["email"]), lambda s: F.lit(True)))
-    return done.select("doc_id", only.alias("detections"), F.get_json_object("out", "$.messages[0].content").alias("content"))
+    return done.select("doc_id", F.size(F.filter("found", lambda s: s["type"] == "email")).cast("long").alias("detections"), F.get_json_object("out", "$.messages[0].content").alias("content"))
 
 
 @query("""SELECT * FROM (VALUES (1, '{"a": [1, {"b": "x"}]}', '{"a":[1,{"b":"x"}]}', '{"b": 1}'), (2, NULL, NULL, NULL)) v(id, kept, canon, stripped)""")
@@ -285,10 +284,13 @@ def chain_tampering(spark, sf_dir):
     return E.verify_chains(lines).select("chain", "records", "valid", "reason")
 
 
-@query(f"""WITH l AS (SELECT event_type, value FROM events) SELECT event_type, {', '.join(f'count(*) FILTER (value <= {b}) AS le_{b}' for b in metrics.BUCKETS)}, round(sum(value), 3) AS total, count(value) AS n FROM l GROUP BY 1""")
+_BOUNDS = (1, 3, 20, 60, 200)
+
+
+@query(f"""WITH l AS (SELECT event_type, value FROM events) SELECT event_type, {', '.join(f'count(*) FILTER (value <= {b}) AS le_{b}' for b in _BOUNDS)}, round(sum(value), 3) AS total, count(value) AS n FROM l GROUP BY 1""")
 def value_histogram(spark, sf_dir):
-    h = metrics.histogram(table(spark, sf_dir, "events"), "value", ["event_type"])
-    return h.select("event_type", *(f"le_{b}" for b in metrics.BUCKETS), F.round("sum", 3).alias("total"), F.col("count").alias("n"))
+    h = metrics.histogram(table(spark, sf_dir, "events"), "value", ["event_type"], _BOUNDS)
+    return h.select("event_type", *(f"le_{b}" for b in _BOUNDS), F.round("sum", 3).alias("total"), F.col("count").alias("n"))
 
 
 @query("SELECT event_type AS name, CAST(user_id AS VARCHAR) AS who, count(*) AS value FROM events WHERE event_type IN ('error', 'view') GROUP BY 1, 2")
@@ -303,10 +305,14 @@ def nearest_rank_percentiles(spark, sf_dir):
     return metrics.nearest_rank(table(spark, sf_dir, "events"), "value", [0.5, 0.95, 0.99], ["event_type"])
 
 
-@query("SELECT count(*) AS lines FROM (SELECT DISTINCT event_type, unnest(range(0, 14)) FROM events UNION ALL SELECT 'x', unnest(range(0, 2)))")
+@query("SELECT '# HELP value_seconds value_seconds' AS line UNION ALL SELECT '# TYPE value_seconds histogram' UNION ALL "
+       "SELECT 'value_seconds_count{event_type=\"' || event_type || '\"} ' || count(value) FROM events GROUP BY event_type UNION ALL "
+       "SELECT 'value_seconds_bucket{event_type=\"' || event_type || '\",le=\"' || b || '\"} ' || count(*) FILTER (value <= CAST(replace(b, '+Inf', 'inf') AS DOUBLE)) "
+       f"FROM events, (SELECT unnest({[str(b) for b in metrics.BUCKETS] + ['+Inf']}) AS b) GROUP BY event_type, b")
 def metric_exposition(spark, sf_dir):
+    """The lines but for the sums, whose digits depend on the order of addition."""
     h = metrics.histogram(table(spark, sf_dir, "events"), "value", ["event_type"])
-    return metrics.exposition(h, "value_ms", ["event_type"]).agg(F.count("*").alias("lines"))
+    return metrics.exposition(h, "value_seconds", ["event_type"]).where(~F.col("line").contains("_sum{"))
 
 
 # -- scores --
