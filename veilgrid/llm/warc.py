@@ -116,7 +116,7 @@ class _Plain:
     def peek(self, n: int) -> bytes:
         """At least ``n`` bytes from here, or what there is."""
         here = self.at - self.base
-        if len(self.held) - here < n and self.base + len(self.held) < self.end:
+        if here < 0 or (len(self.held) - here < n and self.base + len(self.held) < self.end):
             self.f.seek(self.at)
             self.held, self.base, here = self.f.read(max(n, self.STEP)), self.at, 0
         return self.held[here:] if here else self.held
