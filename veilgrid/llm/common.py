@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 import zlib
@@ -55,12 +57,22 @@ def erase_table(df: DataFrame) -> None:
 _REMEMBERED: dict[str, Callable[[], None]] = {}
 
 
+def trim() -> None:
+    """Gives freed memory back to the system, where its C library can."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def remembering(name: str, empty: Callable[[], None]) -> None:
     """Called by a task that begins: what other operators' tasks have remembered in this worker goes."""
     for other in [n for n in _REMEMBERED if n != name]:
         _REMEMBERED.pop(other)()
     if name not in _REMEMBERED:
+        gc.collect()
         pa.default_memory_pool().release_unused()
+        trim()
     _REMEMBERED[name] = empty
 
 

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilgrid.llm.common import remembering, written
+from veilgrid.llm.common import remembering, trim, written
 from veilgrid.llm.components import components
 from veilgrid.llm.shingles import sets
 
@@ -86,6 +86,8 @@ def _different(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndar
             if len(s) and key not in known:
                 known.add(key)
                 yield int.from_bytes(key, "little", signed=True), s
+    known.clear()
+    trim()  # the worker may stay idle from here on, beside other stages
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
