@@ -21,6 +21,8 @@ from veilgrid.llm.chunks import encoder
 
 #: Bytes of a row group and of a page, rows of a page.
 ROW_GROUP, PAGE, PAGE_ROWS = 32 << 20, 256 << 10, 2000
+#: Distinct pieces of texts that a worker remembers.
+PIECES = 1_200_000
 _WRITTEN = "doc_id long, row long, n_tokens int, ids array<int>"
 
 
@@ -28,7 +30,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataF
     """doc_id, shard, row, n_tokens, ids of all documents; shards are ranges of doc_id, row counts within one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end, row = encoder(tokenizer_path).encode, int(end_id).to_bytes(4, "little"), 0
+        encode, end, row = encoder(tokenizer_path, PIECES).encode, int(end_id).to_bytes(4, "little"), 0
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
