@@ -116,6 +116,13 @@ def next_cursor(shown: DataFrame, limit: int) -> DataFrame:
     return low.select(F.when(F.col("n") == limit, F.col("low")).alias("next_cursor"), "low")
 
 
+def window_exceeded(kept: DataFrame, cursor: int) -> DataFrame:
+    """One row: low, the smallest sequence of a log's last records (with covered_from_start), and exceeded, whether what
+    comes before the cursor lies before them. An empty tail reaches back to the start."""
+    low = kept.agg(F.min("audit_integrity.sequence").alias("low"), F.coalesce(F.bool_and("covered_from_start"), F.lit(True)).alias("covered_from_start"))
+    return low.withColumn("exceeded", ~F.col("covered_from_start") & (F.lit(cursor) <= F.col("low")))
+
+
 # -- chains --
 
 

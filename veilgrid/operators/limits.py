@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +43,90 @@ def first_hit_windows(requests: DataFrame, key: str, time: str, limit: int, seco
     return requests.repartition(key).sortWithinPartitions(key, time, *rest).mapInArrow(run, schema)
 
 
+class _Windows:
+    """The windows of one limiter with at most ``most`` keys, each from its key's first request. A new key makes room by
+    what has ended, then by the keys that came first."""
+
+    def __init__(self, key: str, limit: int, span: int, most: int):
+        self.key, self.limit, self.span, self.most = key, limit, span, most
+        self.open: dict = {}  # key: [end, hits], in the order in which keys came
+        self.ends: deque = deque()  # (end, key), ascending; outdated ones are passed over
+
+    def step(self, row: dict, now: int) -> tuple[int, bool]:
+        k = row[self.key]
+        held = self.open.get(k)
+        if held is None or now >= held[0]:
+            if held is None:
+                while self.ends and self.ends[0][0] <= now:
+                    end, old = self.ends.popleft()
+                    if self.open.get(old, (None,))[0] == end:
+                        del self.open[old]
+                while len(self.open) >= self.most:
+                    del self.open[next(iter(self.open))]
+            held = self.open[k] = [now + self.span, 0]
+            self.ends.append((held[0], k))
+        held[1] += 1
+        return held[1], held[1] <= self.limit
+
+
+class _Pending:
+    """Entries of one store that wait to be taken, at most ``most``; each is taken once, before its end."""
+
+    def __init__(self, key: str, action: str, ttl: int, most: int):
+        self.key, self.action, self.ttl, self.most = key, action, ttl, most
+        self.ends: dict = {}  # key: end, in the order of the ends
+
+    def step(self, row: dict, now: int) -> tuple[bool]:
+        k = row[self.key]
+        if row[self.action] == "take":
+            return (self.ends.pop(k, now) > now,)
+        while self.ends and next(iter(self.ends.values())) <= now:
+            del self.ends[next(iter(self.ends))]
+        if k not in self.ends and len(self.ends) >= self.most:
+            return (False,)
+        self.ends.pop(k, None)
+        self.ends[k] = now + self.ttl
+        return (True,)
+
+
+def _in_order(rows: DataFrame, by: str, time: str, added: dict[str, pa.DataType], begin) -> DataFrame:
+    """Rows with the columns that ``begin()``'s ``step(row, microseconds)`` adds. The rows of each ``by`` stream through a
+    task, sorted by time and then by their other columns; a null ``by`` is one of its own."""
+    names, kinds = rows.columns, {pa.int32(): "int", pa.bool_(): "boolean"}
+    schema = ", ".join([rows._jdf.schema().toDDL(), *(f"{c} {kinds[t]}" for c, t in added.items())])
+    at = names.index(time)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = object(), None
+        for batch in batches:
+            out = []
+            for row, t in zip(batch.to_pylist(), batch.column(at).cast(pa.timestamp("us", "UTC")).cast(pa.int64()).to_pylist()):
+                if row[by] != now:
+                    now, state = row[by], begin()
+                out.append(state.step(row, t))
+            made = [pa.array([r[k] for r in out], kind) for k, kind in enumerate(added.values())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*names, *added])
+
+    rest = [c for c in names if c not in (by, time)]
+    return rows.where(F.col(time).isNotNull()).repartition(by).sortWithinPartitions(by, time, *rest).mapInArrow(run, schema)
+
+
+def capped_limiter(requests: DataFrame, limiter: str, key: str, time: str, limit: int = 120, seconds: int = 60, most: int = 4096) -> DataFrame:
+    """Requests with hit and allowed, as limiters that know at most ``most`` keys decide them: a key that was forgotten
+    begins anew. What one limiter forgets depends on all its requests, so each limiter (a server, say) is folded in order
+    by a task, which holds ``most`` keys. Requests without a time are left out; those with equal times come in the order
+    of their other columns."""
+    span = seconds * 1_000_000
+    return _in_order(requests, limiter, time, {"hit": pa.int32(), "allowed": pa.bool_()}, lambda: _Windows(key, limit, span, most))
+
+
+def pending_store(steps: DataFrame, store: str, key: str, action: str, time: str, ttl_seconds: int = 600, most: int = 1000) -> DataFrame:
+    """Steps (action: set or take) with ok: a set fails in a store that is full of others that have not ended, a take
+    where nothing waits any more. An entry ends at its end. Stores are folded like limiters."""
+    ttl = ttl_seconds * 1_000_000
+    return _in_order(steps, store, time, {"ok": pa.bool_()}, lambda: _Pending(key, action, ttl, most))
+
+
 def bounded_keys(requests: DataFrame, key: str, time: str, most: int) -> DataFrame:
     """Of the keys the ``most`` that were seen last; older ones are forgotten, as a limiter of fixed size would."""
     last = requests.groupBy(key).agg(F.max(time).alias("last"))

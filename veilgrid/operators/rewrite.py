@@ -79,6 +79,12 @@ def rewritten(text: Column, decided: Column, **how) -> Column:
     return F.when(F.size(used) == 0, text).otherwise(F.aggregate(used, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text)))))
 
 
+def issued(decided: Column, key: bytes | None = None) -> Column:
+    """The distinct tokens that a text's rewriting gives out, in the order in which they first stand."""
+    given = F.filter(F.array_sort(decided, lambda a, b: a["start"] - b["start"]), lambda s: s["action"] == "tokenize")
+    return F.array_distinct(F.transform(given, lambda s: T.vault_token(key, s["type"], s["value"]) if key else T.plain_token(s["type"], s["value"])))
+
+
 def counts(found: Column, field: str) -> Column:
     """A map from a field's values to how often spans have them."""
     values = F.transform(found, lambda s: s[field])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from veilgrid.functions import checksums, text as T
 from veilgrid.operators import access, detect, events as E, limits, metrics, policy as P, rewrite as R, trees, vault
 from veilgrid.operators.rules import custom_rule
+from veilgrid.sources import logs
 from veilgrid.streaming import frames, rewriter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,18 +100,23 @@ def precision_dials(spark, sf_dir):
     return R.fates(found, allowed, 0.5).groupBy("fate").agg(F.sum("n").alias("n"))
 
 
-@query(r"""WITH v(id, t) AS (VALUES (1, 'write to a@b.com and a@b.com.'), (2, 'key sk_abcdefghijklmnopqrstuvwx1 here'), (3, 'ssn 123-45-6789'), (4, 'nothing'))
-SELECT id, CASE id WHEN 1 THEN 'write to [REDACTED:email] and [REDACTED:email].' WHEN 2 THEN NULL WHEN 3 THEN 'ssn [REDACTED:us_ssn]' ELSE t END AS out, id = 2 AS blocked FROM v""")
+@query(f"SELECT doc_id, CASE WHEN NOT regexp_matches(text, '{EMAIL_SQL}') THEN text END AS out, regexp_matches(text, '{EMAIL_SQL}') AS blocked FROM documents")
 def enforce_policy(spark, sf_dir):
-    rows = spark.createDataFrame([(1, "write to a@b.com and a@b.com."), (2, "key sk_abcdefghijklmnopqrstuvwx1 here"), (3, "ssn 123-45-6789"), (4, "nothing")], "id int, text string")
-    return R.protect(rows, P.build(["mcp-basic"], mode="enforce")).select("id", "out", "blocked")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return R.protect(docs, P.build(actions={"email": "block"}, default="allow", mode="enforce")).select("doc_id", "out", "blocked")
 
 
-@query(r"SELECT text AS rule_text, regexp_matches(text, '(?i)\border[- ]?[0-9]{3}\b') AS hit FROM (VALUES ('order 123'), ('Order-456 x'), ('border 12')) v(text)")
+@query(r"SELECT doc_id, len(regexp_extract_all(text, '(?i)\bthe [a-z]{3,8}\b')) AS hits FROM documents")
 def custom_rules(spark, sf_dir):
-    rows = spark.createDataFrame([("order 123",), ("Order-456 x",), ("border 12",)], "rule_text string")
-    rule = custom_rule("order", "order_no", r"\border[- ]?\d{3}\b", "gi")
-    return rows.select("rule_text", (F.size(detect.spans(F.col("rule_text"), custom=[rule], only=["order_no"])) > 0).alias("hit"))
+    rule = custom_rule("noun", "noun", r"\bthe [a-z]{3,8}\b", "gi")
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(detect.spans(F.col("text"), custom=[rule], only=["noun"])).cast("long").alias("hits"))
+
+
+@query(f"SELECT doc_id, len(list_distinct(regexp_extract_all(text, '{EMAIL_SQL}'))) AS n, array_to_string(list_sort(list_transform(list_distinct(regexp_extract_all(text, '{EMAIL_SQL}')), lambda v: '[TOKEN:email:' || substr(sha256(v), 1, 12) || ']')), ',') AS tokens FROM documents")
+def issued_tokens(spark, sf_dir):
+    policy = P.build(actions={"email": "tokenize"}, default="allow", mode="enforce")
+    docs = table(spark, sf_dir, "documents").select("doc_id", R.issued(R.with_actions(detect.spans(F.col("text"), only=["email"]), policy)).alias("t"))
+    return docs.select("doc_id", F.size("t").cast("long").alias("n"), F.array_join(F.array_sort("t"), ",").alias("tokens"))
 
 
 _ENCODED = "SELECT c_custkey, 'card 4111111111111111 of ' || c_name AS t FROM customer"
@@ -263,6 +269,11 @@ def audit_cursor(spark, sf_dir):
     return E.next_cursor(E.page(_log(spark, sf_dir)), 50)
 
 
+@query(f"SELECT min(sequence) AS low, min(sequence) = 1 AS covered_from_start, min(sequence) > 1 AND 400 <= min(sequence) AS exceeded FROM (SELECT sequence FROM ({_LOG}) WHERE sequence > (SELECT max(event_id) + 1 - 500 FROM events))")
+def audit_window(spark, sf_dir):
+    return E.window_exceeded(logs.tail(_log(spark, sf_dir), 500), 400)
+
+
 def _records(spark, sf_dir) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.select((F.col("user_id") % 16).cast("string").alias("chain"), F.col("event_id").alias("position"), F.to_json(F.struct("event_id", "event_type", "value")).alias("record"))
@@ -346,7 +357,10 @@ def rate_clock_windows(spark, sf_dir):
     return limits.clock_windows(e, "user_id", "ts", 2, 3600).select("event_id", "hit", "allowed")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(CAST(ts AS TIMESTAMP)) AS t FROM events),
+w AS (SELECT user_id, min(t) AS s FROM e GROUP BY 1 UNION ALL SELECT e.user_id, min(e.t) FROM w JOIN e ON e.user_id = w.user_id AND e.t >= w.s + 3600000000 GROUP BY 1),
+h AS (SELECT event_id, row_number() OVER (PARTITION BY e.user_id, w.s ORDER BY e.t, event_id) AS hit FROM e ASOF JOIN w ON e.user_id = w.user_id AND e.t >= w.s)
+SELECT event_id, hit, hit <= 2 AS allowed FROM h""")
 def rate_first_hit_windows(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id")
     return limits.first_hit_windows(e, "user_id", "ts", 2, 3600).select("event_id", "hit", "allowed")
@@ -357,6 +371,24 @@ def rate_key_cap(spark, sf_dir):
     return limits.bounded_keys(table(spark, sf_dir, "events"), "user_id", "ts", 20)
 
 
+def _requests(spark, sf_dir) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return e.select(F.col("event_type").alias("server"), "user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id")
+
+
+@query()
+def rate_capped_limiter(spark, sf_dir):
+    """Limiters that forget, held against a plain fold in the tests."""
+    return limits.capped_limiter(_requests(spark, sf_dir), "server", "user_id", "ts", 2, 86400, 8).select("event_id", "hit", "allowed")
+
+
+@query()
+def pending_logins(spark, sf_dir):
+    """Stores of entries that are taken once, held against a plain fold in the tests."""
+    steps = _requests(spark, sf_dir).withColumn("action", F.when(F.col("event_id") % 3 == 0, "take").otherwise("set"))
+    return limits.pending_store(steps, "server", "user_id", "action", "ts", 86400, 4).select("event_id", "action", "ok")
+
+
 # -- the vault --
 
 
@@ -380,12 +412,11 @@ def vault_reveal(spark, sf_dir):
     return vault.reveal(asked, _vault(spark, sf_dir), {T.short_id(KEY): KEY}, F.expr(NOW)).select("o_orderkey", "value", "reason")
 
 
-@query("SELECT count(*) AS records, count(*) FILTER (c_custkey % 30 >= 10) AS reused FROM (SELECT c_custkey FROM customer WHERE c_custkey % 30 >= 10 OR c_custkey % 2 = 0) WHERE c_custkey % 30 >= 10 OR c_custkey % 2 = 0")
+@query(f"SELECT {_TOKEN} AS token, c_custkey % 30 >= 10 AS reused, CASE WHEN c_custkey % 30 >= 10 THEN '2024-01-01' ELSE '2024-01-20' END AS created FROM customer")
 def vault_upsert(spark, sf_dir):
     now = F.expr(NOW)
-    c = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0 OR c_custkey % 30 >= 10")
-    new = vault.issue(c.select(F.lit("name").alias("type"), F.col("c_name").alias("value")), KEY, KEY, now)
-    return vault.upsert(_vault(spark, sf_dir), new, now).agg(F.count("*").alias("records"), F.count_if("reused").alias("reused"))
+    new = vault.issue(table(spark, sf_dir, "customer").select(F.lit("name").alias("type"), F.col("c_name").alias("value")), KEY, KEY, now)
+    return vault.upsert(_vault(spark, sf_dir), new, now).select("token", "reused", F.date_format("created_at", "yyyy-MM-dd").alias("created"))
 
 
 @query("SELECT count(*) FILTER (c_custkey % 30 < 10) AS expired, count(*) FILTER (c_custkey % 30 >= 10) AS alive, count(*) FILTER (c_custkey % 30 >= 10 AND c_custkey % 7 <> 0) AS kept FROM customer")
@@ -467,16 +498,33 @@ def _frames(spark, sf_dir) -> DataFrame:
     return c.select(F.col("conv_id").cast("string").alias("stream_id"), F.col("turn").alias("seq"), F.concat(F.lit("data: "), data).alias("frame"))
 
 
-@query("SELECT conv_id, count(*) AS n, string_agg(text, '' ORDER BY turn) AS text FROM conversations WHERE text IS NOT NULL GROUP BY conv_id")
+#: Characters of a frame of a document's stream: addresses are split over frames.
+_PIECE = 300
+
+
+def _pieces(spark, sf_dir) -> DataFrame:
+    """Each document as a stream: frames of pieces of its text, and a frame that ends it."""
+    d = table(spark, sf_dir, "documents").where("text is not null")
+    cut = d.select(F.col("doc_id").cast("string").alias("stream_id"), "text", F.explode(F.expr(f"sequence(0, greatest(char_length(text) - 1, 0) div {_PIECE})")).alias("seq"))
+    data = F.to_json(F.struct(F.array(F.struct(F.struct(F.substring("text", F.col("seq") * _PIECE + 1, F.lit(_PIECE)).alias("content")).alias("delta"))).alias("choices")))
+    f = cut.select("stream_id", F.col("seq").cast("long").alias("seq"), F.concat(F.lit("data: "), data).alias("frame"))
+    ends = d.select(F.col("doc_id").cast("string").alias("stream_id"), F.lit((1 << 62)).alias("seq"), F.lit(None).cast("string").alias("frame"))
+    return f.unionByName(ends)
+
+
+@query(f"SELECT doc_id, regexp_replace(text, '{EMAIL_SQL}', '[REDACTED:email]', 'g') AS text FROM documents WHERE text IS NOT NULL")
 def stream_rewrite(spark, sf_dir):
-    """The text of each stream after its frames went through the buffer; without anything to replace it stays."""
-    f = _frames(spark, sf_dir)
-    ends = f.groupBy("stream_id").agg((F.max("seq") + 1).alias("seq")).withColumn("frame", F.lit(None).cast("string"))
-    out = rewriter.rewrite_batch(f.unionByName(ends), P.build(mode="enforce", default="allow"))
+    """The text of each stream after its frames went through the buffer: addresses are gone, those split over frames too."""
+    out = rewriter.rewrite_batch(_pieces(spark, sf_dir), P.build(actions={"email": "redact"}, mode="enforce", default="allow"))
     text = F.get_json_object(frames.frame_data(F.col("frame")), "$.choices[0].delta.content")
     found = out.groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("seq", "place", text.alias("t")))).alias("x"))
-    counts = f.groupBy("stream_id").agg(F.count("*").alias("n"))
-    return found.join(counts, "stream_id").select(F.col("stream_id").cast("long").alias("conv_id"), "n", F.array_join(F.transform("x", lambda x: x["t"]), "").alias("text"))
+    return found.select(F.col("stream_id").cast("long").alias("doc_id"), F.array_join(F.transform("x", lambda x: x["t"]), "").alias("text"))
+
+
+@query(f"SELECT doc_id, len(regexp_extract_all(text, '{EMAIL_SQL}')) AS n FROM documents WHERE regexp_matches(text, '{EMAIL_SQL}')")
+def stream_tallies(spark, sf_dir):
+    found = rewriter.tallies(_pieces(spark, sf_dir), P.build(actions={"email": "redact"}, mode="enforce", default="allow"))
+    return found.where("field = 'type' and name = 'email'").select(F.col("stream_id").cast("long").alias("doc_id"), "n")
 
 
 @query("SELECT conv_id, count(*) AS frames, count(*) AS json FROM conversations WHERE text IS NOT NULL GROUP BY conv_id")

@@ -204,6 +204,31 @@ def rewrite_batch(frames: DataFrame, policy: Policy, form: str = "sse", delta: t
     return rows.repartition("stream_id").sortWithinPartitions("stream_id", "seq").mapInPandas(run, OUTPUT)
 
 
+def tallies(frames: DataFrame, policy: Policy, form: str = "sse", delta: tuple | None = ("choices", 0, "delta", "content"), flush_types: tuple[str, ...] = (), held: int = HELD) -> DataFrame:
+    """stream_id, field (type or action), name, n: what was found in each stream up to its end, or to where a block ended
+    it. Streams in which nothing was found have no row."""
+
+    def of(key, s: StreamRewriter | None) -> list[tuple]:
+        both = (("type", s.texts.by_type), ("action", s.texts.by_action)) if s else ()
+        return [(key, field, name, n) for field, counts in both for name, n in sorted(counts.items())]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, s = None, None
+        for batch in batches:
+            out = []
+            for key, rows in batch.groupby("stream_id", sort=False):
+                if key != now:
+                    out += of(now, s)
+                    now, s = key, StreamRewriter(policy, form, delta, flush_types, None, held)
+                for _ in _run(s, key, rows):
+                    pass
+            yield pd.DataFrame(out, columns=["stream_id", "field", "name", "n"])
+        yield pd.DataFrame(of(now, s), columns=["stream_id", "field", "name", "n"])
+
+    rows = frames.selectExpr("cast(stream_id as string) stream_id", "cast(seq as long) seq", "frame").where("stream_id is not null")
+    return rows.repartition("stream_id").sortWithinPartitions("stream_id", "seq").mapInPandas(run, "stream_id string, field string, name string, n long")
+
+
 def protect_rpc(rows: DataFrame, policy: Policy, methods: list[str]) -> DataFrame:
     """JSON-RPC lines (direction, line): params of requests and results of responses as the policy wants them. Requests
     with another method or that are blocked are refused, notifications among them dropped. out, verdict (pass, reject,
