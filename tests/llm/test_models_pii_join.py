@@ -453,3 +453,22 @@ def test_components(spark):
             if a != b:
                 label[a] = label[b] = min(label[a], label[b])
     assert got == label
+
+
+def test_components_of_paths_and_random_links(spark):
+    rng = np.random.default_rng(5)
+    path = rng.permutation(400)
+    links = [(int(a), int(b)) for a, b in zip(path[:-1], path[1:])] + [(int(a) + 1000, int(b) + 1000) for a, b in rng.integers(0, 300, (260, 2))] + [(5000, 5000), (5001, None)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        if b is not None and a != b:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    got = components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert {r.node: r.root for r in got} == {x: find(x) for x in root} and len(got) == len(root)
