@@ -49,7 +49,7 @@ NUM, DEN = 4, 5
 FREQUENT, DROPPED_BITS, COUNT_SHINGLES, LOW = 1 << 18, 24, 1 << 20, 0.25
 #: Bounds of a part of a block, which one task works on; groups of a point; children of a node; the factor between sizes of a band.
 PART_DOCS, PART_SHINGLES, GROUPS, FANOUT, BAND = 256, 1_000_000, (16, 256), 32, 1.12
-#: Blocks of a signature up to this size list their pairs, larger ones tie all to the first.
+#: Blocks of a signature up to this size list their pairs, larger ones tie all to the smallest.
 SMALL = 8
 #: Rows of one signature that are held at once.
 MOST_HELD = 100_000
@@ -125,7 +125,7 @@ def signatures_of(s: np.ndarray, often: np.ndarray, rank: np.ndarray) -> np.ndar
 def _signatures(often: np.ndarray, rank: np.ndarray):
     """sig, node, low, high, place, other: a row for each signature of a set, whose size is low and high; place is the
     signature's among the set's. Where more than SMALL sets of a task have a signature, sets of sizes that can link are
-    tied here (other is the first of them), and a row with place -1 stands for them all."""
+    tied here (other is the smallest of them), and a row with place -1 stands for them all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got, size = [], 0
@@ -145,8 +145,8 @@ def _signatures(often: np.ndarray, rank: np.ndarray):
             begins = np.concatenate([[True], (sig[1:] != sig[:-1]) | (wide[:-1] * DEN < wide[1:] * NUM)])[many]
             at = np.flatnonzero(many)[begins]
             ends = np.flatnonzero(many)[np.concatenate([begins[1:], [True]])] if len(begins) else at
-            first = node[at][np.cumsum(begins) - 1] if len(begins) else node[:0]
             few, tied = ~many, node[many]
+            first = np.minimum.reduceat(tied, np.flatnonzero(begins))[np.cumsum(begins) - 1] if len(begins) else tied
             columns = [
                 np.concatenate([sig[few], sig[at], tied]), np.concatenate([node[few], node[at], tied]), np.concatenate([n[few], n[at], np.zeros(len(tied), np.int32)]),
                 np.concatenate([n[few], n[ends], np.zeros(len(tied), np.int32)]), np.concatenate([place[few], np.full(len(at), -1, np.int32), np.zeros(len(tied), np.int32)]),
@@ -216,7 +216,7 @@ def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             run = np.concatenate([[0], np.cumsum(upto[:-1] * DEN < low[start + 1 : start + k].astype(np.int64) * NUM)])
             head = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
             a.append(rep[start : start + k])
-            b.append(rep[start : start + k][head[run]])
+            b.append(np.minimum.reduceat(rep[start : start + k], head)[run])
         return _tie_batch(a, b)
 
     goes_on = False
@@ -324,13 +324,29 @@ def link_block(members: list[np.ndarray], known: np.ndarray | None = None) -> li
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
 
 
+def _stars(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The same connections as ``links`` as pairs of a node and the smallest that it is connected with."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = up[y]
+            x = y
+        return x
+
+    for a, b in links:
+        a, b = top(a), top(b)
+        up[max(a, b)] = min(a, b)
+    return [(x, top(x)) for x in list(up) if top(x) != x]
+
+
 def _link_group(table: pa.Table) -> pa.Table:
-    """Links between the labels ``c`` of a group's rows."""
+    """Links between the labels ``c`` of a group's rows, each with the smallest that it is connected with in the group."""
     labels = table.column("c").to_numpy()
     texts = table.column("text").combine_chunks()
     texts = texts if isinstance(texts, pa.Array) else pa.concat_arrays(texts.chunks)
-    links = link_block(list(sets(texts)), labels)
-    return pa.table({"a": pa.array([int(labels[i]) for i, _ in links], pa.int64()), "b": pa.array([int(labels[j]) for _, j in links], pa.int64())})
+    found = _stars([(int(labels[i]), int(labels[j])) for i, j in link_block(list(sets(texts)), labels)])
+    return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
 
 # -- the join ---------------------------------------------------------------------------------------------------------
@@ -381,11 +397,19 @@ def _only(ids: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def _linked(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """Links between labels, as few as connect what links within groups (doc_id, root, p, q, c)."""
+    """Links (a, b) between labels within groups (doc_id, root, p, q, c): a label and the smallest of its group that it is
+    connected with there."""
     texts = _only(groups.select(F.col("doc_id").alias("rep")), rows).join(groups.hint("shuffle_hash"), "doc_id").select("text", "root", "p", "q", "c")
     return texts.groupBy("root", "p", "q").applyInArrow(_link_group, "a long, b long")
 
 
+def _within(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """node, root for what links within groups of which no two have a label in common: no component leaves its group, and
+    the links of each group are its components already."""
+    links = written(_linked(rows, groups), "links")
+    return links.select(F.col("a").alias("node"), F.col("b").alias("root")).union(links.select("b", "b").distinct())
+
+
 def _parts(count: str, shingles: str | None = None):
     """How many parts a block needs."""
     parts = F.ceil(F.col(count) / PART_DOCS)
@@ -397,7 +421,7 @@ def _roots(rows: DataFrame, members: DataFrame) -> DataFrame:
     totals = members.groupBy("root").agg(F.count("*").alias("k"), F.sum("n").alias("s")).select("root", _parts("k", "s").alias("parts"))
     parted = members.join(totals.hint("rebalance"), "root")
     part = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
-    first = components(_linked(rows, parted.select(F.col("rep").alias("doc_id"), "root", part.alias("p"), F.lit(0).alias("q"), F.col("rep").alias("c"))))
+    first = _within(rows, parted.select(F.col("rep").alias("doc_id"), "root", part.alias("p"), F.lit(0).alias("q"), F.col("rep").alias("c")))
     first = first.select(F.col("node").alias("rep"), F.col("root").alias("c"))
     large = parted.where("parts > 1").select("rep", "root", "n")
     if large.isEmpty():
@@ -409,8 +433,8 @@ def _roots(rows: DataFrame, members: DataFrame) -> DataFrame:
     return every.join(moved.hint("rebalance"), "was", "left").select("rep", F.coalesce("c", "was").alias("c"))
 
 
-def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
-    new = components(links).select(F.col("node").alias("c"), F.col("root").alias("new"))
+def _relabelled(labels: DataFrame, roots: DataFrame) -> DataFrame:
+    new = roots.select(F.col("node").alias("c"), F.col("root").alias("new"))
     return written(labels.join(new.hint("rebalance"), "c", "left").select("rep", "root", "n", "was", F.coalesce("new", "c").alias("c")), "labels")
 
 
@@ -425,7 +449,7 @@ def _leaders(rows: DataFrame, labels: DataFrame) -> DataFrame:
             return labels
         part = F.pmod(F.xxhash64("rep", F.lit(turn)), F.col("parts")).cast("int")
         groups = leaders.join(counts.hint("rebalance"), "root").select(F.col("rep").alias("doc_id"), "root", part.alias("p"), F.lit(-1 - turn).alias("q"), "c")
-        labels, turn = _relabelled(labels, _linked(rows, groups)), turn + 1
+        labels, turn = _relabelled(labels, _within(rows, groups)), turn + 1
         if before[1] == 1 or 2 * labels.where("rep = c").join(counts.hint("rebalance"), "root").count() > before[0]:
             return labels
 
@@ -449,4 +473,4 @@ def _between(rows: DataFrame, labels: DataFrame) -> DataFrame:
         f"node_p <= node_q and low_p * {NUM} <= high_q * {DEN} and low_q * {NUM} <= high_p * {DEN} and not (c1_p = c2_p and c1_q = c2_q and c1_p = c1_q)")
     sides = pairs.select("root", F.col("node_p").alias("p"), F.col("node_q").alias("q"), F.explode(F.array_distinct(F.array("node_p", "node_q"))).alias("node"))
     groups = placed.join(sides, ["root", "node"]).select(F.col("rep").alias("doc_id"), "root", "p", "q", "c")
-    return _relabelled(labels, _linked(rows, groups))
+    return _relabelled(labels, components(_linked(rows, groups)))
