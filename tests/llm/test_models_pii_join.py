@@ -123,7 +123,7 @@ def test_a_hundred_thousand_names_get_as_many(spark):
     """All names of three letters of some patterns, short ones that walk over listed names most often, and listed ones."""
     small = [a + b + c for a in "abdeilmnv" for b in "aeinorv" for c in "abeinos"]
     given = spark.createDataFrame([(x,) for x in sorted({*small, *surrogates.FEMALE, *surrogates.MALE})], "g string")
-    family = spark.range(160).select(F.concat(F.lit("sm"), F.translate(F.lpad(F.col("id").cast("string"), 3, "0"), "0123456789", "aeioubcdfg")).alias("f"))
+    family = spark.range(180).select(F.concat(F.lit("sm"), F.translate(F.lpad(F.col("id").cast("string"), 3, "0"), "0123456789", "aeioubcdfg")).alias("f"))
     docs = given.join(family).select(F.concat(F.lit("Dr. "), F.initcap("g"), F.lit(" "), F.initcap("f")).alias("text"))
     n = docs.count()
     assert n > 100_000 and docs.limit(0).union(docs).count() == n
@@ -443,6 +443,19 @@ def test_near_copies_of_odd_rows(spark, odd):
     assert jaccard_join.near_components(odd.limit(0)).count() == 0
 
 
+def test_links_of_a_group_become_stars():
+    assert sorted(jaccard_join._stars([(5, 9), (9, 2), (7, 8), (8, 7), (2, 5)])) == [(5, 2), (8, 7), (9, 2)]
+    assert jaccard_join._stars([]) == []
+
+
+def test_ids_with_several_texts_connect_their_copies(spark):
+    """Id 3 has a text of either family, so both are one component, also where each is a group of its own."""
+    one, two = ([" ".join(f"{w}{i}" for i in range(40)) + f" end{k}" for k in range(4)] for w in "pq")
+    rows = [(1, one[0]), (3, one[1]), (5, one[2]), (2, two[0]), (3, two[1]), (6, two[2]), (9, "alone with words of its own here")]
+    got = {(r.doc_id, r.component_id) for r in jaccard_join.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 1), (3, 1), (5, 1), (2, 1), (6, 1), (9, 9)}
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(400, 450)] + [(7, 7)]

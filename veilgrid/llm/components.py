@@ -41,13 +41,14 @@ def _settled(edges: DataFrame) -> bool:
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node of its component) for each node of ``edges`` (a, b). Links of a node with itself,
     links that repeat and links with null are no links. The result is a written table."""
-    now = written(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a != b").distinct(), "links")
+    ends = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a != b")
+    now = written(ends.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     for _ in range(MOST_ROUNDS):
+        if _settled(now):
+            break
         new = written(_small_star(_large_star(now)), "stars")
         erase_table(now)
         now = new
-        if _settled(now):
-            break
     else:
         raise RuntimeError("components did not settle")
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -398,18 +398,11 @@ def _only(ids: DataFrame, rows: DataFrame) -> DataFrame:
 
 def _linked(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """Links (a, b) between labels within groups (doc_id, root, p, q, c): a label and the smallest of its group that it is
-    connected with there."""
+    connected with there. Where no two groups have a label in common, these are components already."""
     texts = _only(groups.select(F.col("doc_id").alias("rep")), rows).join(groups.hint("shuffle_hash"), "doc_id").select("text", "root", "p", "q", "c")
     return texts.groupBy("root", "p", "q").applyInArrow(_link_group, "a long, b long")
 
 
-def _within(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """node, root for what links within groups of which no two have a label in common: no component leaves its group, and
-    the links of each group are its components already."""
-    links = written(_linked(rows, groups), "links")
-    return links.select(F.col("a").alias("node"), F.col("b").alias("root")).union(links.select("b", "b").distinct())
-
-
 def _parts(count: str, shingles: str | None = None):
     """How many parts a block needs."""
     parts = F.ceil(F.col(count) / PART_DOCS)
@@ -421,7 +414,7 @@ def _roots(rows: DataFrame, members: DataFrame) -> DataFrame:
     totals = members.groupBy("root").agg(F.count("*").alias("k"), F.sum("n").alias("s")).select("root", _parts("k", "s").alias("parts"))
     parted = members.join(totals.hint("rebalance"), "root")
     part = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
-    first = _within(rows, parted.select(F.col("rep").alias("doc_id"), "root", part.alias("p"), F.lit(0).alias("q"), F.col("rep").alias("c")))
+    first = components(_linked(rows, parted.select(F.col("rep").alias("doc_id"), "root", part.alias("p"), F.lit(0).alias("q"), F.col("rep").alias("c"))))
     first = first.select(F.col("node").alias("rep"), F.col("root").alias("c"))
     large = parted.where("parts > 1").select("rep", "root", "n")
     if large.isEmpty():
@@ -449,7 +442,7 @@ def _leaders(rows: DataFrame, labels: DataFrame) -> DataFrame:
             return labels
         part = F.pmod(F.xxhash64("rep", F.lit(turn)), F.col("parts")).cast("int")
         groups = leaders.join(counts.hint("rebalance"), "root").select(F.col("rep").alias("doc_id"), "root", part.alias("p"), F.lit(-1 - turn).alias("q"), "c")
-        labels, turn = _relabelled(labels, _within(rows, groups)), turn + 1
+        labels, turn = _relabelled(labels, components(_linked(rows, groups))), turn + 1
         if before[1] == 1 or 2 * labels.where("rep = c").join(counts.hint("rebalance"), "root").count() > before[0]:
             return labels
 
