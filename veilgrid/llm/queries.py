@@ -141,3 +141,10 @@ l AS (SELECT a.doc_id AS x, b.doc_id AS y FROM p a JOIN p b ON a.g = b.g AND a.d
 r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)
 SELECT s.doc_id, len(s.g) AS n_shingles, c.component_id FROM s JOIN (SELECT x, min(y) AS component_id FROM r GROUP BY x) c ON s.doc_id = c.x
 """
+
+
+@query
+def op13_heavy_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilgrid.llm.heavy_keys import shop_heavy_keys
+
+    return shop_heavy_keys(spark, sf_dir)
