@@ -148,3 +148,47 @@ def op13_heavy_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilgrid.llm.heavy_keys import shop_heavy_keys
 
     return shop_heavy_keys(spark, sf_dir)
+
+
+@query
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilgrid.llm.divergence import audit
+
+    return audit(documents(spark, sf_dir))
+
+
+ORACLES["op11_divergence"] = r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+w AS (SELECT id, lang, source, unnest(words) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT id) >= 30),
+l AS (SELECT lang, count(*) AS v, sum(n) AS total FROM k GROUP BY lang),
+g AS (SELECT lang, source, coalesce(any_value(v), 0) AS v FROM d LEFT JOIN l USING (lang) GROUP BY lang, source),
+c AS (SELECT g.lang, g.source, g.v, k.term, k.n AS lang_n, l.total AS lang_total, coalesce(x.n, 0) AS n FROM g JOIN k USING (lang) JOIN l USING (lang)
+  LEFT JOIN (SELECT lang, source, term, count(*) AS n FROM w GROUP BY ALL) x ON x.lang = g.lang AND x.source = g.source AND x.term = k.term),
+s AS (SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER (PARTITION BY lang, source) + 5 * v) AS p,
+  1 + (1000000000::HUGEINT * (lang_n + 5)) // (lang_total + 5 * v) AS q FROM c),
+t AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM s WHERE n > 0 AND p > q),
+u AS (SELECT a.lang, a.source, b.source AS other, sum(abs(a.p - b.p)) AS value FROM s a JOIN s b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(u.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN u ON u.lang = a.lang AND u.source = a.source AND u.other = b.source
+  UNION ALL SELECT * FROM t)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r) WHERE part = 'pair' OR rank <= 50
+"""
+
+
+@query
+def op12_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilgrid.llm.url_cascade import RULES, WORDS, hosts_with_words, judge
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return judge(pages, spark.createDataFrame(RULES, "host string, path string, verdict string"), hosts_with_words(pages, WORDS))
+
+
+ORACLES["op12_url_cascade"] = r"""
+WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r AS (SELECT * FROM (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')) AS t(host, path, verdict)),
+j AS (SELECT p.*, regexp_matches(host, '(^|[.-])(adult|bets|casino|pills|spam)([.-]|$)') AS host_listed,
+  (SELECT max(row(length(r.host || r.path), r.host || r.path, r.verdict)) FROM r WHERE (p.host = r.host OR suffix(p.host, '.' || r.host)) AND prefix(p.path, r.path)) AS best FROM p)
+SELECT page_id, host, path, best[2] AS rule, coalesce(best[3], CASE WHEN host_listed THEN 'block' ELSE 'allow' END) AS verdict, host_listed FROM j
+"""
