@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from veilgrid.operators.factors import Prefilter
 from veilgrid.operators.rules import RULES, Rule, validated
 
 SPAN = "struct<type:string,rule_id:string,rule:int,start:int,end:int,confidence:double,value:string>"
@@ -66,35 +67,22 @@ def matches(rule: Rule, text: str) -> Iterator[tuple[int, int]]:
             done = m.end()
 
 
-#: What a text must have for a built-in rule to match, by the rule's id; rules without one run over every text.
-_SIGNS = {
-    "email": "@", "openai-like-key": "k_", "github-token": "gh", "google-api-key": "AIza", "slack-token": "xox", "anthropic-api-key": "sk-ant-", "openai-api-key": "sk-",
-    "google-oauth-client-secret": "GOCSPX-", "sendgrid-api-key": "SG.", "npm-token": "npm_", "jwt": "eyJ", "pem-private-key": "-----BEGIN", "bearer-token": "Bearer", "e164-phone": "+",
-}
-#: The digits that a match of a rule has at least, one after another but for the marks that may stand between them.
-_RUNS = {
-    "kr-phone": 9, "kr-rrn-like": 13, "card-like": 13, "us-ssn": 9, "jp-mynumber": 12, "fr-nir": 6, "es-dni-nie": 7, "sg-nric": 7, "in-aadhaar": 12, "de-steuer-id": 11, "nl-bsn": 9, "uk-nino": 6,
-    "us-phone": 10, "it-codice-fiscale": 2, "iban": 2, "e164-phone": 7,
-}
-_RUN = re.compile(r"[0-9](?:[^0-9A-Za-z]{0,4}[0-9])*")
-_DIGIT = re.compile("[0-9]")
+@lru_cache(maxsize=64)
+def _prefilter(rules: tuple[Rule, ...]) -> Prefilter:
+    return Prefilter([[p for p in _compiled(r) if p is not None] for r in rules])
+
+
+#: The last prefilter by the tuple that holds its rules, as looking at all rules again for each text would take longer.
+_LAST: list = [None, None]
 
 
 def able(rules: Iterable[Rule], text: str) -> Iterator[tuple[int, Rule]]:
-    """The rules, with their numbers, that could match a text. Most texts have no sign of most rules, and one look for the
-    longest run of digits spares them the patterns of all numbers."""
-    longest = None
-    for k, rule in enumerate(rules):
-        if rule.id in _SIGNS and _SIGNS[rule.id] not in text:
-            continue
-        if rule.id in _RUNS:
-            if longest is None:
-                longest = max((len(_DIGIT.findall(run)) for run in _RUN.findall(text)), default=0)
-            if longest < _RUNS[rule.id]:
-                continue
-        elif rule.id == "assignment-secret" and ":" not in text and "=" not in text:
-            continue
-        yield k, rule
+    """The rules, with their numbers, that could match a text."""
+    if rules is not _LAST[0]:
+        rules = tuple(rules)
+        _LAST[:] = rules, _prefilter(rules)
+    for k in _LAST[1].able(text):
+        yield k, rules[k]
 
 
 def _first(rules: Iterable[Rule], text: str) -> Iterator[tuple[int, Rule]]:

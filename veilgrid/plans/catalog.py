@@ -63,6 +63,22 @@ def detect_all_types(spark, sf_dir):
     return found.groupBy("s.type", "s.rule_id").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
 
 
+#: An SSN is a whole run of word characters and dashes, so it needs no look around. Digits of a card are doubled from its end.
+_LUHN_SQL = "list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN (length(d) - i) % 2 = 0 THEN CAST(substr(d, i, 1) AS INT) ELSE (CAST(substr(d, i, 1) AS INT) * 2) // 10 + (CAST(substr(d, i, 1) AS INT) * 2) % 10 END)) % 10 = 0"
+
+
+@query(rf"""WITH m AS (SELECT doc_id, 'email' AS rule_id, unnest(regexp_extract_all(text, '{EMAIL_SQL}')) AS v FROM documents
+  UNION ALL SELECT doc_id, 'us-ssn', unnest(list_filter(regexp_extract_all(text, '[0-9A-Za-z_-]+'), lambda x: regexp_full_match(x, '[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}'))) FROM documents
+  UNION ALL SELECT doc_id, 'card-like', unnest(regexp_extract_all(text, '\b(?:\d[ -]*?){{13,19}}\b')) FROM documents),
+d AS (SELECT *, regexp_replace(v, '[^0-9]', '', 'g') AS d FROM m)
+SELECT doc_id, rule_id, count(*) AS n FROM d WHERE rule_id = 'email' OR (rule_id = 'card-like' AND {_LUHN_SQL})
+  OR (rule_id = 'us-ssn' AND v[1:3] NOT IN ('000', '666') AND v[1:1] <> '9' AND v[5:6] <> '00' AND v[8:11] <> '0000') GROUP BY 1, 2""")
+def detect_common_types(spark, sf_dir):
+    """Addresses, social security numbers and cards among what all rules find."""
+    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(detect.spans(F.col("text"))).alias("s"))
+    return found.where(F.col("s.rule_id").isin("email", "us-ssn", "card-like")).groupBy("doc_id", "s.rule_id").agg(F.count("*").alias("n"))
+
+
 @query(f"SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '{EMAIL_SQL}'), lambda v: '[TOKEN:email:' || substr(sha256(v), 1, 12) || ']'), ', ') AS tokens "
        f"FROM documents WHERE regexp_matches(text, '{EMAIL_SQL}')")
 def tokenize_plain(spark, sf_dir):
