@@ -11,7 +11,7 @@ from veilgrid.functions import checksums, text as T
 from veilgrid.operators import access, detect, events as E, limits, metrics, policy as P, rewrite as R, trees, vault
 from veilgrid.operators.rules import custom_rule
 from veilgrid.sources import logs
-from veilgrid.streaming import frames, rewriter
+from veilgrid.streaming import frames, pairing, rewriter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -519,13 +519,12 @@ _PIECE = 300
 
 
 def _pieces(spark, sf_dir) -> DataFrame:
-    """Each document as a stream: frames of pieces of its text, and a frame that ends it."""
+    """Each document as a stream: frames of pieces of its text. No frame ends it."""
     d = table(spark, sf_dir, "documents").where("text is not null")
-    cut = d.select(F.col("doc_id").cast("string").alias("stream_id"), "text", F.explode(F.expr(f"sequence(0, greatest(char_length(text) - 1, 0) div {_PIECE})")).alias("seq"))
-    data = F.to_json(F.struct(F.array(F.struct(F.struct(F.substring("text", F.col("seq") * _PIECE + 1, F.lit(_PIECE)).alias("content")).alias("delta"))).alias("choices")))
-    f = cut.select("stream_id", F.col("seq").cast("long").alias("seq"), F.concat(F.lit("data: "), data).alias("frame"))
-    ends = d.select(F.col("doc_id").cast("string").alias("stream_id"), F.lit((1 << 62)).alias("seq"), F.lit(None).cast("string").alias("frame"))
-    return f.unionByName(ends)
+    pieces = F.when(F.col("text") == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{_PIECE}}}"), F.lit(0)))
+    cut = d.select(F.col("doc_id").cast("string").alias("stream_id"), F.posexplode(pieces).alias("seq", "piece"))
+    data = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("piece").alias("content")).alias("delta"))).alias("choices")))
+    return cut.select("stream_id", F.col("seq").cast("long").alias("seq"), F.concat(F.lit("data: "), data).alias("frame"))
 
 
 @query(f"SELECT doc_id, regexp_replace(text, '{EMAIL_SQL}', '[REDACTED:email]', 'g') AS text FROM documents WHERE text IS NOT NULL")
@@ -551,6 +550,25 @@ def split_frames(spark, sf_dir):
     return found.groupBy(F.col("stream_id").cast("long").alias("conv_id")).agg(F.count("*").alias("frames"), F.count_if(kind == "json").alias("json"))
 
 
+_PAIRS = """WITH f AS (SELECT CAST(client_id AS VARCHAR) AS session, CAST(json_extract(CASE WHEN json_valid(props) THEN props END, '$.k') AS VARCHAR) AS rpc_id, kind = 'view' AS asks, kind, epoch_us(ts) AS t, click_id
+  FROM clicks WHERE kind IN ('view', 'click') AND ts IS NOT NULL),
+n AS (SELECT *, lead(asks) OVER w AS nx, lag(asks) OVER w AS bf, lead(t) OVER w - t < 86400000000 AS soon, t - lag(t) OVER w < 86400000000 AS just, lead(t) OVER w AS nt FROM f WHERE rpc_id <> 'null'
+  WINDOW w AS (PARTITION BY session, rpc_id ORDER BY t, asks DESC, click_id)),
+o AS (SELECT *, CASE WHEN NOT asks THEN CASE WHEN NOT coalesce(bf AND just, false) THEN 'unasked' END WHEN soon AND NOT nx THEN 'answered' WHEN soon THEN 'repeated' ELSE 'unanswered' END AS outcome FROM n)
+SELECT session, rpc_id, outcome, CASE WHEN asks THEN kind END AS method, CASE WHEN asks THEN t END AS asked_us, CASE WHEN outcome = 'answered' THEN nt WHEN NOT asks THEN t END AS answered_us FROM o WHERE outcome IS NOT NULL"""
+
+
+@query(_PAIRS)
+def rpc_pairing(spark, sf_dir):
+    """Views as requests and clicks as responses of a client's session, in JSON-RPC lines, with a day to answer."""
+    c = table(spark, sf_dir, "clicks").where("kind IN ('view', 'click')")
+    k = F.to_json(F.try_variant_get(F.try_parse_json("props"), "$.k", "variant"))
+    line = F.concat(F.lit('{"jsonrpc":"2.0","id":'), F.coalesce(k, F.lit("null")), F.lit(',"method":"'), "kind", F.lit('"}'))
+    rows = c.select(F.col("client_id").alias("session"), F.when(F.col("kind") == "view", "request").otherwise("response").alias("direction"), F.col("ts").alias("at"), F.col("click_id").alias("seq"), line.alias("line"))
+    found = pairing.paired(rows, 86400)
+    return found.select("session", "rpc_id", "outcome", "method", F.unix_micros("asked_at").alias("asked_us"), F.unix_micros("answered_at").alias("answered_us"))
+
+
 @query("""SELECT * FROM (VALUES (1, 'pass'), (2, 'reject'), (3, 'drop'), (4, 'reject')) v(id, verdict)""")
 def rpc_messages(spark, sf_dir):
     rows = spark.createDataFrame([(1, "request", '{"jsonrpc": "2.0", "id": 1, "method": "a", "params": {"t": "x@y.com"}}'), (2, "request", '{"jsonrpc": "2.0", "id": 1, "method": "b"}'), (3, "request", '{"jsonrpc": "2.0", "method": "b"}'), (4, "response", '{"jsonrpc": "2.0", "id": 1, "result": "sk_abcdefghijklmnopqrstuvwx1"}')], "id int, direction string, line string")

@@ -152,25 +152,61 @@ def _with(value, path: tuple, leaf):
 OUTPUT = "stream_id string, seq long, place int, frame string, stopped boolean"
 
 
-def rewrite_stream(frames: DataFrame, policy: Policy, form: str = "sse", delta: tuple | None = ("choices", 0, "delta", "content"), flush_types: tuple[str, ...] = (), held: int = HELD) -> DataFrame:
-    """Frames (stream_id, seq, frame; a null frame ends a stream) as a streaming query with state for each stream."""
+def rewrite_stream(
+    frames: DataFrame, policy: Policy, form: str = "sse", delta: tuple | None = ("choices", 0, "delta", "content"), flush_types: tuple[str, ...] = (), held: int = HELD,
+    idle_seconds: float | None = None, remember_seconds: float = 86_400,
+) -> DataFrame:
+    """Frames (stream_id, seq, frame; a null frame ends a stream) as a streaming query with state for each stream.
+
+    With ``idle_seconds`` a stream that brings nothing for so long is ended by a timer: what it holds back goes out. An
+    ended or blocked stream keeps no state but its last seq and whether it was blocked, so that a frame that comes again is
+    passed over; with ``idle_seconds`` that goes as well after ``remember_seconds``. Frames of a null stream_id are one stream."""
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+    timed = idle_seconds is not None
+
     class Processor(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
             self.kept = handle.getValueState("stream", "state string")
+            self.ended = handle.getValueState("ended", "state string", int(remember_seconds * 1000) if timed else None)
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-            state = json.loads(self.kept.get()[0]) if self.kept.exists() else {}
-            s = StreamRewriter(policy, form, delta, flush_types, state, held)
-            out = list(_run(s, key[0], pd.concat(list(rows)).sort_values("seq")))
-            self.kept.update((json.dumps(s.state),))
-            yield pd.DataFrame(out, columns=["stream_id", "seq", "place", "frame", "stopped"])
+            before = next((json.loads(k.get()[0]) for k in (self.kept, self.ended) if k.exists()), {})
+            s = StreamRewriter(policy, form, delta, flush_types, before, held)
+            found = pd.concat(list(rows)).sort_values("seq")
+            out = list(_run(s, key[0], found))
+            for t in list(self.handle.listTimers()) if timed else ():
+                self.handle.deleteTimer(t)
+            last = found["frame"].iloc[-1]
+            if s.stopped or last is None or last != last:
+                self._forget(s)
+            else:
+                self.kept.update((json.dumps(s.state),))
+                if timed:
+                    self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + int(idle_seconds * 1000))
+            yield pd.DataFrame(out, columns=_COLUMNS)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            if self.kept.exists():
+                s = StreamRewriter(policy, form, delta, flush_types, json.loads(self.kept.get()[0]), held)
+                out = _ended(s, key[0])
+                self._forget(s)
+                yield pd.DataFrame(out, columns=_COLUMNS)
+
+        def _forget(self, s: StreamRewriter) -> None:
+            self.kept.clear()
+            self.ended.update((json.dumps({"seq": s.seq, "stopped": s.stopped}),))
 
         def close(self) -> None:
             pass
 
-    return frames.groupBy("stream_id").transformWithStateInPandas(Processor(), OUTPUT, "append", "None")
+    return frames.groupBy("stream_id").transformWithStateInPandas(Processor(), OUTPUT, "append", "ProcessingTime" if timed else "None")
+
+
+_COLUMNS = ["stream_id", "seq", "place", "frame", "stopped"]
+#: The place of what goes out after a stream's last frame.
+_TAIL = 1 << 20
 
 
 def _run(s: StreamRewriter, key, rows: pd.DataFrame) -> Iterator[tuple]:
@@ -186,47 +222,60 @@ def _run(s: StreamRewriter, key, rows: pd.DataFrame) -> Iterator[tuple]:
             yield key, int(seq), len(found), None, True
 
 
+def _ended(s: StreamRewriter, key) -> list[tuple]:
+    """What goes out at the end of a stream that no frame ended."""
+    was = s.stopped
+    out = [(key, s.seq, _TAIL + i, f, False) for i, f in enumerate(s.end())]
+    return [*out, (key, s.seq, _TAIL + len(out), None, True)] if s.stopped and not was else out
+
+
+def _streams(batches: Iterator[pd.DataFrame], new, done, took: bool = True) -> Iterator[list[tuple]]:
+    """The output of sorted rows, a list for each batch: each stream's own, and what ``done`` makes of it at its end."""
+    nothing = object()
+    now, s = nothing, None
+    for batch in batches:
+        out = []
+        for key, rows in batch.groupby("stream_id", sort=False, dropna=False):
+            key = None if key != key else key
+            if key != now or now is nothing:
+                out += done(s, now) if s else []
+                now, s = key, new()
+            found = list(_run(s, key, rows))
+            out += found if took else []
+        yield out
+    yield done(s, now) if s else []
+
+
 def rewrite_batch(frames: DataFrame, policy: Policy, form: str = "sse", delta: tuple | None = ("choices", 0, "delta", "content"), flush_types: tuple[str, ...] = (), held: int = HELD) -> DataFrame:
     """The same for frames that are all there: rows are sorted by stream and seq and stream through a task, which holds one
-    stream's state."""
+    stream's state. A stream ends with its last row, whether or not a frame says so."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, s = None, None
-        for batch in batches:
-            out = []
-            for key, rows in batch.groupby("stream_id", sort=False):
-                if key != now:
-                    now, s = key, StreamRewriter(policy, form, delta, flush_types, None, held)
-                out += _run(s, key, rows)
-            yield pd.DataFrame(out, columns=["stream_id", "seq", "place", "frame", "stopped"])
+        for out in _streams(batches, lambda: StreamRewriter(policy, form, delta, flush_types, None, held), _ended):
+            yield pd.DataFrame(out, columns=_COLUMNS)
+
+    return _sorted(frames).mapInPandas(run, OUTPUT)
+
 
-    rows = frames.selectExpr("cast(stream_id as string) stream_id", "cast(seq as long) seq", "frame")
-    return rows.repartition("stream_id").sortWithinPartitions("stream_id", "seq").mapInPandas(run, OUTPUT)
+def _sorted(frames: DataFrame) -> DataFrame:
+    rows = frames.selectExpr("cast(stream_id as string) stream_id", "cast(seq as long) seq", "frame").where("seq is not null")
+    return rows.repartition("stream_id").sortWithinPartitions("stream_id", "seq")
 
 
 def tallies(frames: DataFrame, policy: Policy, form: str = "sse", delta: tuple | None = ("choices", 0, "delta", "content"), flush_types: tuple[str, ...] = (), held: int = HELD) -> DataFrame:
     """stream_id, field (type or action), name, n: what was found in each stream up to its end, or to where a block ended
     it. Streams in which nothing was found have no row."""
 
-    def of(key, s: StreamRewriter | None) -> list[tuple]:
-        both = (("type", s.texts.by_type), ("action", s.texts.by_action)) if s else ()
+    def of(s: StreamRewriter, key) -> list[tuple]:
+        s.end()
+        both = (("type", s.texts.by_type), ("action", s.texts.by_action))
         return [(key, field, name, n) for field, counts in both for name, n in sorted(counts.items())]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, s = None, None
-        for batch in batches:
-            out = []
-            for key, rows in batch.groupby("stream_id", sort=False):
-                if key != now:
-                    out += of(now, s)
-                    now, s = key, StreamRewriter(policy, form, delta, flush_types, None, held)
-                for _ in _run(s, key, rows):
-                    pass
+        for out in _streams(batches, lambda: StreamRewriter(policy, form, delta, flush_types, None, held), of, took=False):
             yield pd.DataFrame(out, columns=["stream_id", "field", "name", "n"])
-        yield pd.DataFrame(of(now, s), columns=["stream_id", "field", "name", "n"])
 
-    rows = frames.selectExpr("cast(stream_id as string) stream_id", "cast(seq as long) seq", "frame").where("stream_id is not null")
-    return rows.repartition("stream_id").sortWithinPartitions("stream_id", "seq").mapInPandas(run, "stream_id string, field string, name string, n long")
+    return _sorted(frames).mapInPandas(run, "stream_id string, field string, name string, n long")
 
 
 def protect_rpc(rows: DataFrame, policy: Policy, methods: list[str]) -> DataFrame:
