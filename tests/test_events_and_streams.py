@@ -38,7 +38,7 @@ def test_log_sources(spark, tmp_path):
     p = f"file://{tmp_path}/log"
     rows = spark.createDataFrame([(json.dumps({"event": i}), i) for i in range(5)], "record string, position long")
     assert logs.append_chained(spark, rows, p) == 5 and logs.append_chained(spark, rows, p) == 10
-    lines = spark.read.text(p).select(F.lit("c").alias("chain"), F.get_json_object("value", "$.auditIntegrity.sequence").cast("long").alias("position"), F.col("value").alias("line"))
+    lines = logs.chained_log(spark, p).read().select(F.lit("c").alias("chain"), F.col("sequence").alias("position"), "line")
     assert E.verify_chains(lines).first().valid
     assert logs.event_log(spark, f"{p}-none").count() == 0 and logs.anchors(spark, f"{p}-none").count() == 0
     (tmp_path / "a.jsonl").write_text('{"sequence": 1, "event_hash": "x"}\nnot json\n\n{"sequence": 2, "event_hash": "y"}\n')
@@ -48,7 +48,7 @@ def test_log_sources(spark, tmp_path):
     assert log.count() == 2 and [r.covered_from_start for r in logs.tail(log, 1).collect()] == [False]
     logs.replace_table(spark.range(3), f"{tmp_path}/t")
     logs.replace_table(spark.range(5), f"{tmp_path}/t")
-    assert spark.read.parquet(f"{tmp_path}/t").count() == 5
+    assert logs.replace_table(spark.range(5), f"{tmp_path}/t").read().count() == 5
     assert logs.json_lines(spark, f"file://{tmp_path}/a.jsonl").count() == 3
 
 

@@ -162,6 +162,23 @@ def build_chains(records: DataFrame, chain: str, position: str, record: str) ->
     return rows.repartition("chain").sortWithinPartitions("chain", "_p").select("chain", "line").mapInArrow(run, "chain string, sequence long, line string")
 
 
+def chain_after(rows: DataFrame, previous: dict | None, more: dict) -> DataFrame:
+    """sequence, line: records (``line`` in the order of ``_p``) as the next ones of a chain, each with the fields of ``more``."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        last = previous
+        for batch in batches:
+            done = list(chained(({**json.loads(t), **more} for t in batch.column("line").to_pylist()), last))
+            if done:
+                last = done[-1]["auditIntegrity"]
+            lines = [json.dumps(r, ensure_ascii=False, separators=(",", ":")) for r in done]
+            yield pa.RecordBatch.from_arrays([pa.array([r["auditIntegrity"]["sequence"] for r in done], pa.int64()), pa.array(lines, pa.string())], ["sequence", "line"])
+
+    return rows.repartition(1).sortWithinPartitions("_p").mapInArrow(run, "sequence long, line string")
+
+
 def _checked(lines: Column) -> Column:
     """sequence, previous, own hash and the hash that the record should have; all null without an integrity block."""
 

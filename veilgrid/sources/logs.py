@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilgrid.operators.events import EVENT
+from veilgrid.sources.versioned import VersionedTable
 
 CORPUS = "text string, direction string, note string, expect array<struct<type:string,present:boolean,gap:boolean>>"
 ANCHOR = "sequence bigint, event_hash string, timestamp string"
@@ -68,34 +71,35 @@ def append_lines(rows: DataFrame, path: str, line: str = "line") -> None:
     rows.select(line).write.mode("append").text(path)
 
 
-def replace_table(rows: DataFrame, path: str) -> None:
-    """Writes a table beside the old one and puts it in its place by a rename."""
-    spark = rows.sparkSession
-    rows.write.mode("overwrite").parquet(f"{path}.new")
-    jvm = spark._jvm
-    new, old, gone = (jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path}.new", path, f"{path}.old"))
-    fs = new.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(gone, True)
-    if fs.exists(old):
-        fs.rename(old, gone)
-    fs.rename(new, old)
-    fs.delete(gone, True)
-
-
-def append_chained(spark: SparkSession, batch: DataFrame, path: str, writer: str = "0", record: str = "record", position: str = "position") -> int:
-    """Appends records as the next ones of a writer's chain in ``path``: the one writer of a stream's batches, for use in
-    foreachBatch. Gives the number of the last one. The batch is a bounded one; its rows stream through the driver."""
-    import json
-
-    from veilgrid.operators.events import chained
-
-    last = None
-    if exists(spark, path):
-        ends = spark.read.text(path).where(F.get_json_object("value", "$.writer") == writer)
-        found = ends.agg(F.max_by("value", F.get_json_object("value", "$.auditIntegrity.sequence").cast("long"))).first()[0]
-        last = json.loads(found)["auditIntegrity"] if found else None
-    rows = ({**json.loads(r[0]), "writer": writer} for r in batch.orderBy(position).select(record).toLocalIterator())
-    done = [json.dumps(x, ensure_ascii=False, separators=(",", ":")) for x in chained(rows, last)]
-    if done:
-        spark.createDataFrame([(x,) for x in done], "line string").coalesce(1).write.mode("append").text(path)
-    return json.loads(done[-1])["auditIntegrity"]["sequence"] if done else (last or {}).get("sequence", 0)
+def replace_table(rows: DataFrame, path: str) -> VersionedTable:
+    """Puts a table in the place of the one at ``path``: the next version of it, so there is no moment without a table."""
+    table = VersionedTable(rows.sparkSession, path, ", ".join(f"`{n}` {t}" for n, t in rows.dtypes))
+    table.replace(rows)
+    return table
+
+
+CHAINED = "writer string, sequence long, line string"
+
+
+def chained_log(spark: SparkSession, path: str) -> VersionedTable:
+    """A log of chains, one for each writer, with numbered versions."""
+    return VersionedTable(spark, path, CHAINED)
+
+
+def append_chained(spark: SparkSession, batch: DataFrame, path: str, writer: str = "0", record: str = "record", position: str = "position", batch_id: int | None = None) -> int:
+    """Appends records as the next ones of a writer's chain, for use in foreachBatch: a batch that comes again, by its
+    number, appends nothing, and of two that come at once each follows the other. The chain's last block stands in the
+    table's manifest, so no log is read; the batch is chained by one task, through which its rows stream in order. Gives the
+    number of the last record."""
+    from veilgrid.operators.events import chain_after
+
+    table = chained_log(spark, path)
+
+    def rows_after(note: dict | None):
+        rows = chain_after(batch.select(F.col(position).alias("_p"), F.col(record).alias("line")), note, {"writer": writer})
+        last = lambda done: done.agg(F.max_by("line", "sequence")).first()[0]
+        note_of = lambda done: (lambda line: json.loads(line)["auditIntegrity"] if line else None)(last(done))
+        return rows.withColumn("writer", F.lit(writer)).select("writer", "sequence", "line"), note_of
+
+    table.append_after(rows_after, writer, batch_id)
+    return (table.head().notes.get(writer) or {}).get("sequence", 0)

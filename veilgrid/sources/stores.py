@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from veilgrid.operators.vault import RECORD
 from veilgrid.sources.logs import exists
+from veilgrid.sources.versioned import VersionedTable
 
 CALLERS = "token_hash string, id string, type string, scopes array<string>, labels map<string,string>, disabled boolean, position long"
 
 
 def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    if exists(spark, f"{path}/versions"):
+        return VersionedTable(spark, path, schema).read()
     return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
