@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from veilgrid.functions.text import canonical
 from veilgrid.operators.trees import shape_hash
+from veilgrid.plans.ranks import ranked
+from veilgrid.sources.shared import written
 
 # -- fixed values --
 FORBIDDEN = frozenset(
@@ -180,36 +182,44 @@ def chain_after(rows: DataFrame, previous: dict | None, more: dict) -> DataFrame
 
 
 def _checked(lines: Column) -> Column:
-    """sequence, previous, own hash and the hash that the record should have; all null without an integrity block."""
+    """sequence, previous, own hash and the hash that the record should have, all null without an integrity block; and
+    whether the line is a JSON object at all."""
 
-    @F.pandas_udf("struct<sequence:bigint,previous:string,own:string,right:string>")
+    @F.pandas_udf("struct<sequence:bigint,previous:string,own:string,right:string,whole:boolean>")
     def run(s: pd.Series) -> pd.DataFrame:
         rows = []
         for t in s:
-            r = json.loads(t)
-            block = r.get("auditIntegrity") or {}
-            unsigned = {k: v for k, v in block.items() if k != "eventHash"}
-            rows.append((block.get("sequence"), block.get("previousHash"), block.get("eventHash"), _hash({**r, "auditIntegrity": unsigned}) if block else None))
-        out = pd.DataFrame(rows, columns=["sequence", "previous", "own", "right"])
+            try:
+                r = json.loads(t)
+                block = r.get("auditIntegrity") or {}
+                unsigned = {k: v for k, v in block.items() if k != "eventHash"}
+                number = block.get("sequence")
+                rows.append((number if isinstance(number, int) else None, block.get("previousHash"), block.get("eventHash"), _hash({**r, "auditIntegrity": unsigned}) if block else None, True))
+            except (ValueError, AttributeError, RecursionError):
+                rows.append((None, None, None, None, False))
+        out = pd.DataFrame(rows, columns=["sequence", "previous", "own", "right", "whole"])
         return out.astype({"sequence": "Int64"})
 
     return run(lines)
 
 
 def verify_chains(lines: DataFrame, anchors: DataFrame | None = None, chain: str = "chain", position: str = "position", line: str = "line") -> DataFrame:
-    """chain, valid, records, reason, head_hash: the first fault of each chain, found in parallel. Each row's hash is
-    worked out by itself; a window over the chain gives number and predecessor. ``anchors`` has chain, sequence and
-    event_hash; of several for a sequence the last counts by its ``position``."""
-    over = Window.partitionBy("chain").orderBy("position")
+    """chain, valid, records, reason, head_hash, truncated: the first fault of each chain, found in parallel. Each row's
+    hash is worked out by itself; numbers come from ranges of rows and predecessors from a join on chain and number, so a
+    chain that is the whole log is verified by many tasks. A line that is no JSON is a fault of its chain alone.
+    ``anchors`` has chain, sequence and event_hash; of several for a sequence the last counts by its ``position``."""
     rows = lines.where(F.trim(F.col(line)) != "").select(F.col(chain).cast("string").alias("chain"), F.col(position).alias("position"), _checked(F.col(line)).alias("c")).select("chain", "position", "c.*")
-    rows = rows.withColumn("expected", F.row_number().over(over).cast("long")).withColumn("before", F.lag("own").over(over))
+    rows = ranked(rows, ["chain"], [F.col("position"), F.col("sequence"), F.col("own")], "expected")
+    before = rows.select(F.col("chain").alias("_chain"), (F.col("expected") + 1).alias("_next"), F.col("own").alias("before"))
+    rows = rows.join(before, F.col("chain").eqNullSafe(F.col("_chain")) & (F.col("expected") == F.col("_next")), "left").drop("_chain", "_next")
     if anchors is not None:
         held = anchors.groupBy(F.col("chain").cast("string").alias("chain"), F.col("sequence").alias("expected")).agg(F.max_by("event_hash", "position").alias("anchor"))
         rows = rows.join(held, ["chain", "expected"], "left")
     else:
         rows = rows.withColumn("anchor", F.lit(None).cast("string"))
     fault = (
-        F.when(F.col("own").isNull() & F.col("sequence").isNull(), "no integrity block")
+        F.when(~F.col("whole"), "no JSON")
+        .when(F.col("own").isNull() & F.col("sequence").isNull(), "no integrity block")
         .when(~F.col("sequence").eqNullSafe(F.col("expected")), "wrong sequence")
         .when(~F.col("previous").eqNullSafe(F.col("before")), "wrong previous hash")
         .when(~F.col("own").eqNullSafe(F.col("right")), "wrong hash")
@@ -230,6 +240,61 @@ def verify_chains(lines: DataFrame, anchors: DataFrame | None = None, chain: str
         F.when(valid, F.col("head")).alias("head_hash"), F.startswith(F.coalesce("bad.fault", F.when(cut, short), F.lit("")), F.lit("cut short")).alias("truncated"))
 
 
+def build_log(records: DataFrame, position: str, record: str, most: int = 10_000) -> DataFrame:
+    """chain, sequence, line: one log, in the order of ``position``, as chains of ``most`` records. Each chain is a task's
+    work; :func:`hash_tree` binds their ends together."""
+    rows = ranked(records.select(F.col(position).alias("_p"), F.col(record).alias("_t")), [], [F.col("_p"), F.col("_t")], "_n")
+    return build_chains(rows.withColumn("_c", F.floor((F.col("_n") - 1) / most)), "_c", "_n", "_t")
+
+
+#: Children of a node of a log's hash tree.
+TREE_FAN = 16
+
+
+def chain_heads(chains: DataFrame) -> DataFrame:
+    """chain, records, head: the last hash of each of built chains."""
+    own = F.get_json_object("line", "$.auditIntegrity.eventHash")
+    return chains.groupBy("chain").agg(F.count("*").alias("records"), F.max_by(own, "sequence").alias("head"))
+
+
+def hash_tree(heads: DataFrame) -> DataFrame:
+    """level, place, hash: the tree over the heads of a log's chains, numbered from 0. A leaf is the SHA-256 of its chain, number of
+    records and head, a node that of its children's hashes in a row; the top has place 0 and no neighbour. Each
+    level is a sixteenth of the one below, written before the next is made."""
+    leaf = F.sha2(F.concat_ws(":", "chain", F.col("records").cast("string"), "head"), 256)
+    level = written(heads.select(F.lit(0).alias("level"), F.col("chain").cast("long").alias("place"), leaf.alias("hash")), "tree")
+    tree, k, most = level, 0, level.agg(F.max("place")).first()[0] or 0
+    while most > 0:
+        k, most = k + 1, most // TREE_FAN
+        children = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "hash"))), lambda c: c["hash"]), "")
+        level = level.groupBy(F.floor(F.col("place") / TREE_FAN).alias("above")).agg(F.sha2(children, 256).alias("hash"))
+        level = written(level.select(F.lit(k).alias("level"), F.col("above").alias("place"), "hash"), "tree")
+        tree = tree.unionByName(level)
+    return tree
+
+
+def inclusion_proofs(tree: DataFrame, chains: DataFrame) -> DataFrame:
+    """chain, proof: for each chain of ``chains`` the hashes of its group at each level of the tree (level, at, hashes)."""
+    groups = tree.groupBy("level", F.floor(F.col("place") / TREE_FAN).alias("above")).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "hash"))), lambda c: c["hash"]).alias("hashes"))
+    levels = tree.groupBy("level").agg(F.count("*").alias("n")).where("n > 1").select("level")
+    asked = chains.select(F.col("chain").cast("long").alias("chain")).distinct().join(levels)
+    step = F.expr(f"cast(power({TREE_FAN}, level) AS BIGINT)")
+    asked = asked.withColumn("place", F.floor(F.col("chain") / step)).withColumn("above", F.floor(F.col("place") / TREE_FAN))
+    found = asked.join(groups, ["level", "above"])
+    proof = F.array_sort(F.collect_list(F.struct("level", (F.col("place") % TREE_FAN).cast("int").alias("at"), "hashes")))
+    return found.groupBy("chain").agg(proof.alias("proof"))
+
+
+def proves(chain: int, records: int, head: str, proof: list[dict], root: str) -> bool:
+    """Whether a chain's end belongs to the log with a tree's top."""
+    now = hashlib.sha256(f"{chain}:{records}:{head}".encode()).hexdigest()
+    for step in sorted(proof, key=lambda s: s["level"]):
+        if not step["at"] < len(step["hashes"]) or step["hashes"][step["at"]] != now:
+            return False
+        now = hashlib.sha256("".join(step["hashes"]).encode()).hexdigest()
+    return now == root
+
+
 def anchors_of(chains: DataFrame, every: int) -> DataFrame:
     """chain, sequence, event_hash, position: each ``every``-th record of built chains."""
     rows = chains.where(F.col("sequence") % every == 0)

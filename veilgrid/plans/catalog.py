@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilgrid.functions import checksums, text as T
 from veilgrid.operators import access, detect, events as E, limits, metrics, policy as P, rewrite as R, trees, vault
 from veilgrid.operators.rules import custom_rule
-from veilgrid.sources import logs
+from veilgrid.sources import logs, tail
+from veilgrid.sources.shared import scratch, written
 from veilgrid.streaming import frames, pairing, rewriter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -311,6 +312,62 @@ def chain_tampering(spark, sf_dir):
     return E.verify_chains(lines).select("chain", "records", "valid", "reason")
 
 
+def _log_records(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", F.to_json(F.struct("event_id", "event_type")).alias("record"))
+
+
+#: Chains of 100 events, and what is done to each eighth one.
+_CHAINS = "SELECT (n - 1) // 100 AS c, count(*) AS n FROM (SELECT row_number() OVER (ORDER BY event_id) AS n FROM events) GROUP BY 1"
+
+
+@query(f"""WITH s AS ({_CHAINS}), f AS (SELECT c, n, n // 10 * 10 AS a,
+  CASE WHEN c % 8 IN (1, 2, 3, 4, 7) AND n > 5 THEN 4 WHEN c % 8 = 5 AND n >= 10 THEN 9 WHEN c % 8 = 6 AND n >= 10 THEN n // 10 * 10 - 1 ELSE n END AS records FROM s)
+SELECT CAST(c AS VARCHAR) AS chain, records, records = n AS valid, CASE WHEN records = n THEN NULL WHEN c % 8 = 1 THEN 'wrong hash' WHEN c % 8 = 2 THEN 'wrong sequence' WHEN c % 8 = 3 THEN 'no integrity block'
+  WHEN c % 8 = 4 THEN 'wrong previous hash' WHEN c % 8 = 5 THEN 'not the anchored hash at 10' WHEN c % 8 = 7 THEN 'no JSON' ELSE 'cut short: it has ' || records || ' records and is anchored up to ' || a END AS reason FROM f""")
+def chain_faults(spark, sf_dir):
+    """One log of all events, in chains of 100, with each kind of fault in an eighth of them."""
+    built = E.build_log(_log_records(spark, sf_dir), "event_id", "record", 100)
+    kind, n = F.col("chain").cast("long") % 8, F.col("sequence")
+    size = F.count("*").over(Window.partitionBy("chain"))
+    lines = built.withColumn("n", size)
+    line = F.when((n != 5) | (F.col("n") <= 5), F.col("line")).when(kind == 1, F.replace("line", F.lit('"event_id":'), F.lit('"event_id":9'))).when(kind == 3, F.lit('{"event_id":1}'))
+    line = line.when(kind == 4, F.regexp_replace("line", '"previousHash":"..', '"previousHash":"__')).when(kind == 7, F.lit('{"event_id":')).otherwise(F.col("line"))
+    gone = ((kind == 2) & (n == 5) & (F.col("n") > 5)) | ((kind == 6) & (n >= F.floor(F.col("n") / 10) * 10) & (F.col("n") >= 10))
+    anchors = E.anchors_of(built, 10)
+    anchors = anchors.withColumn("event_hash", F.when((F.col("chain").cast("long") % 8 == 5) & (F.col("sequence") == 10), "x").otherwise(F.col("event_hash")))
+    found = E.verify_chains(lines.where(~gone).select("chain", n.alias("position"), line.alias("line")), anchors)
+    return found.select("chain", "records", "valid", "reason")
+
+
+#: The log's chains anew: each record's hash holds the one before, so SQL goes along all chains at once, step by step.
+_TREE_SQL = """WITH RECURSIVE r AS (SELECT (n - 1) // 200 AS c, (n - 1) % 200 + 1 AS s, event_id, event_type FROM (SELECT row_number() OVER (ORDER BY event_id) AS n, event_id, event_type FROM events)),
+h AS (SELECT 0::BIGINT AS s, c, NULL::VARCHAR AS own FROM (SELECT DISTINCT c FROM r) UNION ALL
+  SELECT r.s, r.c, rtrim(translate(to_base64(unhex(sha256('{"auditIntegrity":{"alg":"sha256","canonicalization":"json-stable-v1","previousHash":' || coalesce('"' || h.own || '"', 'null') || ',"sequence":' || r.s || '},"event_id":' || r.event_id || ',"event_type":"' || r.event_type || '"}'))), '+/', '-_'), '=')
+  FROM h JOIN r ON r.c = h.c AND r.s = h.s + 1),
+l0 AS (SELECT c AS place, sha256(c || ':' || max(s) || ':' || max_by(own, s)) AS hash FROM h WHERE s > 0 GROUP BY c),
+l1 AS (SELECT place // 16 AS place, sha256(string_agg(hash, '' ORDER BY place)) AS hash FROM l0 WHERE (SELECT count(*) FROM l0) > 1 GROUP BY 1),
+l2 AS (SELECT place // 16 AS place, sha256(string_agg(hash, '' ORDER BY place)) AS hash FROM l1 WHERE (SELECT count(*) FROM l1) > 1 GROUP BY 1),
+l3 AS (SELECT place // 16 AS place, sha256(string_agg(hash, '' ORDER BY place)) AS hash FROM l2 WHERE (SELECT count(*) FROM l2) > 1 GROUP BY 1)
+SELECT 0 AS level, * FROM l0 UNION ALL SELECT 1, * FROM l1 UNION ALL SELECT 2, * FROM l2 UNION ALL SELECT 3, * FROM l3"""
+
+
+@query(_TREE_SQL)
+def log_tree(spark, sf_dir):
+    """The hash tree over one log of all events, in chains of 200."""
+    return E.hash_tree(E.chain_heads(E.build_log(_log_records(spark, sf_dir), "event_id", "record", 200)))
+
+
+@query(f"""WITH l AS (SELECT * FROM ({_LOG}) ORDER BY sequence DESC LIMIT 500) SELECT count(*) AS events, count(*) FILTER (blocked) AS blocked, CAST(sum(n) AS BIGINT) AS detections,
+  min(sequence) AS low, max(sequence) AS high, (SELECT count(*) FROM events) <= 500 AS covered FROM l""")
+def log_tail(spark, sf_dir):
+    """A report over the last 500 events of a log that was written as lines, of which the last bytes alone are read."""
+    path = scratch(spark, "log")
+    _log(spark, sf_dir).select("audit_integrity.sequence", F.to_json(F.struct("*")).alias("line")).repartitionByRange("sequence").sortWithinPartitions("sequence").select("line").write.text(path)
+    kept = written(tail.last_events(spark, path, 500), "tail")
+    seen = kept.agg(F.min("audit_integrity.sequence").alias("low"), F.max("audit_integrity.sequence").alias("high"), F.bool_and("covered_from_start").alias("covered"))
+    return E.report(kept).select("events", "blocked", "detections").join(seen)
+
+
 _BOUNDS = (1, 3, 20, 60, 200)
 
 
