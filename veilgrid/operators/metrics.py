@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilgrid.functions.text import label_value
+from veilgrid.plans.ranks import ranked
+from veilgrid.sources.shared import written
 
 # -- fixed values --
 BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1, 2.5, 5, 10)
@@ -45,15 +47,78 @@ def exposition(found: DataFrame, metric: str, by: list[str], buckets: tuple = BU
     return head.unionByName(body).orderBy("part", "series", "place").select("line")
 
 
+#: The accuracy of the sketch that brackets a percentile, and pairs of groups and shares whose brackets may be broadcast.
+ACCURACY, MOST_BRACKETS = 10_000, 50_000
+
+
 def nearest_rank(rows: DataFrame, value: str, shares: list[float], by: list[str] | None = None) -> DataFrame:
-    """The value at rank ceil(share * n), at least 1, without interpolation; and the largest. Ranks come from a sort within
-    each group, not from gathering it."""
+    """The value at rank ceil(share * n), at least 1, without interpolation; and the largest.
+
+    A sketch of each group gives two values between which a rank must lie. Tasks count what is below the first, and what
+    each value between them has; the rank is found among those few, in ranges, so no task sorts a group, not even if all
+    rows are one. With more groups than MOST_BRACKETS, whose brackets would be too many to send to all tasks, and where a bracket should miss its
+    rank, rows are numbered in ranges."""
     by = by or []
-    over = Window.partitionBy(*by).orderBy(value) if by else Window.orderBy(value)
-    n = F.count("*").over(Window.partitionBy(*by)) if by else F.count("*").over(Window.partitionBy())
-    ranked = rows.where(F.col(value).isNotNull()).select(*by, value, F.row_number().over(over).alias("_r"), n.alias("_n"))
-    picks = [F.max(F.when(F.col("_r") == F.greatest(F.ceil(F.lit(s) * F.col("_n")), F.lit(1)), F.col(value))).alias(f"p{round(100 * s)}") for s in shares]
-    return ranked.groupBy(*by).agg(*picks, F.max(value).alias("max"), F.count("*").alias("n"))
+    rows = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
+    around = [min(1.0, max(0.0, s + d)) for s in shares for d in (-2 / ACCURACY, 2 / ACCURACY)]
+    target = lambda s: F.greatest(F.ceil(F.lit(s) * F.col("n")), F.lit(1))
+    groups = rows.groupBy(*by).agg(F.count("*").alias("n"), F.max("_v").alias("max"), F.percentile_approx("_v", around, ACCURACY).alias("_b")).where("n > 0")
+    groups = written(groups.select(*by, "n", "max", F.array(*(F.struct(F.lit(i).alias("share"), F.col("_b")[2 * i].alias("low"), F.col("_b")[2 * i + 1].alias("high"), target(s).alias("target")) for i, s in enumerate(shares))).alias("b")), "brackets")
+    names = [f"p{round(100 * s)}" for s in shares]
+    asked = groups.select(*by, F.explode("b").alias("b")).select(*by, "b.*")
+    if groups.count() * len(shares) <= MOST_BRACKETS:
+        found = _bracketed(rows, asked, by)
+    else:
+        found = _numbered(rows, asked, by)
+    picks = [F.max(F.when(F.col("share") == i, F.col("_v"))).alias(n) for i, n in enumerate(names)]
+    same = _same(by)
+    out = groups.alias("a").join(found.groupBy(*by).agg(*picks).alias("b"), same("a", "b"), "left")
+    return out.select(*(F.col(f"a.{c}") for c in by), *names, "max", "n")
+
+
+def _same(by: list[str]):
+    """Whether two sides of a join have the same group, null ones among them."""
+
+    def condition(a: str, b: str) -> Column:
+        out = F.lit(True)
+        for c in by:
+            out = out & F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}"))
+        return out
+
+    return condition
+
+
+def _bracketed(rows: DataFrame, asked: DataFrame, by: list[str]) -> DataFrame:
+    """by, share, _v: the values at the ranks asked for, by counting below and within brackets."""
+    same = _same(by)
+    # tasks add up first: what is below as one row a bracket, what is within as one row for each value
+    near = rows.alias("a").join(F.broadcast(asked).alias("b"), same("a", "b") & (F.col("a._v") <= F.col("b.high")))
+    place = F.when(F.col("_v") >= F.col("low"), F.col("_v"))
+    counts = written(near.select(*(F.col(f"a.{c}") for c in by), "share", "target", place.alias("_v")).groupBy(*by, "share", "target", "_v").agg(F.count("*").alias("k")), "within")
+    # what is below has no value and comes first
+    upto = ranked(counts, [*by, "share"], [F.col("_v")], "upto", weight="k")
+    found = upto.where("_v IS NOT NULL AND upto >= target").groupBy(*by, "share").agg(F.min("_v").alias("_v"))
+    below = counts.where("_v IS NULL AND k >= target").select(*by, "share")
+    there = found.alias("a").join(below.alias("b"), same("a", "b") & (F.col("a.share") == F.col("b.share")), "left_anti").select("a.*")
+    missed = asked.alias("a").join(there.alias("b"), same("a", "b") & (F.col("a.share") == F.col("b.share")), "left_anti").select("a.*")
+    missed = written(missed, "missed")
+    return there if missed.isEmpty() else there.unionByName(_numbered(rows, missed, by))
+
+
+def _numbered(rows: DataFrame, asked: DataFrame, by: list[str]) -> DataFrame:
+    """The same by numbering all rows of the groups asked for."""
+    same = _same(by)
+    of = rows.alias("a").join(asked.select(*by).distinct().alias("b"), same("a", "b"), "left_semi") if by else rows
+    numbers = ranked(of.groupBy(*by, "_v").agg(F.count("*").alias("k")), by, [F.col("_v")], "upto", weight="k")
+    hit = (F.col("a.upto") >= F.col("b.target")) & (F.col("a.upto") - F.col("a.k") < F.col("b.target"))
+    return numbers.alias("a").join(asked.alias("b"), same("a", "b") & hit).select(*(F.col(f"a.{c}") for c in by), "share", "_v")
+
+
+def throughput(rows: DataFrame, time: str, by: list[str] | None = None) -> DataFrame:
+    """requests, seconds from the first to the last, and per_second, null where that is no time."""
+    us = F.unix_micros(F.col(time).cast("timestamp"))
+    out = rows.where(F.col(time).isNotNull()).groupBy(*(by or [])).agg(F.count("*").alias("requests"), ((F.max(us) - F.min(us)) / 1_000_000).alias("seconds"))
+    return out.where("requests > 0").withColumn("per_second", F.try_divide("requests", F.col("seconds")))
 
 
 def nonce_budget(used: Column) -> Column:

@@ -389,6 +389,19 @@ def nearest_rank_percentiles(spark, sf_dir):
     return metrics.nearest_rank(table(spark, sf_dir, "events"), "value", [0.5, 0.95, 0.99], ["event_type"])
 
 
+@query("""WITH r AS (SELECT l_extendedprice AS v, row_number() OVER (ORDER BY l_extendedprice) AS k, count(*) OVER () AS n FROM lineitem)
+SELECT max(v) FILTER (k = greatest(1, ceil(0.01 * n))) AS p1, max(v) FILTER (k = greatest(1, ceil(0.5 * n))) AS p50, max(v) FILTER (k = greatest(1, ceil(0.99 * n))) AS p99, max(v) AS max, count(*) AS n FROM r""")
+def percentiles_of_all(spark, sf_dir):
+    """Percentiles of a whole table that is one group."""
+    return metrics.nearest_rank(table(spark, sf_dir, "lineitem"), "l_extendedprice", [0.01, 0.5, 0.99])
+
+
+@query("""SELECT kind, count(*) AS requests, round((max(epoch_us(ts)) - min(epoch_us(ts))) / 1000000, 3) AS seconds, round(count(*) / nullif((max(epoch_us(ts)) - min(epoch_us(ts))) / 1000000, 0), 9) AS per_second
+FROM clicks WHERE ts IS NOT NULL GROUP BY kind""")
+def request_rates(spark, sf_dir):
+    return metrics.throughput(table(spark, sf_dir, "clicks"), "ts", ["kind"]).select("kind", "requests", F.round("seconds", 3).alias("seconds"), F.round("per_second", 9).alias("per_second"))
+
+
 @query("SELECT '# HELP value_seconds value_seconds' AS line UNION ALL SELECT '# TYPE value_seconds histogram' UNION ALL "
        "SELECT 'value_seconds_count{event_type=\"' || event_type || '\"} ' || count(value) FROM events GROUP BY event_type UNION ALL "
        "SELECT 'value_seconds_bucket{event_type=\"' || event_type || '\",le=\"' || b || '\"} ' || count(*) FILTER (value <= CAST(replace(b, '+Inf', 'inf') AS DOUBLE)) "
