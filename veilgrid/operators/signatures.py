@@ -69,11 +69,14 @@ def verifies(token: str, algorithm: str, jwk: str) -> bool:
 
 
 def sign(header: dict, claims: dict, key: dict) -> str:
-    """A token of a private key (n, d), for tests and for data that is made from tables."""
+    """A token of a private key (n, d and its primes), for tests and for data that is made from tables."""
     signed = ".".join(to_b64url(json.dumps(x, separators=(",", ":")).encode()) for x in (header, claims))
     length = (key["n"].bit_length() + 7) // 8
     block = int.from_bytes(padded(signed.encode(), header["alg"], length), "big")
-    return f"{signed}.{to_b64url(pow(block, key['d'], key['n']).to_bytes(length, 'big'))}"
+    # by the primes apart, which takes a quarter of the time
+    p, q = key["p"], key["q"]
+    x, y = (pow(block, key["d"] % (r - 1), r) for r in (p, q))
+    return f"{signed}.{to_b64url((y + q * ((x - y) * pow(q, -1, p) % p)).to_bytes(length, 'big'))}"
 
 
 def made_key(seed: str, bits: int = 2048) -> dict:
@@ -87,7 +90,7 @@ def made_key(seed: str, bits: int = 2048) -> dict:
             p += 2
         primes.append(p)
     p, q = primes
-    return {"n": p * q, "e": e, "d": pow(e, -1, (p - 1) * (q - 1))}
+    return {"n": p * q, "e": e, "p": p, "q": q, "d": pow(e, -1, (p - 1) * (q - 1))}
 
 
 def _prime(n: int) -> bool:

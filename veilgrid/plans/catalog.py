@@ -153,13 +153,6 @@ def decode_and_rescan(spark, sf_dir):
     return rows.where("s.type = 'card'").select("c_custkey", "s.type")
 
 
-@query("SELECT v, kept FROM (VALUES ('0-5', true), ('2-9', false), ('5-7', true), ('8-12', true)) t(v, kept)")
-def resolve_overlaps(spark, sf_dir):
-    rows = spark.sql(f"SELECT array({', '.join(f'named_struct(\"type\", \"t\", \"rule_id\", \"r\", \"rule\", {i}, \"start\", {a}, \"end\", {b}, \"confidence\", 1.0D, \"value\", \"{a}-{b}\")' for i, (a, b) in enumerate([(0, 5), (2, 9), (5, 7), (8, 12)]))}) AS f".replace('"', "'"))
-    kept = rows.select("f", F.transform(detect.without_overlaps(F.col("f")), lambda s: s["value"]).alias("k"))
-    return kept.select(F.explode(F.transform("f", lambda s: s["value"])).alias("v"), "k").select("v", F.array_contains("k", F.col("v")).alias("kept"))
-
-
 # -- check digits --
 _DIGITS9, _DIGITS13 = "lpad(CAST((c_custkey * 7919 + 10007) % 1000000000 AS VARCHAR), 9, '0')", "lpad(CAST((c_custkey * 99990001 + 9007199254) % 10000000000000 AS VARCHAR), 13, '0')"
 
@@ -176,28 +169,7 @@ def check_digits(spark, sf_dir):
     return c.select("c_custkey", checksums.check("nl_bsn", F.col("n9")).alias("nl_bsn"), checksums.check("kr_rrn", F.col("n13")).alias("kr_rrn"), checksums.check("luhn", F.col("n13")).alias("luhn"), checksums.luhn_ok(F.col("n13")).alias("luhn_native"))
 
 
-@query("""SELECT * FROM (VALUES ('luhn', true), ('kr_rrn', true), ('us_ssn', true), ('iban', true), ('jp_mynumber', true), ('fr_nir', true), ('es_dni', true),
-  ('it_codice_fiscale', true), ('sg_nric', true), ('in_aadhaar', true), ('de_steuer_id', true), ('nl_bsn', true), ('uk_nino', true), ('kr_phone', true)) v(name, ok)""")
-def check_digit_vectors(spark, sf_dir):
-    vectors = {"luhn": "4111 1111 1111 1111", "kr_rrn": "900101-1234568", "us_ssn": "123-45-6789", "iban": "DE89370400440532013000", "jp_mynumber": "123456789018", "fr_nir": "255081416802538", "es_dni": "12345678Z", "it_codice_fiscale": "RSSMRA85T10A562S", "sg_nric": "S1234567D", "in_aadhaar": "234123412346", "de_steuer_id": "86095742719", "nl_bsn": "111222333", "uk_nino": "AB123456C", "kr_phone": "010-1234-5678"}
-    rows = spark.createDataFrame(list(vectors.items()), "name string, v string")
-    ok = F.lit(None).cast("boolean")
-    for name in vectors:
-        ok = F.when(F.col("name") == name, checksums.check(name, F.col("v"))).otherwise(ok)
-    return rows.select("name", ok.alias("ok"))
-
-
 # -- policies and profiles --
-_TYPES = ["email", "phone", "card", "secret", "api_key", "kr_rrn", "us_ssn", "injection"]
-
-
-@query(f"""SELECT t AS type, CASE t WHEN 'email' THEN 'tokenize' WHEN 'phone' THEN 'mask' WHEN 'injection' THEN 'allow' WHEN 'us_ssn' THEN 'redact' ELSE 'block' END AS action
-FROM (SELECT unnest({_TYPES}) AS t)""")
-def policy_actions(spark, sf_dir):
-    rows = spark.createDataFrame([(t, "r") for t in _TYPES], "type string, rule_id string")
-    return P.decide(rows, P.build(["korean-pii", "local-inference"], region="eu-gdpr")).select("type", "action")
-
-
 _PROFILES = P.Profiles({"strict": P.build(["strict-block"], models=["m1"]), "team": P.build(["llm-redact"]), "base": P.build()}, "base", {"scope:7": "strict", "scope:3": "team"}, {"seg=BUILDING": "team"})
 
 
@@ -240,14 +212,6 @@ def rewrite_json(spark, sf_dir):
     return done.select("doc_id", F.size(F.filter("found", lambda s: s["type"] == "email")).cast("long").alias("detections"), F.get_json_object("out", "$.messages[0].content").alias("content"))
 
 
-@query("""SELECT * FROM (VALUES (1, '{"a": [1, {"b": "x"}]}', '{"a":[1,{"b":"x"}]}', '{"b": 1}'), (2, NULL, NULL, NULL)) v(id, kept, canon, stripped)""")
-def json_utilities(spark, sf_dir):
-    rows = spark.createDataFrame([(1, '{"a": [1, {"b": "x"}]}', '{"prompt": "p", "b": 1}'), (2, "{no", "{no")], "id int, t string, u string")
-    from veilgrid.operators.events import sanitized
-
-    return rows.select("id", F.when(F.col("id") == 1, F.col("t")).alias("kept"), T.canonical_json(F.col("t")).alias("canon"), sanitized(F.col("u")).alias("stripped"))
-
-
 # -- the event log --
 
 
@@ -426,13 +390,6 @@ def detection_scores(spark, sf_dir):
     return metrics.scores(metrics.confusion(expected, found).drop("gaps"))
 
 
-@query("SELECT 'email' AS type WHERE true")
-def score_regressions(spark, sf_dir):
-    live = spark.createDataFrame([("email", 0.9, 1.0), ("phone", 1.0, 1.0)], "type string, precision double, recall double")
-    base = spark.createDataFrame([("email", 1.0, 1.0), ("phone", 0.857143, 1.0)], "type string, precision double, recall double")
-    return metrics.regressions(live, base).select("type")
-
-
 # -- rate limits --
 
 
@@ -557,19 +514,6 @@ def authenticate(spark, sf_dir):
     return access.authenticated(asked, records).select("o_orderkey", "id")
 
 
-@query("""SELECT * FROM (VALUES (1, 'accept,x-a', 413, true, false), (2, 'accept', 200, false, true)) v(id, kept, gate, absolute, https)""")
-def request_gates(spark, sf_dir):
-    rows = spark.createDataFrame([(1, {"Accept": "a", "X-A": "b", "Connection": "c", "Authorization": "d"}, bytearray(b"x" * 20), "http://h/p", "http, https"), (2, {"Accept": "a", "X-B": "b"}, bytearray(b"ok"), "/p", "HTTPS, http")], "id int, h map<string,string>, body binary, target string, proto string")
-    names = F.lower(F.array_join(F.array_sort(F.map_keys(access.kept_headers(F.col("h"), deny=["x-b"]))), ","))
-    return rows.select("id", names.alias("kept"), access.body_gate(F.col("body"), 10).alias("gate"), access.absolute_target(F.col("target")).alias("absolute"), access.first_hop_https(F.col("proto")).alias("https"))
-
-
-@query("""SELECT * FROM (VALUES (1, 'not_json'), (2, 'compressed'), (3, 'too_large'), (4, 'invalid_json'), (5, NULL)) v(id, reason)""")
-def response_gates(spark, sf_dir):
-    rows = spark.createDataFrame([(1, "text/html", None, "{}"), (2, "application/json", "gzip", "{}"), (3, "application/json", None, '{"a": "0123456789012345"}'), (4, "application/json", None, "{no"), (5, "application/vnd.x+json; charset=utf-8", "identity", '{"a": 1}')], "id int, t string, e string, b string")
-    return rows.select("id", access.response_gate(F.col("t"), F.col("e"), F.encode("b", "UTF-8"), 20).alias("reason"))
-
-
 @query(r"SELECT c_custkey, regexp_replace(substr(c_name, 1, 64), '[^A-Za-z0-9_.:/-]', '_', 'g') AS label, 'p:' || substr(sha256(c_name), 1, 16) AS external FROM customer")
 def labels_and_ids(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", T.label_value(F.col("c_name")).alias("label"), T.external_id(F.lit("p"), F.sha2("c_name", 256)).alias("external"))
@@ -639,12 +583,6 @@ def rpc_pairing(spark, sf_dir):
     return found.select("session", "rpc_id", "outcome", "method", F.unix_micros("asked_at").alias("asked_us"), F.unix_micros("answered_at").alias("answered_us"))
 
 
-@query("""SELECT * FROM (VALUES (1, 'pass'), (2, 'reject'), (3, 'drop'), (4, 'reject')) v(id, verdict)""")
-def rpc_messages(spark, sf_dir):
-    rows = spark.createDataFrame([(1, "request", '{"jsonrpc": "2.0", "id": 1, "method": "a", "params": {"t": "x@y.com"}}'), (2, "request", '{"jsonrpc": "2.0", "id": 1, "method": "b"}'), (3, "request", '{"jsonrpc": "2.0", "method": "b"}'), (4, "response", '{"jsonrpc": "2.0", "id": 1, "result": "sk_abcdefghijklmnopqrstuvwx1"}')], "id int, direction string, line string")
-    return rewriter.protect_rpc(rows, P.build(["mcp-basic"], mode="enforce"), ["a"]).select("id", "verdict")
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with their e-mail addresses redacted."""
     return redact_emails(spark, sf_dir)
@@ -657,19 +595,4 @@ def pass_through_cap(spark, sf_dir):
     return frames.capped(c, 1000, "conv_id", "turn", "text").select("conv_id", "turn", "truncated")
 
 
-@query("""SELECT * FROM (VALUES (1, NULL), (2, 'algorithm'), (3, 'expired'), (4, 'audience'), (5, 'malformed'), (6, 'not yet')) v(id, verdict)""")
-def token_claims(spark, sf_dir):
-    claims = {"iss": "https://i", "aud": ["a", "b"], "sub": "s", "exp": 2000}
-    cases = [(1, {}, {}), (2, {"alg": "none"}, {}), (3, {}, {"exp": 900}), (4, {}, {"aud": "c"}), (6, {}, {"nbf": 5000})]
-    import json
-
-    rows = spark.createDataFrame([(i, json.dumps({"alg": "RS256", "kid": "k", **h}), json.dumps({**claims, **c})) for i, h, c in cases], "id int, h string, c string")
-    enc = lambda c: T.base64url(F.encode(c, "UTF-8"))
-    rows = rows.select("id", F.concat_ws(".", enc("h"), enc("c"), F.lit("x")).alias("t")).union(spark.createDataFrame([(5, "a.b")], "id int, t string"))
-    return rows.select("id", access.claims_verdict(F.col("t"), "https://i", "b", F.lit(1000)).alias("verdict"))
-
-
-@query("SELECT * FROM (VALUES ('1.2.3', true), ('1.10.0', true), ('2.0.0', false), ('0.9', NULL)) v(version, ok)")
-def version_ranges(spark, sf_dir):
-    rows = spark.createDataFrame([("1.2.3",), ("1.10.0",), ("2.0.0",), ("0.9",)], "version string")
-    return rows.select("version", T.in_range(F.col("version"), "1.2.3", "2.0.0").alias("ok"))
+from veilgrid.plans import table_checks  # noqa: E402, F401  registers its own
