@@ -143,3 +143,22 @@ def test_json_allow_lists_paths_tokens_and_seals(spark):
 
     inner = json.loads(sealed.out)["a"]
     assert detect.marker_spans(inner, detect.rules_for("response")) == [(0, len(inner))]
+
+
+def test_marks_cannot_be_forged_and_envelopes_are_bound(spark):
+    """What a payload holds of private-use characters stays; a sealed value opens with its own path, type and rule alone."""
+    import base64
+
+    from veilgrid.functions import text as T
+
+    key, policy = b"k" * 32, P.build(actions={"email": "encrypt"}, default="allow", mode="enforce")
+    forged = json.dumps({"a": "\ue0000\ue001 and \ue000\ue001", "b": "x@y.com"}, ensure_ascii=False)
+    out = json.loads(trees.protect_json(spark.createDataFrame([(forged,)], "t string"), "t", policy, sealing_key=key, aad=F.lit("ctx")).first().out)
+    assert out["a"] == json.loads(forged)["a"] and out["b"].startswith("[SEALED:")
+    raw = out["b"][8:-1]
+    envelope = json.loads(base64.urlsafe_b64decode(raw + "=" * (-len(raw) % 4)))
+    rows = spark.createDataFrame([(envelope,)], "e struct<v:int,alg:string,kid:string,iv:string,ct:string,tag:string,aad_hash:string,aad_encoding:string>")
+    path = trees.safe_path(("b",))
+    aads = {n: trees.seal_aad(*(F.lit(x) for x in p)) for n, p in {"right": ("ctx", path, "email", "email"), "path": ("ctx", trees.safe_path(("a",)), "email", "email"), "type": ("ctx", path, "card", "email"), "rule": ("ctx", path, "email", "x"), "context": ("", path, "email", "email")}.items()}
+    got = rows.select(*(T.decrypt(F.col("e"), {T.short_id(key): key}, a).alias(n) for n, a in aads.items())).first().asDict()
+    assert got == {"right": "x@y.com", "path": None, "type": None, "rule": None, "context": None}

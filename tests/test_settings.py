@@ -22,8 +22,11 @@ def test_manifests():
     assert config.manifest_errors(good) == config.manifest_errors({"r": good}, "r") == []
     for bad in ({"kind": "x"}, {"capabilities": {}}, {"runtime": "x"}, {"entrypoint": ""}, {"compatibility": None}, {"dataHandling": {"logsRawPayload": True}}, {"capabilities": {**good["capabilities"], "networkEgress": True, "readsPlaintext": True}}):
         assert config.manifest_errors({**good, **bad}), bad
-    loaded = {**good, "kind": "authProvider", "runtime": "worker-isolated", "signature": "abc=", "entrySha256": "0" * 64}
+    loaded = {**good, "kind": "authProvider", "runtime": "worker-isolated", "signature": "abc=", "entrySha256": "0" * 64, "signerKeyId": "k", "notAfter": "2030-01-01", "capabilities": {"readsCredentials": True}}
     assert config.manifest_errors(loaded) == []
+    for bad in ({"signerKeyId": ""}, {"notAfter": None}, {"capabilities": {"readsCredentials": "yes"}}, {"capabilities": None}, {"signature": "a b"}, {"signature": None}):
+        assert len(config.manifest_errors({**loaded, **bad})) == 1, bad
+    assert config.manifest_errors({**loaded, "notAfter": None, "notBefore": "2024-01-01"}) == []
     assert config.manifest_errors({**loaded, "kind": "audit-sink"}) and config.manifest_errors({**loaded, "entrySha256": "x"}) and config.manifest_errors({})
 
 

@@ -159,14 +159,25 @@ def canonical_json(text: Column, fold: bool = False) -> Column:
     return run(text)
 
 
+def once(made: Column, use) -> Column:
+    """``use(x)`` for a value that is drawn anew whenever it is worked out: a variable of a lambda is worked out once, while
+    several mentions of an expression may not be."""
+    return F.get(F.transform(F.array(made), use), F.lit(0))
+
+
+def parts_of_sealed(sealed: Column) -> dict[str, Column]:
+    """iv, ct and tag of what ``aes_encrypt`` gives in GCM, as base64url texts."""
+    n = F.octet_length(sealed)
+    cut = {"iv": (F.lit(1), F.lit(12)), "ct": (F.lit(13), n - 28), "tag": (n - 15, F.lit(16))}
+    return {name: base64url(F.substring(sealed, at, size)).alias(name) for name, (at, size) in cut.items()}
+
+
 def encrypt(text: Column, key: bytes, aad: Column, iv: Column | None = None) -> Column:
     """AES-256-GCM; an envelope of base64url texts. ``iv`` is for tests, else it is drawn anew for each value."""
     sealed = F.aes_encrypt(text, F.lit(key), F.lit("GCM"), F.lit("DEFAULT"), *([iv, aad] if iv is not None else [F.lit(b""), aad]))
-    n = F.octet_length(sealed)
-    return F.struct(
-        F.lit(2).alias("v"), F.lit("AES-256-GCM").alias("alg"), F.lit(short_id(key)).alias("kid"), base64url(F.substring(sealed, F.lit(1), F.lit(12))).alias("iv"),
-        base64url(F.substring(sealed, F.lit(13), n - 28)).alias("ct"), base64url(F.substring(sealed, n - 15, F.lit(16))).alias("tag"),
-        sha256_base64url(aad).alias("aad_hash"), F.lit("json-nfkc-v2").alias("aad_encoding"))
+    head = F.lit(2).alias("v"), F.lit("AES-256-GCM").alias("alg"), F.lit(short_id(key)).alias("kid")
+    tail = sha256_base64url(aad).alias("aad_hash"), F.lit("json-nfkc-v2").alias("aad_encoding")
+    return once(sealed, lambda s: F.struct(*head, *parts_of_sealed(s).values(), *tail))
 
 
 def short_id(key: bytes) -> str:

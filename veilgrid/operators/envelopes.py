@@ -48,14 +48,9 @@ def sealed(rows: DataFrame, keys: DataFrame, wrapping: dict[str, bytes], value:
     """``rows`` with an envelope of a value; null for null and where there is no data key."""
     rows = _with_key(rows.withColumn("_aad", aad), keys, wrapping, key_id)
     data = F.aes_encrypt(F.col(value), F.col("_key"), F.lit("GCM"), F.lit("DEFAULT"), F.lit(b""), F.col("_aad"))
-    n = F.octet_length("_data")
-    part = lambda at, size: T.base64url(F.substring("_data", at, size))
-    made = F.struct(
-        F.lit(2).alias("v"), F.lit("AES-256-GCM").alias("alg"), F.col(key_id).cast("string").alias("key_id"), part(F.lit(1), F.lit(12)).alias("iv"),
-        part(F.lit(13), n - 28).alias("ct"), part(n - 15, F.lit(16)).alias("tag"), T.sha256_base64url(F.col("_aad")).alias("aad_hash"),
-    )
-    rows = rows.withColumn("_data", F.when(F.col("_key").isNotNull(), data))
-    return rows.withColumn(out, F.when(F.col("_data").isNotNull(), made)).drop("_key", "_data", "_aad")
+    head = F.lit(2).alias("v"), F.lit("AES-256-GCM").alias("alg"), F.col(key_id).cast("string").alias("key_id")
+    made = T.once(data, lambda s: F.struct(*head, *T.parts_of_sealed(s).values(), T.sha256_base64url(F.col("_aad")).alias("aad_hash")))
+    return rows.withColumn(out, F.when(F.col("_key").isNotNull() & F.col(value).isNotNull(), made)).drop("_key", "_aad")
 
 
 def opened(rows: DataFrame, keys: DataFrame, wrapping: dict[str, bytes], aad: Column, envelope: str = "envelope", out: str = "value") -> DataFrame:

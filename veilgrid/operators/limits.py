@@ -13,16 +13,17 @@ from pyspark.sql import functions as F
 
 def clock_windows(requests: DataFrame, key: str, time: str, limit: int, seconds: int = 60) -> DataFrame:
     """Requests with hit (the number within key and window), and allowed; windows begin at multiples of ``seconds``. Ties
-    in time are ordered by the other columns."""
+    in time are ordered by the other columns; requests without a time are left out."""
     start = F.floor(F.unix_micros(time) / (seconds * 1_000_000)).cast("long")
     rest = [c for c in requests.columns if c not in (key, time)]
     over = Window.partitionBy(key, "_w").orderBy(time, *rest)
-    return requests.withColumn("_w", start).withColumn("hit", F.row_number().over(over)).withColumn("allowed", F.col("hit") <= limit).drop("_w")
+    return requests.where(F.col(time).isNotNull()).withColumn("_w", start).withColumn("hit", F.row_number().over(over)).withColumn("allowed", F.col("hit") <= limit).drop("_w")
 
 
 def first_hit_windows(requests: DataFrame, key: str, time: str, limit: int, seconds: int = 60) -> DataFrame:
     """The same with windows that begin at a key's first request after its last window ended. They depend on the data, so
-    each key is folded in order: rows are sorted by key and time and stream through a task, which holds one key's state."""
+    each key is folded in order: rows are sorted by key and time and stream through a task, which holds one key's state.
+    Requests without a time are left out, as limiters leave them out."""
     rest = [c for c in requests.columns if c not in (key, time)]
     schema = f"{requests._jdf.schema().toDDL()}, hit int, allowed boolean"
     names = [*requests.columns, "hit", "allowed"]
@@ -40,7 +41,7 @@ def first_hit_windows(requests: DataFrame, key: str, time: str, limit: int, seco
                 hits[i] = n
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hits), pa.array(hits <= limit)], names)
 
-    return requests.repartition(key).sortWithinPartitions(key, time, *rest).mapInArrow(run, schema)
+    return requests.where(F.col(time).isNotNull()).repartition(key).sortWithinPartitions(key, time, *rest).mapInArrow(run, schema)
 
 
 class _Windows:

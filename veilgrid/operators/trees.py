@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import secrets
 from collections.abc import Iterator
 
 import pandas as pd
@@ -166,15 +167,25 @@ def rewrite_tree(value, change, path: tuple = ()):
     return out
 
 
-#: What stands for a value to encrypt until it is, between two characters for private use.
-_MARK = "\ue000%d\ue001"
+def _mark_for(text: str) -> str:
+    """What stands for values to encrypt until they are: drawn anew for each text, and in none of its own."""
+    while (mark := "\ue000" + secrets.token_hex(8)) in text:
+        pass
+    return mark
+
+
+def seal_aad(context: Column, path: Column, kind: Column, rule_id: Column) -> Column:
+    """What a sealed value is bound to: where it was taken from and why, beside the caller's own context. With another path,
+    type or rule it does not open."""
+    return F.to_json(F.struct(F.coalesce(context, F.lit("")).alias("context"), path.alias("path"), rule_id.alias("ruleId"), kind.alias("type")))
 
 
 def protect_json(rows: DataFrame, column: str, policy, direction: str = "request", most: int = MOST_DEPTH, min_confidence: float | None = None, allow=(), key: bytes | None = None, sealing_key: bytes | None = None, aad: Column | None = None) -> DataFrame:
     """Rows with out (JSON as the policy wants it, null if blocked or no JSON), blocked, detections, types, found, issued and
     error. The tree is walked once; decisions are those of ``policy`` for each leaf. ``allow`` has texts, and entries with a
     value, a (safe) path or both, of which both must fit; hard types are never spared. With ``key`` tokens are those of the
-    vault, and ``issued`` has them, each once; with ``sealing_key`` what should be encrypted is, natively, else redacted.
+    vault, and ``issued`` has them, each once; with ``sealing_key`` what should be encrypted is, natively, else redacted; an
+    envelope is bound by ``seal_aad`` to ``aad``, its path, type and rule.
     ``found`` has type, rule_id, path (safe), kind, confidence and action of each detection."""
     import hmac
 
@@ -207,7 +218,9 @@ def protect_json(rows: DataFrame, column: str, policy, direction: str = "request
         issued: dict[str, None] = {}
         sealed: list[dict] = []
 
-        def replaced(kind: str, action: str, v: str) -> str:
+        mark = _mark_for(t)
+
+        def replaced(kind: str, action: str, v: str, where_from: dict) -> str:
             if action == "mask":
                 return stars(v)
             if action == "tokenize" and key:
@@ -217,7 +230,7 @@ def protect_json(rows: DataFrame, column: str, policy, direction: str = "request
             if action == "tokenize":
                 return f"[TOKEN:{kind}:{hashlib.sha256(v.encode()).hexdigest()[:12]}]"
             if action == "encrypt" and seals:
-                sealed.append({"mark": _MARK % len(sealed), "value": v})
+                sealed.append({"mark": f"{mark}:{len(sealed)}\ue001", "value": v, **where_from})
                 return sealed[-1]["mark"]
             return f"[REDACTED:{kind}]"
 
@@ -230,7 +243,7 @@ def protect_json(rows: DataFrame, column: str, policy, direction: str = "request
                 action = actions.get(type_, default)
                 found.append({"type": type_, "rule_id": rule_id, "path": where, "kind": kind, "confidence": sure, "action": action})
                 if enforced and action not in ("allow", "block"):
-                    out += [v[at:a], replaced(type_, action, text)]
+                    out += [v[at:a], replaced(type_, action, text, {"path": where, "type": type_, "rule_id": rule_id})]
                     at = b
             return "".join([*out, v[at:]])
 
@@ -241,15 +254,16 @@ def protect_json(rows: DataFrame, column: str, policy, direction: str = "request
 
     detection = "struct<type:string,rule_id:string,path:string,kind:string,confidence:double,action:string>"
 
-    @F.pandas_udf(f"struct<out:string,blocked:boolean,detections:int,types:array<string>,found:array<{detection}>,issued:array<string>,sealed:array<struct<mark:string,value:string>>,error:string>")
+    @F.pandas_udf(f"struct<out:string,blocked:boolean,detections:int,types:array<string>,found:array<{detection}>,issued:array<string>,sealed:array<struct<mark:string,value:string,path:string,type:string,rule_id:string>>,error:string>")
     def run(s: pd.Series) -> pd.DataFrame:
         none = dict.fromkeys(("out", "blocked", "detections", "types", "found", "issued", "sealed", "error"))
         return pd.DataFrame([one(t) or none for t in s], columns=list(none))
 
     done = rows.withColumn("_r", run(F.col(column))).select("*", "_r.*").drop("_r")
     if seals:
-        envelope = lambda v: F.concat(F.lit("[SEALED:"), T.base64url(F.encode(F.to_json(T.encrypt(v, sealing_key, F.lit("") if aad is None else aad)), "UTF-8")), F.lit("]"))
-        done = done.withColumn("out", F.aggregate("sealed", F.col("out"), lambda t, x: F.replace(t, x["mark"], envelope(x["value"]))))
+        bound = lambda x: seal_aad(F.lit("") if aad is None else aad, x["path"], x["type"], x["rule_id"])
+        envelope = lambda x: F.concat(F.lit("[SEALED:"), T.base64url(F.encode(F.to_json(T.encrypt(x["value"], sealing_key, bound(x))), "UTF-8")), F.lit("]"))
+        done = done.withColumn("out", F.aggregate("sealed", F.col("out"), lambda t, x: F.replace(t, x["mark"], envelope(x))))
     return done.drop("sealed")
 
 

@@ -108,12 +108,16 @@ def encrypt_round_trip(spark, sf_dir):
     return rows.select("c_custkey", T.decrypt(F.col("e"), keys, F.col("c_custkey").cast("string")).alias("opened"), T.decrypt(F.col("e"), keys, F.lit("other")).alias("wrong"))
 
 
-@query(f"""WITH f AS ({EMAILS}) SELECT CASE WHEN value LIKE '%mail1.%' THEN 'suppressed' ELSE 'kept' END AS fate, count(*) AS n FROM f GROUP BY 1
-  UNION ALL SELECT 'dropped', 0 WHERE false""")
+@query(f"""WITH f AS ({EMAILS} UNION ALL SELECT doc_id, unnest(regexp_extract_all(text, '(?i)\\bthe [a-z]{{3,8}}\\b')) FROM documents)
+SELECT CASE WHEN value LIKE '%@mail1.%' OR value = 'the the' THEN 'suppressed' WHEN value LIKE '%@%' THEN 'kept' ELSE 'dropped' END AS fate, count(*) AS n FROM f GROUP BY 1""")
 def precision_dials(spark, sf_dir):
-    # counted first, so that a frequent address is one row of the join
-    found = _emails(spark, sf_dir).groupBy("type", "value", "confidence").agg(F.count("*").alias("n"))
-    allowed = found.where(F.col("value").contains("mail1."))
+    """Addresses are kept but for allowed ones; a custom rule's hits are less sure than the dial asks, and dropped."""
+    rule = custom_rule("noun", "noun", r"\bthe [a-z]{3,8}\b", "gi", 0.4)
+    docs = table(spark, sf_dir, "documents")
+    each = lambda **o: docs.select(F.explode(detect.spans(F.col("text"), **o)).alias("s")).select("s.type", "s.value", "s.confidence")
+    # counted first, so that a frequent value is one row of the join
+    found = each(only=["email"]).unionByName(each(custom=[rule], only=["noun"])).groupBy("type", "value", "confidence").agg(F.count("*").alias("n"))
+    allowed = found.where(F.col("value").contains("@mail1.") | (F.col("value") == "the the"))
     return R.fates(found, allowed, 0.5).groupBy("fate").agg(F.sum("n").alias("n"))
 
 
@@ -485,13 +489,16 @@ def restore_tokens(spark, sf_dir):
 # -- access --
 
 
-@query(r"""SELECT page_id, url, CASE WHEN p = '/' THEN 'home' WHEN regexp_matches(p, '^/en') AND p = '/en/25' THEN 'exact' END AS route_id, p AS path FROM
-  (SELECT page_id, url, CASE WHEN regexp_extract(url, '^[a-z]+://[^/?#]+(/[^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[a-z]+://[^/?#]+(/[^?#]*)', 1) END AS p FROM pages)""")
+@query(r"""SELECT page_id, url, CASE WHEN p = '/' THEN 'home' WHEN p = '/en/25' THEN 'exact' WHEN ends_with(p, ':stream') THEN 'gen' WHEN ends_with(p, ':batch') THEN 'many' END AS route_id, p AS path FROM
+  (SELECT page_id, url, CASE WHEN q = '' THEN '/' WHEN page_id % 5 = 1 THEN q || ':stream' WHEN page_id % 5 = 2 THEN q || ':batch' WHEN page_id % 5 = 3 THEN q || ':stream/x' ELSE q END AS p FROM
+    (SELECT page_id, url, coalesce(regexp_extract(url, '^[a-z]+://[^/?#]+(/[^?#]*)', 1), '') AS q FROM pages))""")
 def match_routes(spark, sf_dir):
+    """Routes of pages' paths, exact ones and those told by what follows the last colon."""
     rows = table(spark, sf_dir, "pages").select("page_id", "url")
-    path = F.regexp_extract("url", r"^[a-z]+://[^/?#]+(/[^?#]*)", 1)
-    rows = rows.withColumn("path", F.when(path == "", "/").otherwise(path))
-    routes = spark.createDataFrame([("home", 0, "/", None), ("exact", 1, "/en/25", None), ("gen", 2, None, ":stream")], "route_id string, position int, path string, suffix string")
+    path = F.coalesce(F.regexp_extract("url", r"^[a-z]+://[^/?#]+(/[^?#]*)", 1), F.lit(""))
+    ends = F.element_at(F.array(*(F.lit(x) for x in ("", ":stream", ":batch", ":stream/x", ""))), (F.col("page_id") % 5 + 1).cast("int"))
+    rows = rows.withColumn("path", F.when(path == "", "/").otherwise(F.concat(path, ends)))
+    routes = spark.createDataFrame([("home", 0, "/", None), ("exact", 1, "/en/25", None), ("gen", 2, None, ":stream"), ("later", 4, None, ":stream"), ("many", 3, None, ":batch")], "route_id string, position int, path string, suffix string")
     return access.routed(rows, routes).select("page_id", "url", "route_id", "path")
 
 

@@ -6,7 +6,7 @@ import dataclasses
 import json
 import os
 import re
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from veilgrid.operators import policy as P
@@ -77,34 +77,51 @@ def load(path: str | None = None, environment: Mapping[str, str] | None = None)
     return Settings(**raw)
 
 
+# -- manifests: for each kind of them, what must hold where (a dotted name, or nothing for the whole) --
+
+
+def _text(v: object) -> bool:
+    return isinstance(v, str) and v != ""
+
+
+def _like(pattern: str) -> Callable[[object], bool]:
+    return lambda v: isinstance(v, str) and re.fullmatch(pattern, v) is not None
+
+
+def _among(known: Sequence[str]) -> Callable[[object], bool]:
+    return lambda v: not _text(v) or v in known  # that it is a text at all is another rule's
+
+
+_RULES: dict[str, list[tuple[str, Callable[[object], bool], str]]] = {
+    "all": [
+        *((name, _text, f"missing {name}") for name in ("id", "version", "kind", "runtime", "entrypoint")),
+        ("kind", _among(KINDS), "unknown kind"), ("runtime", _among(RUNTIMES), "unknown runtime"),
+    ],
+    "declared": [
+        ("compatibility", bool, "missing compatibility"), ("capabilities", lambda v: isinstance(v, Mapping), "missing capabilities"),
+        *((f"capabilities.{name}", lambda v: isinstance(v, bool), f"capability {name} must be true or false") for name in CAPABILITIES),
+        ("dataHandling.logsRawPayload", lambda v: v is not True, "raw payloads must not be logged"),
+        ("", lambda m: not (_at(m, "capabilities.networkEgress") and _at(m, "capabilities.readsPlaintext")) or bool(_at(m, "dataHandling.retention")), "what reads plain text and uses the network must declare its retention"),
+    ],
+    "loaded": [
+        ("kind", lambda v: v == "authProvider", "only an authProvider can be loaded at run time"),
+        ("signature", _like("[A-Za-z0-9+/=]+"), "no signature"), ("signerKeyId", _text, "missing signerKeyId"), ("entrySha256", _like("[0-9a-f]{64}"), "no hash of the entry point"),
+        ("", lambda m: m.get("notBefore") is not None or m.get("notAfter") is not None, "no time from which or to which it is valid"),
+        ("capabilities.readsCredentials", lambda v: v is True, "what sees tokens must declare readsCredentials"),
+    ],
+}
+
+
+def _at(m: object, name: str) -> object:
+    for part in filter(None, name.split(".")):
+        m = m.get(part) if isinstance(m, Mapping) else None
+    return m
+
+
 def manifest_errors(manifest: Mapping, root: str | None = None) -> list[str]:
     """What is wrong with the manifest of an extension; ``root`` names the key that holds it, if one does."""
     m = manifest.get(root) if root else manifest
     if not isinstance(m, Mapping) or not m:
         return ["no manifest"]
-    text = lambda k: isinstance(m.get(k), str) and m[k] != ""
-    out = [f"missing {k}" for k in ("id", "version", "kind", "runtime", "entrypoint") if not text(k)]
-    if text("kind") and m["kind"] not in KINDS:
-        out.append("unknown kind")
-    if text("runtime") and m["runtime"] not in RUNTIMES:
-        out.append("unknown runtime")
-    if m.get("runtime") in RUNTIMES[1:]:
-        if m.get("kind") != "authProvider":
-            out.append("only an authProvider can be loaded at run time")
-        if not re.fullmatch(r"[A-Za-z0-9+/=]+", str(m.get("signature") or "")):
-            out.append("no signature")
-        if not re.fullmatch(r"[0-9a-f]{64}", str(m.get("entrySha256") or "")):
-            out.append("no hash of the entry point")
-        return out
-    given, handling = m.get("capabilities"), m.get("dataHandling") or {}
-    if not m.get("compatibility"):
-        out.append("missing compatibility")
-    if not isinstance(given, Mapping):
-        out.append("missing capabilities")
-    else:
-        out += [f"capability {k} must be true or false" for k in CAPABILITIES if not isinstance(given.get(k), bool)]
-        if given.get("networkEgress") and given.get("readsPlaintext") and not handling.get("retention"):
-            out.append("what reads plain text and uses the network must declare its retention")
-    if handling.get("logsRawPayload") is True:
-        out.append("raw payloads must not be logged")
-    return out
+    kinds = "all", "loaded" if m.get("runtime") in RUNTIMES[1:] else "declared"
+    return [fault for kind in kinds for name, fits, fault in _RULES[kind] if not fits(_at(m, name))]
