@@ -114,12 +114,12 @@ class _Plain:
         self.f, self.at, self.end, self.held, self.base = f, at, f.size(), b"", at
 
     def peek(self, n: int) -> bytes:
-        """At least ``n`` bytes from here, or what there is."""
+        """``n`` bytes from here, or what there is."""
         here = self.at - self.base
         if here < 0 or (len(self.held) - here < n and self.base + len(self.held) < self.end):
             self.f.seek(self.at)
             self.held, self.base, here = self.f.read(max(n, self.STEP)), self.at, 0
-        return self.held[here:] if here else self.held
+        return self.held[here : here + n]
 
     def skip(self, n: int) -> None:
         if self.at + n > self.end:
@@ -127,7 +127,7 @@ class _Plain:
         self.at += n
 
     def take(self, n: int) -> bytes:
-        out = self.peek(n)[:n]
+        out = self.peek(n)
         self.skip(n)
         return out
 
@@ -138,7 +138,7 @@ class _Inflated:
     STEP = 1 << 16
 
     def __init__(self, raw: _Plain):
-        self.raw, self.inflate, self.held, self.sums = raw, None, b"", (0, 0)
+        self.raw, self.inflate, self.held, self.at, self.sums = raw, None, b"", 0, (0, 0)
 
     def _more(self) -> bool:
         if self.inflate is None:
@@ -146,7 +146,7 @@ class _Inflated:
                 return False
             self.raw.skip(gzip_header(self.raw)[0])
             self.inflate, self.sums = zlib.decompressobj(-15), (0, 0)
-        data = self.raw.peek(1)[: self.STEP]
+        data = self.raw.peek(self.STEP)
         if not data:
             raise ValueError("the archive is cut short")
         new = self.inflate.decompress(data)
@@ -156,30 +156,32 @@ class _Inflated:
             self.inflate = None
             if self.raw.take(8) != struct.pack("<II", self.sums[0], self.sums[1] & 0xFFFFFFFF):
                 raise ValueError("a broken member")
-        self.held += new
+        self.held, self.at = self.held[self.at :] + new if self.at < len(self.held) else new, 0
         return True
 
     def peek(self, n: int) -> bytes:
-        while len(self.held) < n and self._more():
+        while len(self.held) - self.at < n and self._more():
             pass
-        return self.held
+        return self.held[self.at : self.at + n]
 
     def skip(self, n: int) -> None:
-        while n > len(self.held):
-            n -= len(self.held)
-            self.held = b""
+        while n > len(self.held) - self.at:
+            n -= len(self.held) - self.at
+            self.held, self.at = b"", 0
             if not self._more():
                 raise ValueError("the archive is cut short")
-        self.held = self.held[n:]
+        self.at += n
 
     def take(self, n: int) -> bytes:
         parts, left = [], n  # so that a long payload is joined once
         while left:
-            if not self.held and not self._more():
-                raise ValueError("the archive is cut short")
-            parts.append(self.held[:left])
+            if self.at == len(self.held):
+                self.held, self.at = b"", 0
+                if not self._more():
+                    raise ValueError("the archive is cut short")
+            parts.append(self.held[self.at : self.at + left])
             left -= len(parts[-1])
-            self.held = self.held[len(parts[-1]) :]
+            self.at += len(parts[-1])
         return b"".join(parts)
 
 
