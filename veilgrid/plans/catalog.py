@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from veilgrid.functions import checksums, text as T
 from veilgrid.operators import access, detect, events as E, limits, metrics, policy as P, rewrite as R, trees, vault
 from veilgrid.operators.rules import custom_rule
-from veilgrid.sources import logs, tail
+from veilgrid.sources import growing, logs, tail
 from veilgrid.sources.shared import scratch, written
 from veilgrid.streaming import frames, pairing, rewriter
 
@@ -571,6 +571,16 @@ def split_frames(spark, sf_dir):
     return found.groupBy(F.col("stream_id").cast("long").alias("conv_id")).agg(F.count("*").alias("frames"), F.count_if(kind == "json").alias("json"))
 
 
+@query("SELECT conv_id, turn, text FROM conversations")
+def frames_of_files(spark, sf_dir):
+    """Turns of conversations as events in files, read back by the source that also reads files while they grow."""
+    path, c = scratch(spark, "frames"), table(spark, sf_dir, "conversations")
+    said = F.to_json(F.struct("conv_id", "turn", "text"))
+    c.select(F.concat(F.lit("event: turn\ndata: "), said, F.lit("\n")).alias("value")).write.text(path)
+    one = F.from_json(frames.frame_data(F.col("frame")), "conv_id long, turn long, text string")
+    return growing.frames_of(spark, path).select(one.alias("r")).select("r.*")
+
+
 _PAIRS = """WITH f AS (SELECT CAST(client_id AS VARCHAR) AS session, CAST(json_extract(CASE WHEN json_valid(props) THEN props END, '$.k') AS VARCHAR) AS rpc_id, kind = 'view' AS asks, kind, epoch_us(ts) AS t, click_id
   FROM clicks WHERE kind IN ('view', 'click') AND ts IS NOT NULL),
 n AS (SELECT *, lead(asks) OVER w AS nx, lag(asks) OVER w AS bf, lead(t) OVER w - t < 86400000000 AS soon, t - lag(t) OVER w < 86400000000 AS just, lead(t) OVER w AS nt FROM f WHERE rpc_id <> 'null'
