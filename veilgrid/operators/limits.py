@@ -10,6 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilgrid.plans.ranks import ranked
+from veilgrid.sources.shared import written
+
 
 def clock_windows(requests: DataFrame, key: str, time: str, limit: int, seconds: int = 60) -> DataFrame:
     """Requests with hit (the number within key and window), and allowed; windows begin at multiples of ``seconds``. Ties
@@ -20,10 +23,100 @@ def clock_windows(requests: DataFrame, key: str, time: str, limit: int, seconds:
     return requests.where(F.col(time).isNotNull()).withColumn("_w", start).withColumn("hit", F.row_number().over(over)).withColumn("allowed", F.col("hit") <= limit).drop("_w")
 
 
-def first_hit_windows(requests: DataFrame, key: str, time: str, limit: int, seconds: int = 60) -> DataFrame:
+def first_hit_windows(requests: DataFrame, key: str, time: str, limit: int, seconds: int = 60, most: int = 100_000) -> DataFrame:
     """The same with windows that begin at a key's first request after its last window ended. They depend on the data, so
     each key is folded in order: rows are sorted by key and time and stream through a task, which holds one key's state.
-    Requests without a time are left out, as limiters leave them out."""
+    Keys with over ``most`` requests are split over tasks (:func:`_split_windows`). Requests without a time are left out,
+    as limiters leave them out."""
+    requests = requests.where(F.col(time).isNotNull())
+    sizes = written(requests.groupBy(F.col(key).alias("_big")).agg(F.count("*").alias("_n")).where(F.col("_n") > most).select("_big"), "large")
+    if sizes.isEmpty():
+        return _folded_windows(requests, key, time, limit, seconds)
+    same = F.col(key).eqNullSafe(F.col("_big"))
+    small, large = (requests.join(sizes, same, kind) for kind in ("left_anti", "left_semi"))
+    return _folded_windows(small, key, time, limit, seconds).unionByName(_split_windows(large, key, time, limit, seconds, most))
+
+
+def _split_windows(requests: DataFrame, key: str, time: str, limit: int, seconds: int, most: int) -> DataFrame:
+    """The same for keys of any size. Requests are numbered in ranges, and each learns which request is the first a span
+    later, where a window that began with it would be followed by the next. Blocks of ``most`` requests then work out where
+    the windows that begin at each of their requests lead out of the block. Only requests that are led to matter further;
+    which of them a key's first request reaches is found by doubling, a round for each power of two of blocks. So every block
+    knows its first window, and its windows follow."""
+    rest = [c for c in requests.columns if c not in (key, time)]
+    name = F.when(F.col(key).isNull(), "none").otherwise(F.concat(F.lit("key "), F.col(key).cast("string")))
+    rows = written(ranked(requests.withColumn("_k", name), ["_k"], [F.col(time), *(F.col(c) for c in rest)], "_n"), "numbered")
+    block = F.floor((F.col("_n") - 1) / most)
+    at = rows.select("_k", "_n", F.unix_micros(time).alias("_t"))
+    # requests before a span's end, counted: one more is the next window's first, if there is one
+    ends = at.select("_k", "_n", (F.col("_t") + seconds * 1_000_000).alias("_t"), F.lit(0).alias("_w")).unionByName(at.withColumn("_w", F.lit(1)))
+    counted = ranked(ends, ["_k"], [F.col("_t"), F.col("_w"), F.col("_n")], "_upto", weight="_w")
+    follows = written(counted.where("_w = 0").select("_k", "_n", (F.col("_upto") + 1).alias("_next")).withColumn("_b", block), "follows")
+
+    def out_of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def done() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
+            n, follow = t["_n"].to_pylist(), t["_next"].to_pylist()
+            first, leave, last = n[0], [0] * len(n), [0] * len(n)
+            for i in range(len(n) - 1, -1, -1):
+                j = follow[i] - first
+                leave[i], last[i] = (follow[i], n[i]) if j >= len(n) else (leave[j], last[j])
+            return pa.RecordBatch.from_arrays([t["_k"].combine_chunks(), t["_n"].combine_chunks(), pa.array(leave, pa.int64()), pa.array(last, pa.int64())], ["_k", "_n", "_leave", "_last"])
+
+        now = None
+        for batch in batches:
+            places = list(zip(batch["_k"].to_pylist(), batch["_b"].to_pylist()))
+            cuts = [0, *(i for i in range(1, len(places)) if places[i] != places[i - 1]), len(places)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a < b:
+                    if held and places[a] != now:
+                        yield done()
+                        held.clear()
+                    now = places[a]
+                    held.append(batch.slice(a, b - a))
+        if held:
+            yield done()
+
+    leads = follows.repartition("_k", "_b").sortWithinPartitions("_k", "_b", "_n").mapInArrow(out_of_blocks, "_k string, _n long, _leave long, _last long")
+    leads = written(leads, "leads")
+    targets = leads.select("_k", F.col("_leave").alias("_n")).unionByName(leads.select("_k", F.lit(1).cast("long").alias("_n"))).distinct()
+    jumps = lasts = written(leads.join(targets, ["_k", "_n"]), "jumps")
+    reached = written(jumps.select("_k").distinct().withColumn("_n", F.lit(1).cast("long")), "reached")
+    blocks = follows.agg(F.max("_b")).first()[0] + 1
+    for _ in range(max(1, (blocks - 1).bit_length() + 1)):
+        more = reached.join(jumps, ["_k", "_n"]).select("_k", F.col("_leave").alias("_n"))
+        reached = written(reached.unionByName(more).distinct(), "reached")
+        further = jumps.select("_k", F.col("_n").alias("_leave"), F.col("_leave").alias("_far"))
+        jumps = written(jumps.select("_k", "_n", "_leave").join(further, ["_k", "_leave"]).select("_k", "_n", F.col("_far").alias("_leave")), "jumps")
+    entries = written(reached.join(lasts, ["_k", "_n"]).select("_k", block.alias("_b"), F.col("_n").alias("_entry"), "_last"), "entries")
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, want = None, 0
+        for batch in batches:
+            k, starts = [], []
+            for key_, b, n, follow, entry in zip(*(batch[c].to_pylist() for c in ("_k", "_b", "_n", "_next", "_entry"))):
+                if (key_, b) != now:
+                    now, want = (key_, b), entry
+                if n == want:
+                    k.append(key_)
+                    starts.append(n)
+                    want = follow
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.string()), pa.array(starts, pa.int64())], ["_k", "_n"])
+
+    starts = follows.join(entries, ["_k", "_b"]).repartition("_k", "_b").sortWithinPartitions("_k", "_b", "_n").mapInArrow(windows, "_k string, _n long")
+    # the window that is open when a block begins is the last one of the blocks before
+    before = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    opened = follows.select("_k", "_b").distinct().join(entries, ["_k", "_b"], "left").withColumn("_open", F.last("_last", ignorenulls=True).over(before)).select("_k", "_b", "_open")
+    inside = Window.partitionBy("_k", "_b").orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.withColumn("_b", block).join(starts.withColumn("_start", F.col("_n")), ["_k", "_n"], "left").join(opened, ["_k", "_b"])
+    start = F.coalesce(F.last("_start", ignorenulls=True).over(inside), F.col("_open"))
+    found = found.withColumn("hit", (F.col("_n") - start + 1).cast("int"))
+    return found.select(*requests.columns, "hit", (F.col("hit") <= limit).alias("allowed"))
+
+
+def _folded_windows(requests: DataFrame, key: str, time: str, limit: int, seconds: int) -> DataFrame:
     rest = [c for c in requests.columns if c not in (key, time)]
     schema = f"{requests._jdf.schema().toDDL()}, hit int, allowed boolean"
     names = [*requests.columns, "hit", "allowed"]
@@ -41,7 +134,7 @@ def first_hit_windows(requests: DataFrame, key: str, time: str, limit: int, seco
                 hits[i] = n
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hits), pa.array(hits <= limit)], names)
 
-    return requests.where(F.col(time).isNotNull()).repartition(key).sortWithinPartitions(key, time, *rest).mapInArrow(run, schema)
+    return requests.repartition(key).sortWithinPartitions(key, time, *rest).mapInArrow(run, schema)
 
 
 class _Windows:

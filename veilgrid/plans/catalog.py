@@ -413,6 +413,16 @@ def rate_first_hit_windows(spark, sf_dir):
     return limits.first_hit_windows(e, "user_id", "ts", 2, 3600).select("event_id", "hit", "allowed")
 
 
+@query("""WITH RECURSIVE e AS (SELECT click_id, epoch_us(ts) AS t FROM clicks WHERE ts IS NOT NULL),
+w AS (SELECT min(t) AS s FROM e UNION ALL SELECT (SELECT min(e.t) FROM e WHERE e.t >= w.s + 7200000000) FROM w WHERE w.s IS NOT NULL),
+h AS (SELECT click_id, row_number() OVER (PARTITION BY w.s ORDER BY e.t, click_id) AS hit FROM e ASOF JOIN (SELECT s FROM w WHERE s IS NOT NULL) w ON e.t >= w.s)
+SELECT click_id, hit, hit <= 20 AS allowed FROM h""")
+def rate_one_key(spark, sf_dir):
+    """All clicks as requests of one key, in blocks of 2,000 of them."""
+    c = table(spark, sf_dir, "clicks").select(F.lit("all").alias("key"), F.col("ts").cast("timestamp").alias("ts"), "click_id")
+    return limits.first_hit_windows(c, "key", "ts", 20, 7200, most=2000).select("click_id", "hit", "allowed")
+
+
 @query("SELECT user_id, max(ts) AS last FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
 def rate_key_cap(spark, sf_dir):
     return limits.bounded_keys(table(spark, sf_dir, "events"), "user_id", "ts", 20)
