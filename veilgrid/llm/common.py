@@ -100,11 +100,12 @@ def fold(doc_id: int) -> int:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, max_docs: int) -> list[tuple[int, str, int]]:
     """At most ``max_docs`` labelled rows that satisfy ``keep``, chosen by a hash of the id over all labels, with their
-    texts. The bound is the only limit; the rows are for fitting a model alone."""
+    texts. The bound is the only limit; the rows are for fitting a model alone. Of several labels of an id the largest
+    counts, of several texts the first in the order of their bytes; ids without a label, or without a text, are left out."""
     picked = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & keep)
-        .select("doc_id", F.col(label).cast("int").alias("label"))
-        .dropDuplicates(["doc_id"])
+        .groupBy("doc_id")
+        .agg(F.max(F.col(label).cast("int")).alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(max_docs)
         .collect()
@@ -115,5 +116,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column
     # the ids are at most max_docs, so this broadcast has a fixed bound
     ids = docs.sparkSession.createDataFrame([(i,) for i in sorted(by_id)], "doc_id long")
     rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id", "left_semi")
-    seen = {r.doc_id: r.text for r in rows.toLocalIterator()}
+    seen: dict[int, str] = {}
+    for r in rows.toLocalIterator():
+        seen[r.doc_id] = min(r.text, seen.get(r.doc_id, r.text), key=str.encode)
     return [(i, seen[i], by_id[i]) for i in sorted(seen)]

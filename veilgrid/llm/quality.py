@@ -10,7 +10,9 @@ The model is fitted on at most ``max_docs`` labelled rows, chosen by a hash of t
 bound is the only limit. Scores use the text alone.
 
 Cases: null and empty texts get the score of a document without words; without labelled rows of both labels every score
-is 0.5; equal texts get equal scores; repeated rows are scored each; empty tables give no rows."""
+is 0.5; equal texts get equal scores; repeated rows are scored each, and those with a null id; empty tables give no rows;
+very long texts are scored whole, by a task that holds their words; columns other than doc_id and text are not read,
+whatever their names. Of conflicting labels of an id the largest counts, of its texts the first by their bytes."""
 
 from __future__ import annotations
 

@@ -5,7 +5,8 @@ bits), ids of rows in delta encoding, with row groups and pages of a set size an
 some documents or of the metadata alone touches only their pages. Files hold documents in ascending doc_id order.
 
 Cases: a null text counts as empty and gives the end id alone; null doc_ids come first; rows with equal doc_ids are kept,
-each with a place of its own; an empty table gives an empty file; other columns of the input are ignored."""
+each with a place of its own; an empty table gives an empty file; very long texts are encoded whole, piece by
+piece, and their ids are one row; other columns of the input are ignored."""
 
 from __future__ import annotations
 
