@@ -64,6 +64,13 @@ def vault_token(key: bytes, kind: Column, text: Column) -> Column:
     return F.concat(F.lit("tok_"), kind, F.lit("_"), F.substring(hmac_sha256(key, F.concat(kind, F.lit(":"), text)), 1, 32))
 
 
+def vault_token_of(key: bytes, kind: str, text: str) -> str:
+    """The same for one value, within a task."""
+    import hmac
+
+    return f"tok_{kind}_{hmac.new(key, f'{kind}:{text}'.encode(), 'sha256').hexdigest()[:32]}"
+
+
 def safe_token(key: bytes, token: Column) -> Column:
     """A token as it may be logged: what is not shaped like one is replaced by its HMAC."""
     shaped = token.rlike("^tok_[a-z0-9_]+_[a-f0-9]{16,}$")

@@ -174,6 +174,11 @@ def _mark_for(text: str) -> str:
     return mark
 
 
+def sealed_mark(own: str | None = None) -> str:
+    """A mark for one sealed value, drawn anew, so that no text can hold it but by the luck of 128 bits."""
+    return "\ue000" + (secrets.token_hex(16) if own is None else own) + "\ue001"
+
+
 def seal_aad(context: Column, path: Column, kind: Column, rule_id: Column) -> Column:
     """What a sealed value is bound to: where it was taken from and why, beside the caller's own context. With another path,
     type or rule it does not open."""
@@ -187,8 +192,6 @@ def protect_json(rows: DataFrame, column: str, policy, direction: str = "request
     vault, and ``issued`` has them, each once; with ``sealing_key`` what should be encrypted is, natively, else redacted; an
     envelope is bound by ``seal_aad`` to ``aad``, its path, type and rule.
     ``found`` has type, rule_id, path (safe), kind, confidence and action of each detection."""
-    import hmac
-
     from veilgrid.functions import text as T
     from veilgrid.operators import detect
     from veilgrid.operators.rules import HARD_TYPES
@@ -224,7 +227,7 @@ def protect_json(rows: DataFrame, column: str, policy, direction: str = "request
             if action == "mask":
                 return stars(v)
             if action == "tokenize" and key:
-                token = f"tok_{kind}_{hmac.new(key, f'{kind}:{v}'.encode(), hashlib.sha256).hexdigest()[:32]}"
+                token = T.vault_token_of(key, kind, v)
                 issued[token] = None
                 return f"[TOKEN:{token}]"
             if action == "tokenize":
@@ -261,12 +264,27 @@ def protect_json(rows: DataFrame, column: str, policy, direction: str = "request
 
     done = rows.withColumn("_r", run(F.col(column))).select("*", "_r.*").drop("_r")
     if seals:
-        bound = lambda x: seal_aad(F.lit("") if aad is None else aad, x["path"], x["type"], x["rule_id"])
-        envelope = lambda x: F.concat(F.lit("[SEALED:"), T.base64url(F.encode(F.to_json(T.encrypt(x["value"], sealing_key, bound(x))), "UTF-8")), F.lit("]"))
-        done = done.withColumn("out", F.aggregate("sealed", F.col("out"), lambda t, x: F.replace(t, x["mark"], envelope(x))))
+        done = done.withColumn("out", F.aggregate("sealed", F.col("out"), lambda t, x: F.replace(t, x["mark"], sealed_text(x, sealing_key, aad))))
     return done.drop("sealed")
 
 
+def sealed_text(x: Column, key: bytes, aad: Column | None = None) -> Column:
+    """What stands for a sealed value (value, path, type, rule_id): its envelope, bound by :func:`seal_aad`."""
+    from veilgrid.functions import text as T
+
+    bound = seal_aad(F.lit("") if aad is None else aad, x["path"], x["type"], x["rule_id"])
+    return F.concat(F.lit("[SEALED:"), T.base64url(F.encode(F.to_json(T.encrypt(x["value"], key, bound)), "UTF-8")), F.lit("]"))
+
+
+def opened(text: Column, keys: dict[str, bytes], bound: Column) -> Column:
+    """The values of a text's envelopes, in order; null for one that is bound to something else, has another key or is broken.
+    ``bound`` is what :func:`seal_aad` gave when they were sealed."""
+    from veilgrid.functions import text as T
+
+    envelope = lambda x: F.from_json(F.decode(T.from_base64url(x), "UTF-8"), "v int, alg string, kid string, iv string, ct string, tag string, aad_hash string")
+    return F.transform(F.regexp_extract_all(text, F.lit(r"\[SEALED:([A-Za-z0-9_-]+)\]"), F.lit(1)), lambda x: T.decrypt(envelope(x), keys, bound))
+
+
 def restore_tokens(text: Column, known: Column) -> Column:
     """A text with the tokens of a map replaced by what they stand for."""
     return F.aggregate(F.map_entries(known), text, lambda t, e: F.replace(t, e["key"], e["value"]))

@@ -26,6 +26,14 @@ def issue(values: DataFrame, key: bytes, sealing_key: bytes, now: Column, days:
         F.create_map().cast("map<string,string>").alias("metadata"), T.encrypt(F.col("value"), sealing_key, token).alias("envelope"))
 
 
+def records(rows: DataFrame, now: Column, days: int = 30) -> DataFrame:
+    """Records of the tokens that rewriting issued (issued: token, type, path, rule_id, envelope), each once, with where
+    one of its values was found."""
+    found = rows.select(F.explode("issued").alias("i")).groupBy("i.token").agg(F.min_by("i", F.struct("i.path", "i.rule_id")).alias("i"))
+    meta = F.map_from_arrays(F.array(F.lit("path"), F.lit("ruleId")), F.array("i.path", "i.rule_id"))
+    return found.select("token", "i.type", now.alias("created_at"), (now + F.make_dt_interval(F.lit(days))).alias("expires_at"), meta.alias("metadata"), "i.envelope")
+
+
 def upsert(vault: DataFrame, new: DataFrame, now: Column) -> DataFrame:
     """The vault after records are issued: expired ones are gone; one that exists stays as it is but lives on until the
     later end, and counts as ``reused``."""

@@ -561,10 +561,7 @@ def _pieces(spark, sf_dir) -> DataFrame:
 @query(f"SELECT doc_id, regexp_replace(text, '{EMAIL_SQL}', '[REDACTED:email]', 'g') AS text FROM documents WHERE text IS NOT NULL")
 def stream_rewrite(spark, sf_dir):
     """The text of each stream after its frames went through the buffer: addresses are gone, those split over frames too."""
-    out = rewriter.rewrite_batch(_pieces(spark, sf_dir), P.build(actions={"email": "redact"}, mode="enforce", default="allow"))
-    text = F.get_json_object(frames.frame_data(F.col("frame")), "$.choices[0].delta.content")
-    found = out.groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("seq", "place", text.alias("t")))).alias("x"))
-    return found.select(F.col("stream_id").cast("long").alias("doc_id"), F.array_join(F.transform("x", lambda x: x["t"]), "").alias("text"))
+    return _said(rewriter.rewrite_batch(_pieces(spark, sf_dir), P.build(actions={"email": "redact"}, mode="enforce", default="allow")))
 
 
 @query(f"SELECT doc_id, len(regexp_extract_all(text, '{EMAIL_SQL}')) AS n FROM documents WHERE regexp_matches(text, '{EMAIL_SQL}')")
@@ -573,6 +570,39 @@ def stream_tallies(spark, sf_dir):
     return found.where("field = 'type' and name = 'email'").select(F.col("stream_id").cast("long").alias("doc_id"), "n")
 
 
+def _said(out: DataFrame) -> DataFrame:
+    """doc_id and text of each stream of a document, its frames in order."""
+    text = F.get_json_object(frames.frame_data(F.col("frame")), "$.choices[0].delta.content")
+    found = out.groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("seq", "place", text.alias("t")))).alias("x"))
+    return found.select(F.col("stream_id").cast("long").alias("doc_id"), F.array_join(F.transform("x", lambda x: x["t"]), "").alias("text"))
+
+
+@query(f"""SELECT doc_id, regexp_replace(text, '{EMAIL_SQL}', '[SEALED]', 'g') AS text, array_to_string(regexp_extract_all(text, '{EMAIL_SQL}'), ' ') AS opened, 0 AS opened_elsewhere
+  FROM documents WHERE text IS NOT NULL""")
+def stream_sealed(spark, sf_dir):
+    """Addresses in streams under envelopes, which open with what they are bound to, the stream among it, and not otherwise."""
+    keys = rewriter.Keys(KEY)
+    out = rewriter.rewrite_batch(_pieces(spark, sf_dir), P.build(actions={"email": "encrypt"}, mode="enforce", default="allow"), keys=keys, aad=F.col("stream_id"))
+    said = written(_said(out), "sealed")
+    bound = lambda stream: trees.seal_aad(stream, F.lit(trees.safe_path(())), F.lit("email"), F.lit("email"))
+    values, other = (trees.opened(F.col("text"), {T.short_id(KEY): KEY}, bound(x)) for x in (F.col("doc_id").cast("string"), F.lit("other")))
+    return said.select("doc_id", F.regexp_replace("text", r"\[SEALED:[A-Za-z0-9_-]+\]", "[SEALED]").alias("text"), F.array_join(values, " ").alias("opened"), F.size(F.filter(other, F.isnotnull)).alias("opened_elsewhere"))
+
+
+_EMAIL_TOKEN = f"'tok_email_' || substr(sha256(from_hex('{_OUTER}') || from_hex(sha256(from_hex('{_INNER}') || encode('email:' || v)))), 1, 32)"
+
+
+@query(f"""SELECT doc_id, array_to_string(flatten(list_transform(list_zip(regexp_split_to_array(text, '{EMAIL_SQL}'), list_transform(regexp_extract_all(text, '{EMAIL_SQL}'), lambda v: '[TOKEN:' || {_EMAIL_TOKEN} || ']')), lambda x: [x[1], x[2]])), '') AS text,
+  array_to_string(list_sort(list_distinct(regexp_extract_all(text, '{EMAIL_SQL}'))), ' ') AS revealed FROM documents WHERE text IS NOT NULL""")
+def stream_vault(spark, sf_dir):
+    """Tokens of the vault in streams, and what the vault that comes of them reveals for each document."""
+    out = written(rewriter.rewrite_batch(_pieces(spark, sf_dir), P.build(actions={"email": "tokenize"}, mode="enforce", default="allow"), keys=rewriter.Keys(KEY, KEY)), "tokens")
+    now = F.expr(NOW)
+    used = out.select(F.col("stream_id").cast("long").alias("doc_id"), F.explode("issued.token").alias("token")).distinct()
+    told = vault.reveal(used, vault.records(out, now), {T.short_id(KEY): KEY}, now).groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list("value")), " ").alias("revealed"))
+    return _said(out).join(told, "doc_id", "left").select("doc_id", "text", F.coalesce("revealed", F.lit("")).alias("revealed"))
+
+
 @query("SELECT conv_id, count(*) AS frames, count(*) AS json FROM conversations WHERE text IS NOT NULL GROUP BY conv_id")
 def split_frames(spark, sf_dir):
     joined = _frames(spark, sf_dir).groupBy("stream_id").agg(F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "frame"))), lambda x: x["frame"]), "\n\n"), F.lit("\n\n")).alias("raw"))
