@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilgrid.functions import checksums, text as T
-from veilgrid.operators import access, detect, envelopes, events as E, metrics, policy as P, signatures
-from veilgrid.plans.catalog import EMAIL_SQL, query, table
-from veilgrid.sources.shared import written
+from veilgrid.operators import access, detect, envelopes, events as E, metrics, policy as P, seams, signatures, vault
+from veilgrid.plans.catalog import EMAIL_SQL, KEY, query, table
+from veilgrid.sources.shared import scratch, written
 from veilgrid.streaming import rewriter
 
 # -- check digits: an identifier of each kind for each order --
@@ -251,3 +251,37 @@ def envelope_rotation(spark, sf_dir):
     rows = envelopes.opened(values, keys, ring(old), aad, out="before")
     rows = envelopes.opened(rows, rotated, ring(new), aad, out="after")
     return envelopes.opened(rows, rotated, ring(old), aad, out="old_key").select("client_id", "before", "after", "old_key")
+
+
+# -- implementations behind their seams --
+
+
+@query("SELECT client_id, name, name AS by_ring, name AS by_data_keys, email IS NOT NULL AS has_mac, count(*) AS n FROM clients GROUP BY client_id, name, email")
+def seam_ciphers(spark, sf_dir):
+    """Clients' names sealed and opened by both ciphers; equal e-mails have equal MACs, in another domain others."""
+    keys = written(envelopes.new_data_keys(spark.range(8).select(F.concat(F.lit("k"), "id").alias("key_id")), KEY), "seam-keys")
+    ring, by_keys = seams.RingCipher(vault.KeyRing(KEY), KEY), seams.WrappedCipher(keys, {T.short_id(KEY): KEY}, [f"k{i}" for i in range(8)], KEY)
+    about = F.concat(F.lit("client "), F.coalesce(F.col("client_id").cast("string"), F.lit("")))
+    rows = written(by_keys.sealed(ring.sealed(table(spark, sf_dir, "clients").select("client_id", "name", "email"), "name", about, "one"), "name", about, "two"), "seam-sealed")
+    opened = by_keys.opened(ring.opened(rows, about, "one", "by_ring"), about, "two", "by_data_keys")
+    mac = ring.hmac(F.col("email"), "clients")
+    return opened.withColumn("has_mac", F.coalesce((mac == by_keys.hmac(F.col("email"), "clients")) & (mac != ring.hmac(F.col("email"), "others")), F.lit(False))).groupBy("client_id", "name", "email", "by_ring", "by_data_keys", "has_mac").agg(F.count("*").alias("n")).drop("email")
+
+
+@query("""WITH r AS (SELECT click_id, client_id, client_id % 4 AS most, ts, row_number() OVER (PARTITION BY client_id, epoch_us(ts) // 3600000000 ORDER BY ts, click_id) AS hit FROM clicks WHERE ts IS NOT NULL)
+SELECT click_id, coalesce(hit <= most AND most >= 1, false) AS allowed FROM r UNION ALL SELECT click_id, false FROM clicks WHERE ts IS NULL""")
+def seam_limiter(spark, sf_dir):
+    """Clicks as requests with a limit of each client's own, by the hour; unfit ones are refused and count for nothing."""
+    c = table(spark, sf_dir, "clicks").selectExpr("click_id", "cast(client_id as string) key", "cast(ts as timestamp) at", "client_id % 4 limit")
+    return seams.allowed(c, seams.ClockLimiter(), 3600).select("click_id", "allowed")
+
+
+@query("SELECT vendor_id, upper(name) AS name, 2 AS changes FROM vendors WHERE nation_id IS NOT NULL UNION ALL SELECT vendor_id, name, 3 FROM vendors WHERE nation_id IS NULL")
+def seam_store(spark, sf_dir):
+    """Vendors in a store that changes three times: all come in, those of a nation get another name, the others come anew."""
+    v = table(spark, sf_dir, "vendors").select("vendor_id", "name", "nation_id")
+    store = seams.SharedStore(spark, scratch(spark, "seam-store"), "vendor_id long, name string, nation_id long, changes int")
+    store.mutate(lambda now: now.unionByName(v.withColumn("changes", F.lit(1))))
+    store.mutate(lambda now: now.where("nation_id is not null").withColumns({"name": F.upper("name"), "changes": F.col("changes") + 1}))
+    store.mutate(lambda now: now.unionByName(v.where("nation_id is null").withColumn("changes", F.lit(3))))
+    return store.read().select("vendor_id", "name", "changes")
