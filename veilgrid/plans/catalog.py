@@ -299,7 +299,8 @@ def chain_faults(spark, sf_dir):
     size = F.count("*").over(Window.partitionBy("chain"))
     lines = built.withColumn("n", size)
     line = F.when((n != 5) | (F.col("n") <= 5), F.col("line")).when(kind == 1, F.replace("line", F.lit('"event_id":'), F.lit('"event_id":9'))).when(kind == 3, F.lit('{"event_id":1}'))
-    line = line.when(kind == 4, F.regexp_replace("line", '"previousHash":"..', '"previousHash":"__')).when(kind == 7, F.lit('{"event_id":')).otherwise(F.col("line"))
+    # no hash holds a dot, so that none stays as it is
+    line = line.when(kind == 4, F.regexp_replace("line", '"previousHash":"..', '"previousHash":"..')).when(kind == 7, F.lit('{"event_id":')).otherwise(F.col("line"))
     gone = ((kind == 2) & (n == 5) & (F.col("n") > 5)) | ((kind == 6) & (n >= F.floor(F.col("n") / 10) * 10) & (F.col("n") >= 10))
     anchors = E.anchors_of(built, 10)
     anchors = anchors.withColumn("event_hash", F.when((F.col("chain").cast("long") % 8 == 5) & (F.col("sequence") == 10), "x").otherwise(F.col("event_hash")))
