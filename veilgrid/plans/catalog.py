@@ -11,7 +11,7 @@ from veilgrid.functions import checksums, text as T
 from veilgrid.operators import access, detect, events as E, limits, metrics, policy as P, rewrite as R, trees, vault
 from veilgrid.operators.rules import custom_rule
 from veilgrid.sources import growing, logs, tail
-from veilgrid.sources.shared import scratch, written
+from veilgrid.sources.shared import scratch, spread, written
 from veilgrid.streaming import frames, pairing, rewriter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,7 +153,7 @@ def decode_texts(spark, sf_dir):
 @query("SELECT c_custkey, 'card' AS type FROM customer")
 def decode_and_rescan(spark, sf_dir):
     t = F.base64(F.encode(F.concat(F.lit("card 4111111111111111 of "), F.col("c_name")), "UTF-8"))
-    rows = table(spark, sf_dir, "customer").select("c_custkey", F.explode(detect.spans(t, decode=True)).alias("s"))
+    rows = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_name")).select("c_custkey", F.explode(detect.spans(t, decode=True)).alias("s"))
     return rows.where("s.type = 'card'").select("c_custkey", "s.type")
 
 

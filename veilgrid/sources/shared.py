@@ -31,6 +31,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over four tasks for each core, for work that costs far more than moving its rows: narrow tables are read
+    by a task or two otherwise, however many rows their few row groups have."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def erase(spark: SparkSession, path: str) -> None:
     """Deletes a path, through the file system that Spark itself uses."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
