@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from veilgrid.functions import checksums, text as T
 from veilgrid.operators import access, detect, envelopes, events as E, metrics, policy as P, seams, signatures, vault
 from veilgrid.plans.catalog import EMAIL_SQL, KEY, query, table
-from veilgrid.sources.shared import scratch, written
+from veilgrid.sources.shared import scratch, spread, written
 from veilgrid.streaming import rewriter
 
 # -- check digits: an identifier of each kind for each order --
@@ -230,7 +230,7 @@ def verified_tokens(spark, sf_dir):
 
         return ids.map(token)
 
-    rows = table(spark, sf_dir, "clients").where("client_id IS NOT NULL").select("client_id")
+    rows = spread(table(spark, sf_dir, "clients").where("client_id IS NOT NULL").select("client_id"))
     rows = rows.withColumn("token", F.pandas_udf(make, "string")("client_id"))
     jwks = [signatures.jwk_of(one, "k", use="sig"), signatures.jwk_of(two, "other")]
     keys = spark.createDataFrame([(j["kid"], json.dumps(j)) for j in jwks], "kid string, jwk string")
