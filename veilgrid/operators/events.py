@@ -11,7 +11,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilgrid.functions.text import canonical
 from veilgrid.operators.trees import shape_hash
 from veilgrid.plans.ranks import ranked
 from veilgrid.sources.shared import written
@@ -128,8 +127,12 @@ def window_exceeded(kept: DataFrame, cursor: int) -> DataFrame:
 # -- chains --
 
 
+#: ``canonical`` and a line's form, without a new encoder for each record.
+_CANONICAL, _LINE = (json.JSONEncoder(sort_keys=s, separators=(",", ":"), ensure_ascii=False).encode for s in (True, False))
+
+
 def _hash(value: dict) -> str:
-    return base64.urlsafe_b64encode(hashlib.sha256(canonical(value).encode()).digest()).decode().rstrip("=")
+    return base64.urlsafe_b64encode(hashlib.sha256(_CANONICAL(value).encode()).digest()).decode().rstrip("=")
 
 
 def chained(records: Iterator[dict], previous: dict | None = None) -> Iterator[dict]:
@@ -156,7 +159,7 @@ def build_chains(records: DataFrame, chain: str, position: str, record: str) ->
                     last = {c: None}  # rows come sorted by chain
                 done = next(chained(iter([json.loads(text)]), last[c]))
                 last[c] = done["auditIntegrity"]
-                out.append((c, last[c]["sequence"], json.dumps(done, ensure_ascii=False, separators=(",", ":"))))
+                out.append((c, last[c]["sequence"], _LINE(done)))
             c, n, t = zip(*out) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()), pa.array(n, pa.int64()), pa.array(t, pa.string())], ["chain", "sequence", "line"])
 
@@ -175,7 +178,7 @@ def chain_after(rows: DataFrame, previous: dict | None, more: dict) -> DataFrame
             done = list(chained(({**json.loads(t), **more} for t in batch.column("line").to_pylist()), last))
             if done:
                 last = done[-1]["auditIntegrity"]
-            lines = [json.dumps(r, ensure_ascii=False, separators=(",", ":")) for r in done]
+            lines = [_LINE(r) for r in done]
             yield pa.RecordBatch.from_arrays([pa.array([r["auditIntegrity"]["sequence"] for r in done], pa.int64()), pa.array(lines, pa.string())], ["sequence", "line"])
 
     return rows.repartition(1).sortWithinPartitions("_p").mapInArrow(run, "sequence long, line string")
@@ -208,7 +211,10 @@ def verify_chains(lines: DataFrame, anchors: DataFrame | None = None, chain: str
     hash is worked out by itself; numbers come from ranges of rows and predecessors from a join on chain and number, so a
     chain that is the whole log is verified by many tasks. A line that is no JSON is a fault of its chain alone.
     ``anchors`` has chain, sequence and event_hash; of several for a sequence the last counts by its ``position``."""
-    rows = lines.where(F.trim(F.col(line)) != "").select(F.col(chain).cast("string").alias("chain"), F.col(position).alias("position"), _checked(F.col(line)).alias("c")).select("chain", "position", "c.*")
+    rows = lines.where(F.trim(F.col(line)) != "").select(F.col(chain).cast("string").alias("chain"), F.col(position).alias("position"), _checked(F.col(line)).alias("c"))
+    rows = rows.select("chain", "position", "c.sequence", "c.previous", "c.own", "c.whole", F.col("c.own").eqNullSafe(F.col("c.right")).alias("fits"))
+    # written, as cutting rows into ranges looks at them twice
+    rows = written(rows, "checked")
     rows = ranked(rows, ["chain"], [F.col("position"), F.col("sequence"), F.col("own")], "expected")
     before = rows.select(F.col("chain").alias("_chain"), (F.col("expected") + 1).alias("_next"), F.col("own").alias("before"))
     rows = rows.join(before, F.col("chain").eqNullSafe(F.col("_chain")) & (F.col("expected") == F.col("_next")), "left").drop("_chain", "_next")
@@ -222,7 +228,7 @@ def verify_chains(lines: DataFrame, anchors: DataFrame | None = None, chain: str
         .when(F.col("own").isNull() & F.col("sequence").isNull(), "no integrity block")
         .when(~F.col("sequence").eqNullSafe(F.col("expected")), "wrong sequence")
         .when(~F.col("previous").eqNullSafe(F.col("before")), "wrong previous hash")
-        .when(~F.col("own").eqNullSafe(F.col("right")), "wrong hash")
+        .when(~F.col("fits"), "wrong hash")
         .when(F.col("anchor") != F.col("own"), F.concat(F.lit("not the anchored hash at "), F.col("expected").cast("string")))
     )
     rows = rows.withColumn("fault", fault)

@@ -266,7 +266,8 @@ def _records(spark, sf_dir) -> DataFrame:
 
 @query("SELECT CAST(user_id % 16 AS VARCHAR) AS chain, true AS valid, count(*) AS records, CAST(NULL AS VARCHAR) AS reason FROM events GROUP BY 1")
 def chain_verify(spark, sf_dir):
-    built = E.build_chains(_records(spark, sf_dir), "chain", "position", "record")
+    # written, as lines and anchors are both taken from it
+    built = written(E.build_chains(_records(spark, sf_dir), "chain", "position", "record"), "chains")
     found = E.verify_chains(built.withColumnRenamed("sequence", "position"), E.anchors_of(built, 10))
     return found.select("chain", "valid", "records", "reason")
 
@@ -294,7 +295,7 @@ SELECT CAST(c AS VARCHAR) AS chain, records, records = n AS valid, CASE WHEN rec
   WHEN c % 8 = 4 THEN 'wrong previous hash' WHEN c % 8 = 5 THEN 'not the anchored hash at 10' WHEN c % 8 = 7 THEN 'no JSON' ELSE 'cut short: it has ' || records || ' records and is anchored up to ' || a END AS reason FROM f""")
 def chain_faults(spark, sf_dir):
     """One log of all events, in chains of 100, with each kind of fault in an eighth of them."""
-    built = E.build_log(_log_records(spark, sf_dir), "event_id", "record", 100)
+    built = written(E.build_log(_log_records(spark, sf_dir), "event_id", "record", 100), "chains")
     kind, n = F.col("chain").cast("long") % 8, F.col("sequence")
     size = F.count("*").over(Window.partitionBy("chain"))
     lines = built.withColumn("n", size)
