@@ -553,7 +553,7 @@ _PIECE = 300
 
 def _pieces(spark, sf_dir) -> DataFrame:
     """Each document as a stream: frames of pieces of its text. No frame ends it."""
-    d = table(spark, sf_dir, "documents").where("text is not null")
+    d = spread(table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text"))
     pieces = F.when(F.col("text") == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{_PIECE}}}"), F.lit(0)))
     cut = d.select(F.col("doc_id").cast("string").alias("stream_id"), F.posexplode(pieces).alias("seq", "piece"))
     data = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("piece").alias("content")).alias("delta"))).alias("choices")))

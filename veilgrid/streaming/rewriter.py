@@ -16,6 +16,7 @@ import copy
 import hashlib
 import json
 import secrets
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,6 +32,8 @@ from veilgrid.operators.trees import built, get_path, rewrite_tree, safe_path, s
 from veilgrid.streaming.frames import parsed, serialized
 
 HELD = 256
+#: Characters of a text, and texts, that are remembered to have no spans.
+SHORT, MOST_PLAIN = 32, 1024
 
 
 @dataclass(frozen=True)
@@ -50,6 +53,7 @@ class TextRewriter:
         self.made: list[tuple[str, str, str, str, str]] = []
         self.by_type: Counter[str] = Counter()
         self.by_action: Counter[str] = Counter()
+        self.plain: set[tuple[str, str]] = set()
 
     def spans(self, text: str, kind: str = "value") -> list[tuple]:
         return detect.scan(text, kind, self.rules, self.direction)
@@ -66,9 +70,14 @@ class TextRewriter:
         return _replaced(type_, action, value)
 
     def rewrite(self, text: str, kind: str = "value", path: tuple = ()) -> tuple[str, bool]:
-        """The text as the policy wants it, and whether it is blocked."""
-        out, at, found = [], 0, []
-        for type_, rule, _n, a, b, _c, value in self.spans(text, kind):
+        """The text as the policy wants it, and whether it is blocked. Short texts without spans, as keys of frames are, are
+        looked at once."""
+        if (text, kind) in self.plain:
+            return text, False
+        out, at, found, spans = [], 0, [], self.spans(text, kind)
+        if not spans and len(text) <= SHORT and len(self.plain) < MOST_PLAIN:
+            self.plain.add((text, kind))
+        for type_, rule, _n, a, b, _c, value in spans:
             action = self.policy.actions.get(type_, self.policy.default)
             self.by_type[type_] += 1
             self.by_action[action] += 1
@@ -98,12 +107,23 @@ class Buffer:
     def push(self, text: str) -> tuple[str, bool]:
         self.pending += text
         cut = max(0, len(self.pending) - self.held)
+        if cut and self._fits_nothing():
+            head, self.pending = self.pending[:cut], self.pending[cut:]
+            return head, False
         cut = min([cut, *(s[3] for s in self.rewriter.spans(self.pending) if s[4] > cut)])
         if cut <= 0:
             return "", False
         head, self.pending = self.pending[:cut], self.pending[cut:]
         return self.rewriter.rewrite(head)
 
+    def _fits_nothing(self) -> bool:
+        """Whether no rule can match in any part of what is held: what a rule needs to be there, a part has only if the whole
+        has it. Parts of a text that NFKC leaves alone are left alone, too."""
+        text = self.pending
+        if not (text.isascii() or unicodedata.is_normalized("NFKC", text)):
+            return False
+        return next(detect.able(self.rewriter.rules, text), None) is None
+
     def flush(self) -> tuple[str, bool]:
         text, self.pending = self.pending, ""
         return self.rewriter.rewrite(text) if text else ("", False)
@@ -119,11 +139,11 @@ class StreamRewriter:
         self.around = [tuple(m) for m in state.get("around", ())]
         self.form, self.delta, self.flush_types = form, delta, flush_types
         self.buffer = Buffer(self.texts, held, state.get("pending", ""))
-        self.template, self.stopped, self.seq = state.get("template"), state.get("stopped", False), state.get("seq", -1)
+        self.template, self.stopped, self.seq = state.get("template") and json.loads(state["template"]), state.get("stopped", False), state.get("seq", -1)
 
     @property
     def state(self) -> dict:
-        return {"pending": self.buffer.pending, "template": self.template, "stopped": self.stopped, "seq": self.seq, **({"around": self.around} if self.around else {})}
+        return {"pending": self.buffer.pending, "template": self.template and json.dumps(self.template), "stopped": self.stopped, "seq": self.seq, **({"around": self.around} if self.around else {})}
 
     def made_in(self, frame: str) -> list[tuple]:
         """What was sealed or got a token and is in a frame that goes out, each once."""
@@ -133,7 +153,7 @@ class StreamRewriter:
         text, self.stopped = self.buffer.flush()
         if self.stopped or not text:
             return []
-        frame, value = json.loads(self.template) if self.template else ("data: {}" if self.form == "sse" else "{}", built(self.delta or ("text",), ""))
+        frame, value = self.template if self.template else ("data: {}" if self.form == "sse" else "{}", built(self.delta or ("text",), ""))
         return [serialized(frame, self.form, _with(value, self.delta or ("text",), text))]
 
     def frame(self, frame: str) -> list[str]:
@@ -165,7 +185,7 @@ class StreamRewriter:
         before = len(self.texts.made)
         rest = rewrite_tree(rest, change)
         if not stop and is_delta:
-            self.template, around = json.dumps([frame, rest]), self.texts.made[before:]
+            self.template, around = [frame, rest], self.texts.made[before:]
             self.texts.made += self.around  # of a frame that has gone out before this one
             self.around = around
             text, stop = self.buffer.push(piece)
@@ -178,12 +198,9 @@ class StreamRewriter:
 
 
 def _with(value, path: tuple, leaf):
-    """A copy with another leaf at a path that exists."""
-    out = copy.deepcopy(value)
-    at = out
-    for p in path[:-1]:
-        at = at[p]
-    at[path[-1]] = leaf
+    """The tree with another leaf at a path that exists; what holds it is copied, the rest is shared."""
+    out = copy.copy(value)
+    out[path[0]] = _with(value[path[0]], path[1:], leaf) if len(path) > 1 else leaf
     return out
 
 
