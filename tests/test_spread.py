@@ -43,3 +43,8 @@ def test_powers_are_pythons():
             for exponent in (0, 1, 2, 65537, key["d"] % 10**40):
                 assert signatures.power(base, exponent, modulus) == pow(base, exponent, modulus)
     assert signatures.power(5, 3, 1) == 0 and signatures.power(-5, 3, 7) == pow(-5, 3, 7)
+
+
+def test_check_digits_are_dealt_over_tasks(spark, tmp_path):
+    spark.range(64).selectExpr("id o_orderkey").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    assert catalog.QUERIES["check_digit_vectors"](spark, str(tmp_path)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism

@@ -78,7 +78,7 @@ def _check_sql() -> str:
 @query(_check_sql())
 def check_digit_vectors(spark, sf_dir):
     """All 14 checks on identifiers of each kind, some of which hold by chance and by design."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", *(F.expr(e).alias(n) for n, e in _texts("div").items()))
+    o = spread(table(spark, sf_dir, "orders").select("o_orderkey")).select("o_orderkey", *(F.expr(e).alias(n) for n, e in _texts("div").items()))
     return o.select("o_orderkey", *(checksums.check(n, F.col(n)).alias(n) for n in _texts("div")))
 
 
