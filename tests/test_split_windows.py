@@ -27,3 +27,16 @@ def test_split_keys_equal_a_fold(spark, most, seconds, spread):
     got = limits.first_hit_windows(df, "key", "at", 3, seconds, most)
     assert got.columns == ["key", "at", "id", "hit", "allowed"]
     assert sorted(repr((r.key, r.id, r.hit, r.allowed)) for r in got.collect()) == plain(rows, 3, seconds)
+
+
+@pytest.mark.parametrize("seconds,wide", [(5, 40), (60, 20), (1000, 20), (30, 1 << 19)])
+def test_rounds_follow_wide_blocks(spark, monkeypatch, seconds, wide):
+    """120 blocks, of which rounds need not take each, and windows shorter and longer than both kinds of blocks."""
+    rng, day, names = random.Random(wide), dt.datetime(2024, 1, 1), []
+    monkeypatch.setattr(limits, "WIDE", wide, raising=False)
+    kept = limits.written
+    monkeypatch.setattr(limits, "written", lambda df, name: names.append(name) or kept(df, name))
+    rows = [("hot" if i % 4 else "warm", day + dt.timedelta(seconds=rng.randrange(300)), i) for i in range(480)]
+    got = limits.first_hit_windows(spark.createDataFrame(rows, "key string, at timestamp, id long").repartition(3), "key", "at", 3, seconds, 3)
+    assert sorted(repr((r.key, r.id, r.hit, r.allowed)) for r in got.collect()) == plain(rows, 3, seconds)
+    assert names.count("reached") <= (360 // (wide // 3 * 3) + 1).bit_length()

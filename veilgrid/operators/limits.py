@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from veilgrid.plans.ranks import ranked
 from veilgrid.sources.shared import written
 
+#: Requests of the wide blocks of a key that is split over tasks.
+WIDE = 1 << 19
+
 
 def clock_windows(requests: DataFrame, key: str, time: str, limit: int, seconds: int = 60) -> DataFrame:
     """Requests with hit (the number within key and window), and allowed; windows begin at multiples of ``seconds``. Ties
@@ -40,9 +43,11 @@ def first_hit_windows(requests: DataFrame, key: str, time: str, limit: int, seco
 def _split_windows(requests: DataFrame, key: str, time: str, limit: int, seconds: int, most: int) -> DataFrame:
     """The same for keys of any size. Requests are numbered in ranges, and each learns which request is the first a span
     later, where a window that began with it would be followed by the next. Blocks of ``most`` requests then work out where
-    the windows that begin at each of their requests lead out of the block. Only requests that are led to matter further;
-    which of them a key's first request reaches is found by doubling, a round for each power of two of blocks. So every block
-    knows its first window, and its windows follow."""
+    the windows that begin at each of their requests lead out of the block. Only requests that are led to matter further:
+    wide blocks of about WIDE requests work out the same for them. Which of those that are led to from wide blocks a key's
+    first request reaches is found by doubling, a round for each power of two of wide blocks; a round takes about as many
+    rows as a window has requests, for each wide block. So every wide block knows its first window, then every block in it,
+    and its windows follow."""
     rest = [c for c in requests.columns if c not in (key, time)]
     name = F.when(F.col(key).isNull(), "none").otherwise(F.concat(F.lit("key "), F.col(key).cast("string")))
     rows = written(ranked(requests.withColumn("_k", name), ["_k"], [F.col(time), *(F.col(c) for c in rest)], "_n"), "numbered")
@@ -59,9 +64,10 @@ def _split_windows(requests: DataFrame, key: str, time: str, limit: int, seconds
         def done() -> pa.RecordBatch:
             t = pa.Table.from_batches(held)
             n, follow = t["_n"].to_pylist(), t["_next"].to_pylist()
-            first, leave, last = n[0], [0] * len(n), [0] * len(n)
+            leave, last = [0] * len(n), [0] * len(n)
+            places = np.searchsorted(t["_n"].to_numpy(), t["_next"].to_numpy()).tolist()
             for i in range(len(n) - 1, -1, -1):
-                j = follow[i] - first
+                j = places[i]
                 leave[i], last[i] = (follow[i], n[i]) if j >= len(n) else (leave[j], last[j])
             return pa.RecordBatch.from_arrays([t["_k"].combine_chunks(), t["_n"].combine_chunks(), pa.array(leave, pa.int64()), pa.array(last, pa.int64())], ["_k", "_n", "_leave", "_last"])
 
@@ -79,19 +85,6 @@ def _split_windows(requests: DataFrame, key: str, time: str, limit: int, seconds
         if held:
             yield done()
 
-    leads = follows.repartition("_k", "_b").sortWithinPartitions("_k", "_b", "_n").mapInArrow(out_of_blocks, "_k string, _n long, _leave long, _last long")
-    leads = written(leads, "leads")
-    targets = leads.select("_k", F.col("_leave").alias("_n")).unionByName(leads.select("_k", F.lit(1).cast("long").alias("_n"))).distinct()
-    jumps = lasts = written(leads.join(targets, ["_k", "_n"]), "jumps")
-    reached = written(jumps.select("_k").distinct().withColumn("_n", F.lit(1).cast("long")), "reached")
-    blocks = follows.agg(F.max("_b")).first()[0] + 1
-    for _ in range(max(1, (blocks - 1).bit_length() + 1)):
-        more = reached.join(jumps, ["_k", "_n"]).select("_k", F.col("_leave").alias("_n"))
-        reached = written(reached.unionByName(more).distinct(), "reached")
-        further = jumps.select("_k", F.col("_n").alias("_leave"), F.col("_leave").alias("_far"))
-        jumps = written(jumps.select("_k", "_n", "_leave").join(further, ["_k", "_leave"]).select("_k", "_n", F.col("_far").alias("_leave")), "jumps")
-    entries = written(reached.join(lasts, ["_k", "_n"]).select("_k", block.alias("_b"), F.col("_n").alias("_entry"), "_last"), "entries")
-
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, want = None, 0
         for batch in batches:
@@ -105,7 +98,34 @@ def _split_windows(requests: DataFrame, key: str, time: str, limit: int, seconds
                     want = follow
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.string()), pa.array(starts, pa.int64())], ["_k", "_n"])
 
-    starts = follows.join(entries, ["_k", "_b"]).repartition("_k", "_b").sortWithinPartitions("_k", "_b", "_n").mapInArrow(windows, "_k string, _n long")
+    def in_blocks(rows: DataFrame, run, schema: str) -> DataFrame:
+        return rows.repartition("_k", "_b").sortWithinPartitions("_k", "_b", "_n").mapInArrow(run, schema)
+
+    def led(follows: DataFrame, name: str) -> DataFrame:
+        """Where blocks (_k, _b, _n, _next) are left from requests that blocks lead to and from a key's first one."""
+        leads = written(in_blocks(follows, out_of_blocks, "_k string, _n long, _leave long, _last long"), "leads")
+        targets = leads.select("_k", F.col("_leave").alias("_n")).unionByName(leads.select("_k", F.lit(1).cast("long").alias("_n"))).distinct()
+        return written(leads.join(targets, ["_k", "_n"]), name)
+
+    jumps = led(follows, "jumps")
+    size = most * max(2, WIDE // most)
+    wide = F.floor((F.col("_n") - 1) / size)
+    steps = jumps.select("_k", "_n", F.col("_leave").alias("_next"), wide.alias("_b"))
+    far = led(steps, "far").select("_k", "_n", "_leave")
+    reached = far.where("_n = 1").select("_k", "_n")
+    blocks = follows.agg(F.max("_n")).first()[0] // size + 1
+    for left in range(blocks.bit_length() - 1, -1, -1):
+        more = reached.join(far, ["_k", "_n"]).select("_k", F.col("_leave").alias("_n"))
+        reached = written(reached.unionByName(more).distinct(), "reached")
+        if left:
+            further = far.select("_k", F.col("_n").alias("_leave"), F.col("_leave").alias("_far"))
+            far = written(far.join(further, ["_k", "_leave"]).select("_k", "_n", F.col("_far").alias("_leave")), "far")
+    # the last window leads to one more than there are requests, which can count as of the last block
+    entered = steps.join(reached.groupBy("_k", wide.alias("_b")).agg(F.min("_n").alias("_entry")), ["_k", "_b"])
+    first = in_blocks(entered, windows, "_k string, _n long")
+    entries = written(first.join(jumps, ["_k", "_n"]).select("_k", block.alias("_b"), F.col("_n").alias("_entry"), "_last"), "entries")
+
+    starts = in_blocks(follows.join(entries, ["_k", "_b"]), windows, "_k string, _n long")
     # the window that is open when a block begins is the last one of the blocks before
     before = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     opened = follows.select("_k", "_b").distinct().join(entries, ["_k", "_b"], "left").withColumn("_open", F.last("_last", ignorenulls=True).over(before)).select("_k", "_b", "_open")
