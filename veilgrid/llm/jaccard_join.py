@@ -14,6 +14,11 @@ fixed size, and changes nothing in the result, only the sizes of blocks. Equal s
 sets of a task have leaves it as one row, an interval of sizes, so that a signature of a third of all sets is a row or two
 a task.
 
+In a large corpus that table misses most shingles that a few documents share, and documents without a link make one block,
+which grows as the corpus does. So a block of over CUT_PARTS parts is cut anew: all shingles of its sets are counted within
+the block, and signatures are those that fewest sets of it have. A shingle that no other set has comes first, so that what
+has enough of its own leaves the block.
+
 A block over PART_DOCS documents or PART_SHINGLES shingles is worked on in parts of that size, first each part by itself,
 then what is left: of each component that was found one document, in parts again, until few are left or no fewer become
 so. That makes one component of many near copies in a few rounds, each linear in them. Then the nodes above the points are
@@ -35,10 +40,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilgrid.llm.common import remembering, trim, written
+from veilgrid.llm.common import erase_table, remembering, trim, written
 from veilgrid.llm.components import components
 from veilgrid.llm.shingles import sets
 
@@ -49,6 +54,8 @@ NUM, DEN = 4, 5
 FREQUENT, DROPPED_BITS, COUNT_SHINGLES, LOW = 1 << 18, 24, 1 << 20, 0.25
 #: Bounds of a part of a block, which one task works on; groups of a point; children of a node; the factor between sizes of a band.
 PART_DOCS, PART_SHINGLES, GROUPS, FANOUT, BAND = 256, 1_000_000, (16, 256), 32, 1.12
+#: Parts of a block above which it is cut anew by counts of its own.
+CUT_PARTS = 4
 #: Blocks of a signature up to this size list their pairs, larger ones tie all to the smallest.
 SMALL = 8
 #: Rows of one signature that are held at once.
@@ -122,42 +129,50 @@ def signatures_of(s: np.ndarray, often: np.ndarray, rank: np.ndarray) -> np.ndar
     return rare[:count]
 
 
-def _signatures(often: np.ndarray, rank: np.ndarray):
+#: Signatures that are looked at together.
+MARKED = 200_000
+MARKS = "sig long, node long, low int, high int, place int, other long"
+
+
+def _marks(sig: np.ndarray, node: np.ndarray, n: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
     """sig, node, low, high, place, other: a row for each signature of a set, whose size is low and high; place is the
-    signature's among the set's. Where more than SMALL sets of a task have a signature, sets of sizes that can link are
-    tied here (other is the smallest of them), and a row with place -1 stands for them all."""
+    signature's among the set's. Where more than SMALL sets have a signature, sets of sizes that can link are tied here
+    (other is the smallest of them), and a row with place -1 stands for them all."""
+    order = np.lexsort((node, n, sig))
+    sig, node, n, place = sig[order], node[order], n[order], place[order]
+    cut = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+    count = np.diff(np.concatenate([cut, [len(sig)]]))
+    many = np.repeat(count > SMALL, count)
+    wide = n.astype(np.int64)
+    begins = np.concatenate([[True], (sig[1:] != sig[:-1]) | (wide[:-1] * DEN < wide[1:] * NUM)])[many]
+    at = np.flatnonzero(many)[begins]
+    ends = np.flatnonzero(many)[np.concatenate([begins[1:], [True]])] if len(begins) else at
+    few, tied = ~many, node[many]
+    first = np.minimum.reduceat(tied, np.flatnonzero(begins))[np.cumsum(begins) - 1] if len(begins) else tied
+    columns = [
+        np.concatenate([sig[few], sig[at], tied]), np.concatenate([node[few], node[at], tied]), np.concatenate([n[few], n[at], np.zeros(len(tied), np.int32)]),
+        np.concatenate([n[few], n[ends], np.zeros(len(tied), np.int32)]), np.concatenate([place[few], np.full(len(at), -1, np.int32), np.zeros(len(tied), np.int32)]),
+    ]
+    other = pa.array(np.concatenate([np.zeros(len(columns[0]) - len(tied), np.int64), first]), mask=np.arange(len(columns[0])) < len(columns[0]) - len(tied))
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns), other], ["sig", "node", "low", "high", "place", "other"])
+
+
+def _signatures(often: np.ndarray, rank: np.ndarray):
+    """:func:`_marks` of the signatures of a task's sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got, size = [], 0
 
         def out() -> pa.RecordBatch:
             lens = np.array([len(g) for *_, g in got])
-            sig = np.concatenate([g for *_, g in got])
             node = np.repeat(np.array([i for i, *_ in got], np.int64), lens)
             n = np.repeat(np.array([n for _, n, _ in got], np.int32), lens)
-            place = np.concatenate([np.arange(k, dtype=np.int32) for k in lens])
-            order = np.lexsort((node, n, sig))
-            sig, node, n, place = sig[order], node[order], n[order], place[order]
-            cut = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-            count = np.diff(np.concatenate([cut, [len(sig)]]))
-            many = np.repeat(count > SMALL, count)
-            wide = n.astype(np.int64)
-            begins = np.concatenate([[True], (sig[1:] != sig[:-1]) | (wide[:-1] * DEN < wide[1:] * NUM)])[many]
-            at = np.flatnonzero(many)[begins]
-            ends = np.flatnonzero(many)[np.concatenate([begins[1:], [True]])] if len(begins) else at
-            few, tied = ~many, node[many]
-            first = np.minimum.reduceat(tied, np.flatnonzero(begins))[np.cumsum(begins) - 1] if len(begins) else tied
-            columns = [
-                np.concatenate([sig[few], sig[at], tied]), np.concatenate([node[few], node[at], tied]), np.concatenate([n[few], n[at], np.zeros(len(tied), np.int32)]),
-                np.concatenate([n[few], n[ends], np.zeros(len(tied), np.int32)]), np.concatenate([place[few], np.full(len(at), -1, np.int32), np.zeros(len(tied), np.int32)]),
-            ]
-            other = pa.array(np.concatenate([np.zeros(len(columns[0]) - len(tied), np.int64), first]), mask=np.arange(len(columns[0])) < len(columns[0]) - len(tied))
-            return pa.RecordBatch.from_arrays([*map(pa.array, columns), other], ["sig", "node", "low", "high", "place", "other"])
+            return _marks(np.concatenate([g for *_, g in got]), node, n, np.concatenate([np.arange(k, dtype=np.int32) for k in lens]))
 
         for node, s in _different(batches):
             got.append((node, len(s), signatures_of(s, often, rank)))
             size += len(got[-1][2])
-            if size > 200_000:
+            if size > MARKED:
                 yield out()
                 got, size = [], 0
         if got:
@@ -166,6 +181,25 @@ def _signatures(often: np.ndarray, rank: np.ndarray):
     return run
 
 
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """:func:`_marks` of signatures (sig, node, n, place) that are a table already."""
+    held, size = [], 0
+    for batch in batches:
+        held.append([c.to_numpy() for c in batch.columns])
+        size += batch.num_rows
+        if size > MARKED:
+            yield _marks(*map(np.concatenate, zip(*held)))
+            held, size = [], 0
+    if size:
+        yield _marks(*map(np.concatenate, zip(*held)))
+
+
+def _tied(marks: DataFrame) -> DataFrame:
+    """node, root: blocks of what marks connect."""
+    ties = marks.repartition("sig").sortWithinPartitions("sig", "low", "node").mapInArrow(_ties, "a long, b long")
+    return components(ties)
+
+
 # -- from signatures to blocks ----------------------------------------------------------------------------------------
 
 
@@ -362,13 +396,11 @@ def near_components(docs: DataFrame) -> DataFrame:
     table = seen.orderBy(F.desc("seen"), "shingle").limit(FREQUENT).toArrow().sort_by("shingle")
     often, rank = (table.column(c).to_numpy() for c in ("shingle", "seen"))
 
-    marks = texts.mapInArrow(_signatures(often, rank), "sig long, node long, low int, high int, place int, other long")
-    ties = marks.repartition("sig").sortWithinPartitions("sig", "low", "node").mapInArrow(_ties, "a long, b long")
-    blocks = components(ties)
+    blocks = _tied(texts.mapInArrow(_signatures(often, rank), MARKS))
 
     # one document of each set, the one with the smallest id
     reps = written(described.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("node").alias("node")), "reps")
-    members = written(blocks.join(reps, "node").select("rep", "root", "n"), "members")
+    members = _finer(rows, written(blocks.join(reps, "node").select("rep", "root", "n", "node"), "members"))
     named = reps.join(_roots(rows, members), "rep", "left").select("key", F.coalesce("c", "rep").alias("root"))
     out = described.join(named, "key", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("root", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
@@ -396,6 +428,61 @@ def _only(ids: DataFrame, rows: DataFrame) -> DataFrame:
     return rows.where("doc_id is not null").withColumn("p", at("doc_id")).mapInArrow(run, "doc_id long, text string")
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, n, sig: a row for each shingle of the sets of texts (text, root, node), of which n is the size; sig tells a
+    block's shingles from those of other blocks. A text whose set is not the node's, of an id that has several, has none."""
+    remembering("jaccard", lambda: None)
+    held, size = [], 0
+
+    def out() -> pa.RecordBatch:
+        lens = np.array([len(s) for *_, s in held])
+        node, n = np.repeat(np.array([i for i, _ in held], np.int64), lens), np.repeat(lens.astype(np.int32), lens)
+        return pa.RecordBatch.from_arrays([*map(pa.array, (node, n, np.concatenate([s for *_, s in held])))], ["node", "n", "sig"])
+
+    for batch in batches:
+        roots, nodes = (batch.column(k).to_numpy() for k in (1, 2))
+        for s, block, node in zip(sets(batch.column(0)), (roots.view(np.uint64) * _SPREAD).view(np.int64), nodes.tolist()):
+            if int.from_bytes(_key(s)[:8], "little", signed=True) == node:
+                held.append((node, s ^ block))
+                size += len(s)
+            if size > MARKED:
+                yield out()
+                held, size = [], 0
+    if held:
+        yield out()
+
+
+def _too_large(members: DataFrame) -> DataFrame:
+    """Blocks of more than CUT_PARTS parts: root, k (their members)."""
+    return members.groupBy("root").agg(F.count("*").alias("k"), F.sum("n").alias("s")).where(_parts("k", "s") > CUT_PARTS).select("root", "k")
+
+
+def _finer(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """``members`` (rep, root, n, node) with large blocks cut anew, as often as that at least halves what is in large ones:
+    within a block all shingles are counted, so that signatures are its rarest ones indeed. A set whose signatures no other
+    set of the block has links with nothing and is no member any more."""
+    before = None
+    while True:
+        large = _too_large(members)
+        now = large.agg(F.sum("k")).first()[0] or 0
+        if not now or (before is not None and 2 * now > before):
+            return members
+        before = now
+        own = written(members.join(large.select("root").hint("rebalance"), "root").select("rep", "root", "n", "node"), "large")
+        texts = _only(own, rows).join(own.select(F.col("rep").alias("doc_id"), "root", "node").hint("shuffle_hash"), "doc_id")
+        pieces = written(texts.select("text", "root", "node").mapInArrow(_pieces, "node long, n int, sig long"), "pieces")
+        seen = pieces.groupBy("sig").agg(F.count("*").alias("seen")).where("seen > 1")
+        # a text that is there twice has its shingles twice
+        shared = pieces.join(seen.hint("rebalance"), "sig").repartition("node").dropDuplicates(["node", "sig"])
+        mine = Window.partitionBy("node")
+        place = F.col("n") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("seen", "sig")) - 1
+        chosen = shared.withColumn("place", place.cast("int")).where(f"place < n - (n * {NUM} + {DEN - 1}) div {DEN} + 1")
+        blocks = _tied(chosen.select("sig", "node", "n", "place").mapInArrow(_marked, MARKS))
+        erase_table(pieces)
+        finer = blocks.join(own.select("rep", "n", "node"), "node").select("rep", "root", "n", "node")
+        members = written(members.join(large.hint("rebalance"), "root", "left_anti").unionByName(finer), "members")
+
+
 def _linked(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """Links (a, b) between labels within groups (doc_id, root, p, q, c): a label and the smallest of its group that it is
     connected with there. Where no two groups have a label in common, these are components already."""
